@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import byte_bpe, mixing, quality, token_counts, warc
+from lodestone.llm import byte_bpe, mixing, quality, token_counts, topk_search, warc
 from lodestone.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_topk_search": op5_topk_search,
     "op9_quality": op9_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": warc.ORACLE, "op3_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_warc": warc.ORACLE, "op3_mixing": mixing.ORACLE, "op5_topk_search": topk_search.ORACLE}
