@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import byte_bpe, mixing, quality, token_counts, topk_search, warc
+from lodestone.llm import byte_bpe, mixing, quality, substring_dedup, token_counts, topk_search, warc
 from lodestone.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_topk_search": op5_topk_search,
     "op9_quality": op9_quality,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": warc.ORACLE, "op3_mixing": mixing.ORACLE, "op5_topk_search": topk_search.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_warc": warc.ORACLE, "op3_mixing": mixing.ORACLE, "op5_topk_search": topk_search.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}
