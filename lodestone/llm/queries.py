@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import byte_bpe, mixing, quality, substring_dedup, token_counts, topk_search, warc
+from lodestone.llm import byte_bpe, mixing, ngram_join, quality, substring_dedup, token_counts, topk_search, warc
 from lodestone.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicate_classes(table(spark, sf_dir, "documents"))[0]
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -46,8 +50,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_topk_search": op5_topk_search,
+    "op8_ngram_join": op8_ngram_join,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": warc.ORACLE, "op3_mixing": mixing.ORACLE, "op5_topk_search": topk_search.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_warc": warc.ORACLE, "op3_mixing": mixing.ORACLE, "op5_topk_search": topk_search.ORACLE, "op8_ngram_join": ngram_join.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}
