@@ -1,13 +1,83 @@
-"""The corpus pipeline: operators of lodestone.llm applied to `documents`, each stage to what the last one kept."""
+"""The corpus pipeline: operators of lodestone.llm applied to `documents`, each stage to what the last one kept.
+
+Rows are told apart by a key over all their columns, so rows with null or repeated ids get verdicts of their own;
+rows that are equal in all columns are one document. Stages that drop or change rows join their verdicts on that key.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import byte_bpe, mixing, ngram_join, quality, secrets
+from lodestone.llm.common import table, written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row_key"))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    rows = _keyed(docs)
+    rejected = quality.quality_rules(rows, id="row_key").where(~F.col("kept")).select(F.col("doc_id").alias("row_key"))
+    return rows.join(rejected, "row_key", "left_anti").select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id."""
+    rows = _keyed(docs)
+    members = ngram_join.near_duplicate_classes(rows, id="row_key")[0]
+    ids = written(rows.select("row_key", "doc_id").distinct(), "pipeline-ids")
+    by = members.select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("component")).distinct().join(ids, "row_key")
+    stays = by.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("x")).select("x.row_key")
+    # of rows equal in all columns one stays; adaptive execution can split a key that many rows share
+    return rows.join(stays, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts masked and n_chars that of the new text."""
+    rows = _keyed(docs)
+    clean = secrets.masked(rows, written(secrets.scan(rows, id="row_key").where("is_secret"), "pipeline-secrets"), id="row_key")
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    rows = _keyed(docs)
+    copies = mixing.mix(rows, id="row_key").where("copies > 0").select(F.col("doc_id").alias("row_key"), "copies").distinct()
+    taken = rows.join(copies, "row_key").select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return taken.select(*COLUMNS)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, token_ids): the byte-level BPE ids of each text, checked to decode to it, as uint32."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN).drop("decoded")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("secret scans", secrets_stage),
+    ("mixing sources", mixing_stage),
+    ("byte-level BPE", encoding_stage),
+]
+
+#: Robust estimates, the forest and the recursion over merges are beyond one SQL statement; tests/llm/ checks the
+#: stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, f"pipeline-stage{k}")
     return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import byte_bpe, mixing, ngram_join, quality, substring_dedup, token_counts, topk_search, warc
+from lodestone.llm import byte_bpe, masked_lm, mixing, ngram_join, quality, secrets, substring_dedup, token_counts, topk_search, warc
 from lodestone.llm.common import table
 
 
@@ -32,6 +32,14 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_classes(table(spark, sf_dir, "documents"))[0]
 
@@ -50,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_topk_search": op5_topk_search,
+    "op6_secrets": op6_secrets,
+    "op7_masked_lm": op7_masked_lm,
     "op8_ngram_join": op8_ngram_join,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
