@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_dir
+from lodestone.llm.common import shared_dir, written
 
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
@@ -184,8 +184,9 @@ def deduplicated_archive(pages: DataFrame, id: str = "page_id", uri: str = "url"
     write_archive(as_responses(pages, id, uri, payload, date), raw)
     write_archive(resolve_revisits(read_archive(spark, raw), date), clean)
     records = read_archive(spark, clean)
-    records = records.select("id", "record_id", "record_type", "uri", "refers_to_id", "payload_digest", "payload_bytes", F.sha2(F.col("payload").cast("binary"), 256).alias("found"), F.octet_length("payload").alias("found_bytes"))
-    originals = read_archive(spark, clean, payloads=False).where(F.col("record_type") == "response").select(F.col("record_id").alias("original"), F.col("id").alias("refers_to"), F.col("payload_digest").alias("original_digest")).distinct()
+    # headers, and what the payload really is: one pass over the archives
+    records = written(records.select("id", "record_id", "record_type", "uri", "refers_to_id", "payload_digest", "payload_bytes", F.sha2(F.col("payload").cast("binary"), 256).alias("found"), F.octet_length("payload").alias("found_bytes")), "warc-headers")
+    originals = records.where(F.col("record_type") == "response").select(F.col("record_id").alias("original"), F.col("id").alias("refers_to"), F.col("payload_digest").alias("original_digest")).distinct()
     revisits = records.where(F.col("record_type") == "revisit")
     resolved = revisits.join(originals, (revisits["refers_to_id"] == originals["original"]) & (revisits["payload_digest"] == originals["original_digest"]), "left")
     broken = F.raise_error(F.concat(F.lit("the archive's record does not hold what its header says: "), F.col("record_id")))
