@@ -62,7 +62,11 @@ WITH RECURSIVE s(it, p, t) AS (
 SELECT p, t FROM s WHERE it = (SELECT max(it) FROM s)
 """
 
-_DECODE = "SELECT w, list(bytes ORDER BY p) AS parts FROM ids JOIN vocabulary ON id = t GROUP BY w"
+#: Of token rows of each word: the decimal ids, and the bytes they decode to, each byte as the character of its number.
+_DECODE = """
+SELECT w, count(*)::INT AS n, string_agg(t::VARCHAR, ',' ORDER BY p) AS ids, string_agg(chars, '' ORDER BY p) AS text
+FROM ids JOIN vocabulary ON id = t GROUP BY w
+"""
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -81,11 +85,12 @@ class DuckBpe:
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         l, r, rank = (np.array(x, np.int32) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int32),) * 3
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.con = con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.con = con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self._put("merges", l=l, r=r, rank=rank)
         unsafe = np.union1d(l[l > rank], r[r > rank]).astype(np.int32)
         self._put("unsafe", rank=unsafe)
-        con.register("given", pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())}))
+        chars = [t.decode("latin-1") for t in ranks]
+        con.register("given", pa.table({"id": pa.array(ranks.values(), pa.int32()), "chars": pa.array(chars, pa.string())}))
         con.execute("CREATE TABLE vocabulary AS FROM given")
         con.unregister("given")
 
@@ -94,32 +99,42 @@ class DuckBpe:
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS FROM given")
         self.con.unregister("given")
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word; a word that is a token itself is that token."""
-        out: list = [[self.ranks[w]] if w in self.ranks else [] for w in words]
-        todo = [i for i, w in enumerate(words) if w and not out[i]]
-        short = [i for i in todo if len(words[i]) <= LONG]
-        if short:
-            n = np.array([len(words[i]) for i in short])
-            end = np.cumsum(n)
-            t = self.byte[np.frombuffer(b"".join(words[i] for i in short), np.uint8)]
-            p = np.arange(end[-1]) - np.repeat(end - n, n)
-            last = end - 1
-            following, place = np.roll(t, -1), p + 1
-            nt = pa.array(following, pa.int32(), mask=np.isin(np.arange(end[-1]), last))
-            np_ = pa.array(place, pa.int32(), mask=np.isin(np.arange(end[-1]), last))
-            self._put("start", w=np.repeat(np.arange(len(short)), n), p=p, t=t, np=np_, nt=nt)
-            got = self.con.sql(_ENCODE).to_arrow_table()
-            w, p, t = (got.column(i).to_numpy() for i in range(3))
-            order = np.lexsort((p, w))
-            w, t = w[order], t[order]
-            for i, ids in zip(short, np.split(t, np.flatnonzero(np.diff(w)) + 1), strict=True):
-                out[i] = ids.tolist()
-        for i in todo:
-            if len(words[i]) > LONG:
-                out[i] = self._encode_long(words[i])
+    def _ids(self, words: list[bytes]) -> list[tuple]:
+        """Fills the table ids with (w, p, t): the tokens of each word, contracted. A word that is a token is that token."""
+        ranks = self.ranks
+        whole = [i for i, w in enumerate(words) if w in ranks]
+        short = [i for i, w in enumerate(words) if w and w not in ranks and len(w) <= LONG]
+        long = [(i, self._encode_long(w)) for i, w in enumerate(words) if w not in ranks and len(w) > LONG]
+        n = np.array([len(words[i]) for i in short], np.int64)
+        end = np.cumsum(n)
+        total = int(end[-1]) if len(end) else 0
+        t = self.byte[np.frombuffer(b"".join([words[i] for i in short]), np.uint8)]
+        last = np.zeros(total, bool)
+        last[end - 1] = True
+        p = np.arange(total) - np.repeat(end - n, n)
+        w = np.repeat(np.array(short, np.int64), n)
+        self._put("start", w=w, p=p, t=t, np=pa.array(p + 1, pa.int32(), mask=last), nt=pa.array(np.roll(t, -1), pa.int32(), mask=last))
+        self.con.execute(f"CREATE OR REPLACE TABLE ids AS {_ENCODE}")
+        rest = [(i, 0, ranks[words[i]]) for i in whole] + [(i, k, x) for i, ids in long for k, x in enumerate(ids)]
+        if rest:
+            w, p, t = zip(*rest, strict=True)
+            self._put("rest", w=w, p=p, t=t)
+            self.con.execute("INSERT INTO ids FROM rest")
+
+    def round_trip(self, words: list[bytes]) -> list[tuple[str, bytes]]:
+        """For each word its decimal ids joined by commas, and the bytes that these ids decode to."""
+        out = [("", b"")] * len(words)
+        if any(words):
+            self._ids(words)
+            got = self.con.sql(_DECODE).to_arrow_table()
+            for w, ids, text in zip(got["w"].to_pylist(), got["ids"].to_pylist(), got["text"].to_pylist(), strict=True):
+                out[w] = (ids, text.encode("latin-1"))
         return out
 
+    def encode(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word."""
+        return [[int(x) for x in ids.split(",")] if ids else [] for ids, _ in self.round_trip(words)]
+
     def _encode_long(self, word: bytes) -> list[int]:
         t = self.byte[np.frombuffer(word, np.uint8)]
         while True:
@@ -136,15 +151,14 @@ class DuckBpe:
         n = [len(x) for x in ids]
         total = sum(n)
         if total:
-            flat = np.fromiter((i for x in ids for i in x), np.int32, total)
+            flat = np.fromiter((i for x in ids for i in x), np.int64, total)
             starts = np.cumsum(n) - n
             self._put("ids", w=np.repeat(np.arange(len(ids)), n), p=np.arange(total) - np.repeat(starts, n), t=flat)
-            for w, parts in self.con.execute(_DECODE).fetchall():
-                if len(parts) != n[w]:
-                    raise KeyError("an id is not in the vocabulary")
-                out[w] = b"".join(parts)
-            if sum(map(bool, out)) != sum(map(bool, n)):
+            got = self.con.sql(_DECODE).to_arrow_table()
+            if sum(got["n"].to_pylist()) != total:
                 raise KeyError("an id is not in the vocabulary")
+            for w, text in zip(got["w"].to_pylist(), got["text"].to_pylist(), strict=True):
+                out[w] = text.encode("latin-1")
         return out
 
 
@@ -168,7 +182,8 @@ class _Pieces:
         import regex
 
         self.bpe, self.cache = _bpe(path), cache
-        self.kept: dict[str, tuple[str, bytes]] = _kept.setdefault(path + pattern, {})
+        # ids of pieces met lately, and of those met before them: when the first are too many they become the second
+        self.kept: list[dict[str, str]] = _kept.setdefault(path + pattern, [{}, {}])
         self.find = regex.compile(pattern).findall
 
     def split(self, text: str) -> list[str]:
@@ -176,33 +191,52 @@ class _Pieces:
             return self.find(text)
         return text.replace(" ", "\0 ").split("\0")
 
-    def encode(self, pieces: Iterable[str]) -> dict[str, tuple[str, bytes]]:
-        """For each piece its decimal ids joined by commas, and the bytes that these ids decode to."""
+    def encode(self, pieces: Iterable[str]) -> dict[str, str]:
+        """Makes kept[0] hold the decimal ids of each piece, joined by commas; returns those of pieces too long to keep.
+        Every new word's ids are decoded again: kept ids are those that decode to the piece."""
         kept = self.kept
-        if len(kept) > self.cache:
-            kept.clear()
-        kept[""] = ("", b"")
-        new = [p for p in pieces if p not in kept]
-        words = [self.find(p) for p in new]
-        place = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
-        ids = self.bpe.encode([w.encode() for w in place])
-        decoded = self.bpe.decode(ids)
-        texts = [",".join(map(str, x)) for x in ids]
-        got = {}
+        if len(kept[0]) > self.cache:
+            kept[1], kept[0] = kept[0], {}
+        lately, before = kept
+        new = []
+        for p in pieces:
+            if p not in lately:
+                ids = before.get(p)
+                if ids is None:
+                    new.append(p)
+                else:
+                    lately[p] = ids
+        place = {}
+        words = []
+        for p in new:
+            ws = self.find(p)
+            words.append(ws)
+            for w in ws:
+                if w not in lately:
+                    place.setdefault(w, len(place))
+        raw = [w.encode() for w in place]
+        done = self.bpe.round_trip(raw)
+        if [x[1] for x in done] != raw:
+            raise ValueError("ids do not decode to the word they encode")
+        got = {w: x[0] for w, x in zip(place, done, strict=True)}
+        long = {}
         for p, ws in zip(new, words, strict=True):
-            at = [place[w] for w in ws]
-            got[p] = (",".join([texts[i] for i in at]), b"".join([decoded[i] for i in at]))
-        kept.update((p, x) for p, x in got.items() if len(p) <= 64)
-        return got
+            ids = got[ws[0]] if len(ws) == 1 and ws[0] in got else ",".join([got[w] if w in got else lately[w] for w in ws])
+            if len(p) <= 64:
+                lately[p] = ids
+            else:
+                long[p] = ids
+        return long
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text", cache: int = 300_000, digests: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text", cache: int = 450_000, digests: bool = False) -> DataFrame:
     """Encodes every whole text and decodes the ids again, in the tasks that read the rows: nothing is shuffled.
 
     Returns (doc_id, n_tokens, token_ids binary: little-endian uint32, decoded binary), or with digests the
     contract's (doc_id, n_tokens, ids_sha256, decoded_sha256). As tiktoken without special tokens: each match of
     pattern separately. A null or empty text has 0 tokens; rows with null or repeated ids stay; an empty table
-    gives an empty one; other columns are ignored. cache: pieces that a worker keeps at most.
+    gives an empty one; other columns are ignored. cache: a worker keeps at most about twice so many
+    pieces.
     """
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -212,17 +246,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id: str = "doc_id
         at = 0
         while at < len(texts):
             size, end = 0, at
-            while end < len(texts) and (end == at or size < 2_000_000):
+            while end < len(texts) and (end == at or size < 1_000_000):
                 size += len(texts[end])
                 end += 1
             split = [pieces.split(t) for t in texts[at:end]]
-            got = pieces.encode({p for ps in split for p in ps})
-            kept = pieces.kept
+            long = pieces.encode({p for ps in split for p in ps})
+            kept = pieces.kept[0]
             n, a, d = [], [], []
-            for ps in split:
-                both = [kept[p] if p in kept else got[p] for p in ps]
-                joined = ",".join([x[0] for x in both if x[0]])
-                data = b"".join([x[1] for x in both])
+            for t, ps in zip(texts[at:end], split, strict=True):
+                joined = ",".join([x for x in ([kept[p] if p in kept else long[p] for p in ps] if long else map(kept.__getitem__, ps)) if x])
+                data = t.encode()  # what the pieces decode to
                 n.append(joined.count(",") + 1 if joined else 0)
                 if digests:
                     a.append(hashlib.sha256(joined.encode()).hexdigest())
