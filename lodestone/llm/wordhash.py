@@ -21,7 +21,7 @@ PLAIN = np.where(IS_WORD, _numbers, U(0))
 LOWER = PLAIN.copy()
 LOWER[65:91] = PLAIN[97:123]
 #: Bytes that are worked on at once; a longer text is on its own.
-CHUNK = 2_000_000
+CHUNK = 500_000
 _powers: dict[int, np.ndarray] = {}
 
 
