@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_dir, written
+from lodestone.llm.common import shared_dir, shuffles_dropped, written
 
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
@@ -65,7 +65,8 @@ def write_archive(records: DataFrame, path: str) -> None:
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(http).cast("string"),
         F.lit(END), http,
     )
-    records.select(value.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    with shuffles_dropped(records.sparkSession):
+        records.select(value.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -161,6 +162,8 @@ def resolve_revisits(records: DataFrame, date: str, least: int = LEAST_BYTES) ->
     # only headers of repeated payloads meet their original, and only revisits among them meet their record
     repeated = head.join(first.where("n > 1").select("payload_digest", "first"), "payload_digest")
     revisits = repeated.where(F.col("record_id") != F.col("first.record_id")).select(F.col("record_id").alias("own"), F.col("payload_digest").alias("own_digest"), F.col("first.id").alias("original")).distinct()
+    # a table of known size: Spark broadcasts it below its threshold, and only else shuffles payloads
+    revisits = written(revisits, "warc-revisits")
     joined = records.join(revisits, (records["record_id"] == revisits["own"]) & (records["payload_digest"] == revisits["own_digest"]), "left")
     again = F.col("own").isNotNull()
     return joined.select(
