@@ -7,7 +7,7 @@ similarity needs. Who meets whom:
 
 1. Sets that are equal are one class.
 2. Similar sets share one of their least hashes (the prefix that the similarity cannot do without). Each such hash is a
-   bucket of classes; every class is paired with its bucket's smallest, bounded and verified.
+   bucket of classes; every class is paired with the one in its bucket's midst, bounded and verified.
 3. Links so far make components. Buckets that still hold several are dealt into cells by size and, where large, by
    pairs of blocks; an R-tree a cell finds the pairs of different components that the bound lets pass.
 4. Components of all verified links.
@@ -25,15 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_map, written
+from lodestone.llm.common import arrow_map, dropped, written
 from lodestone.llm.graph import components
 from lodestone.llm.wordhash import LOWER, U, Words, chunks, inside, mix, sequences
 
 SHINGLE = 5
 #: Similarity as a ratio of whole numbers: 80 / 100.
 NEED, OF = 80, 100
-#: Elements in a group on average, and the fewest and most groups, as powers of two.
-PER_GROUP, FEWEST, MOST = 4, 4, 12
+#: Groups of a point: two an element up to a point of 256, one for four elements of sets so large that this is more;
+#: powers of two, so that a point can be folded to fewer groups.
+FEWEST, USUAL, MOST = 16, 256, 1 << 16
 #: Members of a cell's block.
 BLOCK = 1500
 LEAF, FAN = 16, 8
@@ -57,10 +58,26 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(text, np.arange(w.n_texts + 1))
 
 
-def counts(h: np.ndarray) -> np.ndarray:
-    """The point of a set: its counts by group; the number of groups follows from the size."""
-    groups = 1 << int(np.clip(np.ceil(np.log2(max(1, len(h)) / PER_GROUP)), FEWEST, MOST))
-    return np.minimum(np.bincount(((h >> U(20)) & U(groups - 1)).astype(np.int64), minlength=groups), 65535).astype(np.uint16)
+def _groups(n: int) -> int:
+    want = max(min(2 * n, USUAL), n // 4, FEWEST)
+    return min(1 << (want - 1).bit_length(), MOST)
+
+
+def counts(h: np.ndarray) -> bytes:
+    """The point of a set: its counts by group, two in a byte where they fit, else in one or four bytes each."""
+    groups = _groups(len(h))
+    n = np.bincount(((h >> U(20)) & U(groups - 1)).astype(np.int64), minlength=groups)
+    most = n.max(initial=0)
+    return (n[0::2] | n[1::2] << 4).astype(np.uint8).tobytes() if most < 16 else n.astype(np.uint8 if most < 256 else np.uint32).tobytes()
+
+
+def point(data: bytes, n: int) -> np.ndarray:
+    """The counts of a set of n elements."""
+    groups = _groups(n)
+    if len(data) == 4 * groups:
+        return np.frombuffer(data, np.uint32)
+    x = np.frombuffer(data, np.uint8)
+    return x if len(data) == groups else np.stack([x & 15, x >> 4], axis=1).ravel()
 
 
 def folded(v: np.ndarray, groups: int) -> np.ndarray:
@@ -86,7 +103,7 @@ class CountTree:
         half = points.shape[1] // 2
         slab = max(LEAF, int(np.ceil(np.sqrt(len(sizes) / LEAF))) * LEAF)
         by_size = np.argsort(sizes, kind="stable")
-        left = points[:, :half].sum(axis=1)
+        left = points[:, :half].sum(axis=1, dtype=np.int64)
         self.order = np.lexsort((left[by_size], np.arange(len(sizes)) // slab))
         self.order = by_size[self.order]
         self.points, self.sizes = points[self.order], sizes[self.order]
@@ -134,7 +151,7 @@ def sketches(rows: DataFrame, shingle: int, need: int, of: int) -> DataFrame:
                 own = h[a : a + n]
                 n = int(n)
                 prefixes.append(own[: n - -(-n * need // of) + 1].view(np.int64))
-                points.append(counts(own).tobytes() if n else b"")
+                points.append(counts(own) if n else b"")
                 # ordered elements, so a polynomial over them would do; the sum of mixed ones needs no order
                 keys.append(int((mix(own ^ U(0x5851F42D4C957F2D)).sum(dtype=U) ^ mix(np.array([n], U))[0]).view(np.int64)) if n else None)
             yield {"doc_id": b.column(0).slice(at, w.n_texts), "key": pa.array(keys, pa.int64()), "n": pa.array(sizes, pa.int64()), "prefix": _lists(prefixes, pa.int64()), "point": pa.array(points, pa.binary())}
@@ -149,7 +166,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, need: int, of: int) -> DataFra
 
     def keep(b: pa.RecordBatch) -> dict:
         a, c, n_a, p_a, n_b, p_b = (b.column(i).to_pylist() for i in range(6))
-        ok = [i for i in range(len(a)) if enough(bound(np.frombuffer(p_a[i], np.uint16), np.frombuffer(p_b[i], np.uint16)), n_a[i] + n_b[i], need, of)]
+        ok = [i for i in range(len(a)) if enough(bound(point(p_a[i], n_a[i]), point(p_b[i], n_b[i])), n_a[i] + n_b[i], need, of)]
         return {"a": pa.array([a[i] for i in ok], pa.int64()), "b": pa.array([c[i] for i in ok], pa.int64())}
 
     return arrow_map(both.select("a", "b", "n_a", "point_a", "n_b", "point_b"), "a long, b long", keep)
@@ -208,9 +225,10 @@ def _tree_pairs(cells: DataFrame, points: DataFrame, need: int, of: int) -> Data
 
     def pairs_of(t: pa.Table) -> Iterator[tuple[int, int]]:
         key, n, component, upper, block, same = (t[c].to_numpy() if t[c].type != pa.bool_() else np.array(t[c].to_pylist()) for c in ("key", "n", "component", "upper", "own_block", "same"))
-        raw = [np.frombuffer(x, np.uint16) for x in t["point"].to_pylist()]
+        raw = [point(x, int(k)) for x, k in zip(t["point"].to_pylist(), n, strict=True)]
         groups = min(map(len, raw))
-        points = np.array([folded(x, groups) for x in raw], np.int64)
+        points = np.array([folded(x, groups) for x in raw])
+        points = points.astype(np.uint8 if points.max() < 256 else np.uint32)
         tree = CountTree(points, n)
         for i in np.flatnonzero(~upper):
             found = tree.search(points[i], int(n[i]), need, of)
@@ -219,19 +237,23 @@ def _tree_pairs(cells: DataFrame, points: DataFrame, need: int, of: int) -> Data
                 yield (min(int(key[i]), int(key[j])), max(int(key[i]), int(key[j])))
 
     def search(batches):
-        held = None
+        held, seen = None, set()
+
+        def new(found: Iterator[tuple[int, int]]) -> pa.RecordBatch:
+            """Each pair once, as far as the task remembers: near copies meet in many cells."""
+            if len(seen) > 300_000:
+                seen.clear()
+            out = [p for p in found if p not in seen and not seen.add(p)]
+            return pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
         for b in batches:
             t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
             cell = t["cell"].to_numpy()
             starts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1])
-            yield _pairs(p for a, c in zip(starts[:-1], starts[1:], strict=True) for p in pairs_of(t.slice(a, c - a)))
+            yield new(p for a, c in zip(starts[:-1], starts[1:], strict=True) for p in pairs_of(t.slice(a, c - a)))
             held = t.slice(int(starts[-1])).combine_chunks() if t.num_rows else None
         if held is not None:
-            yield _pairs(pairs_of(held))
-
-    def _pairs(found) -> pa.RecordBatch:
-        found = sorted(set(found))
-        return pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+            yield new(pairs_of(held))
 
     return rows.mapInArrow(search, "a long, b long").distinct()
 
@@ -247,15 +269,22 @@ def near_duplicate_classes(docs: DataFrame, id: str = "doc_id", text: str = "tex
     judged one by one. An empty table gives empty ones; other columns are ignored. Sets are compared as 64-bit hashes.
     """
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    all_rows = written(sketches(rows, shingle, need, of), "ngram-sketches")
-    linked = all_rows.where("key IS NOT NULL AND doc_id IS NOT NULL")
+    whole = written(sketches(rows, shingle, need, of), "ngram-sketches")
+    all_rows = written(whole.select("doc_id", "key", "n"), "ngram-rows")
+    linked = whole.where("key IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(linked.groupBy("key").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("point").alias("point"), F.any_value("prefix").alias("prefix")), "ngram-classes")
+    dropped(whole)
+    linked = all_rows.where("key IS NOT NULL AND doc_id IS NOT NULL")
     first, points = classes.select("key", "first"), classes.select("key", "n", "point")
 
-    hashes = classes.select(F.explode("prefix").alias("s"), "key", "n")
-    buckets = hashes.groupBy("s").agg(F.min(F.struct("n", "key")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = written(hashes.join(buckets, "s").select("s", "key", "n", "m", F.col("lead.key").alias("lead"), F.col("lead.n").alias("lead_n")), "ngram-buckets")
-    stars = members.where((F.col("key") != F.col("lead")) & (of * F.least("n", "lead_n") >= need * F.greatest("n", "lead_n")))
+    hashes = classes.select(F.explode("prefix").alias("s"), "key")
+    buckets = hashes.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = written(hashes.join(buckets, "s").join(classes.select("key", "n"), "key").select("s", "key", "n", "m"), "ngram-buckets")
+    # the class whose prefix is most in buckets, and in the largest, is in the midst of its near copies
+    prefix = F.col("n") - F.ceil(F.col("n") * need / of) + 1
+    midst = members.groupBy("key", "n").agg(F.round(F.sum(F.log("m")), 6).alias("w")).select("key", F.round(F.col("w") / prefix, 6).alias("midst"))
+    lead = members.join(midst, "key").groupBy("s").agg(F.max(F.struct("midst", "key", "n")).alias("lead")).select("s", F.col("lead.key").alias("lead"), F.col("lead.n").alias("lead_n"))
+    stars = members.join(lead, "s").where((F.col("key") != F.col("lead")) & (of * F.least("n", "lead_n") >= need * F.greatest("n", "lead_n")))
     stars = stars.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
     stars = written(stars, "ngram-stars")
     links = _verified(_bounded(stars, points, need, of), rows, first, shingle, need, of, "ngram-star")
