@@ -229,7 +229,7 @@ class _Pieces:
         return long
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text", cache: int = 450_000, digests: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text", cache: int = 600_000, digests: bool = False) -> DataFrame:
     """Encodes every whole text and decodes the ids again, in the tasks that read the rows: nothing is shuffled.
 
     Returns (doc_id, n_tokens, token_ids binary: little-endian uint32, decoded binary), or with digests the
@@ -246,7 +246,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id: str = "doc_id
         at = 0
         while at < len(texts):
             size, end = 0, at
-            while end < len(texts) and (end == at or size < 1_000_000):
+            while end < len(texts) and (end == at or size < 2_000_000):
                 size += len(texts[end])
                 end += 1
             split = [pieces.split(t) for t in texts[at:end]]
