@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Breaks of lines, with their ends kept.
-_BREAKS = r"\n\r\x0B\x0C\x1C\x1D\x1E\x85  "
+_BREAKS = r"\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029"
 LINE = rf"[^{_BREAKS}]*(?:\r\n|[{_BREAKS}])|[^{_BREAKS}]+\z"
 # Tokens and identities depend on these.
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|\d+"

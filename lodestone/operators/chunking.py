@@ -17,7 +17,6 @@ from lodestone.config import ChunkConfig
 from lodestone.functions import text
 
 SECTION = "repository_id string, path string, language string, content string, start_line int, symbol string, kind string, whole boolean"
-NO_LINES = F.array
 
 
 def line_spans(lengths: Column, config: ChunkConfig) -> Column:

@@ -48,7 +48,7 @@ def test_normal_path(spark):
     assert one(spark, paths.indexed_path(F.lit("a/./b//c.py"))) == "a/b/c.py"
 
 
-@pytest.mark.parametrize("t", ["", "a", "a\n", "a\nb", "a\r\nb\rc\x0bd\x0ce\x1cf\x85g h", "\n\n", "a\r\n\r\nb"])
+@pytest.mark.parametrize("t", ["", "a", "a\n", "a\nb", "a\r\nb\rc\x0bd\x0ce\x1cf\x85g\u2028h i", "\n\n", "a\r\n\r\nb"])
 def test_lines(spark, t):
     assert one(spark, text.lines(F.lit(t))) == t.splitlines(keepends=True)
 
