@@ -35,8 +35,8 @@ NEED, OF = 80, 100
 #: Groups of a point: two an element up to a point of 256, one for four elements of sets so large that this is more;
 #: powers of two, so that a point can be folded to fewer groups.
 FEWEST, USUAL, MOST = 16, 256, 1 << 16
-#: Members of a cell's block.
-BLOCK = 1500
+#: Members of a cell's block, and rows of cells with the same least component that are kept together.
+BLOCK, TOGETHER = 1500, 100_000
 LEAF, FAN = 16, 8
 
 
@@ -210,18 +210,22 @@ def _cells(members: DataFrame) -> DataFrame:
     sides = F.array(F.struct(band.alias("band"), F.lit(False).alias("upper")), F.struct((band - 1).alias("band"), F.lit(True).alias("upper")))
     dealt = members.select("s", "key", "n", "component", F.explode(sides).alias("x")).select("s", "key", "n", "component", "x.band", "x.upper")
     size = dealt.groupBy("s", "band").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(~F.col("upper"), 1)).alias("own"), F.min("component").alias("low"), F.max("component").alias("high"))
-    size = size.where("m > 1 AND own > 0 AND low < high").select("s", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    size = size.where("m > 1 AND own > 0 AND low < high").select("s", "band", "low", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    # near copies meet in many cells with the same least component: these stay together, so that a task reports a
+    # pair once, but in as many parts as their rows ask for
+    parts = size.groupBy("low").agg(F.ceil(F.sum(F.col("m") * F.col("blocks")) / TOGETHER).alias("parts"))
+    size = size.join(parts, "low").drop("m")
     dealt = dealt.join(size, ["s", "band"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("s", "band", F.least("block", "other"), F.greatest("block", "other"))
-    return dealt.select(cell.alias("cell"), "key", "n", "component", "upper", F.col("block").alias("own_block"), (F.col("block") == F.col("other")).alias("same"))
+    dealt = dealt.withColumn("cell", cell).withColumn("part", F.xxhash64("low", F.pmod("cell", F.col("parts"))))
+    return dealt.select("part", "cell", "key", "n", "component", "upper", F.col("block").alias("own_block"), (F.col("block") == F.col("other")).alias("same"))
 
 
 def _tree_pairs(cells: DataFrame, points: DataFrame, need: int, of: int) -> DataFrame:
     """The pairs (a, b) of different components in a cell whose bound is enough, found by the cell's R-tree."""
-    rows = cells.join(points.select("key", "point"), "key").select("cell", "key", "n", "component", "upper", "own_block", "same", "point")
-    rows = rows.repartition("cell").sortWithinPartitions("cell")
+    rows = cells.join(points.select("key", "point"), "key").select("part", "cell", "key", "n", "component", "upper", "own_block", "same", "point")
+    rows = rows.repartition("part").drop("part").sortWithinPartitions("cell")
 
     def pairs_of(t: pa.Table) -> Iterator[tuple[int, int]]:
         key, n, component, upper, block, same = (t[c].to_numpy() if t[c].type != pa.bool_() else np.array(t[c].to_pylist()) for c in ("key", "n", "component", "upper", "own_block", "same"))
