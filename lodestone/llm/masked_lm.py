@@ -5,14 +5,18 @@ masked in turn and predicted from the SPAN words on either side: h = tanh(sum ov
 there), then a softmax over classes of tokens times one over the tokens of the class. A document's score is the sum
 of its tokens' conditional log-probabilities.
 
+Tokens and classes grow with the corpus: `side` classes of `side` tokens, the square root of the corpus' words in all
+and at least TOKENS.
+
 Training goes over the whole corpus in ROUNDS parts, each document in one of them. In a round every task starts from
-the broadcast parameters, takes gradient steps on every STRIDE-th token of its documents, and sends its parameters; their
-mean, weighted by tokens, is the next round's start. So what is gathered grows with the input, and what is broadcast
-has a size set by the model alone.
+the broadcast parameters, takes gradient steps on every token of its documents, and sends its parameters in blocks; their
+mean, weighted by tokens, is the next round's start.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,34 +24,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_map
-from lodestone.llm.wordhash import LOWER, U, Words, chunks, mix
+from lodestone.llm.common import arrow_map, dropped, written
+from lodestone.llm.wordhash import LOWER, U, Words, chunks
 
+#: The least model: its classes, and tokens in a class.
 CLASSES, PER_CLASS = 32, 32
-#: Tokens, of which the last UNKNOWN are buckets of words outside the vocabulary.
+#: Its tokens, of which the last UNKNOWN are buckets of words outside the vocabulary; larger models keep this share.
 TOKENS, UNKNOWN = CLASSES * PER_CLASS, 64
 SPAN, HIDDEN = 2, 24
 PLACES = [k for k in range(-SPAN, SPAN + 1) if k]
-ROUNDS, STRIDE, BATCH, RATE = 3, 4, 4096, 0.08
+ROUNDS, BATCH, RATE = 3, 4096, 0.08
+#: Parameters in a row that a task sends.
+BLOCK = 1 << 16
+
+
+def side(words: int) -> int:
+    """Classes, and tokens in a class, for a corpus of so many words: a multiple of 4, so that UNKNOWN's share is whole."""
+    return max(CLASSES, 4 * math.ceil(words**0.25 / 4))
+
+
+def _unknown(tokens: int) -> int:
+    return tokens * UNKNOWN // TOKENS
+
+
+def _shapes(k: int) -> dict[str, tuple[int, ...]]:
+    return {"e": (len(PLACES), k * k + 1, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, k), "cb": (k,), "w": (k, HIDDEN, k), "wb": (k, k)}
+
+
+def _size(k: int) -> int:
+    return sum(math.prod(s) for s in _shapes(k).values())
+
+
+def _views(flat: np.ndarray, k: int) -> dict[str, np.ndarray]:
+    part, at = {}, 0
+    for name, s in _shapes(k).items():
+        n = math.prod(s)
+        part[name] = flat[at : at + n].reshape(s)
+        at += n
+    return part
 
 
 class Network:
-    def __init__(self, flat: np.ndarray | None = None):
-        shapes = {"e": (len(PLACES), TOKENS + 1, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "w": (CLASSES, HIDDEN, PER_CLASS), "wb": (CLASSES, PER_CLASS)}
-        size = sum(int(np.prod(s)) for s in shapes.values())
+    def __init__(self, flat: np.ndarray | None = None, k: int = CLASSES):
+        """flat: parameters, whose number tells the side; else new ones for side k."""
         if flat is None:
-            flat = np.random.Generator(np.random.PCG64(5)).normal(0, 0.05, size)
+            flat = np.random.Generator(np.random.PCG64(5)).normal(0, 0.05, _size(k))
+        else:
+            k = next(k for k in itertools.count(CLASSES, 4) if _size(k) >= len(flat))
+        self.k = k
         self.flat = np.array(flat, np.float32)
-        self.part, at = {}, 0
-        for k, s in shapes.items():
-            n = int(np.prod(s))
-            self.part[k] = self.flat[at : at + n].reshape(s)
-            at += n
+        self.part = _views(self.flat, k)
 
     def start_from_counts(self, counts: np.ndarray) -> None:
         """Output biases that give each token its share of the corpus."""
         p = (counts + 1.0) / (counts + 1.0).sum()
-        by = p.reshape(CLASSES, PER_CLASS)
+        by = p.reshape(self.k, self.k)
         self.part["cb"][:] = np.log(by.sum(axis=1))
         self.part["wb"][:] = np.log(by / by.sum(axis=1, keepdims=True))
 
@@ -59,16 +90,16 @@ class Network:
             h += np.take(p["e"][k], context[k], axis=0)
         h += p["b"]
         np.tanh(h, out=h)
-        group, within = target // PER_CLASS, target % PER_CLASS
+        group, within = target // self.k, target % self.k
         a = h @ p["c"]
         a += p["cb"]
         a -= a.max(axis=1, keepdims=True)
         np.exp(a, out=a)
         sa = a.sum(axis=1)
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        hs, z = h[order], np.empty((len(target), PER_CLASS), np.float32)
-        for g in range(CLASSES):
+        order = np.argsort(group.astype(np.uint16), kind="stable")
+        bounds = np.searchsorted(group[order], np.arange(self.k + 1))
+        hs, z = h[order], np.empty((len(target), self.k), np.float32)
+        for g in range(self.k):
             i, j = bounds[g], bounds[g + 1]
             if i < j:
                 np.matmul(hs[i:j], p["w"][g], out=z[i:j])
@@ -85,58 +116,62 @@ class Network:
         """One Adagrad step on the mean negative log-probability; grown: the squared gradients so far."""
         _, (h, hs, a, z, group, within, order, bounds) = self.forward(context, target)
         p, n = self.part, len(target)
-        grad = Network(np.zeros_like(self.flat))
-        q = grad.part
+        squares = _views(grown, self.k)
         rows = np.arange(n)
         a[rows, group] -= 1
         z[rows, within[order]] -= 1
         a /= n
         z /= n
-        q["c"][:] = h.T @ a
-        q["cb"][:] = a.sum(axis=0)
+
+        def move(name: str, at, gradient: np.ndarray) -> None:
+            # only what has a gradient, so that a step costs what its tokens ask for
+            squares[name][at] += gradient**2
+            p[name][at] -= RATE * gradient / np.sqrt(squares[name][at] + 1e-10)
+
         dh = a @ p["c"].T
+        move("c", ..., h.T @ a)
+        move("cb", ..., a.sum(axis=0))
         dhs = np.empty_like(hs)
-        for g in range(CLASSES):
+        for g in range(self.k):
             i, j = bounds[g], bounds[g + 1]
             if i < j:
-                q["w"][g] = hs[i:j].T @ z[i:j]
-                q["wb"][g] = z[i:j].sum(axis=0)
                 dhs[i:j] = z[i:j] @ p["w"][g].T
+                move("w", g, hs[i:j].T @ z[i:j])
+                move("wb", g, z[i:j].sum(axis=0))
         dh[order] += dhs
         dh *= 1 - h * h
-        q["b"][:] = dh.sum(axis=0)
+        move("b", ..., dh.sum(axis=0))
         for k in range(len(PLACES)):
-            by = np.argsort(context[k], kind="stable")
+            by = np.argsort(context[k].astype(np.uint16) if self.k < 256 else context[k], kind="stable")
             ids = context[k][by]
             first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            q["e"][k][ids[first]] = np.add.reduceat(dh[by], first, axis=0)
-        grown += grad.flat**2
-        self.flat -= RATE * grad.flat / np.sqrt(grown + 1e-10)
+            move("e", (k, ids[first]), np.add.reduceat(dh[by], first, axis=0))
 
 
 class Vocabulary:
-    """Word hashes (sorted) and their tokens; other words fall into UNKNOWN buckets."""
+    """Word hashes (sorted) and their tokens; other words fall into the buckets at the end."""
 
-    def __init__(self, hashes: list[int]):
+    def __init__(self, hashes: list[int], tokens: int = TOKENS):
+        self.n, self.unknown = tokens, _unknown(tokens)
         h = np.array(hashes, np.int64).view(U)
         order = np.argsort(h)
         self.hashes, self.tokens = h[order], order.astype(np.int32)
 
     def __call__(self, hash: np.ndarray) -> np.ndarray:
-        other = (TOKENS - UNKNOWN + (hash % U(UNKNOWN)).astype(np.int32)).astype(np.int32)
+        other = (self.n - self.unknown + (hash % U(self.unknown)).astype(np.int32)).astype(np.int32)
         if not len(self.hashes):
             return other
         at = np.minimum(np.searchsorted(self.hashes, hash), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hash, self.tokens[at], other)
 
 
-def _contexts(tokens: np.ndarray, w: Words, which: np.ndarray) -> np.ndarray:
-    """(places, n): the tokens around words `which`, TOKENS beyond the text's ends."""
+def _contexts(tokens: np.ndarray, w: Words, which: np.ndarray, beyond: int) -> np.ndarray:
+    """(places, n): the tokens around words `which`, `beyond` past the text's ends."""
     out = np.empty((len(PLACES), len(which)), np.int32)
     for row, k in enumerate(PLACES):
         at = which + k
         ok = (at >= w.bounds[w.text[which]]) & (at < w.bounds[w.text[which] + 1])
-        out[row] = np.where(ok, tokens[np.clip(at, 0, len(tokens) - 1)], TOKENS)
+        out[row] = np.where(ok, tokens[np.clip(at, 0, len(tokens) - 1)], beyond)
     return out
 
 
@@ -158,18 +193,49 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def learn(net: Network, token: Vocabulary, texts: pa.Array, grown: np.ndarray, random: np.random.Generator) -> int:
+    """Steps on every token of the texts; how many there were."""
+    used = 0
+    for _, w in chunks(texts, LOWER):
+        tokens = token(w.hash)
+        which = random.permutation(len(tokens))
+        for i in range(0, len(which), BATCH):
+            one = which[i : i + BATCH]
+            net.step(_contexts(tokens, w, one, token.n), tokens[one], grown)
+        used += len(which)
+    return used
+
+
+def _means(sent: DataFrame) -> np.ndarray | None:
+    """The mean parameters of rows (block, v, n), each weighted by its n; summed block by block in tasks."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for b in batches:
+            for k, v, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                own = sums.setdefault(k, [0.0, 0.0])
+                own[0] = own[0] + np.frombuffer(v.as_buffer(), np.float32).astype(np.float64) * n
+                own[1] += n
+        for k, (v, n) in sums.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "v": pa.array([(v / n).astype(np.float32).tobytes()], pa.binary())})
+
+    rows = sent.repartition("block").mapInArrow(add, "block int, v binary").collect()
+    return np.concatenate([np.frombuffer(r.v, np.float32) for r in sorted(rows)]) if rows else None
+
+
 def train(docs: DataFrame) -> tuple[list[int], np.ndarray]:
     """The vocabulary (hashes of words, by frequency) and the network's parameters for rows (doc_id, text)."""
-    counts = word_counts(docs)
-    top = counts.orderBy(F.desc("n"), "h").limit(TOKENS - UNKNOWN).collect()
+    counts = written(word_counts(docs), "lm-counts")
+    all_words = counts.agg(F.sum("n")).first()[0] or 0
+    network = Network(k=side(all_words))
+    n_tokens = network.k**2
+    unknown = _unknown(n_tokens)
+    top = counts.orderBy(F.desc("n"), "h").limit(n_tokens - unknown).collect()
     words = [r.h for r in top]
-    total = docs.sparkSession.createDataFrame([(h,) for h in words], "known long") if words else None
-    seen = np.zeros(TOKENS)
+    seen = np.zeros(n_tokens)
     seen[: len(words)] = [r.n for r in top]
-    if total is not None:
-        other = counts.join(F.broadcast(total), F.col("h") == F.col("known"), "left_anti").agg(F.sum("n")).first()[0] or 0
-        seen[TOKENS - UNKNOWN :] = other / UNKNOWN
-    network = Network()
+    seen[n_tokens - unknown :] = (all_words - seen.sum()) / unknown
+    dropped(counts)
     network.start_from_counts(seen)
     flat = network.flat
     context = docs.sparkSession.sparkContext
@@ -178,29 +244,17 @@ def train(docs: DataFrame) -> tuple[list[int], np.ndarray]:
     for k in range(ROUNDS):
         start = context.broadcast(flat)
 
-        def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            net, token = Network(start.value), Vocabulary(vocabulary.value)
-            grown, used = np.zeros_like(net.flat), 0
+        def task(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            net = Network(start.value)
+            token, grown = Vocabulary(vocabulary.value, net.k**2), np.zeros_like(net.flat)
             random = np.random.Generator(np.random.PCG64(17))
-            for b in batches:
-                for _, w in chunks(b.column(1), LOWER):
-                    tokens = token(w.hash)
-                    own = np.arange(len(tokens)) - w.bounds[w.text]
-                    size = np.diff(w.bounds)[w.text]
-                    # the offset differs by text, so that all places of texts are trained on alike
-                    which = np.flatnonzero((own + (mix(size.astype(U)) % U(STRIDE)).astype(np.int64)) % STRIDE == 0)
-                    random.shuffle(which)
-                    for i in range(0, len(which), BATCH):
-                        one = which[i : i + BATCH]
-                        net.step(_contexts(tokens, w, one), tokens[one], grown)
-                    used += len(which)
-            if used:
-                yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(len(net.flat)), pa.int32()), "v": pa.array(net.flat.astype(np.float64) * used), "n": pa.array(np.full(len(net.flat), float(used)))})
-
-        sent = docs.where(part == k).mapInArrow(learn, "i int, v double, n double")
-        mean = sent.groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
-        if len(mean):
-            flat = mean.sort_values("i")["v"].to_numpy(np.float32)
+            used = sum(learn(net, token, b.column(1), grown, random) for b in batches)
+            for i in range(0, len(net.flat) if used else 0, BLOCK):
+                yield pa.RecordBatch.from_pydict({"block": pa.array([i // BLOCK], pa.int32()), "v": pa.array([net.flat[i : i + BLOCK].tobytes()], pa.binary()), "n": pa.array([float(used)])})
+
+        mean = _means(docs.where(part == k).mapInArrow(task, "block int, v binary, n double"))
+        if mean is not None:
+            flat = mean
         start.destroy()
     return words, flat
 
@@ -218,12 +272,13 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", model: tuple[
     given = docs.sparkSession.sparkContext.broadcast((words, flat))
 
     def sums(b: pa.RecordBatch) -> Iterator[dict]:
-        net, token = Network(given.value[1]), Vocabulary(given.value[0])
+        net = Network(given.value[1])
+        token = Vocabulary(given.value[0], net.k**2)
         for at, w in chunks(b.column(1), LOWER):
             tokens, total = token(w.hash), np.zeros(w.n_texts)
             for i in range(0, len(tokens), BATCH):
                 which = np.arange(i, min(i + BATCH, len(tokens)))
-                log_p, _ = net.forward(_contexts(tokens, w, which), tokens[which])
+                log_p, _ = net.forward(_contexts(tokens, w, which, token.n), tokens[which])
                 total += np.bincount(w.text[which], log_p, minlength=w.n_texts)
             n = np.diff(w.bounds)
             yield {

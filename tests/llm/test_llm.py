@@ -236,6 +236,23 @@ def test_masked_lm_gradient():
         assert abs(loss(before + eps) - loss(before - eps)) / 2e-2 == pytest.approx(np.sqrt(grown[i]), rel=0.1, abs=2e-3)
 
 
+def test_masked_lm_trains_on_every_token():
+    import pyarrow as pa
+
+    net, token = masked_lm.Network(), masked_lm.Vocabulary([])
+    used = masked_lm.learn(net, token, pa.array(["a b c d e", "f", None, "g h"]), np.zeros_like(net.flat), np.random.default_rng(1))
+    assert used == 8
+
+
+def test_masked_lm_vocabulary_grows(spark):
+    word = F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(3000)).cast("string"))
+    rows = spark.range(1_500_000).select((F.col("id") % 3000).alias("doc_id"), word.alias("w"))
+    words, flat = masked_lm.train(written(rows.groupBy("doc_id").agg(F.concat_ws(" ", F.collect_list("w")).alias("text")), "test-lm"))
+    k = masked_lm.side(1_500_000)
+    assert k > masked_lm.CLASSES and len(words) == k * k - k * k // 16 > masked_lm.TOKENS
+    assert len(flat) == masked_lm._size(k) and np.isfinite(flat).all()
+
+
 # --- 8
 
 
