@@ -12,8 +12,10 @@ similarity needs. Who meets whom:
    pairs of blocks; an R-tree a cell finds the pairs of different components that the bound lets pass.
 4. Components of all verified links.
 
-So a group of thousands of near copies costs one pair a copy, and only pairs that can still join two components are
-looked for beyond that; no link between components is lost.
+So for the components a group of thousands of near copies costs one pair a copy, and only pairs that can still join two
+components are looked for beyond that; no link between components is lost. The table of links needs more: every bucket is
+dealt into cells, whatever its components, and each pair that the bound lets pass is verified. A family of m near
+copies has up to m * m / 2 links.
 """
 
 from __future__ import annotations
@@ -262,10 +264,11 @@ def _tree_pairs(cells: DataFrame, points: DataFrame, need: int, of: int) -> Data
     return rows.mapInArrow(search, "a long, b long").distinct()
 
 
-def near_duplicate_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, need: int = NEED, of: int = OF) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, need: int = NEED, of: int = OF, every_link: bool = True) -> tuple[DataFrame, DataFrame]:
     """Two tables. Members (doc_id, n_shingles, component_id): one row per row of docs, component_id being the smallest
-    id reachable by links. Links (a, b, shared, n_a, n_b): the verified pairs of classes that join the components, by the
-    classes' smallest ids.
+    id reachable by links. Links (a, b, shared, n_a, n_b, links_a, links_b): every verified pair of classes, by the classes'
+    smallest ids, and how many links each of the two has. Without every_link, for callers that want members only,
+    links are the pairs that join the components.
 
     Words are runs `[^\\x20\\x09-\\x0D]+` with A-Z in lower case; a set is the distinct sequences of `shingle` words, with
     fewer words the whole sequence. Two rows link if of * intersection >= need * union. Null, empty and blank texts
@@ -307,7 +310,13 @@ def near_duplicate_classes(docs: DataFrame, id: str = "doc_id", text: str = "tex
     out = all_rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(ids, F.col("key") == F.col("k"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     side = lambda x: first.select(F.col("key").alias(x), F.col("first").alias(f"first_{x}"))
-    links = links.join(side("a"), "a").join(side("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"), "shared", "n_a", "n_b")
+    if every_link:
+        every = written(_cells(members.select("s", "key", "n", F.col("key").alias("component"))), "ngram-all-cells")
+        links = _verified(_tree_pairs(every, points, need, of), rows, first, shingle, need, of, "ngram-all")
+    ends = links.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("m"))
+    of_end = lambda x: ends.select(F.col("end").alias(x), F.col("m").alias(f"links_{x}"))
+    links = links.join(of_end("a"), "a").join(of_end("b"), "b")
+    links = links.join(side("a"), "a").join(side("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"), "shared", "n_a", "n_b", "links_a", "links_b")
     return out.select("doc_id", "n_shingles", component.alias("component_id")), links
 
 
