@@ -32,7 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest id."""
     rows = _keyed(docs)
-    members = ngram_join.near_duplicate_classes(rows, id="row_key")[0]
+    members = ngram_join.near_duplicate_classes(rows, id="row_key", every_link=False)[0]
     ids = written(rows.select("row_key", "doc_id").distinct(), "pipeline-ids")
     by = members.select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("component")).distinct().join(ids, "row_key")
     stays = by.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("x")).select("x.row_key")
