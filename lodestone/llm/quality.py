@@ -4,7 +4,8 @@ Every document gets its base statistics and a vector of transformed ones, kept a
 sums below are exact and independent of their order. Per language and source, the minimum-covariance-determinant
 estimate of centre and spread starts from medians and median deviations and repeats concentration steps: mean and
 covariance of the share H of documents with the smallest Mahalanobis distance. A document is rejected where its
-squared distance exceeds CUTOFF. Groups of fewer than LEAST documents use their language's estimate.
+squared distance exceeds CUTOFF. Groups of fewer than LEAST documents use their language's estimate, and languages of
+fewer that of all documents.
 
 Medians and distance quantiles come from counts by value, and moments from sums: nothing gathers a group.
 """
@@ -28,8 +29,9 @@ LEAST = 60
 #: The chi-squared quantile of probability 1 - TAIL with one degree for each statistic is the largest squared distance kept.
 TAIL = 5e-4
 #: The transformed statistics, and the standard deviation that each is given at least, in its own unit: statistics
-#: that are zero in most documents have no spread in the concentrated share, and small deviations are no fault.
-STATS = {"log_words": 1.0, "log_word_chars": 0.10, "symbols": 0.06, "dup_lines": 0.25, "repeats": 0.14, "capitals": 0.07, "marks": 0.09}
+#: that are zero in most documents have no spread in the concentrated share, and small deviations are no fault. Each is
+#: so small that its statistic alone can pass the cutoff: dup_lines is at most 1, repeats below the base rule 0.447.
+STATS = {"log_words": 0.6, "log_word_chars": 0.10, "symbols": 0.04, "dup_lines": 0.15, "repeats": 0.08, "capitals": 0.07, "marks": 0.09}
 UNIT = 1000
 #: Distances are counted by quarter powers of two in this many parts.
 PARTS = 64
@@ -191,7 +193,7 @@ def quality_rules(docs: DataFrame, id: str = "doc_id", text: str = "text", lang:
     base_failed: fewer than 10 words, or more than 20 % of the words in 5-word windows that recur. kept: base rules
     passed and the robust squared distance within the cutoff; documents that failed the base rules take no part in
     the estimates. A null text has no words and fails. A null language or source is a value of its own. Documents of
-    a language with fewer than LEAST others have no estimate and stay. Repeated rows and null ids are judged
+    a language with fewer than LEAST are judged by the estimate of all documents, and stay where there are fewer of those. Repeated rows and null ids are judged
     like any other; an empty table gives an empty one; other columns are ignored.
     """
     base = base_statistics(docs, id, text, lang, source)
@@ -201,13 +203,15 @@ def quality_rules(docs: DataFrame, id: str = "doc_id", text: str = "text", lang:
     own, wide = name("lang", "source"), name("lang")
     passed = rows.where(~F.col("base_failed"))
     n_own = passed.groupBy(own.alias("grp_own")).agg(F.count(F.lit(1)).alias("n_own"))
-    rows = rows.withColumn("grp_own", own).join(n_own, "grp_own", "left")
-    rows = rows.withColumn("grp", F.when(F.col("n_own") >= LEAST, F.col("grp_own")).otherwise(F.concat(F.lit("all "), wide))).drop("grp_own", "n_own")
+    n_wide = passed.groupBy(wide.alias("grp_wide")).agg(F.count(F.lit(1)).alias("n_wide"))
+    rows = rows.withColumn("grp_own", own).withColumn("grp_wide", wide).join(n_own, "grp_own", "left").join(n_wide, "grp_wide", "left")
+    pool = F.when(F.col("n_wide") >= LEAST, F.concat(F.lit("all "), "grp_wide")).otherwise(F.lit("all "))
+    rows = rows.withColumn("grp", F.when(F.col("n_own") >= LEAST, F.col("grp_own")).otherwise(pool)).drop("grp_own", "n_own", "grp_wide", "n_wide")
     rows = written(rows, "quality-groups")
     passed = rows.where(~F.col("base_failed"))
-    # a language's own estimate is from all its documents, for those groups that need it
+    # a language's own estimate is from all its documents, and the last one from all there are, where groups need it
     needed = passed.where(F.col("grp").startswith("all ")).select(F.col("grp").alias("needed")).distinct()
-    pooled = passed.withColumn("wide", F.concat(F.lit("all "), wide)).join(needed, F.col("wide") == F.col("needed"), "left_semi")
+    pooled = passed.withColumn("wide", F.explode(F.array(F.concat(F.lit("all "), wide), F.lit("all ")))).join(needed, F.col("wide") == F.col("needed"), "left_semi")
     sample = passed.where(~F.col("grp").startswith("all ")).select("grp", *STATS).unionByName(pooled.select(F.col("wide").alias("grp"), *STATS))
     enough = sample.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).select("grp")
     found = robust_estimates(sample.join(enough, "grp", "left_semi"))
