@@ -1,9 +1,10 @@
 """Secret scans: candidate strings by pattern, false positives removed by a random forest, in DataFrame operations
 and Spark's own machine learning only.
 
-A candidate is a run of at least LEAST token characters. Its features: length, transitions between character classes,
+A candidate is a run of at least LEAST token characters, or what is stated to be a secret: a value of at least SHORT
+characters of any kind that is assigned to a password, secret, token or key, or the password of an address. Its features: length, transitions between character classes,
 share of distinct characters, shares of digits and capitals, hexadecimal digits only, dictionary coverage, whether the
-word is a path or address, and what its neighbouring words say. Dictionary coverage is the share of the
+word is a path or address, what its neighbouring words say, the share of other characters, and whether it is stated. Dictionary coverage is the share of the
 candidate's letter triples that the corpus' common words contain; those words are counted over all documents, and there
 are at most 26^3 triples, so that table may be broadcast.
 
@@ -25,10 +26,15 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import SPACE_RUN, written
 
-LEAST = 16
+LEAST, SHORT = 16, 6
 TOKEN = "[A-Za-z0-9+/_=-]{%d,}" % LEAST
-#: Labelled findings for training, and how often a word must occur to be in the dictionary.
-LABELLED, COMMON = 6000, 20
+#: A name that a secret is assigned to, with its sign of assignment.
+NAMED = r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[a-z0-9_-]*[\"'`]?"
+ASSIGNED = NAMED + "[:=]+"
+#: The password of an address.
+CREDENTIAL = "://[^/:@]*:([^/]{%d,})@" % SHORT
+#: Labelled findings for training, and how often in a million words a word must occur to be in the dictionary.
+LABELLED, COMMON = 6000, 5
 TREES, DEPTH, SEED = 24, 7, 11
 #: Words that speak for a secret, and against one, as parts of a neighbour.
 FOR = "token|secret|passw|pwd|api[_-]?key|apikey|auth|bearer|credential|private[_-]?key|access[_-]?key"
@@ -40,17 +46,33 @@ def candidates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     """(doc_id, word_index, part, candidate, word, before, before2, after) of every candidate in every whole text."""
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.split(F.coalesce(F.col(text), F.lit("")), SPACE_RUN).alias("words"))
     at = lambda i: F.coalesce(F.get(F.col("words"), i), F.lit(""))
-    long = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.length(F.get(F.col("words"), i)) >= LEAST)
+    named = lambda i: at(i).rlike(ASSIGNED) | at(i).contains("://") | at(i - 1).rlike(ASSIGNED + "[\"'`]?$") | (at(i - 1).rlike("^[:=]+$") & at(i - 2).rlike(NAMED + "$"))
+    long = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (F.length(at(i)) >= LEAST) | ((F.length(at(i)) >= SHORT) & named(i)))
     seen = F.transform(long, lambda i: F.struct(i.alias("i"), at(i).alias("word"), at(i - 1).alias("before"), at(i - 2).alias("before2"), at(i + 1).alias("after")))
     rows = rows.select("doc_id", F.explode(seen).alias("x"))
-    parts = F.posexplode(F.regexp_extract_all("x.word", F.lit(TOKEN), F.lit(0))).alias("part", "candidate")
+    runs = F.regexp_extract_all("x.word", F.lit(TOKEN), F.lit(0))
+    told = F.filter(F.array_distinct(F.array(*_stated(F.col("x.word"), F.col("x.before"), F.col("x.before2")))), lambda v: ~F.array_contains(runs, v) & (v != ""))
+    parts = F.posexplode(F.concat(runs, told)).alias("part", "candidate")
     return rows.select("doc_id", F.col("x.i").alias("word_index"), "x.word", "x.before", "x.before2", "x.after", parts)
 
 
-def dictionary(docs: DataFrame, text: str = "text", common: int = COMMON) -> DataFrame:
-    """(triple): the letter triples of the words that occur at least `common` times in all texts."""
+def _stated(word: Column, before: Column, before2: Column) -> list[Column]:
+    """The values that a word and those before it state to be secrets, empty where they state none."""
+    inside = F.regexp_extract(word, ASSIGNED + "(.*)$", 1)
+    follows = before.rlike(ASSIGNED + "[\"'`]?$") | (before.rlike("^[:=]+$") & before2.rlike(NAMED + "$"))
+    rest = F.when(follows, word).otherwise(inside)
+    quoted = F.regexp_extract(rest, "^([\"'`])(.{%d,}?)\\1" % SHORT, 2)
+    plain = F.regexp_extract(rest, "^[\"'`]?(.{%d,}?)[\"'`]?[.,;)\\]}]*$" % SHORT, 1)
+    return [F.when(quoted != "", quoted).otherwise(plain), F.regexp_extract(word, CREDENTIAL, 1)]
+
+
+def dictionary(docs: DataFrame, text: str = "text", common: float = COMMON) -> DataFrame:
+    """(triple): the letter triples of the words that are at least `common` of a million words of all texts, and occur
+    more than once."""
     word = F.explode(F.split(F.lower(F.col(text)), r"[^a-z]+")).alias("word")
-    words = docs.select(word).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= common) & (F.length("word") >= 3))
+    words = written(docs.select(word).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n")), "secrets-words")
+    all_words = words.agg(F.sum("n")).first()[0] or 0
+    words = words.where((F.col("n") >= max(2, common * all_words / 1e6)) & (F.length("word") >= 3))
     return words.select(F.explode(_triples(F.col("word"))).alias("triple")).distinct()
 
 
@@ -58,7 +80,7 @@ def _triples(c: Column) -> Column:
     return F.when(F.length(c) >= 3, F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
 
 
-FEATURES = ["length", "transitions", "distinct", "digits", "capitals", "hexadecimal", "coverage", "path", "separators", "assigned", "quoted", "says_for", "says_against"]
+FEATURES = ["length", "transitions", "distinct", "digits", "capitals", "hexadecimal", "coverage", "path", "separators", "assigned", "quoted", "says_for", "says_against", "symbols", "stated"]
 
 
 def features(found: DataFrame, triples: DataFrame) -> DataFrame:
@@ -86,11 +108,14 @@ def features(found: DataFrame, triples: DataFrame) -> DataFrame:
         "quoted": flag(head.rlike("[\"'`]$")),
         "says_for": flag(near.rlike(FOR)),
         "says_against": flag(near.rlike(AGAINST)),
+        "symbols": count("[^A-Za-z0-9+/_=-]") / n,
+        "stated": flag(F.array_contains(F.array(*_stated(F.col("word"), F.col("before"), F.col("before2"))), c)),
     }).drop("triples", "known")
 
 
 def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
-    """(text, label): snippets with one candidate each, label 1 for secrets; the same rows every time."""
+    """(text, label): n snippets of long candidates, label 1 for secrets, and a third as many of short stated values;
+    the same rows every time."""
     h = lambda salt: F.sha2(F.concat(F.lit(f"{salt}:"), F.col("id").cast("string")), 256)
     pick = lambda salt, options: F.element_at(F.array(*options), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(options))) + 1).cast("int"))
     words = [F.lit(w) for w in ("counter", "ation", "market", "inter", "national", "house", "under", "stand", "able", "ment", "water", "light", "press", "over", "ing", "the", "er", "tion", "and", "le", "que", "ment", "de", "eau", "schaft", "keit", "ver", "ung", "cion", "ado", "mente", "por")]
@@ -116,7 +141,18 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     found = F.when(label == 1, secret).when(digest, hash_).otherwise(other)
     frame = F.when(label == 1, for_).when(digest, pick("h", [F.lit("commit %s"), F.lit("sha1 %s"), F.lit("checksum: %s")])).otherwise(against)
     lead = pick("l", [F.lit(x) for x in ("", "the ", "und die ", "que el ", "avec la ")])
-    return spark.range(0, n, 1, 1).select("id", F.concat(lead, F.replace(frame, F.lit("%s"), found), F.lit(" of the")).alias("text"), label.alias("label"))
+    snippet = lambda frame, found: F.concat(lead, F.replace(frame, F.lit("%s"), found), F.lit(" of the")).alias("text")
+    long = spark.range(0, n, 1, 1).select("id", snippet(frame, found), label.alias("label"))
+    digit, sign = F.substring(F.translate(h("e"), "abcdef", ""), 1, 3), pick("sign", [F.lit(x) for x in "!$#@.:_%&*"])
+    word = pick("w1", words)
+    short = pick("t", [
+        F.concat(word, F.substring(digit, 1, 2), F.initcap(pick("w2", words)), F.substring(digit, 3, 1)), F.concat(F.initcap(word), digit, sign, F.initcap(pick("w2", words)), F.substring(digit, 1, 1)),
+        F.concat(F.substring(b64, 1, 5), sign, F.substring(b64, 6, 6)), F.substring(b64, 1, 10), F.concat(F.substring(b64, 1, 2), sign, word, F.substring(digit, 1, 2), F.substring(b64, 3, 2)),
+    ])
+    plain = pick("q", [F.concat(word, pick("w2", words), F.lit("able")), F.concat(F.initcap(word), pick("w2", words), F.lit("ing")), F.lit("required"), F.lit("********"), F.lit("changeme"), F.lit("<password>"), F.lit("${PASSWORD}"), F.lit("undefined"), F.lit("xxxxxxxx")])
+    stated = pick("k", [F.lit(x) for x in ("password: %s", "pwd=%s", "secret = '%s'", "db_password=\"%s\",", "token: %s", "postgres://user:%s@host/db", "PASSWORD=%s.", "api_key: %s")])
+    few = spark.range(n, n + n // 3, 1, 1).select("id", snippet(stated, F.when(label == 1, short).otherwise(plain)), label.alias("label"))
+    return long.unionByName(few)
 
 
 def trained(labelled: DataFrame, triples: DataFrame) -> PipelineModel:
