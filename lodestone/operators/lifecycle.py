@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,17 +15,43 @@ PROGRESS = {"queued": 0, "ingesting": 15, "indexing": 45, "completed": 100}
 
 def signatures(files: DataFrame) -> DataFrame:
     """(repository_id, content_signature): a digest of each repository's paths and contents, in order of path. Contents go
-    in as digests of their own, so that no group gathers them."""
-    rows = files.select("repository_id", "path", F.sha2("content", 256).alias("digest"))
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("path", "digest"))), lambda x: F.concat(x["path"], F.lit("\x1f"), x["digest"], F.lit("\x1f")))
-    return rows.groupBy("repository_id").agg(F.sha2(F.array_join(parts, ""), 256).alias("content_signature"))
+    in as digests of their own, so that only these are sorted."""
+    return _folded(files.select("repository_id", "path", F.sha2("content", 256).alias("content")), b"\x1f")
 
 
 def exact_signatures(files: DataFrame) -> DataFrame:
-    """As signatures, over the contents themselves, each path and content followed by a zero character; for repositories
-    within the ingestion limits."""
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("path", "content"))), lambda x: F.concat(x["path"], F.lit("\0"), x["content"], F.lit("\0")))
-    return files.groupBy("repository_id").agg(F.sha2(F.array_join(parts, ""), 256).alias("content_signature"))
+    """As signatures, over the contents themselves, each path and content followed by a zero character."""
+    return _folded(files.select("repository_id", "path", F.col("content").cast("string").alias("content")), b"\0")
+
+
+def _folded(rows: DataFrame, end: bytes) -> DataFrame:
+    """SHA-256 of each repository's paths and contents, each followed by `end`, fed row by row in order of path: a
+    repository is one task's, as the digest is of one sequence, but never one row or one group in memory."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, digest = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"repository_id": pa.array([at], pa.string()), "content_signature": pa.array([digest.hexdigest()])})
+
+        for b in batches:
+            for i in range(b.num_rows):
+                repository, path, content = (b.column(k)[i].as_py() for k in range(3))
+                if digest is None or repository != at:
+                    if digest is not None:
+                        yield done()
+                    at, digest = repository, hashlib.sha256()
+                if path is not None and content is not None:
+                    for x in (path, content):
+                        digest.update(x.encode())
+                        digest.update(end)
+        if digest is not None:
+            yield done()
+
+    rows = rows.repartition("repository_id").sortWithinPartitions("repository_id", "path", "content")
+    kind = rows.schema["repository_id"].dataType.simpleString()
+    out = rows.withColumn("repository_id", F.col("repository_id").cast("string")).mapInArrow(fold, "repository_id string, content_signature string")
+    return out.withColumn("repository_id", F.col("repository_id").cast(kind))
 
 
 def changed(new: DataFrame, stored: DataFrame) -> DataFrame:
