@@ -164,6 +164,7 @@ class DuckBpe:
 
 _duck: dict[str, DuckBpe] = {}
 _kept: dict[str, dict] = {}
+_decimal: dict[str, dict[str, bytes]] = {}
 
 
 def _bpe(path: str) -> DuckBpe:
@@ -185,6 +186,7 @@ class _Pieces:
         # ids of pieces met lately, and of those met before them: when the first are too many they become the second
         self.kept: list[dict[str, str]] = _kept.setdefault(path + pattern, [{}, {}])
         self.find = regex.compile(pattern).findall
+        self.bytes_of = _decimal.setdefault(path, {str(i): t for t, i in self.bpe.ranks.items()})
 
     def split(self, text: str) -> list[str]:
         if "\0" in text or self._within_run.search(text):
@@ -255,13 +257,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id: str = "doc_id
             n, a, d = [], [], []
             for t, ps in zip(texts[at:end], split, strict=True):
                 joined = ",".join([x for x in ([kept[p] if p in kept else long[p] for p in ps] if long else map(kept.__getitem__, ps)) if x])
-                data = t.encode()  # what the pieces decode to
-                n.append(joined.count(",") + 1 if joined else 0)
+                own = joined.split(",") if joined else []
+                data = b"".join(map(pieces.bytes_of.__getitem__, own))
+                n.append(len(own))
                 if digests:
                     a.append(hashlib.sha256(joined.encode()).hexdigest())
                     d.append(hashlib.sha256(data).hexdigest())
                 else:
-                    a.append(np.array(joined.split(",") if joined else [], "<u4").tobytes())
+                    a.append(np.array(own, "<u4").tobytes())
                     d.append(data)
             kind = pa.string() if digests else pa.binary()
             names = ("ids_sha256", "decoded_sha256") if digests else ("token_ids", "decoded")
