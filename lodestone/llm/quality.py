@@ -1,13 +1,16 @@
 """Quality rules with a robust multivariate outlier test, in DataFrame operations only.
 
 Every document gets its base statistics and a vector of transformed ones, kept as whole thousandths so that all
-sums below are exact and independent of their order. Per language and source, the minimum-covariance-determinant
-estimate of centre and spread starts from medians and median deviations and repeats concentration steps: mean and
-covariance of the share H of documents with the smallest Mahalanobis distance. A document is rejected where its
-squared distance exceeds CUTOFF. Groups of fewer than LEAST documents use their language's estimate, and languages of
-fewer that of all documents.
-
-Medians and distance quantiles come from counts by value, and moments from sums: nothing gathers a group.
+sums below are exact and independent of their order. The minimum-covariance-determinant estimate of centre and spread
+is taken for all documents, for each language, and for each language and source: from three deterministic starts
+(quartiles, plain moments, distance from the median in units of the floors) concentration steps take mean and covariance of
+the share H of documents with the smallest Mahalanobis distance, until no determinant falls any more, and the start with the
+smallest determinant wins. A source's estimate is pooled with its language's, which counts as WEIGHT documents, and a
+language's with that of all documents in the same way: small groups lean on wider ones by degrees. A document is rejected
+where its squared distance exceeds the cutoff.
+
+Moments are summed by group and bin of the distance, so one pass over the rows and one small table make a step, and no
+group is gathered.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from lodestone.llm.common import SPACES, SPACE_RUN, written
 
 #: Share of a group's documents whose covariance has the smallest determinant.
 H = 0.75
-#: Concentration steps.
-STEPS = 3
-#: Documents that a language and source need for an estimate of their own.
-LEAST = 60
+#: Documents that a wider group's estimate counts for in a narrower one's.
+WEIGHT = 60
+#: Fall of a determinant's logarithm below which a start has converged.
+SETTLED = 1e-6
+#: Estimates that are broadcast at most, a few hundred bytes each; more are joined by a shuffle.
+BROADCAST = 20_000
 #: The chi-squared quantile of probability 1 - TAIL with one degree for each statistic is the largest squared distance kept.
 TAIL = 5e-4
 #: The transformed statistics, and the standard deviation that each is given at least, in its own unit: statistics
@@ -108,83 +113,125 @@ def _vector() -> list[Column]:
     return [F.round(values[k] * UNIT).cast("long").alias(k) for k in STATS]
 
 
-def _same(a: str, b: str) -> Column:
-    return F.col(a).eqNullSafe(F.col(b))
+KEYS = list(STATS)
+PAIRS = [(i, j) for i in range(len(KEYS)) for j in range(i + 1)]
 
 
-def _joined(rows: DataFrame, by: DataFrame) -> DataFrame:
-    """rows with what `by` has for each grp."""
-    by = by.withColumnRenamed("grp", "grp_")
-    return rows.join(by, rows["grp"] == by["grp_"], "left").drop("grp_")
+def _at(i: int, j: int) -> int:
+    """The place of entry (i, j) among PAIRS, a symmetric matrix's lower triangle."""
+    return max(i, j) * (max(i, j) + 1) // 2 + min(i, j)
 
 
-def _medians(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The lower median of value by keys, of rows with a count n."""
-    w = Window.partitionBy(*keys)
-    counts = counts.withColumn("upto", F.sum("n").over(w.orderBy(value))).withColumn("all", F.sum("n").over(w))
-    return counts.where(F.col("upto") * 2 >= F.col("all")).groupBy(*keys).agg(F.min(value).alias("median"))
+def _array(entries: list[str]) -> str:
+    return f"array({', '.join(entries)})"
 
 
-def _spread(by: DataFrame, value: Column, name: str) -> DataFrame:
-    """By group a column of the median of value(stat) for each statistic."""
-    each = by.select("grp", F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), value(k).alias("v")) for k in STATS])).alias("x"))
-    counts = each.groupBy("grp", F.col("x.stat").alias("stat"), F.col("x.v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    found = _medians(counts, ["grp", "stat"], "v")
-    return found.groupBy("grp").agg(*[F.max(F.when(F.col("stat") == k, F.col("median"))).alias(f"{name}_{k}") for k in STATS])
+# the formulas below are SQL text: hundreds of terms are put together faster so than as columns
+MOMENT_SUMS = {
+    "n": "count(1)", **{f"s_{i}": f"sum({k})" for i, k in enumerate(KEYS)},
+    **{f"s_{i}_{j}": f"sum({KEYS[i]} * {KEYS[j]})" for i, j in PAIRS},
+}
+#: The squared Mahalanobis distance of a row of STATS by its columns m and p.
+DISTANCE = " + ".join(f"p[{_at(i, j)}] * ({KEYS[i]} - m[{i}]) * ({KEYS[j]} - m[{j}])" for i, j in PAIRS)
 
 
-def _nearest(rows: DataFrame, distance: Column) -> DataFrame:
-    """The share H of each group's rows with the smallest distances, by whole parts of its scale."""
-    rows = rows.withColumn("part", F.floor(F.log2(1 + distance) * PARTS).cast("long"))
-    w = Window.partitionBy("grp")
-    counts = rows.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("upto", F.sum("n").over(w.orderBy("part"))).withColumn("all", F.sum("n").over(w))
-    last = counts.where(F.col("upto") >= F.col("all") * H).groupBy("grp").agg(F.min("part").alias("last"))
-    return _joined(rows, last).where(F.col("part") <= F.col("last"))
+def _moments() -> list[Column]:
+    """Sums of whole thousandths and of their products, exact up to 2^63: 10^10 documents a group and more."""
+    return [F.expr(x).alias(name) for name, x in MOMENT_SUMS.items()]
 
 
-def _estimate(rows: DataFrame, name: str) -> DataFrame:
-    """By group the means m_* and the Cholesky factor l_i_j of the covariance, made consistent for the share H and
-    with the least deviations of STATS added."""
-    keys = list(STATS)
-    pairs = [(i, j) for i in range(len(keys)) for j in range(i + 1)]
-    by = rows.groupBy("grp").agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        *[F.sum(k).cast("double").alias(f"s_{k}") for k in keys],
-        *[F.sum((F.col(keys[i]) * F.col(keys[j])).cast("decimal(20,0)")).cast("double").alias(f"s_{i}_{j}") for i, j in pairs],
-    )
-    scale = H / _gamma_p((len(keys) + 2) / 2, chi2_quantile(H, len(keys)) / 2)
-    cov = lambda i, j: (F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"s_{keys[i]}") / F.col("n") * F.col(f"s_{keys[j]}") / F.col("n")) * scale
-    by = by.select("grp", *[(F.col(f"s_{k}") / F.col("n")).alias(f"m_{k}") for k in keys], *[(cov(i, j) + ((STATS[keys[i]] * UNIT) ** 2 if i == j else 0)).alias(f"c_{i}_{j}") for i, j in pairs])
-    by = written(by, f"{name}-moments")
-    for j in range(len(keys)):  # one column of the factor after another; each plan step uses columns of the last
-        done = lambda i, j=j: reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), F.col(f"c_{i}_{j}"))
-        by = by.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(done(j), F.lit(1e-9))))
-        by = by.withColumns({f"l_{i}_{j}": done(i) / F.col(f"l_{j}_{j}") for i in range(j + 1, len(keys))})
-    return written(by.select("grp", *[f"m_{k}" for k in keys], *[f"l_{i}_{j}" for i, j in pairs]), f"{name}-factor")
-
-
-def _with_distance(rows: DataFrame, by: DataFrame) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance, by forward substitution; null where the group has no estimate."""
-    keys = list(STATS)
-    rows = _joined(rows, by)
-    for i, k in enumerate(keys):
-        rest = reduce(lambda a, j: a - F.col(f"l_{i}_{j}") * F.col(f"y_{j}"), range(i), F.col(k) - F.col(f"m_{k}"))
-        rows = rows.withColumn(f"y_{i}", rest / F.col(f"l_{i}_{i}"))
-    return rows.withColumn("d2", reduce(lambda a, b: a + b, [F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(len(keys))]))
-
-
-def robust_estimates(rows: DataFrame) -> DataFrame:
-    """The minimum-covariance-determinant estimate of every grp in rows of (grp, *STATS)."""
-    med = written(_spread(rows, lambda k: F.col(k), "med"), "quality-medians")
-    off = _joined(rows, med)
-    mad = written(_spread(off, lambda k: F.abs(F.col(k) - F.col(f"med_{k}")), "mad"), "quality-deviations")
-    scaled = [(F.col(k) - F.col(f"med_{k}")) / (F.col(f"mad_{k}") * 1.4826 + STATS[k] * UNIT) for k in STATS]
-    start = reduce(lambda a, b: a + b, [x * x for x in scaled])
-    by = _estimate(_nearest(_joined(off, mad), start), "quality-start")
-    for k in range(STEPS):
-        by = _estimate(_nearest(_with_distance(rows, by), F.col("d2")), f"quality-step{k}")
-    return by
+def _floor(i: int) -> float:
+    return STATS[KEYS[i]] * UNIT
+
+
+def _centre_and_spread(rows: DataFrame, share: float) -> DataFrame:
+    """rows of moments with m (means) and c (covariance over PAIRS, consistent for the nearest `share` of documents, with
+    the floors of STATS added), in place of the sums."""
+    scale = share / _gamma_p((len(KEYS) + 2) / 2, chi2_quantile(share, len(KEYS)) / 2) if share < 1 else 1.0
+    m = [f"s_{i} / n" for i in range(len(KEYS))]
+    c = [f"(s_{i}_{j} / n - s_{i} / n * (s_{j} / n)) * {scale!r}D + {_floor(i) ** 2 if i == j else 0.0!r}D" for i, j in PAIRS]
+    return rows.withColumns({"m": F.expr(_array(m)), "c": F.expr(_array(c))}).drop(*MOMENT_SUMS)
+
+
+def inverted(c: str) -> Column:
+    """struct(p, logdet) of a covariance over PAIRS: its inverse over PAIRS, entries off the diagonal doubled, and the
+    logarithm of its determinant, by Gauss-Jordan elimination (no pivoting, as the matrix is positive definite)."""
+    d = len(KEYS)
+    rows = _array([_array([f"{c}[{_at(i, j)}]" for j in range(d)] + [f"{float(i == j)}D" for j in range(d)]) for i in range(d)])
+    inverse = _array([f"s.a[{i}][{d + j}] * {1 if i == j else 2}" for i, j in PAIRS])
+    return F.expr(f"""aggregate(sequence(0, {d - 1}), named_struct('a', {rows}, 'logdet', 0D), (s, k) -> named_struct(
+        'a', transform(s.a, (r, i) -> IF(i = k, transform(r, x -> x / r[k]), zip_with(r, s.a[k], (x, y) -> x - r[k] / s.a[k][k] * y))),
+        'logdet', s.logdet + ln(s.a[k][k])), s -> named_struct('p', {inverse}, 'logdet', s.logdet))""")
+
+
+def _with_inverse(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("x", inverted("c")).select("*", "x.p", "x.logdet").drop("x")
+
+
+def _joined(rows: DataFrame, by: DataFrame, n: int, how: str = "inner") -> DataFrame:
+    """rows with the estimates of their grp, of which there are n."""
+    return rows.join(F.broadcast(by) if n <= BROADCAST else by, "grp", how)
+
+
+def _starts(sample: DataFrame) -> DataFrame:
+    """(grp, start, m, p, logdet): where the concentration steps of each group begin."""
+    quartiles = [F.expr(f"percentile({k}, array(0.25, 0.5, 0.75))").alias(f"q_{i}") for i, k in enumerate(KEYS)]
+    by = _centre_and_spread(sample.groupBy("grp").agg(*_moments(), *quartiles), 1.0).withColumn("plain", inverted("c"))
+    diagonal = lambda entry: _array([entry(i) if i == j else "0D" for i, j in PAIRS])
+    median = _array([f"q_{i}[1]" for i in range(len(KEYS))])
+    wide = diagonal(lambda i: f"1 / pow((q_{i}[2] - q_{i}[0]) / 1.349D + {_floor(i)!r}D, 2)")
+    floors = diagonal(lambda i: f"{_floor(i) ** -2!r}D")
+    starts = ", ".join(f"named_struct('start', {k}, 'm', {m}, 'p', {p})" for k, (m, p) in enumerate([(median, wide), ("m", "plain.p"), (median, floors)]))
+    return by.select("grp", F.expr(f"inline(array({starts}))"), F.lit(float("inf")).alias("logdet"))
+
+
+def _step(sample: DataFrame, by: DataFrame, n: int) -> DataFrame:
+    """(grp, start, documents, m, c, p, logdet, active): one concentration step from each estimate of `by`; active while its
+    determinant falls. The nearest share H is taken in whole bins of the distance."""
+    rows = _joined(sample, by.select("grp", "start", "m", "p", F.col("logdet").alias("before")), n)
+    rows = rows.withColumn("part", F.expr(f"int(floor(log2(1 + {DISTANCE}) * {PARTS}))"))
+    bins = rows.groupBy("grp", "start", "part").agg(F.max("before").alias("before"), *_moments())
+    group = Window.partitionBy("grp", "start")
+    bins = bins.withColumns({"upto": F.sum("n").over(group.orderBy("part")), "all": F.sum("n").over(group)})
+    near = bins.where(f"upto - n < all * {H!r}D")
+    sums = near.groupBy("grp", "start").agg(F.max("before").alias("before"), F.max("all").alias("documents"), *[F.sum(x).alias(x) for x in MOMENT_SUMS])
+    new = _with_inverse(_centre_and_spread(sums, H))
+    return new.withColumn("active", F.col("logdet") < F.col("before") - SETTLED).drop("before")
+
+
+def robust_estimates(sample: DataFrame) -> DataFrame:
+    """(grp, documents, m, c): the minimum-covariance-determinant estimate of every grp in rows of (grp, *STATS)."""
+    by, settled = written(_starts(sample), "quality-starts"), []
+    while n := by.count():
+        stepped = written(_step(sample, by, n), "quality-step")
+        settled.append(stepped.where("NOT active"))
+        by = stepped.where("active")
+    if not settled:
+        return by.select("grp", F.lit(0).cast("long").alias("documents"), "m", F.col("p").alias("c"))
+    best = F.min(F.struct("logdet", "start", "documents", "m", "c")).alias("x")
+    return reduce(DataFrame.unionByName, settled).groupBy("grp").agg(best).select("grp", "x.documents", "x.m", "x.c")
+
+
+def pooled(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """(grp, m, p) for rows (groups: names from the widest to the narrowest): each group's estimate with the wider one's as
+    WEIGHT more documents; without documents of its own, the wider one's."""
+    mix = lambda a, b: f"zip_with({a}, {b}, (x, y) -> (documents * x + {WEIGHT}D * y) / (documents + {WEIGHT}D))"
+    square = lambda c, m: f"zip_with({c}, {_product(m)}, (x, y) -> x + y)"
+    for k in range(3):
+        own = found.select(F.col("grp").alias("g"), "documents", F.col("m").alias("m_own"), F.col("c").alias("c_own"))
+        groups = groups.join(own, F.get("groups", F.lit(k)) == F.col("g"), "left").drop("g")
+        if k:
+            groups = groups.withColumns({"m_mix": F.expr(mix("m_own", "m")), "c_mix": F.expr(mix(square("c_own", "m_own"), square("c", "m")))})
+            groups = groups.withColumn("c_mix", F.expr(f"zip_with(c_mix, {_product('m_mix')}, (x, y) -> x - y)"))
+            groups = groups.select("groups", F.coalesce("m_mix", "m").alias("m"), F.coalesce("c_mix", "c").alias("c"))
+        else:
+            groups = groups.select("groups", F.col("m_own").alias("m"), F.col("c_own").alias("c"))
+    return groups.select(F.get("groups", F.lit(2)).alias("grp"), "m", inverted("c")["p"].alias("p"))
+
+
+def _product(m: str) -> str:
+    """m times its transpose, over PAIRS; m is bound to a lambda's variable, so that it is worked out once."""
+    return f"transform(array({m}), v -> {_array([f'v[{i}] * v[{j}]' for i, j in PAIRS])})[0]"
 
 
 def quality_rules(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", tail: float = TAIL) -> DataFrame:
@@ -192,31 +239,22 @@ def quality_rules(docs: DataFrame, id: str = "doc_id", text: str = "text", lang:
 
     base_failed: fewer than 10 words, or more than 20 % of the words in 5-word windows that recur. kept: base rules
     passed and the robust squared distance within the cutoff; documents that failed the base rules take no part in
-    the estimates. A null text has no words and fails. A null language or source is a value of its own. Documents of
-    a language with fewer than LEAST are judged by the estimate of all documents, and stay where there are fewer of those. Repeated rows and null ids are judged
-    like any other; an empty table gives an empty one; other columns are ignored.
+    the estimates. A null text has no words and fails; very long texts are read whole. A null language or source is a
+    value of its own. Ties in distance fall into one bin and are near together. Repeated rows and null ids are judged
+    like any other; an empty table gives an empty one, and a distance is null where no document passes the base rules;
+    other columns are ignored. Results do not depend on the order or partitioning of rows.
     """
     base = base_statistics(docs, id, text, lang, source)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    rows = written(base.withColumn("base_failed", failed).select("*", *_vector()), "quality-statistics")
-    name = lambda *cs: F.to_json(F.struct(*cs))
-    own, wide = name("lang", "source"), name("lang")
-    passed = rows.where(~F.col("base_failed"))
-    n_own = passed.groupBy(own.alias("grp_own")).agg(F.count(F.lit(1)).alias("n_own"))
-    n_wide = passed.groupBy(wide.alias("grp_wide")).agg(F.count(F.lit(1)).alias("n_wide"))
-    rows = rows.withColumn("grp_own", own).withColumn("grp_wide", wide).join(n_own, "grp_own", "left").join(n_wide, "grp_wide", "left")
-    pool = F.when(F.col("n_wide") >= LEAST, F.concat(F.lit("all "), "grp_wide")).otherwise(F.lit("all "))
-    rows = rows.withColumn("grp", F.when(F.col("n_own") >= LEAST, F.col("grp_own")).otherwise(pool)).drop("grp_own", "n_own", "grp_wide", "n_wide")
-    rows = written(rows, "quality-groups")
-    passed = rows.where(~F.col("base_failed"))
-    # a language's own estimate is from all its documents, and the last one from all there are, where groups need it
-    needed = passed.where(F.col("grp").startswith("all ")).select(F.col("grp").alias("needed")).distinct()
-    pooled = passed.withColumn("wide", F.explode(F.array(F.concat(F.lit("all "), wide), F.lit("all ")))).join(needed, F.col("wide") == F.col("needed"), "left_semi")
-    sample = passed.where(~F.col("grp").startswith("all ")).select("grp", *STATS).unionByName(pooled.select(F.col("wide").alias("grp"), *STATS))
-    enough = sample.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).select("grp")
-    found = robust_estimates(sample.join(enough, "grp", "left_semi"))
+    name = lambda level, *cs: F.concat(F.lit(level), F.to_json(F.struct(*cs)))
+    groups = F.array(F.lit("all"), name("lang ", "lang"), name("both ", "lang", "source"))
+    rows = base.withColumn("base_failed", failed).select("*", *_vector(), groups.alias("groups")).drop("lang", "source")
+    rows = written(rows, "quality-statistics")
+    sample = rows.where(~F.col("base_failed")).select(F.explode("groups").alias("grp"), *KEYS)
+    found = written(pooled(rows.select("groups").distinct(), robust_estimates(sample)), "quality-estimates")
     near = F.coalesce(F.col("d2") <= chi2_quantile(1 - tail, len(STATS)), F.lit(True))
-    return _with_distance(rows, found).select(
+    judged = _joined(rows.withColumn("grp", F.get("groups", F.lit(2))), found, found.count(), "left").withColumn("d2", F.expr(DISTANCE))
+    return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & near).alias("kept"), F.col("d2").alias("distance2"),
     )

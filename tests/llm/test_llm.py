@@ -348,40 +348,54 @@ def brute_statistics(t):
 
 
 def brute_verdicts(rows):
-    """The minimum-covariance-determinant verdicts in numpy: rows with doc_id, lang, source and the statistics."""
+    """The squared distances in numpy: rows with doc_id, lang, source, base_failed and the statistics."""
     keys = list(quality.STATS)
     floor = np.array([quality.STATS[k] * quality.UNIT for k in keys])
-    ok = rows[~rows.base_failed].copy()
-    size = ok.groupby(["lang", "source"], dropna=False).doc_id.transform("size")
-    rows = rows.assign(own=rows.index.map(size >= quality.LEAST).fillna(False))
-    sizes = ok.groupby(["lang", "source"], dropna=False).size()
-    d2 = pd.Series(np.nan, rows.index)
-    q = quality.chi2_quantile(quality.H, len(keys))
-    scale = quality.H / quality._gamma_p((len(keys) + 2) / 2, q / 2)
+    x, ok = rows[keys].to_numpy(float), ~rows.base_failed.to_numpy()
+    scale = quality.H / quality._gamma_p((len(keys) + 2) / 2, quality.chi2_quantile(quality.H, len(keys)) / 2)
+
+    def moments(near, factor):
+        mean = near.mean(axis=0)
+        return mean, (near.T @ near / len(near) - np.outer(mean, mean)) * factor + np.diag(floor**2)
+
+    def distance(x, mean, inverse):
+        return ((x - mean) @ inverse * (x - mean)).sum(axis=1)
 
     def estimate(x):
-        low = lambda a: np.sort(a, axis=0)[-(-len(a) // 2) - 1]
-        med = low(x)
-        mad = low(np.abs(x - med))
-        d = (((x - med) / (mad * 1.4826 + floor)) ** 2).sum(axis=1)
-        for _ in range(quality.STEPS + 1):
-            part = np.floor(np.log2(1 + d) * quality.PARTS)
-            values, n = np.unique(part, return_counts=True)
-            near = x[part <= values[np.flatnonzero(np.cumsum(n) >= len(x) * quality.H)[0]]]
-            mean = near.mean(axis=0)
-            cov = (near.T @ near / len(near) - np.outer(mean, mean)) * scale + np.diag(floor**2)
-            d = ((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(axis=1)
-        return mean, np.linalg.inv(cov)
-
-    for (lang, source), group in rows.groupby(["lang", "source"], dropna=False):
-        if sizes.get((lang, source), 0) >= quality.LEAST:
-            sample = group[~group.base_failed]
-        else:
-            sample = ok[ok.lang.isna() if lang != lang else ok.lang == lang]
-        if len(sample) >= quality.LEAST:
-            mean, inverse = estimate(sample[keys].to_numpy(float))
-            x = group[keys].to_numpy(float) - mean
-            d2[group.index] = (x @ inverse * x).sum(axis=1)
+        low, median, high = np.percentile(x, [25, 50, 75], axis=0)
+        plain = moments(x, 1.0)
+        starts = [(median, np.diag(((high - low) / 1.349 + floor) ** -2.0)), (plain[0], np.linalg.inv(plain[1])), (median, np.diag(floor**-2.0))]
+        best = None
+        for mean, inverse in starts:
+            before = np.inf
+            while True:
+                part = np.floor(np.log2(1 + distance(x, mean, inverse)) * quality.PARTS)
+                values, n = np.unique(part, return_counts=True)
+                mean, cov = moments(x[part <= values[np.flatnonzero(np.cumsum(n) >= len(x) * quality.H)[0]]], scale)
+                now, inverse = np.linalg.slogdet(cov)[1], np.linalg.inv(cov)
+                if now >= before - quality.SETTLED:
+                    break
+                before = now
+            if best is None or now < best[0]:
+                best = now, mean, cov
+        return best[1:]
+
+    def pooled(mask, wide):
+        n, k = mask.sum(), quality.WEIGHT
+        if not n:
+            return wide
+        (m, c), (wm, wc) = estimate(x[mask]), wide
+        mean = (n * m + k * wm) / (n + k)
+        return mean, (n * (c + np.outer(m, m)) + k * (wc + np.outer(wm, wm))) / (n + k) - np.outer(mean, mean)
+
+    everything, d2 = estimate(x[ok]), np.full(len(rows), np.nan)
+    for lang in rows.lang.unique():
+        in_lang = (rows.lang == lang).to_numpy() | (rows.lang.isna().to_numpy() & (lang is None))
+        wide = pooled(in_lang & ok, everything)
+        for source in rows.source[in_lang].unique():
+            group = in_lang & (rows.source == source).to_numpy()
+            mean, cov = pooled(group & ok, wide)
+            d2[group] = distance(x[group], mean, np.linalg.inv(cov))
     return d2
 
 
@@ -395,7 +409,7 @@ def test_quality_brute_force(spark):
     base = quality.base_statistics(docs, "doc_id", "text", "lang", "source").select("*", *quality._vector()).toPandas().sort_values("doc_id").reset_index(drop=True)
     base["base_failed"] = got.base_failed.to_numpy()
     d2 = brute_verdicts(base)
-    assert got.distance2.to_numpy() == pytest.approx(d2.to_numpy(), rel=1e-6, nan_ok=True)
+    assert got.distance2.to_numpy() == pytest.approx(d2, rel=1e-6)
     cut = quality.chi2_quantile(1 - quality.TAIL, len(quality.STATS))
     assert (got.kept.to_numpy() == (~base.base_failed & ~(d2 > cut))).all()
 
