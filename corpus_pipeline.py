@@ -1,7 +1,8 @@
 """The corpus pipeline: operators of lodestone.llm applied to `documents`, each stage to what the last one kept.
 
-Rows are told apart by a key over all their columns, so rows with null or repeated ids get verdicts of their own;
-rows that are equal in all columns are one document. Stages that drop or change rows join their verdicts on that key.
+Rows are numbered when a stage begins, in a written table, so rows with null or repeated ids, and rows that are equal in
+all columns, get verdicts of their own. Stages that drop or change rows join their verdicts on that number. Columns
+beyond those of `documents` are kept by all stages but the last.
 """
 
 from __future__ import annotations
@@ -15,44 +16,43 @@ from pyspark.sql import functions as F
 from lodestone.llm import byte_bpe, mixing, ngram_join, quality, secrets
 from lodestone.llm.common import table, written
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+KEY = "pipeline_row"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row_key"))
+    """docs with a number for each row; written, as the numbers are those of one run of the tasks."""
+    return written(docs.withColumn(KEY, F.monotonically_increasing_id()), "pipeline-rows")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
     rows = _keyed(docs)
-    rejected = quality.quality_rules(rows, id="row_key").where(~F.col("kept")).select(F.col("doc_id").alias("row_key"))
-    return rows.join(rejected, "row_key", "left_anti").select(*COLUMNS)
+    rejected = quality.quality_rules(rows, id=KEY).where(~F.col("kept")).select(F.col("doc_id").alias(KEY))
+    return rows.join(rejected, KEY, "left_anti").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest id."""
     rows = _keyed(docs)
-    members = ngram_join.near_duplicate_classes(rows, id="row_key", every_link=False)[0]
-    ids = written(rows.select("row_key", "doc_id").distinct(), "pipeline-ids")
-    by = members.select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("component")).distinct().join(ids, "row_key")
-    stays = by.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("x")).select("x.row_key")
-    # of rows equal in all columns one stays; adaptive execution can split a key that many rows share
-    return rows.join(stays, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
+    members = ngram_join.near_duplicate_classes(rows, id=KEY)[0]
+    by = members.select(F.col("doc_id").alias(KEY), F.col("component_id").alias("component")).join(rows.select(KEY, "doc_id"), KEY)
+    stays = by.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias("x")).select(f"x.{KEY}")
+    return rows.join(stays, KEY, "left_semi").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts masked and n_chars that of the new text."""
     rows = _keyed(docs)
-    clean = secrets.masked(rows, written(secrets.scan(rows, id="row_key").where("is_secret"), "pipeline-secrets"), id="row_key")
-    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+    clean = secrets.masked(rows, written(secrets.scan(rows, id=KEY).where("is_secret"), "pipeline-secrets"), id=KEY)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     rows = _keyed(docs)
-    copies = mixing.mix(rows, id="row_key").where("copies > 0").select(F.col("doc_id").alias("row_key"), "copies").distinct()
-    taken = rows.join(copies, "row_key").select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
-    return taken.select(*COLUMNS)
+    copies = mixing.mix(rows, id=KEY).where("copies > 0").select(F.col("doc_id").alias(KEY), "copies")
+    taken = rows.join(copies, KEY).withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return taken.select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
