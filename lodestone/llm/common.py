@@ -20,10 +20,13 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, the folder that driver and executors share.
 
-    Only where the setting is absent (local tests) a temporary folder of this machine stands in.
+    Only where the setting is absent in local mode (tests) a temporary folder of this machine stands in; a cluster
+    without it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -62,6 +65,20 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key is hot where it holds more than this part of all rows; so there are fewer than HOT of them.
+HOT = 1000
+
+
+def hot_join(rows: DataFrame, by: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with `by`, a written table of one row for each key with its number of rows in the column
+    `count`. Hot keys, at most HOT, are broadcast, so that none of them gathers in one task; the rest is joined as usual."""
+    total = by.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT > total
+    few = F.broadcast(by.where(hot))
+    rest = rows.join(F.broadcast(by.where(hot).select(*keys)), keys, "left_anti").join(by.where(~hot), keys, how)
+    return rows.join(few, keys).select(*rest.columns).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -452,3 +452,44 @@ def test_substring_brute_force(spark):
     got = substring_dedup.remove_repeats(table(spark, rows)).toPandas()
     mine = Counter((None if i != i else int(i), a, b, c) for i, a, b, c in zip(got.doc_id, got.n_words, got.n_removed, got.kept_sha256))
     assert mine == brute_removal(rows)
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_differ_by_a_pattern_are_different(spark):
+    """Polynomials modulo 2^64 take a Thue-Morse word and its complement for the same."""
+    a, b = thue_morse(1024, "ab"), thue_morse(1024, "ba")
+    rest = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*rest[:30], x, *rest[30:]]) for x in (a, b)]
+    got = substring_dedup.remove_repeats(table(spark, list(enumerate(texts)))).toPandas()
+    assert got.n_removed.tolist() == [0, 0]
+    members, links = ngram_join.near_duplicate_classes(table(spark, [(1, a), (2, b), (3, a + " x y z"), (4, b + " x y z")]))
+    assert sorted(r.component_id for r in members.collect()) == [1, 2, 3, 4] and links.count() == 0
+
+
+def test_places_come_from_the_automaton():
+    import pyarrow as pa
+    from lodestone.llm.wordhash import chunks
+
+    r = random.Random(8)
+    words = [f"w{r.randint(0, 10**6)}" for _ in range(400)]
+    texts = [" ".join(words[:150]), " ".join(words[120:300]), "", " ".join(words[:60])]
+    (_, w), = chunks(pa.array(texts))
+    code, *_ = substring_dedup._windows(w, 50)
+    some = np.unique(code[[3, 40, 200]])
+    at = substring_dedup.Automaton(some)(w)
+    assert set(np.flatnonzero(at)) == {i for i in range(len(code)) if code[i] in some and w.text[i] == w.text[i + 7]} and at.sum() >= 3
+    assert not len(substring_dedup.runs_of(w, np.zeros_like(at), 50)[0])
+    start, n, _, _ = substring_dedup.runs_of(w, np.ones_like(at) & substring_dedup.inside(w, 8), 50)
+    covered = {s + k for s, m in zip(start, n) for k in range(m)}
+    assert covered == set(np.flatnonzero(substring_dedup.inside(w, 50)))
+
+
+def test_substring_shards_and_parts_do_not_matter(spark):
+    r = random.Random(9)
+    shared = [" ".join(f"p{r.randint(0, 10**6)}" for _ in range(70)) for _ in range(6)]
+    rows = [(i, " ".join([f"u{i}x{k}" for k in range(r.randint(0, 30))] + [r.choice(shared)] + [f"v{i}x{k}" for k in range(r.randint(0, 30))])) for i in range(120)]
+    got = substring_dedup.remove_repeats(table(spark, rows), phrases_of_shard=3, shard_bytes=5000).toPandas()
+    assert Counter(zip(got.doc_id, got.n_words, got.n_removed, got.kept_sha256)) == brute_removal(rows)
