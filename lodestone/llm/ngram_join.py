@@ -3,23 +3,22 @@
 A document is the set of its distinct shingles' hashes. Hashes fall into groups; a set's counts by group are its point.
 The overlap of two sets is at most the sum over groups of the smaller count, and with a tree node's box at most the sum
 of the smaller of count and box corner; a pair is verified on the whole sets only if that bound reaches what the
-similarity needs. Who meets whom:
+similarity needs.
 
 1. Sets that are equal are one class.
-2. Similar sets share one of their least hashes (the prefix that the similarity cannot do without). Each such hash is a
-   bucket of classes; every class is paired with the one in its bucket's midst, bounded and verified.
-3. Links so far make components. Buckets that still hold several are dealt into cells by size and, where large, by
-   pairs of blocks; an R-tree a cell finds the pairs of different components that the bound lets pass.
-4. Components of all verified links.
-
-So for the components a group of thousands of near copies costs one pair a copy, and only pairs that can still join two
-components are looked for beyond that; no link between components is lost. The table of links needs more: every bucket is
-dealt into cells, whatever its components, and each pair that the bound lets pass is verified. A family of m near
-copies has up to m * m / 2 links.
+2. Points are dealt into cells, within which alone similar ones can lie: similar sets share one of the shingles that come
+   first in some order (the prefix that the similarity cannot do without), and have sizes of the same or the next band. In that
+   order frequent shingles come last, so a passage that many documents share is hardly ever in a prefix. Large cells
+   are dealt again by pairs of blocks.
+3. An R-tree is packed in each cell, and finds all pairs that the bound lets pass; these and no others are verified.
+4. Links are all verified pairs, and components those of the links.
+
+Nothing but the trees finds pairs. A family of m near copies of different texts has up to m * m / 2 links, and all are found.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_map, dropped, written
+from lodestone.llm.common import arrow_map, dropped, hot_join, written
 from lodestone.llm.graph import components
-from lodestone.llm.wordhash import LOWER, U, Words, chunks, inside, mix, sequences
+from lodestone.llm.wordhash import LOWER, U, Words, chunks, inside, joined, mix, sequences
 
 SHINGLE = 5
 #: Similarity as a ratio of whole numbers: 80 / 100.
@@ -37,8 +36,11 @@ NEED, OF = 80, 100
 #: Groups of a point: two an element up to a point of 256, one for four elements of sets so large that this is more;
 #: powers of two, so that a point can be folded to fewer groups.
 FEWEST, USUAL, MOST = 16, 256, 1 << 16
-#: Members of a cell's block, and rows of cells with the same least component that are kept together.
-BLOCK, TOGETHER = 1500, 100_000
+#: Members of a cell's block, and rows of cells with the same least class that are kept together.
+BLOCK, TOGETHER = 1500, 25_000
+#: Shingles that may be known as frequent, counts of shingles that a task holds at once, and the share of its texts a
+#: shingle must be in. They set the order of prefixes, so the size of cells, never a result.
+FREQUENT, HELD, SHARE = 1 << 18, 4_000_000, 1e-3
 LEAF, FAN = 16, 8
 
 
@@ -50,7 +52,7 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(w.bounds)
     short = np.flatnonzero((size > 0) & (size < k))
     if len(short):  # the whole sequence as one
-        whole = [mix(np.array([np.bitwise_xor.reduce(mix(w.hash[a : a + n] + np.arange(n, dtype=U)))], U) + U(n << 8))[0] for a, n in zip(w.bounds[short], size[short], strict=True)]
+        whole = [functools.reduce(joined, w.hash[a : a + n, None], np.array([n], U))[0] for a, n in zip(w.bounds[short], size[short], strict=True)]
         text, h = np.concatenate([text, short]), np.concatenate([h, np.array(whole, U)])
     order = np.lexsort((h, text))
     text, h = text[order], h[order]
@@ -87,12 +89,6 @@ def folded(v: np.ndarray, groups: int) -> np.ndarray:
     return v if len(v) == groups else v.reshape(-1, groups).sum(axis=0, dtype=np.int64)
 
 
-def bound(a: np.ndarray, b: np.ndarray) -> int:
-    """The most elements that two sets with these points share."""
-    groups = min(len(a), len(b))
-    return int(np.minimum(folded(a, groups), folded(b, groups)).sum(dtype=np.int64))
-
-
 def enough(shared, sizes, need: int = NEED, of: int = OF):
     """Whether of * shared >= need * (size of the union), sizes being the sum of both sizes."""
     return (of + need) * shared >= need * sizes
@@ -141,53 +137,79 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat, kind))
 
 
+def frequent_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes, in order, of shingles of rows (doc_id, text) that are in many texts: those in a share SHARE of some task's
+    texts, the FREQUENT most frequent of them. A task sends its counts of such shingles only."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, texts = [], 0, 0
+
+        def many() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held) if held else np.zeros(0, U), return_counts=True)
+            keep = n >= max(8, texts * SHARE)
+            return pa.RecordBatch.from_pydict({"h": pa.array(h[keep].view(np.int64), pa.int64()), "n": pa.array(n[keep], pa.int64())})
+
+        for b in batches:
+            for _, w in chunks(b.column(1), LOWER):
+                h, _ = shingle_sets(w, shingle)
+                held.append(h)
+                size, texts = size + len(h), texts + w.n_texts
+                if size > HELD:
+                    yield many()
+                    held, size, texts = [], 0, 0
+        yield many()
+
+    found = rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = found.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64)
+    return np.sort(top.view(U))
+
+
+def set_key(h: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set of hashes, whatever their order."""
+    n = np.array([len(h)], U)
+    return tuple(int((mix(h ^ U(seed)).sum(dtype=U) ^ mix(n + U(seed)))[0].view(np.int64)) for seed in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D))
+
+
 def sketches(rows: DataFrame, shingle: int, need: int, of: int) -> DataFrame:
-    """(doc_id, key, n, prefix array<long>, point binary) of rows (doc_id, text): key is a hash of the whole set."""
+    """(doc_id, k1, k2, n, prefix array<long>, point binary) of rows (doc_id, text): k1 and k2 are a hash of the whole set."""
+    frequent = rows.sparkSession.sparkContext.broadcast(frequent_shingles(rows, shingle))
 
     def sketch(b: pa.RecordBatch):
+        known = frequent.value
         for at, w in chunks(b.column(1), LOWER):
             h, bounds = shingle_sets(w, shingle)
             sizes = np.diff(bounds)
+            often = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
             prefixes, points, keys = [], [], []
             for a, n in zip(bounds[:-1], sizes, strict=True):
-                own = h[a : a + n]
+                own, late = h[a : a + n], often[a : a + n]
                 n = int(n)
-                prefixes.append(own[: n - -(-n * need // of) + 1].view(np.int64))
+                order = np.concatenate([own[~late], own[late]]) if late.any() else own
+                prefixes.append(order[: n - -(-n * need // of) + 1].view(np.int64))
                 points.append(counts(own) if n else b"")
-                # ordered elements, so a polynomial over them would do; the sum of mixed ones needs no order
-                keys.append(int((mix(own ^ U(0x5851F42D4C957F2D)).sum(dtype=U) ^ mix(np.array([n], U))[0]).view(np.int64)) if n else None)
-            yield {"doc_id": b.column(0).slice(at, w.n_texts), "key": pa.array(keys, pa.int64()), "n": pa.array(sizes, pa.int64()), "prefix": _lists(prefixes, pa.int64()), "point": pa.array(points, pa.binary())}
-
-    return arrow_map(rows, "doc_id long, key long, n long, prefix array<long>, point binary", sketch)
-
+                keys.append(set_key(own) if n else (None, None))
+            yield {
+                "doc_id": b.column(0).slice(at, w.n_texts), "k1": pa.array([k[0] for k in keys], pa.int64()), "k2": pa.array([k[1] for k in keys], pa.int64()),
+                "n": pa.array(sizes, pa.int64()), "prefix": _lists(prefixes, pa.int64()), "point": pa.array(points, pa.binary()),
+            }
 
-def _bounded(pairs: DataFrame, points: DataFrame, need: int, of: int) -> DataFrame:
-    """The pairs (a, b) whose bound is enough; points has (key, n, point)."""
-    side = lambda x: points.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"point_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where((of * F.least("n_a", "n_b")) >= need * F.greatest("n_a", "n_b"))
+    return arrow_map(rows, "doc_id long, k1 long, k2 long, n long, prefix array<long>, point binary", sketch)
 
-    def keep(b: pa.RecordBatch) -> dict:
-        a, c, n_a, p_a, n_b, p_b = (b.column(i).to_pylist() for i in range(6))
-        ok = [i for i in range(len(a)) if enough(bound(point(p_a[i], n_a[i]), point(p_b[i], n_b[i])), n_a[i] + n_b[i], need, of)]
-        return {"a": pa.array([a[i] for i in ok], pa.int64()), "b": pa.array([c[i] for i in ok], pa.int64())}
 
-    return arrow_map(both.select("a", "b", "n_a", "point_a", "n_b", "point_b"), "a long, b long", keep)
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, first: DataFrame, shingle: int, need: int, of: int, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, need: int, of: int, name: str) -> DataFrame:
     """Of the pairs (a, b) of keys those that are similar, by their whole sets: (a, b, shared, n_a, n_b). Only the
     texts of the classes in question are read into sets; a set moves once to its pairs and once to its partner."""
     pairs = written(pairs, f"{name}-pairs")
     asked = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    texts = rows.join(first.join(asked, "key").select("key", F.col("first").alias("doc_id")), "doc_id").select("key", "text")
+    texts = rows.join(classes.join(asked, "key").select("key", "k1", "k2", F.col("first").alias("doc_id")), "doc_id").select("key", "k1", "k2", "text")
 
     def to_sets(b: pa.RecordBatch):
-        for at, w in chunks(b.column(1), LOWER):
+        for at, w in chunks(b.column(3), LOWER):
             h, bounds = shingle_sets(w, shingle)
             own = [h[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-            key = [int((mix(o ^ U(0x5851F42D4C957F2D)).sum(dtype=U) ^ mix(np.array([len(o)], U))[0]).view(np.int64)) if len(o) else None for o in own]
+            key, k1, k2 = (b.column(i).slice(at, w.n_texts).to_pylist() for i in range(3))
             # a row that shares its id with the class' first document but not its set is another class'
-            same = [i for i, (x, y) in enumerate(zip(key, b.column(0).slice(at, w.n_texts).to_pylist(), strict=True)) if x == y]
+            same = [i for i, o in enumerate(own) if len(o) and set_key(o) == (k1[i], k2[i])]
             yield {"key": pa.array([key[i] for i in same], pa.int64()), "h": pa.array([own[i].tobytes() for i in same], pa.binary())}
 
     sets = written(arrow_map(texts, "key long, h binary", to_sets).dropDuplicates(["key"]), f"{name}-sets")
@@ -197,40 +219,45 @@ def _verified(pairs: DataFrame, rows: DataFrame, first: DataFrame, shingle: int,
         out = []
         for x, y, p, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
             p, q = np.frombuffer(p.as_buffer(), U), np.frombuffer(q.as_buffer(), U)
-            shared = len(p) + len(q) - len(np.union1d(p, q))
+            at = np.searchsorted(p, q)  # both are in order
+            shared = int((p[np.minimum(at, len(p) - 1)] == q).sum())
             if enough(shared, len(p) + len(q), need, of):
                 out.append((x, y, shared, len(p), len(q)))
         return {k: pa.array(v, pa.int64()) for k, v in zip(("a", "b", "shared", "n_a", "n_b"), zip(*out, strict=True) if out else [()] * 5, strict=True)}
 
-    return written(arrow_map(both.select("a", "b", "h_a", "h_b"), "a long, b long, shared long, n_a long, n_b long", verify), f"{name}-links")
+    links = written(arrow_map(both.select("a", "b", "h_a", "h_b"), "a long, b long, shared long, n_a long, n_b long", verify), f"{name}-links")
+    dropped(sets)
+    dropped(pairs)
+    return links
 
 
 def _cells(members: DataFrame) -> DataFrame:
-    """members (s, key, n, component) dealt into cells: those of a size band with those of the next, and large ones
-    again by pairs of blocks. upper: only to be paired with members that are not."""
+    """members (s, key, n) dealt into cells: those of a size band with those of the next, and large ones again by pairs of
+    blocks. upper: only to be paired with members that are not."""
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(OF / NEED))).cast("int")
     sides = F.array(F.struct(band.alias("band"), F.lit(False).alias("upper")), F.struct((band - 1).alias("band"), F.lit(True).alias("upper")))
-    dealt = members.select("s", "key", "n", "component", F.explode(sides).alias("x")).select("s", "key", "n", "component", "x.band", "x.upper")
-    size = dealt.groupBy("s", "band").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(~F.col("upper"), 1)).alias("own"), F.min("component").alias("low"), F.max("component").alias("high"))
-    size = size.where("m > 1 AND own > 0 AND low < high").select("s", "band", "low", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    # near copies meet in many cells with the same least component: these stay together, so that a task reports a
+    dealt = members.select("s", "key", "n", F.explode(sides).alias("x")).select("s", "key", "n", "x.band", "x.upper")
+    size = dealt.groupBy("s", "band").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(~F.col("upper"), 1)).alias("own"), F.min("key").alias("low"))
+    size = size.where("m > 1 AND own > 0").select("s", "band", "low", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    # near copies meet in many cells with the same least class: these stay together, so that a task reports a
     # pair once, but in as many parts as their rows ask for
     parts = size.groupBy("low").agg(F.ceil(F.sum(F.col("m") * F.col("blocks")) / TOGETHER).alias("parts"))
-    size = size.join(parts, "low").drop("m")
-    dealt = dealt.join(size, ["s", "band"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    size = written(size.join(parts, "low"), "ngram-cell-sizes")
+    dealt = hot_join(dealt, size, ["s", "band"], "m")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("s", "band", F.least("block", "other"), F.greatest("block", "other"))
     dealt = dealt.withColumn("cell", cell).withColumn("part", F.xxhash64("low", F.pmod("cell", F.col("parts"))))
-    return dealt.select("part", "cell", "key", "n", "component", "upper", F.col("block").alias("own_block"), (F.col("block") == F.col("other")).alias("same"))
+    return dealt.select("part", "cell", "key", "n", "upper", F.col("block").alias("own_block"), (F.col("block") == F.col("other")).alias("same"))
 
 
 def _tree_pairs(cells: DataFrame, points: DataFrame, need: int, of: int) -> DataFrame:
-    """The pairs (a, b) of different components in a cell whose bound is enough, found by the cell's R-tree."""
-    rows = cells.join(points.select("key", "point"), "key").select("part", "cell", "key", "n", "component", "upper", "own_block", "same", "point")
+    """The pairs (a, b) in a cell whose bound is enough, found by the cell's R-tree."""
+    rows = cells.join(points.select("key", "point"), "key").select("part", "cell", "key", "n", "upper", "own_block", "same", "point")
     rows = rows.repartition("part").drop("part").sortWithinPartitions("cell")
 
     def pairs_of(t: pa.Table) -> Iterator[tuple[int, int]]:
-        key, n, component, upper, block, same = (t[c].to_numpy() if t[c].type != pa.bool_() else np.array(t[c].to_pylist()) for c in ("key", "n", "component", "upper", "own_block", "same"))
+        key, n, upper, block, same = (t[c].to_numpy() if t[c].type != pa.bool_() else np.array(t[c].to_pylist()) for c in ("key", "n", "upper", "own_block", "same"))
         raw = [point(x, int(k)) for x, k in zip(t["point"].to_pylist(), n, strict=True)]
         groups = min(map(len, raw))
         points = np.array([folded(x, groups) for x in raw])
@@ -238,7 +265,7 @@ def _tree_pairs(cells: DataFrame, points: DataFrame, need: int, of: int) -> Data
         tree = CountTree(points, n)
         for i in np.flatnonzero(~upper):
             found = tree.search(points[i], int(n[i]), need, of)
-            ok = (component[found] != component[i]) & (key[found] != key[i]) & (same[i] | (block[found] != block[i]))
+            ok = (key[found] != key[i]) & (same[i] | (block[found] != block[i]))
             for j in found[ok & (upper[found] | (key[found] > key[i]))]:
                 yield (min(int(key[i]), int(key[j])), max(int(key[i]), int(key[j])))
 
@@ -264,60 +291,46 @@ def _tree_pairs(cells: DataFrame, points: DataFrame, need: int, of: int) -> Data
     return rows.mapInArrow(search, "a long, b long").distinct()
 
 
-def near_duplicate_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, need: int = NEED, of: int = OF, every_link: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Two tables. Members (doc_id, n_shingles, component_id): one row per row of docs, component_id being the smallest
-    id reachable by links. Links (a, b, shared, n_a, n_b, links_a, links_b): every verified pair of classes, by the classes'
-    smallest ids, and how many links each of the two has. Without every_link, for callers that want members only,
-    links are the pairs that join the components.
+def near_duplicate_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, need: int = NEED, of: int = OF) -> tuple[DataFrame, DataFrame]:
+    """Two tables. Members (doc_id, n_shingles, component_id, n_links): one row per row of docs, component_id being the
+    smallest id reachable by links, n_links how many other classes the row's class links with. Links (a, b, shared, n_a,
+    n_b): every verified pair of classes, by the classes' smallest ids.
 
     Words are runs `[^\\x20\\x09-\\x0D]+` with A-Z in lower case; a set is the distinct sequences of `shingle` words, with
     fewer words the whole sequence. Two rows link if of * intersection >= need * union. Null, empty and blank texts
-    have no set and link with nothing; nor do rows without an id, whose component is null. Rows that share an id are
-    judged one by one. An empty table gives empty ones; other columns are ignored. Sets are compared as 64-bit hashes.
+    have no set and link with nothing; nor do rows without an id, whose component is null. Very long texts are read whole. Rows
+    that share an id are judged one by one. An empty table gives empty ones; other columns are ignored. Shingles are
+    compared as 64-bit hashes, whole sets of them as 128-bit ones.
     """
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     whole = written(sketches(rows, shingle, need, of), "ngram-sketches")
-    all_rows = written(whole.select("doc_id", "key", "n"), "ngram-rows")
-    linked = whole.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(linked.groupBy("key").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("point").alias("point"), F.any_value("prefix").alias("prefix")), "ngram-classes")
+    all_rows = written(whole.select("doc_id", "k1", "k2", "n"), "ngram-rows")
+    linked = whole.where("k1 IS NOT NULL AND doc_id IS NOT NULL")
+    classes = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("point").alias("point"), F.any_value("prefix").alias("prefix"))
+    classes = written(classes.withColumn("key", F.monotonically_increasing_id()), "ngram-classes")
     dropped(whole)
-    linked = all_rows.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    first, points = classes.select("key", "first"), classes.select("key", "n", "point")
-
-    hashes = classes.select(F.explode("prefix").alias("s"), "key")
-    buckets = hashes.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = written(hashes.join(buckets, "s").join(classes.select("key", "n"), "key").select("s", "key", "n", "m"), "ngram-buckets")
-    # the class whose prefix is most in buckets, and in the largest, is in the midst of its near copies
-    prefix = F.col("n") - F.ceil(F.col("n") * need / of) + 1
-    midst = members.groupBy("key", "n").agg(F.round(F.sum(F.log("m")), 6).alias("w")).select("key", F.round(F.col("w") / prefix, 6).alias("midst"))
-    lead = members.join(midst, "key").groupBy("s").agg(F.max(F.struct("midst", "key", "n")).alias("lead")).select("s", F.col("lead.key").alias("lead"), F.col("lead.n").alias("lead_n"))
-    stars = members.join(lead, "s").where((F.col("key") != F.col("lead")) & (of * F.least("n", "lead_n") >= need * F.greatest("n", "lead_n")))
-    stars = stars.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
-    stars = written(stars, "ngram-stars")
-    links = _verified(_bounded(stars, points, need, of), rows, first, shingle, need, of, "ngram-star")
-
-    # pairs in buckets of two have been tried
-    so_far = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "ngram-star-components")
-    open_ = members.where("m > 2").join(so_far, F.col("key") == F.col("node"), "left").select("s", "key", "n", F.coalesce("component", "key").alias("component"))
-    cells = written(_cells(open_), "ngram-cells")
-    more = _tree_pairs(cells, points, need, of).join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(more, rows, first, shingle, need, of, "ngram-tree"))
+
+    hashes = classes.select(F.explode("prefix").alias("s"), "key", "n")
+    buckets = written(hashes.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "ngram-buckets")
+    members = written(hot_join(hashes, buckets, ["s"], "m").select("s", "key", "n"), "ngram-members")
+    cells = written(_cells(members), "ngram-cells")
+    dropped(members)
+    dropped(buckets)
+    links = _verified(_tree_pairs(cells, classes.select("key", "point"), need, of), rows, classes, shingle, need, of, "ngram")
+    dropped(cells)
 
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "ngram-components")
-    by = linked.select("key").distinct().join(found, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("component"))
-    smallest = first.join(by, "key").groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = by.join(smallest, "component").select(F.col("key").alias("k"), "component_id")
-    out = all_rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(ids, F.col("key") == F.col("k"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("n_links"))
+    first = classes.select("key", "k1", "k2", "first")
+    by = first.join(found, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key")).join(ends, F.col("key") == F.col("end"), "left")
+    smallest = by.groupBy("component").agg(F.min("first").alias("component_id"))
+    ids = by.join(smallest, "component").select("k1", "k2", "component_id", "n_links")
+    out = all_rows.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles")).join(ids, ["k1", "k2"], "left")
+    has = F.col("doc_id").isNotNull()
+    members = out.select("doc_id", "n_shingles", F.when(has, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(has, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
     side = lambda x: first.select(F.col("key").alias(x), F.col("first").alias(f"first_{x}"))
-    if every_link:
-        every = written(_cells(members.select("s", "key", "n", F.col("key").alias("component"))), "ngram-all-cells")
-        links = _verified(_tree_pairs(every, points, need, of), rows, first, shingle, need, of, "ngram-all")
-    ends = links.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("m"))
-    of_end = lambda x: ends.select(F.col("end").alias(x), F.col("m").alias(f"links_{x}"))
-    links = links.join(of_end("a"), "a").join(of_end("b"), "b")
-    links = links.join(side("a"), "a").join(side("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"), "shared", "n_a", "n_b", "links_a", "links_b")
-    return out.select("doc_id", "n_shingles", component.alias("component_id")), links
+    links = links.join(side("a"), "a").join(side("b"), "b").select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"), "shared", F.when(F.col("first_a") <= F.col("first_b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("first_a") <= F.col("first_b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
+    return members, links
 
 
 ORACLE = r"""

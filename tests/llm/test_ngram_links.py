@@ -1,4 +1,4 @@
-"""The table of links holds every pair of similar different texts."""
+"""The table of links holds every pair of similar different texts, found by the trees."""
 
 import random
 from itertools import combinations
@@ -22,8 +22,36 @@ def test_every_link_is_returned(spark):
             rows.append((len(rows), " ".join(copy)))
     sets = {i: shingles(t) for i, t in rows}
     want = {(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
-    _, links = ngram_join.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    members, links = ngram_join.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"))
     got = links.collect()
-    assert {(min(x.a, x.b), max(x.a, x.b)) for x in got} == want and len(got) == len(want)
+    assert {(x.a, x.b) for x in got} == want and len(got) == len(want)
     degree = {i: sum(i in p for p in want) for i in sets}
-    assert all((x.links_a, x.links_b) == (degree[x.a], degree[x.b]) for x in got)
+    assert {r.doc_id: r.n_links for r in members.collect()} == degree
+
+
+def test_nothing_but_the_trees_finds_pairs(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{k if k != 40 else -i}" for k in range(90))) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ngram_join.near_duplicate_classes(docs)[1].count() == 10
+    monkeypatch.setattr(ngram_join, "_tree_pairs", lambda cells, points, need, of: spark.createDataFrame([], "a long, b long"))
+    members, links = ngram_join.near_duplicate_classes(docs)
+    assert links.count() == 0 and {r.component_id for r in members.collect()} == {i for i, _ in rows}
+
+
+def test_blocks_bands_and_frequent_shingles_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "TOGETHER", 20)
+    r = random.Random(5)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for i in range(60):  # a passage that all share, and families that are similar beyond it
+        if i % 6 == 0:
+            base = [f"b{r.randint(0, 10**6)}" for _ in range(r.choice([12, 60, 200]))]
+        copy = passage + base + [f"c{i}"] * (i % 3)
+        rows.append((i, " ".join(copy)))
+    sets = {i: shingles(t) for i, t in rows}
+    want = {(a, b) for a, b in combinations(sets, 2) if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, links = ngram_join.near_duplicate_classes(docs)
+    first = {frozenset(sets[i]): i for i in sorted(sets, reverse=True)}
+    assert {(x.a, x.b) for x in links.collect()} == {tuple(sorted((first[frozenset(sets[a])], first[frozenset(sets[b])]))) for a, b in want}
+    assert len(ngram_join.frequent_shingles(docs, 5)) >= 50
