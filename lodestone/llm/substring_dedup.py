@@ -7,8 +7,9 @@
    shard compiles an Aho-Corasick automaton and streams its documents through it: all that have an anchor among the
    shard's phrases, in parts of about SHARD_BYTES, each with its copy of the phrases. Only the automaton tells where
    phrases occur. Consecutive windows with one anchor at such a place are a run.
-3. Runs. Equal runs in a larger document go as a whole; the windows of runs that no smaller document has are looked up
-   one by one among those of all such runs.
+3. Runs. Equal runs in a larger document go as a whole. Runs that no smaller document has are cut into blocks of up to
+   BLOCK windows, by their distance from the anchor; equal blocks go alike, and only the windows of the rest are looked up one
+   by one.
 
 So copies cost a row a run, and windows are only listed for different texts. Runs and windows are compared by 128-bit
 hashes of their words. Groups are only ever minima with partial sums before the shuffle, and keys with a thousandth of
@@ -17,6 +18,7 @@ all rows or more are joined by broadcast, so a passage in a third of all documen
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -31,6 +33,8 @@ from lodestone.llm.wordhash import U, Words, chunks, inside, mix, sequences, sli
 WINDOW, PHRASE = 50, 8
 #: Phrases of a shard, and bytes of text of a part of it, about.
 PHRASES, SHARD_BYTES = 50_000, 32 << 20
+#: Windows of a block.
+BLOCK = 8
 TOP = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -168,28 +172,45 @@ def located_runs(dealt: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(stream, "doc_id long, key long, start int, n int, h1 long, h2 long")
 
 
-def _window_hashes(runs: DataFrame, rows: DataFrame, window: int) -> DataFrame:
-    """(doc_id, key, start, h1, h2) of each window in runs (doc_id, key, start, n)."""
+def _blocks(runs: DataFrame, rows: DataFrame, window: int) -> DataFrame:
+    """(doc_id, key, start, n, h1, h2, w1, w2) of the blocks of runs (doc_id, key, start, n): two hashes of the block, and
+    arrays of two hashes of each of its windows."""
     by = runs.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # at most a document's
+    reach = window - PHRASE + 1
 
     def hashes(b: pa.RecordBatch):
         ids, keys = b.column(0), b.column(1)
         for at, w in chunks(b.column(2)):
-            lanes = [sequences(w, window, w.hashes(lane)).view(np.int64) for lane in (0, 1)]
             own = b.column(3).slice(at, w.n_texts)
             flat = own.flatten()
-            start, n = (flat.field(k).to_numpy() for k in (0, 1))
+            start, n = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
             text = np.repeat(np.arange(w.n_texts), [len(x) for x in own])
+            if not len(text):
+                continue
+            _, rank, least, _ = _windows(w, window)
+            first = w.bounds[text] + start
+            anchor = first + (rank[first[:, None] + np.arange(reach)] == least[first][:, None]).argmax(axis=1)
             which = np.repeat(np.arange(len(start)), n)
-            place = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            at_word = w.bounds[text[which]] + place
+            inner = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            place = first[which] + inner
+            block = (anchor[which] - place) // BLOCK
+            new = np.ones(len(which), bool)
+            new[1:] = (which[1:] != which[:-1]) | (block[1:] != block[:-1])
+            begin = np.flatnonzero(new)
+            size = np.diff(np.append(begin, len(which)))
+            salt = mix((np.arange(len(which)) - np.repeat(begin, size)).astype(U) + U(1))
+            lanes = [sequences(w, window, w.hashes(lane))[place] for lane in (0, 1)]
+            h1, h2 = (np.add.reduceat(mix(x ^ salt), begin).view(np.int64) for x in lanes)
+            ends = pa.array(np.append(begin, len(which)), pa.int32())
+            of = pa.array(text[which[begin]])
             yield {
-                "doc_id": ids.slice(at, w.n_texts).take(pa.array(text[which])), "key": keys.slice(at, w.n_texts).take(pa.array(text[which])),
-                "start": pa.array(place, pa.int32()), "h1": pa.array(lanes[0][at_word], pa.int64()), "h2": pa.array(lanes[1][at_word], pa.int64()),
+                "doc_id": ids.slice(at, w.n_texts).take(of), "key": keys.slice(at, w.n_texts).take(of),
+                "start": pa.array((start[which] + inner)[begin], pa.int32()), "n": pa.array(size, pa.int32()), "h1": pa.array(h1), "h2": pa.array(h2),
+                **{f"w{k + 1}": pa.ListArray.from_arrays(ends, pa.array(x.view(np.int64))) for k, x in enumerate(lanes)},
             }
 
     texts = rows.join(by, ["doc_id", "key"]).select("doc_id", "key", "text", "runs")
-    return arrow_map(texts, "doc_id long, key long, start int, h1 long, h2 long", hashes)
+    return arrow_map(texts, "doc_id long, key long, start int, n int, h1 long, h2 long, w1 array<long>, w2 array<long>", hashes)
 
 
 def _firsts(found: DataFrame, name: str) -> DataFrame:
@@ -214,9 +235,13 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     runs = written(located_runs(shards(rows, window, phrases_of_shard, shard_bytes), window), "substring-runs")
     judged = written(_firsts(runs, "substring-runs").select("doc_id", "key", "start", "n", "first"), "substring-judged")
-    windows = written(_window_hashes(judged.where("doc_id = first"), rows, window), "substring-windows")
-    again = _firsts(windows, "substring-windows").where("doc_id > first").select("doc_id", "key", "start", F.lit(1).alias("n"))
-    gone = judged.where("doc_id > first").select("doc_id", "key", "start", "n").unionByName(again)
+    place = ["doc_id", "key", "start", "n"]
+    blocks = _firsts(written(_blocks(judged.where("doc_id = first"), rows, window), "substring-blocks"), "substring-blocks")
+    each = F.posexplode(F.arrays_zip("w1", "w2")).alias("k", "w")
+    windows = blocks.where("doc_id = first").select("doc_id", "key", "start", each)
+    windows = written(windows.select("doc_id", "key", (F.col("start") + F.col("k")).alias("start"), F.lit(1).alias("n"), F.col("w.w1").alias("h1"), F.col("w.w2").alias("h2")), "substring-windows")
+    levels = [judged, blocks, _firsts(windows, "substring-windows")]
+    gone = functools.reduce(DataFrame.unionByName, [x.where("doc_id > first").select(*place) for x in levels])
     removed = gone.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("removed"))
     removed = written(removed, "substring-removed").withColumnsRenamed({"doc_id": "d", "key": "k"})
     both = rows.join(removed, (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k")), "left").select("doc_id", "text", "removed")
