@@ -6,10 +6,9 @@ of the smaller of count and box corner; a pair is verified on the whole sets onl
 similarity needs.
 
 1. Sets that are equal are one class.
-2. Points are dealt into cells, within which alone similar ones can lie: similar sets share one of the shingles that come
-   first in some order (the prefix that the similarity cannot do without), and have sizes of the same or the next band. In that
-   order frequent shingles come last, so a passage that many documents share is hardly ever in a prefix. Large cells
-   are dealt again by pairs of blocks.
+2. Points are dealt into cells, within which alone similar ones can lie: similar sets share one of their least hashes (the
+   prefix that the similarity cannot do without), and have sizes of the same or the next band. Large cells are dealt again by
+   pairs of blocks.
 3. An R-tree is packed in each cell, and finds all pairs that the bound lets pass; these and no others are verified.
 4. Links are all verified pairs, and components those of the links.
 
@@ -37,10 +36,7 @@ NEED, OF = 80, 100
 #: powers of two, so that a point can be folded to fewer groups.
 FEWEST, USUAL, MOST = 16, 256, 1 << 16
 #: Members of a cell's block, and rows of cells with the same least class that are kept together.
-BLOCK, TOGETHER = 1500, 25_000
-#: Shingles that may be known as frequent, counts of shingles that a task holds at once, and the share of its texts a
-#: shingle must be in. They set the order of prefixes, so the size of cells, never a result.
-FREQUENT, HELD, SHARE = 1 << 18, 4_000_000, 1e-3
+BLOCK, TOGETHER = 1500, 100_000
 LEAF, FAN = 16, 8
 
 
@@ -137,33 +133,6 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat, kind))
 
 
-def frequent_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
-    """Hashes, in order, of shingles of rows (doc_id, text) that are in many texts: those in a share SHARE of some task's
-    texts, the FREQUENT most frequent of them. A task sends its counts of such shingles only."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, texts = [], 0, 0
-
-        def many() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held) if held else np.zeros(0, U), return_counts=True)
-            keep = n >= max(8, texts * SHARE)
-            return pa.RecordBatch.from_pydict({"h": pa.array(h[keep].view(np.int64), pa.int64()), "n": pa.array(n[keep], pa.int64())})
-
-        for b in batches:
-            for _, w in chunks(b.column(1), LOWER):
-                h, _ = shingle_sets(w, shingle)
-                held.append(h)
-                size, texts = size + len(h), texts + w.n_texts
-                if size > HELD:
-                    yield many()
-                    held, size, texts = [], 0, 0
-        yield many()
-
-    found = rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64)
-    return np.sort(top.view(U))
-
-
 def set_key(h: np.ndarray) -> tuple[int, int]:
     """128 bits of a set of hashes, whatever their order."""
     n = np.array([len(h)], U)
@@ -172,20 +141,15 @@ def set_key(h: np.ndarray) -> tuple[int, int]:
 
 def sketches(rows: DataFrame, shingle: int, need: int, of: int) -> DataFrame:
     """(doc_id, k1, k2, n, prefix array<long>, point binary) of rows (doc_id, text): k1 and k2 are a hash of the whole set."""
-    frequent = rows.sparkSession.sparkContext.broadcast(frequent_shingles(rows, shingle))
-
     def sketch(b: pa.RecordBatch):
-        known = frequent.value
         for at, w in chunks(b.column(1), LOWER):
             h, bounds = shingle_sets(w, shingle)
             sizes = np.diff(bounds)
-            often = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
             prefixes, points, keys = [], [], []
             for a, n in zip(bounds[:-1], sizes, strict=True):
-                own, late = h[a : a + n], often[a : a + n]
+                own = h[a : a + n]
                 n = int(n)
-                order = np.concatenate([own[~late], own[late]]) if late.any() else own
-                prefixes.append(order[: n - -(-n * need // of) + 1].view(np.int64))
+                prefixes.append(own[: n - -(-n * need // of) + 1].view(np.int64))
                 points.append(counts(own) if n else b"")
                 keys.append(set_key(own) if n else (None, None))
             yield {
