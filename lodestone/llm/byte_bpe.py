@@ -3,7 +3,8 @@
 encode: rows (word, position, token) start as single bytes. Each step of a recursive query joins neighbouring
 rows with the merge table and contracts every word's leftmost pair of the lowest rank, until no word has a pair
 left. Rows carry the token and position of their right neighbour, so no step depends on the order of rows.
-decode: token rows join the vocabulary; an aggregate ordered by position puts the bytes together.
+decode: token rows join the vocabulary; an aggregate ordered by position puts the bytes together. Every document's ids
+are decoded so, and what is returned as decoded is what comes out.
 
 Words (matches of the pre-tokenizer pattern) recur, so a worker keeps the results of those it has encoded.
 """
@@ -26,6 +27,8 @@ from lodestone.llm.common import arrow_map
 LONG = 512
 #: Rows that the recursion of a long word may hold before its state is carried into a new query.
 HELD = 2_000_000
+#: Characters of joined ids that one part of a text has in decoding.
+DECODED = 1_000_000
 
 _ENCODE = """
 WITH RECURSIVE s(it, w, p, t, np, nt) AS (
@@ -62,6 +65,13 @@ WITH RECURSIVE s(it, p, t) AS (
 SELECT p, t FROM s WHERE it = (SELECT max(it) FROM s)
 """
 
+#: The same for texts whose decimal ids are joined by commas: their ids become rows, which the vocabulary joins.
+_DECODE_TEXTS = """
+SELECT w, count(*)::BIGINT AS n, string_agg(chars, '' ORDER BY p) AS text
+FROM (SELECT w, unnest(ids) AS t, generate_subscripts(ids, 1) AS p FROM (SELECT w, string_split(ids, ',')::INT[] AS ids FROM encoded WHERE ids <> ''))
+JOIN vocabulary ON id = t GROUP BY w
+"""
+
 #: Of token rows of each word: the decimal ids, and the bytes they decode to, each byte as the character of its number.
 _DECODE = """
 SELECT w, count(*)::INT AS n, string_agg(t::VARCHAR, ',' ORDER BY p) AS ids, string_agg(chars, '' ORDER BY p) AS text
@@ -145,6 +155,35 @@ class DuckBpe:
                 return new.tolist()
             t = new
 
+    def decode_texts(self, joined: list[str]) -> tuple[list[int], list[bytes]]:
+        """For texts' decimal ids, joined by commas: how many there are, and the bytes that they decode to. Long texts are
+        decoded in parts, so that the memory of a query is bounded."""
+        n, out = [0] * len(joined), [[] for _ in joined]
+        held, size = [], 0
+
+        def run() -> None:
+            self.con.register("encoded", pa.table({"w": pa.array(range(len(held)), pa.int64()), "ids": pa.array([x for _, x in held], pa.string())}))
+            got = self.con.sql(_DECODE_TEXTS).to_arrow_table()
+            self.con.unregister("encoded")
+            for w, k, text in sorted(zip(got["w"].to_pylist(), got["n"].to_pylist(), got["text"].to_pylist(), strict=True)):
+                n[held[w][0]] += k
+                out[held[w][0]].append(text.encode("latin-1"))
+            held.clear()
+
+        for i, x in enumerate(joined):
+            at = 0
+            while at < len(x):
+                end = x.find(",", at + DECODED)
+                end = len(x) if end < 0 else end
+                held.append((i, x[at:end]))
+                size, at = size + end - at, end + 1
+                if size >= 2 * DECODED:
+                    run()
+                    size = 0
+        if held:
+            run()
+        return n, [b"".join(parts) for parts in out]
+
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids. An id that the vocabulary lacks raises KeyError."""
         out = [b""] * len(ids)
@@ -164,7 +203,6 @@ class DuckBpe:
 
 _duck: dict[str, DuckBpe] = {}
 _kept: dict[str, dict] = {}
-_decimal: dict[str, dict[str, bytes]] = {}
 
 
 def _bpe(path: str) -> DuckBpe:
@@ -186,7 +224,6 @@ class _Pieces:
         # ids of pieces met lately, and of those met before them: when the first are too many they become the second
         self.kept: list[dict[str, str]] = _kept.setdefault(path + pattern, [{}, {}])
         self.find = regex.compile(pattern).findall
-        self.bytes_of = _decimal.setdefault(path, {str(i): t for t, i in self.bpe.ranks.items()})
 
     def split(self, text: str) -> list[str]:
         if "\0" in text or self._within_run.search(text):
@@ -236,7 +273,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id: str = "doc_id
 
     Returns (doc_id, n_tokens, token_ids binary: little-endian uint32, decoded binary), or with digests the
     contract's (doc_id, n_tokens, ids_sha256, decoded_sha256). As tiktoken without special tokens: each match of
-    pattern separately. A null or empty text has 0 tokens; rows with null or repeated ids stay; an empty table
+    pattern separately. A null or empty text has 0 tokens; very long texts and words are encoded whole; rows with null or repeated ids stay; an empty table
     gives an empty one; other columns are ignored. cache: a worker keeps at most about twice so many
     pieces.
     """
@@ -248,24 +285,18 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id: str = "doc_id
         at = 0
         while at < len(texts):
             size, end = 0, at
-            while end < len(texts) and (end == at or size < 2_000_000):
+            while end < len(texts) and (end == at or size < 1_000_000):
                 size += len(texts[end])
                 end += 1
             split = [pieces.split(t) for t in texts[at:end]]
             long = pieces.encode({p for ps in split for p in ps})
             kept = pieces.kept[0]
-            n, a, d = [], [], []
-            for t, ps in zip(texts[at:end], split, strict=True):
-                joined = ",".join([x for x in ([kept[p] if p in kept else long[p] for p in ps] if long else map(kept.__getitem__, ps)) if x])
-                own = joined.split(",") if joined else []
-                data = b"".join(map(pieces.bytes_of.__getitem__, own))
-                n.append(len(own))
-                if digests:
-                    a.append(hashlib.sha256(joined.encode()).hexdigest())
-                    d.append(hashlib.sha256(data).hexdigest())
-                else:
-                    a.append(np.array(own, "<u4").tobytes())
-                    d.append(data)
+            joined = [",".join([x for x in ([kept[p] if p in kept else long[p] for p in ps] if long else map(kept.__getitem__, ps)) if x]) for ps in split]
+            n, data = pieces.bpe.decode_texts(joined)
+            if digests:
+                a, d = [hashlib.sha256(x.encode()).hexdigest() for x in joined], [hashlib.sha256(x).hexdigest() for x in data]
+            else:
+                a, d = [np.array(x.split(",") if x else [], "<u4").tobytes() for x in joined], data
             kind = pa.string() if digests else pa.binary()
             names = ("ids_sha256", "decoded_sha256") if digests else ("token_ids", "decoded")
             yield {"doc_id": ids.slice(at, end - at), "n_tokens": pa.array(n, pa.int64()), names[0]: pa.array(a, kind), names[1]: pa.array(d, kind)}
