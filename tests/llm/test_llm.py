@@ -139,6 +139,19 @@ def test_mixing(spark):
     assert dict(zip(again.doc_id, again.taken)) == dict(zip(got.doc_id, got.taken))
 
 
+def test_mixing_odds_grow_with_size_and_ties_are_settled(spark):
+    rows = [(i, "w " * (400 if i % 2 else 100), "a") for i in range(3000)] + [(3000 + i, "w " * 60, "b") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).toPandas()
+    more = (got.copies > got.copies.min())[got.doc_id < 3000]
+    p_long, p_short = more[got.doc_id % 2 == 1].mean(), more[got.doc_id % 2 == 0].mean()
+    assert p_long > p_short + 0.05 and p_short > 0
+    # the odds are as the roots of the sizes: 2 to 1
+    assert (p_long / (1 - p_long)) / (p_short / (1 - p_short)) == pytest.approx(2, rel=0.35)
+    tied = docs.select(F.lit(7).cast("long").alias("doc_id"), "text", "source")
+    assert mixing.mix(tied).count() == 5000
+
+
 # --- 5
 
 
