@@ -50,7 +50,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     rows = _keyed(docs)
-    copies = mixing.mix(rows, id=KEY).where("copies > 0").select(F.col("doc_id").alias(KEY), "copies")
+    copies = mixing.mix(rows, id=KEY, rank_by="doc_id").where("copies > 0").select(F.col("doc_id").alias(KEY), "copies")
     taken = rows.join(copies, KEY).withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return taken.select(*docs.columns)
 
