@@ -1,10 +1,11 @@
 """Token counts by a map-side two-tier lookup.
 
-Words between blanks are looked up, not encoded: first in a broadcast table of the corpus' frequent words
-and their token counts, then in a cache of the Python worker, which encodes what it has not met before with
-the tokenizer itself. No word is ever shuffled: the first pass sends at most `per_task` counters a task.
+A text is split at blanks and line ends; what is not known yet of the parts is split into pre-tokens by the
+tokenizer's own rules. Pre-tokens are looked up in a broadcast table of frequent ones and their token counts (two Arrow
+arrays, some 300 kB), then in a cache of the Python worker, which runs the merges for what it has not met before. Nothing is
+shuffled. A worker also remembers the parts it has counted.
 
-Counting word by word is exact for tokenizers that drop white space before matching, such as
+Counting part by part is exact for tokenizers that drop white space before matching, such as
 word_bpe_49k.json: no match crosses a blank, and no normalisation joins characters across one.
 """
 
@@ -12,15 +13,20 @@ from __future__ import annotations
 
 import os
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_map
 
-#: Words longer than this are encoded each time and never kept.
+#: Parts and pre-tokens longer than this are worked out each time and never kept.
 LONGEST_KEPT = 64
+#: Texts, about, whose pre-tokens the frequent ones are taken from, and how many are kept. They set the speed, never a result.
+SAMPLE, KEPT = 20_000, 32_768
 _tokenizers: dict = {}
 _caches: dict = {}
 
@@ -34,32 +40,84 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
-def _lengths(path: str, words: list[str]) -> list[int]:
-    return [len(e) for e in _tokenizer(path).encode_batch(words, add_special_tokens=False)]
-
-
 def _split(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
-def frequent_words(docs: DataFrame, text: str, per_task: int = 4096, kept: int = 32768) -> list[str]:
-    """The corpus' most frequent words: every task counts all its words, prunes its rarest ones as it
-    goes and sends its `per_task` highest counts; `kept` of the summed ones come to the driver. The bounds
-    set the size of the broadcast and the speed, never a result."""
+def _special(path: str) -> list[str]:
+    return [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
+
+
+def pretokens(path: str, parts: list[str]) -> tuple[np.ndarray, list[str]]:
+    """The pre-tokens of all parts in turn, and the number of the part that each is of."""
+    t = _tokenizer(path)
+    normal = [t.normalizer.normalize_str(p) for p in parts] if t.normalizer else parts
+    starts = np.cumsum([0, *[len(p) + 1 for p in normal]])
+    found = t.pre_tokenizer.pre_tokenize_str(" ".join(normal))
+    return np.searchsorted(starts, np.array([at for _, (at, _) in found], np.int64), "right") - 1, [p for p, _ in found]
+
+
+def frequent_pretokens(docs: DataFrame, path: str, text: str, sample: int = SAMPLE, kept: int = KEPT) -> pa.Table:
+    """(word, n): the most frequent pre-tokens of about `sample` texts, chosen by hash, and their token counts. Tasks send
+    their counts of the sample's pre-tokens to the driver: so much and no more, whatever the size of docs."""
+    rows = docs.select(F.col(text).alias("text")).where("text IS NOT NULL")
+    every = max(1, rows.count() // sample)
 
-    def count(batches):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                if t:
-                    seen.update(_split(t))
-                if len(seen) > 64 * per_task:
-                    seen = Counter(dict(seen.most_common(16 * per_task)))
-        top = [(w, n) for w, n in seen.most_common(per_task) if n > 1 and 0 < len(w) <= LONGEST_KEPT]
+                seen.update(pretokens(path, _split(t))[1])
+        top = [(w, n) for w, n in seen.most_common(kept) if n > 1 and len(w) <= LONGEST_KEPT]
         yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
-    found = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in found.orderBy(F.desc("n"), "word").limit(kept).collect()]
+    seen: Counter = Counter()
+    for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).mapInArrow(count, "word string, n long").toLocalIterator():
+        seen[r.word] += r.n
+    words = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:kept]]
+    model = _tokenizer(path).model
+    return pa.table({"word": pa.array(words, pa.string()), "n": pa.array([len(model.tokenize(w)) for w in words], pa.int32())})
+
+
+class Counts:
+    """Token counts of parts in a Python worker: the frequent table first, then what the worker has met."""
+
+    def __init__(self, path: str, frequent: pa.Table, cache: int):
+        self.path, self.cache, self.model = path, cache, _tokenizer(path).model
+        self.words, self.n = frequent["word"].combine_chunks(), frequent["n"].to_numpy()
+        self.special = _special(path)
+        #: Token counts of parts and of pre-tokens.
+        self.parts, self.met = _caches.setdefault(path, ({"": 0}, {}))
+
+    def _of_pretokens(self, words: list[str]) -> np.ndarray:
+        found = pc.index_in(pa.array(words, pa.string()), value_set=self.words)
+        n = np.where(found.is_valid(), self.n[found.fill_null(0).to_numpy()] if len(self.n) else 0, -1)
+        for i in np.flatnonzero(n < 0):
+            w = words[i]
+            k = self.met.get(w)
+            if k is None:
+                k = len(self.model.tokenize(w))
+                if len(w) <= LONGEST_KEPT:
+                    self.met[w] = k
+            n[i] = k
+        return n
+
+    def add(self, parts: set[str]) -> dict[str, int]:
+        """Makes `parts` known; returns those among them that are too long to keep."""
+        if len(self.parts) > self.cache:
+            self.parts.clear()
+            self.parts[""] = 0
+        if len(self.met) > self.cache:
+            self.met.clear()
+        new = [p for p in parts if p not in self.parts]
+        whole = [p for p in new if any(s in p for s in self.special)]
+        plain = [p for p in new if p not in set(whole)] if whole else new
+        of, words = pretokens(self.path, plain)
+        n = np.bincount(of, self._of_pretokens(words), minlength=len(plain)).astype(int).tolist() if words else [0] * len(plain)
+        got = dict(zip(plain, n, strict=True))
+        got.update((p, len(_tokenizer(self.path).encode(p, add_special_tokens=False))) for p in whole)
+        self.parts.update((p, k) for p, k in got.items() if len(p) <= LONGEST_KEPT)
+        return {p: k for p, k in got.items() if len(p) > LONGEST_KEPT}
 
 
 def count_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", limit: int = 2048, cache: int = 400_000) -> DataFrame:
@@ -68,35 +126,20 @@ def count_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
     path: a tokenizers .json that drops white space. Special strings inside texts are handled as the library
     does by default. A null text counts as empty: 0 bytes, 0 tokens. Rows with null or repeated ids stay, each
     with its own counts; an empty table gives an empty one; other columns are ignored.
-    cache: words that a Python worker keeps at most before it starts anew.
+    cache: parts, and pre-tokens, that a Python worker keeps before it starts anew. Very long texts are counted whole.
     """
-    words = frequent_words(docs, text)
-    frequent = docs.sparkSession.sparkContext.broadcast(dict(zip(words, _lengths(path, words), strict=True)))
-    schema = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_pretokens(docs, path, text))
+    rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
 
     def count(b: pa.RecordBatch) -> dict:
-        table, own = frequent.value, _caches.setdefault(path, {"": 0})
+        counts = Counts(path, frequent.value, cache)
         n_tokens = []
         texts = b.column(1).to_pylist()
         for at in range(0, len(texts), 256):
             split = [_split(t) if t else [] for t in texts[at : at + 256]]
-            missing = list({w for ws in split for w in ws if w not in table and w not in own})
-            if len(own) + len(missing) > cache:
-                own.clear()
-                own[""] = 0
-                missing = list({w for ws in split for w in ws if w not in table and w})
-            got = dict(zip(missing, _lengths(path, missing), strict=True))
-            own.update((w, n) for w, n in got.items() if len(w) <= LONGEST_KEPT)
-            for ws in split:
-                n = 0
-                for w in ws:
-                    x = table.get(w)
-                    if x is None:
-                        x = own.get(w)
-                        if x is None:
-                            x = got[w]
-                    n += x
-                n_tokens.append(n)
+            long = counts.add({p for ps in split for p in ps})
+            known = counts.parts
+            n_tokens += [sum([known[p] if p in known else long[p] for p in ps] if long else map(known.__getitem__, ps)) for ps in split]
         return {
             "doc_id": b.column(0),
             "n_bytes": pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()),
@@ -104,4 +147,4 @@ def count_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
             "over_limit": pa.array([n > limit for n in n_tokens], pa.bool_()),
         }
 
-    return arrow_map(schema, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", count)
+    return arrow_map(rows, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", count)
