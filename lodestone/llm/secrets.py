@@ -27,12 +27,15 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import SPACE_RUN, written
 
 LEAST, SHORT = 16, 6
-TOKEN = "[A-Za-z0-9+/_=-]{%d,}" % LEAST
+#: A web token of three parts, or a run of token characters; a sign of equality only ends one, so names and values part.
+TOKEN = r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*|[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST
 #: A name that a secret is assigned to, with its sign of assignment.
 NAMED = r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[a-z0-9_-]*[\"'`]?"
 ASSIGNED = NAMED + "[:=]+"
 #: The password of an address.
 CREDENTIAL = "://[^/:@]*:([^/]{%d,})@" % SHORT
+#: Given labelled snippets that the forest is fitted to at most, chosen by hash.
+MOST_LABELLED = 100_000
 #: Labelled findings for training, and how often in a million words a word must occur to be in the dictionary.
 LABELLED, COMMON = 6000, 5
 TREES, DEPTH, SEED = 24, 7, 11
@@ -83,16 +86,24 @@ def _triples(c: Column) -> Column:
 FEATURES = ["length", "transitions", "distinct", "digits", "capitals", "hexadecimal", "coverage", "path", "separators", "assigned", "quoted", "says_for", "says_against", "symbols", "stated"]
 
 
-def features(found: DataFrame, triples: DataFrame) -> DataFrame:
-    """found (of candidates) with the columns FEATURES; triples: the dictionary."""
+def known_triples(triples: DataFrame) -> str:
+    """The dictionary as 26^3 characters, 1 where a triple is in it."""
+    found = {r.triple for r in triples.collect()}  # 26^3 at most
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return "".join("01"[a + b + c in found] for a in letters for b in letters for c in letters)
+
+
+def features(found: DataFrame, known: str) -> DataFrame:
+    """found (of candidates) with the columns FEATURES; known: the dictionary, of known_triples."""
     c = F.col("candidate")
     n = F.length(c).cast("double")
     count = lambda pattern, of=c: F.regexp_count(of, F.lit(pattern)).cast("double")
     flag = lambda x: x.cast("double")
-    known = triples.agg(F.sort_array(F.collect_set("triple"))).scalar()  # 26^3 triples at most
     near = F.lower(F.concat_ws(" ", "before2", "before", F.split_part("word", c, F.lit(1))))
-    letters = F.filter(_triples(F.lower(c)), lambda t: t.rlike("^[a-z]{3}$"))
-    rows = found.withColumn("triples", letters).withColumn("known", known)
+    letters = F.array_distinct(F.filter(_triples(F.lower(c)), lambda t: t.rlike("^[a-z]{3}$")))
+    code = lambda t, i: F.ascii(F.substring(t, i, 1)) - 97
+    has = lambda t: F.substring(F.lit(known), code(t, 1) * 676 + code(t, 2) * 26 + code(t, 3) + 1, F.lit(1)) == "1"
+    rows = found.withColumn("triples", letters)
     head = F.split_part("word", c, F.lit(1))
     return rows.withColumns({
         "length": n,
@@ -101,7 +112,7 @@ def features(found: DataFrame, triples: DataFrame) -> DataFrame:
         "digits": count("[0-9]") / n,
         "capitals": count("[A-Z]") / n,
         "hexadecimal": flag(c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
-        "coverage": F.size(F.array_intersect("triples", "known")) / F.greatest(F.size(F.array_distinct("triples")), F.lit(1)),
+        "coverage": F.size(F.filter("triples", has)) / F.greatest(F.size("triples"), F.lit(1)),
         "path": flag(F.col("word").rlike(r"://|^/|^\.{0,2}/|@|\.[a-z]{2,4}$|/.*/")),
         "separators": count("[-_/]") / n,
         "assigned": flag(head.rlike("[=:]") | F.col("before").rlike("[=:]$")),
@@ -110,7 +121,7 @@ def features(found: DataFrame, triples: DataFrame) -> DataFrame:
         "says_against": flag(near.rlike(AGAINST)),
         "symbols": count("[^A-Za-z0-9+/_=-]") / n,
         "stated": flag(F.array_contains(F.array(*_stated(F.col("word"), F.col("before"), F.col("before2"))), c)),
-    }).drop("triples", "known")
+    }).drop("triples")
 
 
 def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
@@ -155,10 +166,11 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     return long.unionByName(few)
 
 
-def trained(labelled: DataFrame, triples: DataFrame) -> PipelineModel:
-    """The forest fitted to labelled snippets (id, text, label)."""
+def trained(labelled: DataFrame, known: str) -> PipelineModel:
+    """The forest fitted to labelled snippets (id, text, label), MOST_LABELLED at most."""
+    labelled = labelled.orderBy(F.xxhash64("id", "text"), "id").limit(MOST_LABELLED)
     rows = candidates(labelled, "id").join(labelled.select(F.col("id").alias("doc_id"), "label"), "doc_id")
-    rows = written(features(rows, triples).select("doc_id", "part", "label", *FEATURES), "secrets-labelled").coalesce(1).sortWithinPartitions("doc_id", "part")
+    rows = written(features(rows, known).select("doc_id", "part", "label", *FEATURES), "secrets-labelled").coalesce(1).sortWithinPartitions("doc_id", "part")
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(rows)
 
@@ -167,12 +179,13 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", labelled: Data
     """(doc_id, word_index, part, candidate, probability, is_secret) of every candidate in docs.
 
     word_index: the place among the parts of the text between runs of white space; part: which candidate of that word.
-    Null, empty and blank texts have no candidates; rows with null or repeated ids are scanned like any other; an empty
+    Null, empty and blank texts have no candidates; very long texts are scanned whole; equal candidates of a text are
+    found at each of their places, and probabilities at the threshold are secrets; rows with null or repeated ids are scanned like any other; an empty
     table gives an empty one (its dictionary has no words); other columns are ignored.
     """
-    triples = written(dictionary(docs, text), "secrets-dictionary")
-    model = trained(labelled if labelled is not None else labelled_findings(docs.sparkSession), triples)
-    scored = model.transform(features(candidates(docs, id, text), triples))
+    known = known_triples(dictionary(docs, text))
+    model = trained(labelled if labelled is not None else labelled_findings(docs.sparkSession), known)
+    scored = model.transform(features(candidates(docs, id, text), known))
     p = F.round(F.get(vector_to_array("probability"), F.lit(1)), 6)
     return scored.select("doc_id", "word_index", "part", "candidate", p.alias("probability"), (p >= threshold).alias("is_secret"))
 
