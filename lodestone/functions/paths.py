@@ -7,22 +7,32 @@ from pyspark.sql import functions as F
 
 # Results depend on these lists.
 IGNORED_DIRECTORIES = (".git", "node_modules", "venv", ".venv", "__pycache__", "dist", "build", "target", "coverage", "generated", "vendor")
-EXTENSIONS_BY_LANGUAGE = {
-    "Python": (".py",),
-    "C": (".c", ".h"),
-    "C++": (".cc", ".cpp", ".cxx", ".hpp"),
-    "Java": (".java",),
-    "Kotlin": (".kt", ".kts"),
-    "JavaScript": (".js", ".jsx"),
-    "TypeScript": (".ts", ".tsx"),
-    "Go": (".go",),
-    "Rust": (".rs",),
-    "HTML": (".html", ".htm"),
-    "CSS": (".css",),
-    "SQL": (".sql",),
-    "Markdown": (".md", ".mdx"),
-    "JSON": (".json",),
-    "YAML": (".yaml", ".yml"),
+LANGUAGE_BY_SUFFIX = {
+    ".py": "Python",
+    ".c": "C",
+    ".h": "C",
+    ".cc": "C++",
+    ".cpp": "C++",
+    ".cxx": "C++",
+    ".hpp": "C++",
+    ".java": "Java",
+    ".kt": "Kotlin",
+    ".kts": "Kotlin",
+    ".js": "JavaScript",
+    ".jsx": "JavaScript",
+    ".ts": "TypeScript",
+    ".tsx": "TypeScript",
+    ".go": "Go",
+    ".rs": "Rust",
+    ".html": "HTML",
+    ".htm": "HTML",
+    ".css": "CSS",
+    ".sql": "SQL",
+    ".md": "Markdown",
+    ".mdx": "Markdown",
+    ".json": "JSON",
+    ".yaml": "YAML",
+    ".yml": "YAML",
 }
 
 
@@ -32,13 +42,15 @@ def _parts(path: Column) -> Column:
 
 def repository_address(url: Column, host: str = "github.com") -> Column:
     """struct(canonical_url, name) of https://host/owner/name[.git], null for anything else: another scheme or host, a
-    port, user, query or fragment, or another number of path parts."""
+    port, user, query or fragment, or another number of path parts. White space around it and an empty query or fragment
+    do not count."""
+    url = F.regexp_replace(url, r"^\s+|\s+$", "")
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     parts = _parts(path)
     owner, name = F.get(parts, F.lit(0)), F.regexp_replace(F.get(parts, F.lit(1)), r"\.git$", "")
-    ok = (scheme == "https") & (F.lower(authority) == host) & (F.size(parts) == 2) & (name != "") & ~url.rlike("[?#;]")
+    ok = (scheme == "https") & (F.lower(authority) == host) & (F.size(parts) == 2) & (name != "") & ~url.rlike(r"\?[^#]|#.|;")
     return F.when(ok, F.struct(F.concat(F.lit(f"https://{host}/"), owner, F.lit("/"), name, F.lit(".git")).alias("canonical_url"), name.alias("name")))
 
 
@@ -52,7 +64,7 @@ def ignored_path(path: Column) -> Column:
 def language(path: Column) -> Column:
     """The language of a path's last suffix, null if there is none for it."""
     suffix = F.regexp_extract(F.lower(F.element_at(F.split(path, "/"), -1)), r"[^.](\.[^.]+)$", 1)
-    table = F.create_map(*[F.lit(x) for name, suffixes in EXTENSIONS_BY_LANGUAGE.items() for s in suffixes for x in (s, name)])
+    table = F.create_map(*[F.lit(x) for pair in LANGUAGE_BY_SUFFIX.items() for x in pair])
     return F.try_element_at(table, suffix)
 
 

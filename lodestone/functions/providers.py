@@ -19,7 +19,23 @@ Scorer = Callable[[list[str], list[str]], list[float]]
 Generator = Callable[[list[str]], list[str]]
 
 
-def with_retry(call: Callable, retries: int = 2, delay: float = 0.25, sleep: Callable[[float], None] = time.sleep) -> Callable:
+class ProviderError(Exception):
+    """A provider's refusal with its HTTP status, if it has one."""
+
+    def __init__(self, message: str, status: int | None = None):
+        super().__init__(message)
+        self.status = status
+
+
+def passing(error: Exception) -> bool:
+    """Whether a call may succeed when it is made again: a status of 429 or 5xx, or a failure of transport."""
+    if isinstance(error, ProviderError):
+        return error.status is not None and (error.status == 429 or 500 <= error.status < 600)
+    return isinstance(error, (ConnectionError, TimeoutError, OSError))
+
+
+def with_retry(call: Callable, retries: int = 2, delay: float = 0.25, sleep: Callable[[float], None] = time.sleep, again: Callable[[Exception], bool] = passing) -> Callable:
+    """call, made again after errors that `again` takes for passing, with doubling delays; other errors are raised at once."""
     if retries < 0 or delay < 0:
         raise ValueError("retries and delay must not be negative")
 
@@ -27,8 +43,8 @@ def with_retry(call: Callable, retries: int = 2, delay: float = 0.25, sleep: Cal
         for attempt in range(retries + 1):
             try:
                 return call(*args)
-            except Exception:
-                if attempt == retries:
+            except Exception as e:
+                if attempt == retries or not again(e):
                     raise
                 sleep(delay * 2**attempt)
 
@@ -56,15 +72,18 @@ def embed(text: Column, embedder: Embedder, batch: int = 32) -> Column:
     """Vectors of texts, in batches of at most `batch` calls; a provider that answers with another number of vectors fails."""
     if batch < 1:
         raise ValueError("batch must be at least 1")
+    call = with_retry(embedder)
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         out = []
         for i in range(0, len(texts), batch):
             part = texts.iloc[i : i + batch].fillna("").tolist()
-            vectors = embedder(part)
+            vectors = call(part)
             if len(vectors) != len(part):
                 raise ValueError("the embedder returned another number of vectors")
+            if len({len(v) for v in vectors}) > 1:
+                raise ValueError("the embedder returned vectors of different lengths")
             out += vectors
         return pd.Series(out, index=texts.index)
 
@@ -74,13 +93,15 @@ def embed(text: Column, embedder: Embedder, batch: int = 32) -> Column:
 def score(question: Column, content: Column, scorer: Scorer, batch: int = 16) -> Column:
     """struct(score, ok) by a scorer; ok is false for a batch in which it failed or returned another number of scores."""
 
+    call = with_retry(scorer)
+
     @F.pandas_udf("score double, ok boolean")
     def run(questions: pd.Series, contents: pd.Series) -> pd.DataFrame:
         scores, ok = [], []
         for i in range(0, len(questions), batch):
             q, c = questions.iloc[i : i + batch].tolist(), contents.iloc[i : i + batch].tolist()
             try:
-                got = [float(x) for x in scorer(q, c)]
+                got = [float(x) for x in call(q, c)]
             except Exception:
                 got = []
             fine = len(got) == len(q)
@@ -91,9 +112,17 @@ def score(question: Column, content: Column, scorer: Scorer, batch: int = 16) ->
     return run(question, content)
 
 
-def generate(prompt: Column, generator: Generator) -> Column:
+def generate(prompt: Column, generator: Generator, fail_open: bool = False) -> Column:
+    """A generator's answers, with retries; with fail_open null where it fails, so that callers can fall back."""
+    call = with_retry(generator)
+
     @F.pandas_udf("string")
     def run(prompts: pd.Series) -> pd.Series:
-        return pd.Series(generator(prompts.tolist()), index=prompts.index)
+        try:
+            return pd.Series(call(prompts.tolist()), index=prompts.index, dtype=object)
+        except Exception:
+            if not fail_open:
+                raise
+            return pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
 
     return run(prompt)

@@ -10,6 +10,7 @@ _BREAKS = r"\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029"
 LINE = rf"[^{_BREAKS}]*(?:\r\n|[{_BREAKS}])|[^{_BREAKS}]+\z"
 # Tokens and identities depend on these.
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|\d+"
+BOUNDARY = "(?<=[a-z0-9])(?=[A-Z])"
 POINT_NAMESPACE = "0de7d8c3591048bbbd81cc78732cc1ad"
 SEPARATOR = "\x1f"
 
@@ -28,10 +29,14 @@ def code_tokens(text: Column) -> Column:
     words = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
     def parts(word: Column) -> Column:
-        split = F.split(F.lower(F.translate(F.regexp_replace(word, "(?<=[a-z0-9])(?=[A-Z])", " "), "_", " ")), " +")
-        return F.concat(F.array(F.lower(word)), F.filter(split, lambda x: (x != "") & (x != F.lower(word))))
-
-    return F.flatten(F.transform(words, parts))
+        split = F.split(F.lower(F.translate(F.regexp_replace(word, BOUNDARY, " "), "_", " ")), " +")
+        several = F.concat(F.array(F.lower(word)), F.filter(split, lambda x: (x != "") & (x != F.lower(word))))
+        return F.when(word.contains("_") | word.rlike(BOUNDARY), several).otherwise(F.array(F.lower(word)))
+
+    # most texts have no word of several parts: then no word is looked at alone
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    plain = F.regexp_extract_all(F.translate(text, letters, letters.lower()), F.lit(TOKEN), F.lit(0))
+    return F.when(text.contains("_") | text.rlike("[a-z0-9][A-Z]"), F.flatten(F.transform(words, parts))).otherwise(plain)
 
 
 def searchable_text(path: Column, symbol: Column, content: Column) -> Column:

@@ -1,7 +1,7 @@
 """Deterministic, line-addressable chunks of files.
 
 A file becomes sections (Python by its syntax tree, Markdown by headings, all else as a whole); a section's lines are
-packed into pieces of bounded length by one fold over its lines, in the JVM. Only the syntax tree needs Python.
+packed into pieces of bounded length by one pass over its lines, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import ChunkConfig
@@ -19,42 +19,44 @@ from lodestone.functions import text
 SECTION = "repository_id string, path string, language string, content string, start_line int, symbol string, kind string, whole boolean"
 
 
-def line_spans(lengths: Column, config: ChunkConfig) -> Column:
-    """array<struct<a, b>>: half-open spans of lines packed greedily to max_chars; a longer line stands alone. The next
-    span starts overlap_lines before the last one's end, but later than its start."""
-    upto = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
-    n = F.size(lengths)
-    span = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
-    start = F.struct(F.lit(0).alias("s"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+PIECE = "repository_id string, path string, language string, content string, start_line int, end_line int, symbol string, kind string, part int, parts int"
 
-    def fold(upto: Column) -> Column:
-        def line(acc: Column, j: Column) -> Column:
-            def close(acc: Column, _: Column) -> Column:
-                full = (acc["s"] < j) & (F.get(upto, j + 1) - F.get(upto, acc["s"]) > config.max_chars)
-                later = F.greatest(acc["s"] + 1, j - config.overlap_lines)
-                return F.when(full, F.struct(later.alias("s"), F.array_append(acc["out"], span(acc["s"], j)).alias("out"))).otherwise(acc)
 
-            return F.aggregate(F.sequence(F.lit(0), F.lit(config.overlap_lines)), acc, close)
+def line_spans(lengths: list[int], config: ChunkConfig) -> list[tuple[int, int]]:
+    """Half-open spans of lines packed greedily to max_chars; a longer line stands alone. The next span starts
+    overlap_lines before the last one's end, but later than its start. Each step moves one end of the span."""
+    out, start, end, size = [], 0, 0, 0
+    while end < len(lengths):
+        if end > start and size + lengths[end] > config.max_chars:
+            out.append((start, end))
+            later = max(start + 1, end - config.overlap_lines)
+            size -= sum(lengths[start:later])
+            start = later
+        else:
+            size += lengths[end]
+            end += 1
+    return [*out, (start, end)] if lengths else out
 
-        return F.aggregate(F.sequence(F.lit(0), n - 1), start, line, lambda acc: F.array_append(acc["out"], span(acc["s"], n)))
 
-    # `upto` is bound once, as a variable of the lambda
-    spans = F.element_at(F.transform(F.array(upto), fold), 1)
-    return F.when(n > 0, spans).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+def pieces(sections: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """Chunks of sections (SECTION): a section marked whole stays in one piece, one without lines has none."""
+    names = [x.split()[0] for x in PIECE.split(", ")]
+    kinds = [pa.int32() if x.endswith(" int") else pa.string() for x in PIECE.split(", ")]
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for repository, path, language, content, first, symbol, kind, whole in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                lines = (content or "").splitlines(keepends=True)
+                spans = [(0, len(lines))] if whole and lines else line_spans([len(x) for x in lines], config)
+                rows += [(repository, path, language, "".join(lines[x:y]), first + x, first + y - 1, symbol, kind, i + 1, len(spans)) for i, (x, y) in enumerate(spans)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-def pieces(sections: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Chunks of sections (SECTION): a section marked whole stays in one piece."""
-    rows = sections.withColumn("lines", text.lines(F.col("content"))).where(F.size("lines") > 0)
-    one = F.array(F.struct(F.lit(0).alias("a"), F.size("lines").alias("b")))
-    rows = rows.withColumn("spans", F.when(F.col("whole"), one).otherwise(line_spans(F.transform("lines", F.length), config)))
-    rows = rows.select("*", F.posexplode("spans").alias("i", "span")).withColumn("content", F.array_join(F.slice("lines", F.col("span.a") + 1, F.col("span.b") - F.col("span.a")), ""))
-    first = F.col("start_line") + F.col("span.a")
-    last = F.col("start_line") + F.col("span.b") - 1
+    rows = sections.select(*[x.split()[0] for x in SECTION.split(", ")]).mapInArrow(pack, PIECE)
+    key = [F.col(c) for c in ("repository_id", "path", "start_line", "end_line", "symbol", "kind", "content")]
     return rows.select(
-        text.chunk_id(F.col("repository_id"), F.col("path"), first, last, F.col("symbol"), F.col("kind"), F.col("content")).alias("chunk_id"),
-        "repository_id", F.col("path").alias("file_path"), "language", "content", first.alias("start_line"), last.alias("end_line"),
-        F.col("symbol").alias("symbol_name"), F.col("kind").alias("chunk_type"), (F.col("i") + 1).alias("part"), F.size("spans").alias("parts"),
+        text.chunk_id(*key).alias("chunk_id"), "repository_id", F.col("path").alias("file_path"), "language", "content", "start_line", "end_line",
+        F.col("symbol").alias("symbol_name"), F.col("kind").alias("chunk_type"), "part", "parts",
     )
 
 
@@ -138,10 +140,10 @@ def python_sections(files: DataFrame, config: ChunkConfig = ChunkConfig()) -> Da
 
 
 def chunk_files(files: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Chunks of all files (repository_id, path, language, content)."""
+    """Chunks of all files (repository_id, path, language, content); a file without a language is chunked as text."""
     python = python_sections(files.where("language = 'Python'"), config)
     markdown = markdown_sections(files.where("language = 'Markdown'"))
-    other = text_sections(files.where("language NOT IN ('Python', 'Markdown')"))
+    other = text_sections(files.where("coalesce(language, '') NOT IN ('Python', 'Markdown')"))
     return pieces(python.unionByName(markdown).unionByName(other), config)
 
 

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from lodestone.config import ConversationConfig
 
 KEYS = ["repository_id", "conversation_id"]
-# The rewriting prompt's format.
+#: The rewriting prompt's parts, around lines of role and content.
 REWRITE_HEAD = (
-    "Rewrite the latest user message into one standalone repository-search query.\n"
-    "Resolve pronouns and ambiguous references using the conversation history.\n"
-    "Return only the rewritten query, with no explanation or citation.\n\n"
-    "Conversation history:\n"
+    "Turn the last message below into a search query for the repository that can be read alone.\n"
+    "Put in what its pronouns and references stand for, going by the conversation.\n"
+    "Answer with the query alone: no comment, no citation.\n\n"
+    "Conversation so far:\n"
 )
-REWRITE_LATEST = "\n\nLatest user message:\n"
+REWRITE_LATEST = "\n\nLast message:\n"
 
 
 def retained(messages: DataFrame, config: ConversationConfig = ConversationConfig()) -> DataFrame:

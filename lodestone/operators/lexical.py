@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import LexicalConfig
 from lodestone.functions import text
+from lodestone.sources.tables import spread, stored
 
 #: Columns that a lexical filter can name; any other never matches.
 FILTERS = ("file_path", "language", "symbol_name", "chunk_type", "part", "parts")
@@ -32,12 +33,16 @@ def tokens_of(chunks: DataFrame) -> DataFrame:
 
 
 def build_index(chunks: DataFrame) -> LexicalIndex:
-    rows = tokens_of(chunks)
+    """The index of chunks; their contents are split into tokens once, in a stored table."""
+    rows = stored(tokens_of(spread(chunks)), "lexical-tokens")
     lengths = rows.withColumn("dl", F.size("tokens")).drop("tokens")
     postings = rows.select("repository_id", "chunk_id", F.explode("tokens").alias("term")).groupBy("repository_id", "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
     terms = postings.groupBy("repository_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    repositories = lengths.groupBy("repository_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return LexicalIndex(postings, lengths, terms, repositories)
+    return LexicalIndex(postings, lengths, terms, statistics(lengths))
+
+
+def statistics(lengths: DataFrame) -> DataFrame:
+    return lengths.groupBy("repository_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def matches(filters: dict[str, object], columns: list[str]) -> Column:
@@ -47,23 +52,32 @@ def matches(filters: dict[str, object], columns: list[str]) -> Column:
     return ok
 
 
-def search(index: LexicalIndex, queries: DataFrame, limit: int, filters: dict[str, object] | None = None, config: LexicalConfig = LexicalConfig()) -> DataFrame:
+def search(index: LexicalIndex, queries: DataFrame, limit: int, filters: dict[str, object] | None = None, config: LexicalConfig = LexicalConfig(), digits: int | None = None) -> DataFrame:
     """(query_id, repository_id, chunk_id, score, rank) for queries (query_id, repository_id, text): the limit best chunks
-    with a score above 0 of each query's repository, ties to the smaller chunk_id. A query's repeated tokens count once."""
+    with a score above 0 of each query's repository, ties to the smaller chunk_id. A query's repeated tokens count once.
+    Only postings of the queries' terms are counted and moved. digits: scores are rounded to so many before they are ranked."""
     if limit < 1:
         raise ValueError("limit must be at least 1")
     terms = queries.select("query_id", "repository_id", F.explode(F.array_distinct(text.code_tokens(F.col("text")))).alias("term"))
-    hits = terms.join(index.postings, ["repository_id", "term"]).join(index.terms, ["repository_id", "term"])
+    terms = stored(terms, "lexical-questions")
+    # the semi join goes below the postings' aggregate, so tokens that no query has are dropped where they are read
+    found = index.postings.join(terms.select("repository_id", "term").distinct(), ["repository_id", "term"], "left_semi")
+    df = found.groupBy("repository_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    hits = terms.join(found, ["repository_id", "term"]).join(df, ["repository_id", "term"])
     hits = hits.join(index.lengths, ["repository_id", "chunk_id"]).join(index.repositories, "repository_id")
     if filters:
         hits = hits.where(matches(filters, index.lengths.columns))
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     average = F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))
     part = idf * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / average))
-    scored = hits.groupBy("query_id", "repository_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    scored = hits.groupBy("query_id", "repository_id", "chunk_id").agg(rounded(F.sum(part), digits).alias("score")).where("score > 0")
     return ranked(scored, "query_id", limit)
 
 
+def rounded(score: Column, digits: int | None) -> Column:
+    return score if digits is None else F.round(score, digits)
+
+
 def ranked(scored: DataFrame, by: str, limit: int) -> DataFrame:
     """The limit best rows of each `by`, with their rank from 1: highest score, then smallest chunk_id."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "chunk_id"))

@@ -35,11 +35,25 @@ def replace_repository(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.join(new.select("repository_id").distinct(), "repository_id", "left_anti").select(*stored.columns).unionByName(new.select(*stored.columns))
 
 
-def write_repository(rows: DataFrame, path: str) -> None:
-    """Replaces the partitions of the repositories that rows have, and no others, in a table of Parquet files."""
+def write_repository(rows: DataFrame, path: str, repository_id: str | None = None) -> None:
+    """Replaces the partitions of the repositories that rows have, and no others, in a table of Parquet files. With a
+    repository_id its partition goes first, so that rows without any leave none behind."""
+    if repository_id is not None:
+        drop_repository(rows.sparkSession, path, repository_id)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id").parquet(path)
 
 
+def drop_repository(spark: SparkSession, path: str, repository_id: str) -> bool:
+    """Deletes a repository's partition of a stored table, through Spark's file systems; whether there was one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/repository_id={repository_id}")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def delete_repository(stored: DataFrame, repository_id: str) -> DataFrame:
     return stored.where(F.col("repository_id") != repository_id)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.lexical import ranked
+from lodestone.operators.lexical import ranked, rounded
 
 
 def norm(v: Column) -> Column:
@@ -30,17 +30,17 @@ def criteria(filters: dict[str, object] | None) -> Column:
     return ok
 
 
-def search(points: DataFrame, queries: DataFrame, limit: int, threshold: float | None = None, filters: dict[str, object] | None = None) -> DataFrame:
+def search(points: DataFrame, queries: DataFrame, limit: int, threshold: float | None = None, filters: dict[str, object] | None = None, digits: int | None = None) -> DataFrame:
     """(query_id, repository_id, chunk_id, score, rank): cosine similarity of queries (query_id, repository_id, vector) to
     the points (of `prepared`) of their repository, at least `threshold` if given; ties to the smaller chunk_id. A zero
-    vector's similarity is 0. Only each task's best rows of a query are shuffled."""
+    vector's similarity is 0. digits: scores are rounded to so many before anything else. Only each task's best rows of a query are shuffled."""
     if limit < 1:
         raise ValueError("limit must be at least 1")
     q = queries.select("query_id", "repository_id", F.col("vector").alias("query_vector"), norm(F.col("vector")).alias("query_norm"))
     both = points.where(criteria(filters)).join(q, "repository_id")
     length = F.col("norm") * F.col("query_norm")
     cosine = F.when(length == 0, 0.0).otherwise(dot(F.col("vector"), F.col("query_vector")) / length)
-    scored = both.select("query_id", "repository_id", "chunk_id", F.round(cosine, 6).alias("score"))
+    scored = both.select("query_id", "repository_id", "chunk_id", rounded(cosine, digits).alias("score"))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
     return ranked(scored, "query_id", limit)

@@ -17,6 +17,7 @@ from lodestone.functions import paths, providers, text
 from lodestone.operators import chunking, context, conversation, evaluation, fusion, lexical, lifecycle, rerank, store, vectors
 from lodestone.plans import sql
 from lodestone.sources import files as sources
+from lodestone.sources.tables import spread, stored
 
 FLAGSHIP = "hybrid_retrieve"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +33,19 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: To which the queries below round the scores of both legs, and fused ones, before they rank: so sums in another order, as
+#: the SQL's, rank alike.
+DIGITS, FUSED_DIGITS = 6, 9
+
+
+def search_words(*args, **kw) -> DataFrame:
+    return lexical.search(*args, digits=DIGITS, **kw)
+
+
+def search_vectors(*args, **kw) -> DataFrame:
+    return vectors.search(*args, digits=DIGITS, **kw)
+
+
 def long(*names: str) -> list[Column]:
     return [F.col(n).cast("long").alias(n) for n in names]
 
@@ -45,7 +59,7 @@ def made_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select(F.col("source").alias("repository_id"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("lang").alias("language"), F.col("text").alias("content"), F.octet_length("text").cast("long").alias("size_bytes"))
+    return spread(read(spark, d, "documents")).select(F.col("source").alias("repository_id"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("lang").alias("language"), F.col("text").alias("content"), F.octet_length("text").cast("long").alias("size_bytes"))
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -65,9 +79,9 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     return vectors.prepared(rows)
 
 
-def vector_questions(spark: SparkSession, d: str, below: int = 8) -> DataFrame:
-    """The first embeddings as queries."""
-    return read(spark, d, "embeddings").where(F.col("vec_id") < below).select(F.col("vec_id").alias("query_id"), F.lit("all").alias("repository_id"), F.col("embedding").alias("vector"))
+def vector_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings whose id is divisible by 20 as queries."""
+    return read(spark, d, "embeddings").where(F.pmod("vec_id", F.lit(20)) == 0).select(F.col("vec_id").alias("query_id"), F.lit("all").alias("repository_id"), F.col("embedding").alias("vector"))
 
 
 def document_points(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +106,7 @@ RESULT = ["query_id", "chunk_id", "score"]
 def url_parse(spark, d):
     url = F.regexp_replace("url", "^http:", "https:")
     host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
-    rows = read(spark, d, "pages").select(F.col("page_id"), F.explode(F.array(F.col("url"), F.concat(F.lit("https://GitHub.com/o"), F.col("page_id").cast("string"), F.lit("/"), F.translate(host, ".", "-"), F.lit(".git/")), F.concat(F.lit("https://github.com/one"), F.col("page_id").cast("string")), F.concat(url, F.lit("#x")))).alias("url"))
+    rows = read(spark, d, "pages").select(F.col("page_id"), F.explode(F.array(F.col("url"), F.concat(F.lit("https://GitHub.com/o"), F.col("page_id").cast("string"), F.lit("/"), F.translate(host, ".", "-"), F.lit(".git/")), F.concat(F.lit("https://github.com/one"), F.col("page_id").cast("string")), F.concat(F.lit(" https://github.com/o"), F.col("page_id").cast("string"), F.lit("/r?# ")), F.concat(url, F.lit("#x")))).alias("url"))
     x = paths.repository_address(F.col("url"))
     return rows.select("page_id", "url", x["canonical_url"].alias("canonical_url"), x["name"].alias("name"))
 
@@ -192,8 +206,7 @@ def tokenize_code(spark, d):
 
 @query
 def postings(spark, d):
-    rows = chunks(spark, d).where(F.col("repository_id").isin("src1", "src2"))
-    return lexical.build_index(rows).postings.select("repository_id", "term", "chunk_id", *long("tf"))
+    return lexical.build_index(chunks(spark, d)).postings.select("repository_id", "term", "chunk_id", *long("tf"))
 
 
 @query
@@ -288,39 +301,39 @@ def registry_latest(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    return lexical.search(lexical.build_index(chunks(spark, d)), questions(spark, d), 10).select(*RESULT, *long("rank"))
+    return search_words(lexical.build_index(chunks(spark, d)), questions(spark, d), 10).select(*RESULT, *long("rank"))
 
 
 @query
 def bm25_filtered_stats_global(spark, d):
-    return lexical.search(lexical.build_index(chunks(spark, d)), questions(spark, d), 10, {"language": "en"}).select(*RESULT, *long("rank"))
+    return search_words(lexical.build_index(chunks(spark, d)), questions(spark, d), 10, {"language": "en"}).select(*RESULT, *long("rank"))
 
 
 @query
 def bm25_multi_repo(spark, d):
-    rows = questions(spark, d).where("query_id < 10").select((F.col("query_id") * 20).alias("query_id"), "text", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
+    rows = questions(spark, d).select((F.col("query_id") * 20).alias("query_id"), "text", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
     asked = rows.select((F.col("query_id") + F.col("k")).alias("query_id"), F.concat(F.lit("src"), F.col("k").cast("string")).alias("repository_id"), "text")
-    return lexical.search(lexical.build_index(chunks(spark, d)), asked, 3).select(*RESULT, *long("rank"))
+    return search_words(lexical.build_index(chunks(spark, d)), asked, 3).select(*RESULT, *long("rank"))
 
 
 @query
 def vector_topk(spark, d):
-    return vectors.search(points(spark, d), vector_questions(spark, d, 1), 10).select(*RESULT, *long("rank"))
+    return search_vectors(points(spark, d), vector_questions(spark, d), 10).select(*RESULT, *long("rank"))
 
 
 @query
 def vector_threshold_filter(spark, d):
-    return vectors.search(points(spark, d), vector_questions(spark, d), 20, 0.1, {"label": 1}).select(*RESULT, *long("rank"))
+    return search_vectors(points(spark, d), vector_questions(spark, d), 20, 0.1, {"label": 1}).select(*RESULT, *long("rank"))
 
 
 @query
 def vector_topk_batch(spark, d):
-    return vectors.search(points(spark, d), vector_questions(spark, d, 40), 5).select(*RESULT, *long("rank"))
+    return search_vectors(points(spark, d), vector_questions(spark, d), 5).select(*RESULT, *long("rank"))
 
 
 def _legs(spark, d, pool: int = 20):
     asked = hybrid_questions(spark, d)
-    return vectors.search(document_points(spark, d), asked, pool), lexical.search(lexical.build_index(chunks(spark, d)), asked, pool)
+    return search_vectors(document_points(spark, d), asked, pool), search_words(lexical.build_index(chunks(spark, d)), asked, pool)
 
 
 def _fused(rows: DataFrame) -> DataFrame:
@@ -329,23 +342,23 @@ def _fused(rows: DataFrame) -> DataFrame:
 
 @query
 def rrf_fusion(spark, d):
-    return _fused(fusion.fuse(*_legs(spark, d), HybridConfig(), 10))
+    return _fused(fusion.fuse(*_legs(spark, d), HybridConfig(), 10, FUSED_DIGITS))
 
 
 @query
 def rrf_weighted(spark, d):
-    return _fused(fusion.fuse(*_legs(spark, d), HybridConfig(rrf_k=10, vector_weight=2.0), 10))
+    return _fused(fusion.fuse(*_legs(spark, d), HybridConfig(rrf_k=10, vector_weight=2.0), 10, FUSED_DIGITS))
 
 
 @query
 def hybrid_retrieve(spark, d):
-    return _fused(fusion.retrieve(document_points(spark, d), lexical.build_index(chunks(spark, d)), hybrid_questions(spark, d)))
+    return _fused(fusion.retrieve(document_points(spark, d), lexical.build_index(chunks(spark, d)), hybrid_questions(spark, d), digits=(DIGITS, FUSED_DIGITS)))
 
 
 def _candidates(spark, d, k: int = 20) -> DataFrame:
     """Lexical candidates with their question and content, as reranking and packing take them."""
     asked = questions(spark, d)
-    found = lexical.search(lexical.build_index(chunks(spark, d)), asked, k).withColumnRenamed("score", "fused_score")
+    found = stored(search_words(lexical.build_index(chunks(spark, d)), asked, k).withColumnRenamed("score", "fused_score"), "candidates")
     content = chunks(spark, d).drop("repository_id")
     return found.join(content, "chunk_id").join(asked.select("query_id", F.col("text").alias("question")), "query_id")
 
@@ -433,10 +446,10 @@ def _judged(spark, d) -> DataFrame:
     wanted = read(spark, d, "labels").where("quality = 1").select(F.concat(F.lit("src"), F.pmod("doc_id", F.lit(20)).cast("string")).alias("repository_id"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
     expected = wanted.groupBy("repository_id").agg(F.sort_array(F.collect_set("path")).alias("expected_file_paths"))
     cases = questions(spark, d).join(expected, "repository_id", "left").select(F.col("query_id").alias("case_id"), F.coalesce("expected_file_paths", F.array().cast("array<string>")).alias("expected_file_paths"), F.array().cast("array<string>").alias("expected_symbols"))
-    semantic, words = _legs(spark, d, 10)
-    both = fusion.fuse(semantic, words, HybridConfig(), 10)
+    semantic, words = (stored(x, "eval-leg") for x in _legs(spark, d, 10))
+    both = fusion.fuse(semantic, words, HybridConfig(), 10, FUSED_DIGITS)
     found = [x.select(F.lit(m).alias("method"), F.col("query_id").alias("case_id"), "rank", "chunk_id", F.concat(F.lit("docs/"), F.col("chunk_id"), F.lit(".md")).alias("file_path"), F.lit(None).cast("string").alias("symbol_name")) for m, x in (("bm25", words), ("hybrid", both), ("vector", semantic))]
-    return evaluation.judged(found[0].unionByName(found[1]).unionByName(found[2]), cases)
+    return evaluation.judged(found[0].unionByName(found[1]).unionByName(found[2]), cases, ("bm25", "hybrid", "vector"))
 
 
 @query

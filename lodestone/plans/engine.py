@@ -1,22 +1,29 @@
 """Whole runs over stored tables: indexing a repository, search, answers, explanations and chat turns.
 
-Tables lie under one root, partitioned by repository: points (chunks with vectors), postings, lengths; and registry,
-one row for each finished indexing with its content signature. An indexing writes the partitions of its repository and
-the registry row last, so a signature is never stored without the tables it stands for.
+Tables lie under one root, partitioned by repository: points (chunks with vectors), postings, lengths, repositories (their
+statistics); and registry, a row for each stage of each indexing. An indexing writes the partitions of its repository and
+the row of a finished one last, so a signature is never stored without the tables it stands for; one that failed says so.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import ChunkConfig, ContextConfig, ConversationConfig, HybridConfig, IngestConfig, RerankConfig
 from lodestone.functions import providers, text
 from lodestone.operators import chunking, context, conversation, fusion, lexical, lifecycle, rerank, store, vectors
 from lodestone.sources import files as sources
+from lodestone.sources.tables import stored
+
+REGISTRY = (
+    "repository_id string, repository_url string, repository_name string, status string, stage string, progress_percent int, file_count long, "
+    "total_size_bytes long, languages array<string>, content_signature string, error string, version long, recorded long"
+)
 
 
 @dataclass(frozen=True)
@@ -37,41 +44,68 @@ class Engine:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
     def registry(self) -> DataFrame:
-        """The latest record of each repository, by name."""
-        return lifecycle.listed(lifecycle.latest(self._table("registry"), "repository_id", ("version",)))
+        """The latest record of each repository that is not deleted, by name."""
+        return lifecycle.listed(lifecycle.latest(self._table("registry"), "repository_id", ("version", "recorded")).where("status <> 'deleted'"))
+
+    def get(self, repository_id: str) -> Row | None:
+        """A repository's latest record, if it has one and is not deleted."""
+        return self.registry().where(F.col("repository_id") == repository_id).first() if store.exists(self.spark, f"{self.root}/registry") else None
+
+    def _record(self, id: str, url: str, name: str, version: int, stage: str, status: str = "indexing", row: Row | None = None, error: str | None = None) -> None:
+        summary = (row.file_count, row.total_size_bytes, row.languages, row.content_signature) if row else (None,) * 4
+        done = [(id, url, name, status, stage, lifecycle.PROGRESS.get(stage, 0), *summary, error, version, time.time_ns())]
+        self.spark.createDataFrame(done, REGISTRY).write.mode("append").parquet(f"{self.root}/registry")
 
     def index(self, files: DataFrame, url: str, name: str, version: int) -> str:
-        """Indexes one repository's files (of sources.included) and gives its state: `unchanged` if a finished indexing has
-        its signature, else `completed`. Too many files or bytes raise an error before anything is written."""
+        """Indexes one repository's files (of sources.included) and gives its state: `unchanged` if its latest indexing
+        finished with its signature, else `completed`. Every stage is recorded; an error is recorded with the state `failed`,
+        and raised. Too many files or bytes raise one before any table is written. Chunks are made once: what comes after
+        reads them from the stored points."""
         id = self.spark.range(1).select(text.repository_id(F.lit(url)).alias("x")).first().x
-        files = files.withColumn("repository_id", F.lit(id))
+        known = self.get(id)
+        self._record(id, url, name, version, "queued")
+        try:
+            return self._index(files.withColumn("repository_id", F.lit(id)), known, id, url, name, version)
+        except Exception as e:
+            self._record(id, url, name, version, "failed", "failed", error=str(e).splitlines()[0][:500])
+            raise
+
+    def _index(self, files: DataFrame, known: Row | None, id: str, url: str, name: str, version: int) -> str:
+        self._record(id, url, name, version, "ingesting")
         row = sources.guarded(files, self.ingest).join(lifecycle.signatures(files), "repository_id").first()
         if row is None:
             raise ValueError("the repository has no files to index")
-        try:
-            known = self.registry().where((F.col("repository_id") == id) & (F.col("content_signature") == row.content_signature)).count()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            known = 0
-        if known:
+        if known is not None and known.status == "ready" and known.content_signature == row.content_signature:
+            self._record(id, url, name, version, "completed", "ready", row)
             return "unchanged"
-        made = chunking.chunk_files(files, self.chunks)
-        embedded = made.withColumn("vector", providers.embed(F.col("content"), self.embedder))
-        store.write_repository(vectors.prepared(store.points(embedded)).dropDuplicates(["point_id"]), f"{self.root}/points")
-        index = lexical.build_index(made)
-        store.write_repository(index.postings, f"{self.root}/postings")
-        store.write_repository(index.lengths, f"{self.root}/lengths")
-        done = [(id, url, name, "ready", "completed", lifecycle.PROGRESS["completed"], row.file_count, row.total_size_bytes, row.languages, row.content_signature, version)]
-        schema = "repository_id string, repository_url string, repository_name string, status string, stage string, progress_percent int, file_count long, total_size_bytes long, languages array<string>, content_signature string, version long"
-        self.spark.createDataFrame(done, schema).write.mode("append").parquet(f"{self.root}/registry")
+        self._record(id, url, name, version, "indexing", row=row)
+        made = chunking.chunk_files(files, self.chunks).withColumn("vector", providers.embed(F.col("content"), self.embedder))
+        rows = stored(vectors.prepared(store.points(made)).dropDuplicates(["point_id"]), "engine-points")
+        if rows.limit(1).count():
+            size = store.checked(rows).select(F.size("vector").alias("x")).first().x
+            if store.exists(self.spark, f"{self.root}/points"):
+                before = self._table("points").where(F.col("repository_id") != id).select(F.size("vector").alias("x")).first()
+                if before is not None and before.x != size:
+                    raise ValueError(f"vectors have {size} dimensions, those of the table {before.x}")
+        index = lexical.build_index(rows)
+        for table, part in (("points", rows), ("postings", index.postings), ("lengths", index.lengths), ("repositories", index.repositories)):
+            store.write_repository(part, f"{self.root}/{table}", id)
+        self._record(id, url, name, version, "completed", "ready", row)
         return "completed"
 
+    def delete(self, repository_id: str, version: int) -> bool:
+        """Deletes a repository's rows of all tables and records that; whether it was there."""
+        record = self.get(repository_id)
+        found = [store.drop_repository(self.spark, f"{self.root}/{t}", repository_id) for t in ("points", "postings", "lengths", "repositories")]
+        if record is not None:
+            self._record(repository_id, record.repository_url, record.repository_name, version, "deleted", "deleted")
+        return any(found) or record is not None
+
     def lexical_index(self) -> lexical.LexicalIndex:
-        postings, lengths = self._table("postings"), self._table("lengths")
+        """The stored index; document frequencies are counted at each search, of the terms asked for only."""
+        postings = self._table("postings")
         terms = postings.groupBy("repository_id", "term").agg(F.count(F.lit(1)).alias("df"))
-        repositories = lengths.groupBy("repository_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-        return lexical.LexicalIndex(postings, lengths, terms, repositories)
+        return lexical.LexicalIndex(postings, self._table("lengths"), terms, self._table("repositories"))
 
     def search(self, queries: DataFrame, top_k: int | None = None, file_path: str | None = None, symbol: str | None = None, language: str | None = None, threshold: float | None = None) -> DataFrame:
         """Reranked hybrid results with their chunks, for queries (query_id, repository_id, text); empty filters are none."""
@@ -98,7 +132,8 @@ class Engine:
 
     def chat(self, history: DataFrame, turns: DataFrame, rewriter: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
         """Answers for turns (query_id, repository_id, conversation_id, message), one a conversation, and the messages
-        retained with the turns appended. Follow-ups are rewritten first; the history keeps what was said."""
+        retained with the turns appended. A turn without a conversation_id begins one of its own. Follow-ups are rewritten first; the history keeps what was said."""
+        turns = stored(turns.withColumn("conversation_id", F.coalesce("conversation_id", F.expr("uuid()"))), "engine-turns")
         last = history.groupBy("repository_id", "conversation_id").agg(F.max("seq").alias("last"))
         now = turns.join(last, ["repository_id", "conversation_id"], "left").select("repository_id", "conversation_id", (F.coalesce("last", F.lit(0).cast("long")) + 1).alias("seq"), F.lit("user").alias("role"), F.col("message").alias("content"), "query_id")
         everything = history.withColumn("query_id", F.lit(None).cast(turns.schema["query_id"].dataType)).select(now.columns).unionByName(now)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.functions.paths import EXTENSIONS_BY_LANGUAGE, IGNORED_DIRECTORIES
+from lodestone.functions.paths import IGNORED_DIRECTORIES, LANGUAGE_BY_SUFFIX
 from lodestone.operators import context, conversation
 
 ORACLE: dict[str, str] = {}
@@ -20,18 +20,19 @@ _PATHS = f"p AS (SELECT p_partkey::BIGINT AS id, replace({_LIST}[p_partkey % {le
 ORACLE["url_parse"] = """
 WITH u AS (
   SELECT page_id, unnest([url, 'https://GitHub.com/o' || page_id || '/' || replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '.', '-') || '.git/',
-    'https://github.com/one' || page_id, regexp_replace(url, '^http:', 'https:') || '#x']) AS url FROM pages),
+    'https://github.com/one' || page_id, ' https://github.com/o' || page_id || '/r?# ', regexp_replace(url, '^http:', 'https:') || '#x']) AS url FROM pages),
+t AS (SELECT page_id, url AS raw, trim(url) AS url FROM u),
 x AS (SELECT *, regexp_extract(url, '^([A-Za-z]+)://', 1) AS s, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS h,
-  list_filter(string_split(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda y: y <> '') AS p FROM u),
-n AS (SELECT *, regexp_replace(p[2], '\\.git$', '') AS name, lower(s) = 'https' AND lower(h) = 'github.com' AND len(p) = 2 AND NOT regexp_matches(url, '[?#;]') AS ok FROM x)
-SELECT page_id, url, CASE WHEN ok AND name <> '' THEN 'https://github.com/' || p[1] || '/' || name || '.git' END AS canonical_url, CASE WHEN ok AND name <> '' THEN name END AS name FROM n
+  list_filter(string_split(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda y: y <> '') AS p FROM t),
+n AS (SELECT *, regexp_replace(p[2], '\\.git$', '') AS name, lower(s) = 'https' AND lower(h) = 'github.com' AND len(p) = 2 AND NOT regexp_matches(url, '\\?[^#]|#.|;') AS ok FROM x)
+SELECT page_id, raw AS url, CASE WHEN ok AND name <> '' THEN 'https://github.com/' || p[1] || '/' || name || '.git' END AS canonical_url, CASE WHEN ok AND name <> '' THEN name END AS name FROM n
 """
 ORACLE["path_filter"] = f"""
 WITH {_PATHS}, s AS (SELECT *, string_split(path, '/') AS x FROM p)
 SELECT id, path, list_has_any(x[1 : len(x) - 1], {list(IGNORED_DIRECTORIES)}) OR lower(x[-1]) = '.env' OR starts_with(lower(x[-1]), '.env.')
   OR contains(lower(x[-1]), '.min.') OR contains(lower(x[-1]), '.generated.') OR ends_with(lower(x[-1]), '.map') AS ignored FROM s
 """
-_CASES = " ".join(f"WHEN suffix IN ({', '.join(repr(s) for s in v)}) THEN '{k}'" for k, v in EXTENSIONS_BY_LANGUAGE.items())
+_CASES = " ".join(f"WHEN suffix = '{k}' THEN '{v}'" for k, v in LANGUAGE_BY_SUFFIX.items())
 ORACLE["language_detect"] = f"""
 WITH {_PATHS}, s AS (SELECT *, regexp_extract(lower(string_split(path, '/')[-1]), '[^.](\\.[^.]+)$', 1) AS suffix FROM p)
 SELECT id, path, CASE {_CASES} END AS language FROM s
@@ -104,7 +105,7 @@ SELECT p_partkey, array_to_string({_tokens('name')}, ' ') AS tokens FROM n
 _DOCS = f"docs AS (SELECT source AS repo, doc_id::VARCHAR AS id, lang, text, {_tokens("'docs/' || doc_id || '.md' || chr(10) || text")} AS tokens FROM documents)"
 _POST = "post AS (SELECT repo, id, term, count(*) AS tf FROM (SELECT repo, id, unnest(tokens) AS term FROM docs) GROUP BY ALL)"
 _STATS = "df AS (SELECT repo, term, count(*) AS df FROM post GROUP BY ALL), rs AS (SELECT repo, count(*) AS n, avg(len(tokens)) AS avgdl FROM docs GROUP BY repo)"
-ORACLE["postings"] = f"WITH {_DOCS}, {_POST} SELECT repo AS repository_id, term, id AS chunk_id, tf::BIGINT AS tf FROM post WHERE repo IN ('src1', 'src2')"
+ORACLE["postings"] = f"WITH {_DOCS}, {_POST} SELECT repo AS repository_id, term, id AS chunk_id, tf::BIGINT AS tf FROM post"
 ORACLE["term_stats"] = f"WITH {_DOCS}, {_POST}, {_STATS} SELECT repo AS repository_id, term, df::BIGINT AS df FROM df"
 _DIGEST = "sha1(unhex('0de7d8c3591048bbbd81cc78732cc1ad') || vec_id::VARCHAR::BLOB)"
 ORACLE["point_ids"] = f"""
@@ -150,19 +151,19 @@ def _top(table: str, k: int) -> str:
 
 ORACLE["bm25_topk"] = f"WITH {_ASKED}, {_bm25()} {_top('bmr', 10)}"
 ORACLE["bm25_filtered_stats_global"] = f"WITH {_ASKED}, {_bm25(chr(39).join(['d.lang = ', 'en', '']))} {_top('bmr', 10)}"
-ORACLE["bm25_multi_repo"] = f"WITH asked AS (SELECT item_id * 20 + k AS q, 'src' || k AS repo, text FROM benchmark, range(0, 20) x(k) WHERE item_id < 10), {_bm25()} {_top('bmr', 3)}"
+ORACLE["bm25_multi_repo"] = f"WITH asked AS (SELECT item_id * 20 + k AS q, 'src' || k AS repo, text FROM benchmark, range(0, 20) x(k)), {_bm25()} {_top('bmr', 3)}"
 _COS = "round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6)"
 
 
-def _vector(below: int, k: int, where: str = "true") -> str:
+def _vector(k: int, where: str = "true") -> str:
     return f"""
-WITH v AS (SELECT a.vec_id AS q, b.vec_id::VARCHAR AS id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id < {below} AND {where}),
+WITH v AS (SELECT a.vec_id AS q, b.vec_id::VARCHAR AS id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND {where}),
 vr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS r FROM v) {_top('vr', k)}"""
 
 
-ORACLE["vector_topk"] = _vector(1, 10)
-ORACLE["vector_threshold_filter"] = _vector(8, 20, "b.label = 1").replace("AS r FROM v)", "AS r FROM v WHERE score >= 0.1)")
-ORACLE["vector_topk_batch"] = _vector(40, 5)
+ORACLE["vector_topk"] = _vector(10)
+ORACLE["vector_threshold_filter"] = _vector(20, "b.label = 1").replace("AS r FROM v)", "AS r FROM v WHERE score >= 0.1)")
+ORACLE["vector_topk_batch"] = _vector(5)
 
 
 def _fused(pool: int, k: int, rrf: int = 60, weight: float = 1.0) -> str:

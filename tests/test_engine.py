@@ -1,3 +1,7 @@
+import pytest
+from lodestone.config import IngestConfig
+from lodestone.functions import providers
+from lodestone.operators import evaluation
 from lodestone.plans.engine import Engine
 from pyspark.sql import functions as F
 
@@ -28,3 +32,65 @@ def test_index_search_answer_chat(spark, tmp_path):
     answers, kept = e.chat(history, turns)
     assert answers.count() == 1
     assert [(r.role, r.content) for r in kept.orderBy("seq").collect()] == [("user", "validate_token?"), ("assistant", "The most relevant source is [1].")]
+
+
+URL = "https://github.com/o/life.git"
+
+
+def stages(spark, e):
+    return [(r.stage, r.status, r.version) for r in e._table("registry").orderBy("recorded").collect()]
+
+
+def test_stages_failures_and_deletion_are_recorded(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "t"))
+    e.index(files(spark), URL, "life", 1)
+    assert stages(spark, e) == [("queued", "indexing", 1), ("ingesting", "indexing", 1), ("indexing", "indexing", 1), ("completed", "ready", 1)]
+    id = e.registry().first().repository_id
+    small = Engine(spark, e.root, ingest=IngestConfig(max_files=1))
+    with pytest.raises(Exception, match="limits"):
+        small.index(files(spark, "x = 1\n"), URL, "life", 2)
+    failed = e.get(id)
+    assert (failed.status, failed.version) == ("failed", 2) and failed.error
+    assert e.index(files(spark), URL, "life", 3) == "completed"  # after a failure nothing counts as unchanged
+    wide = Engine(spark, e.root, embedder=providers.hashing_embedder(16))
+    with pytest.raises(ValueError, match="dimensions"):
+        wide.index(files(spark), "https://github.com/o/wide.git", "wide", 1)
+    assert e.delete(id, 4) and e.get(id) is None and not e.delete(id, 5)
+    for name in ("points", "postings", "lengths", "repositories"):
+        assert not (tmp_path / "t" / name / f"repository_id={id}").exists()
+
+
+def test_a_repository_without_chunks_leaves_no_rows(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "t"))
+    e.index(files(spark), URL, "life", 1)
+    e.index(files(spark), "https://github.com/o/next.git", "next", 1)
+    empty = spark.createDataFrame([(None, "a.py", "Python", "X = 1\n", 6, 1)], files(spark).schema)
+    id = next(r.repository_id for r in e.registry().collect() if r.repository_name == "life")
+    assert e.index(empty, URL, "life", 2) == "completed"
+    assert e._table("points").where(F.col("repository_id") == id).count() == 0 and e._table("points").count() > 0
+
+
+def test_reports(spark):
+    cases = spark.createDataFrame([("1", ["a"], [])], "case_id string, expected_file_paths array<string>, expected_symbols array<string>")
+    none = spark.createDataFrame([], "method string, case_id string, rank int, chunk_id string, file_path string, symbol_name string")
+    rows = evaluation.metrics(evaluation.judged(none, cases, ("bm25", "vector")))
+    assert [(r.method, r.case_count, r.recall_at_1, r.mrr) for r in rows.orderBy("method").collect()] == [("bm25", 1, 0.0, 0.0), ("vector", 1, 0.0, 0.0)]
+    import json
+
+    report = json.loads(evaluation.json_report(rows, "run").first().json)
+    assert report["run_name"] == "run" and report["methods"]["vector"]["precision_at_5"] == 0.0
+    source = "array<struct<file_path:string,symbol_name:string>>"
+    answers = spark.createDataFrame([("1", "q", "a [1]", "c", [("a", None)], ["a"], [])], f"case_id string, question string, answer string, content string, sources {source}, expected_file_paths array<string>, expected_symbols array<string>")
+    judge = lambda q, a, c: F.struct(F.lit(0.5).alias("relevance"), F.lit(1.0).alias("groundedness"))
+    assert tuple(evaluation.generation_metrics(answers, judge).first()) == (1, 1.0, 1.0, 0.5, 1.0)
+    assert tuple(evaluation.generation_metrics(answers).first()) == (1, 1.0, 1.0, None, None)
+
+
+def test_a_turn_without_conversation_begins_one(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "t"))
+    e.index(files(spark), URL, "life", 1)
+    history = spark.createDataFrame([], "repository_id string, conversation_id string, seq long, role string, content string")
+    turns = spark.createDataFrame([(1, e.registry().first().repository_id, None, "validate_token?")], "query_id int, repository_id string, conversation_id string, message string")
+    _, kept = e.chat(history, turns)
+    rows = kept.collect()
+    assert len(rows) == 2 and len({r.conversation_id for r in rows}) == 1 and rows[0].conversation_id

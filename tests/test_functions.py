@@ -83,11 +83,29 @@ def test_retry_delays():
     def call(x):
         calls.append(x)
         if len(calls) < 3:
-            raise RuntimeError("busy")
+            raise providers.ProviderError("busy", 503)
         return x
 
     assert providers.with_retry(call, 2, 0.25, slept.append)(7) == 7
     assert slept == [0.25, 0.5]
+    for error, tries in ((providers.ProviderError("no", 400), 1), (ValueError("no"), 1), (ConnectionError("gone"), 3)):
+        tried = []
+
+        def fails(x, error=error, tried=tried):
+            tried.append(x)
+            raise error
+
+        with pytest.raises(type(error)):
+            providers.with_retry(fails, 2, 0.25, slept.append)(1)
+        assert len(tried) == tries
+
+
+def test_generator_falls_back(spark):
+    def broken(prompts):
+        raise providers.ProviderError("no", 400)
+
+    rows = spark.createDataFrame([("what?",)], "q string")
+    assert rows.select(providers.generate(F.col("q"), broken, fail_open=True).alias("a")).first().a is None
 
 
 def test_embedding_batches(spark):
