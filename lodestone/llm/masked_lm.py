@@ -8,9 +8,10 @@ of its tokens' conditional log-probabilities.
 Tokens and classes grow with the corpus: `side` classes of `side` tokens, the square root of the corpus' words in all
 and at least TOKENS.
 
-Training goes over the whole corpus in ROUNDS parts, each document in one of them. In a round every task starts from
-the broadcast parameters, takes gradient steps on every token of its documents, and sends its parameters in blocks; their
-mean, weighted by tokens, is the next round's start.
+Training goes over the whole corpus in ROUNDS parts, each document in one of them. A round's documents are dealt by hash
+into slices, as many as their words ask for, and put in order there, so the model does not depend on how the input is
+partitioned. Every slice starts from the broadcast parameters, takes gradient steps on every token of its documents, and
+sends its parameters in blocks; their mean, weighted by tokens and summed in the order of slices, is the next round's start.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +30,15 @@ from lodestone.llm.common import arrow_map, dropped, written
 from lodestone.llm.wordhash import LOWER, U, Words, chunks
 
 #: The least model: its classes, and tokens in a class.
-CLASSES, PER_CLASS = 32, 32
+CLASSES, PER_CLASS = 128, 128
 #: Its tokens, of which the last UNKNOWN are buckets of words outside the vocabulary; larger models keep this share.
-TOKENS, UNKNOWN = CLASSES * PER_CLASS, 64
+TOKENS, UNKNOWN = CLASSES * PER_CLASS, 1024
 SPAN, HIDDEN = 2, 24
 PLACES = [k for k in range(-SPAN, SPAN + 1) if k]
 ROUNDS, BATCH, RATE = 3, 4096, 0.08
-#: Parameters in a row that a task sends.
+#: Words, about, that one slice of a round trains on.
+SLICE = 4_000_000
+#: Parameters in a row that a slice sends.
 BLOCK = 1 << 16
 
 
@@ -207,19 +211,19 @@ def learn(net: Network, token: Vocabulary, texts: pa.Array, grown: np.ndarray, r
 
 
 def _means(sent: DataFrame) -> np.ndarray | None:
-    """The mean parameters of rows (block, v, n), each weighted by its n; summed block by block in tasks."""
+    """The mean parameters of rows (block, slice, v, n), each weighted by its n; summed block by block in tasks."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for b in batches:
-            for k, v, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for k, v, n in zip(b.column(0).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 own = sums.setdefault(k, [0.0, 0.0])
                 own[0] = own[0] + np.frombuffer(v.as_buffer(), np.float32).astype(np.float64) * n
                 own[1] += n
         for k, (v, n) in sums.items():
             yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "v": pa.array([(v / n).astype(np.float32).tobytes()], pa.binary())})
 
-    rows = sent.repartition("block").mapInArrow(add, "block int, v binary").collect()
+    rows = sent.repartition("block").sortWithinPartitions("block", "slice").mapInArrow(add, "block int, v binary").collect()
     return np.concatenate([np.frombuffer(r.v, np.float32) for r in sorted(rows)]) if rows else None
 
 
@@ -240,19 +244,22 @@ def train(docs: DataFrame) -> tuple[list[int], np.ndarray]:
     flat = network.flat
     context = docs.sparkSession.sparkContext
     vocabulary = context.broadcast(words)
-    part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.length("text")), F.lit(ROUNDS))
+    hashed = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "text")
+    slices = max(1, math.ceil(all_words / ROUNDS / SLICE))
     for k in range(ROUNDS):
         start = context.broadcast(flat)
 
         def task(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             net = Network(start.value)
             token, grown = Vocabulary(vocabulary.value, net.k**2), np.zeros_like(net.flat)
-            random = np.random.Generator(np.random.PCG64(17))
+            random, slice = np.random.Generator(np.random.PCG64(17)), TaskContext.get().partitionId()
             used = sum(learn(net, token, b.column(1), grown, random) for b in batches)
             for i in range(0, len(net.flat) if used else 0, BLOCK):
-                yield pa.RecordBatch.from_pydict({"block": pa.array([i // BLOCK], pa.int32()), "v": pa.array([net.flat[i : i + BLOCK].tobytes()], pa.binary()), "n": pa.array([float(used)])})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([i // BLOCK], pa.int32()), "slice": pa.array([slice], pa.int32()), "v": pa.array([net.flat[i : i + BLOCK].tobytes()], pa.binary()), "n": pa.array([float(used)])})
 
-        mean = _means(docs.where(part == k).mapInArrow(task, "block int, v binary, n double"))
+        rows = docs.withColumn("hashed", hashed).where(F.pmod("hashed", F.lit(ROUNDS)) == k)
+        rows = rows.repartition(slices, F.xxhash64("hashed")).sortWithinPartitions("hashed", "text").select("doc_id", "text")
+        mean = _means(rows.mapInArrow(task, "block int, slice int, v binary, n double"))
         if mean is not None:
             flat = mean
         start.destroy()
@@ -265,7 +272,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", model: tuple[
 
     Words are runs `[^\\x20\\x09-\\x0D]+` with A-Z in lower case, whole texts. Null, empty and blank texts have no tokens, a
     sum of 0 and a null mean; rows with null or repeated ids are scored like any other; an empty table gives an empty
-    one; other columns are ignored. Reruns agree but for the rounding of sums, beyond the three decimals returned.
+    one; other columns are ignored. Very long texts are scored whole. Reruns agree, whatever the partitioning of docs.
     """
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     words, flat = model or train(rows)

@@ -249,6 +249,12 @@ def test_masked_lm_gradient():
         assert abs(loss(before + eps) - loss(before - eps)) / 2e-2 == pytest.approx(np.sqrt(grown[i]), rel=0.1, abs=2e-3)
 
 
+def test_masked_lm_does_not_depend_on_the_partitioning(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    one, other = (masked_lm.score(d).toPandas().sort_values("doc_id").log_likelihood.to_numpy() for d in (docs, docs.repartition(5)))
+    assert (one == other).all()
+
+
 def test_masked_lm_trains_on_every_token():
     import pyarrow as pa
 
@@ -258,12 +264,14 @@ def test_masked_lm_trains_on_every_token():
 
 
 def test_masked_lm_vocabulary_grows(spark):
-    word = F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(3000)).cast("string"))
-    rows = spark.range(1_500_000).select((F.col("id") % 3000).alias("doc_id"), word.alias("w"))
-    words, flat = masked_lm.train(written(rows.groupBy("doc_id").agg(F.concat_ws(" ", F.collect_list("w")).alias("text")), "test-lm"))
-    k = masked_lm.side(1_500_000)
-    assert k > masked_lm.CLASSES and len(words) == k * k - k * k // 16 > masked_lm.TOKENS
-    assert len(flat) == masked_lm._size(k) and np.isfinite(flat).all()
+    side = [masked_lm.side(n) for n in (0, 10**6, 10**9, 5 * 10**9, 10**12)]
+    assert side[0] == side[1] == masked_lm.CLASSES and side == sorted(side) and side[-1] >= 1000
+    for k in side[2:]:
+        net = masked_lm.Network(np.zeros(masked_lm._size(k), np.float32))
+        assert net.k == k and masked_lm._unknown(k * k) * 16 == k * k
+        break
+    words, flat = masked_lm.train(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    assert len(set(words)) == len(words) <= masked_lm.TOKENS - masked_lm.UNKNOWN and np.isfinite(flat).all()
 
 
 # --- 8
