@@ -9,10 +9,13 @@ similarity needs.
 2. Points are dealt into cells, within which alone similar ones can lie: similar sets share one of their least hashes (the
    prefix that the similarity cannot do without), and have sizes of the same or the next band. Large cells are dealt again by
    pairs of blocks.
-3. An R-tree is packed in each cell, and finds all pairs that the bound lets pass; these and no others are verified.
-4. Links are all verified pairs, and components those of the links.
+3. An R-tree is packed in each cell, and finds the pairs that the bound lets pass; these and no others are verified.
+4. Links are verified pairs, and components those of the links.
 
-Nothing but the trees finds pairs. A family of m near copies of different texts has up to m * m / 2 links, and all are found.
+Nothing but the trees finds pairs. For the table of all links they give every pair; a family of m near copies of different
+texts has up to m * m / 2. For components alone they are searched twice: first a class is paired with the least one that its
+tree search finds in the same band, and in the next; then all pairs of what is still in different components. So a family
+costs a pair or two a class and cell, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -196,13 +199,13 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: in
 
 
 def _cells(members: DataFrame) -> DataFrame:
-    """members (s, key, n) dealt into cells: those of a size band with those of the next, and large ones again by pairs of
+    """members (s, key, n, component) of cells with several components, dealt into cells: those of a size band with those of the next, and large ones again by pairs of
     blocks. upper: only to be paired with members that are not."""
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(OF / NEED))).cast("int")
     sides = F.array(F.struct(band.alias("band"), F.lit(False).alias("upper")), F.struct((band - 1).alias("band"), F.lit(True).alias("upper")))
-    dealt = members.select("s", "key", "n", F.explode(sides).alias("x")).select("s", "key", "n", "x.band", "x.upper")
-    size = dealt.groupBy("s", "band").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(~F.col("upper"), 1)).alias("own"), F.min("key").alias("low"))
-    size = size.where("m > 1 AND own > 0").select("s", "band", "low", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.select("s", "key", "n", "component", F.explode(sides).alias("x")).select("s", "key", "n", "component", "x.band", "x.upper")
+    size = dealt.groupBy("s", "band").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(~F.col("upper"), 1)).alias("own"), F.min("component").alias("low"), F.max("component").alias("high"))
+    size = size.where("m > 1 AND own > 0 AND low < high").select("s", "band", "low", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     # near copies meet in many cells with the same least class: these stay together, so that a task reports a
     # pair once, but in as many parts as their rows ask for
     parts = size.groupBy("low").agg(F.ceil(F.sum(F.col("m") * F.col("blocks")) / TOGETHER).alias("parts"))
@@ -212,16 +215,17 @@ def _cells(members: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("s", "band", F.least("block", "other"), F.greatest("block", "other"))
     dealt = dealt.withColumn("cell", cell).withColumn("part", F.xxhash64("low", F.pmod("cell", F.col("parts"))))
-    return dealt.select("part", "cell", "key", "n", "upper", F.col("block").alias("own_block"), (F.col("block") == F.col("other")).alias("same"))
+    return dealt.select("part", "cell", "key", "n", "component", "upper", F.col("block").alias("own_block"), (F.col("block") == F.col("other")).alias("same"))
 
 
-def _tree_pairs(cells: DataFrame, points: DataFrame, need: int, of: int) -> DataFrame:
-    """The pairs (a, b) in a cell whose bound is enough, found by the cell's R-tree."""
-    rows = cells.join(points.select("key", "point"), "key").select("part", "cell", "key", "n", "upper", "own_block", "same", "point")
+def _tree_pairs(cells: DataFrame, points: DataFrame, need: int, of: int, least: bool = False) -> DataFrame:
+    """The pairs (a, b) of different components in a cell whose bound is enough, found by the cell's R-tree. With `least` only
+    those of each member with the least other in its band, and with the least in the next."""
+    rows = cells.join(points.select("key", "point"), "key").select("part", "cell", "key", "n", "component", "upper", "own_block", "same", "point")
     rows = rows.repartition("part").drop("part").sortWithinPartitions("cell")
 
     def pairs_of(t: pa.Table) -> Iterator[tuple[int, int]]:
-        key, n, upper, block, same = (t[c].to_numpy() if t[c].type != pa.bool_() else np.array(t[c].to_pylist()) for c in ("key", "n", "upper", "own_block", "same"))
+        key, n, component, upper, block, same = (t[c].to_numpy() if t[c].type != pa.bool_() else np.array(t[c].to_pylist()) for c in ("key", "n", "component", "upper", "own_block", "same"))
         raw = [point(x, int(k)) for x, k in zip(t["point"].to_pylist(), n, strict=True)]
         groups = min(map(len, raw))
         points = np.array([folded(x, groups) for x in raw])
@@ -229,8 +233,13 @@ def _tree_pairs(cells: DataFrame, points: DataFrame, need: int, of: int) -> Data
         tree = CountTree(points, n)
         for i in np.flatnonzero(~upper):
             found = tree.search(points[i], int(n[i]), need, of)
-            ok = (key[found] != key[i]) & (same[i] | (block[found] != block[i]))
-            for j in found[ok & (upper[found] | (key[found] > key[i]))]:
+            found = found[(key[found] != key[i]) & (component[found] != component[i]) & (same[i] | (block[found] != block[i]))]
+            if least:
+                sides = (found[upper[found]], found[~upper[found] & (key[found] < key[i])])
+                found = [x[key[x].argmin()] for x in sides if len(x)]
+            else:
+                found = found[upper[found] | (key[found] > key[i])]
+            for j in found:
                 yield (min(int(key[i]), int(key[j])), max(int(key[i]), int(key[j])))
 
     def search(batches):
@@ -255,10 +264,11 @@ def _tree_pairs(cells: DataFrame, points: DataFrame, need: int, of: int) -> Data
     return rows.mapInArrow(search, "a long, b long").distinct()
 
 
-def near_duplicate_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, need: int = NEED, of: int = OF) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, need: int = NEED, of: int = OF, every_link: bool = True) -> tuple[DataFrame, DataFrame]:
     """Two tables. Members (doc_id, n_shingles, component_id, n_links): one row per row of docs, component_id being the
     smallest id reachable by links, n_links how many other classes the row's class links with. Links (a, b, shared, n_a,
-    n_b): every verified pair of classes, by the classes' smallest ids.
+    n_b): every verified pair of classes, by the classes' smallest ids. Without every_link, for callers that need components
+    only, links are those that join the components, and n_links counts these.
 
     Words are runs `[^\\x20\\x09-\\x0D]+` with A-Z in lower case; a set is the distinct sequences of `shingle` words, with
     fewer words the whole sequence. Two rows link if of * intersection >= need * union. Null, empty and blank texts
@@ -277,13 +287,25 @@ def near_duplicate_classes(docs: DataFrame, id: str = "doc_id", text: str = "tex
     hashes = classes.select(F.explode("prefix").alias("s"), "key", "n")
     buckets = written(hashes.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "ngram-buckets")
     members = written(hot_join(hashes, buckets, ["s"], "m").select("s", "key", "n"), "ngram-members")
-    cells = written(_cells(members), "ngram-cells")
-    dropped(members)
     dropped(buckets)
-    links = _verified(_tree_pairs(cells, classes.select("key", "point"), need, of), rows, classes, shingle, need, of, "ngram")
+    points = classes.select("key", "point")
+    edges = lambda links: links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    cells = written(_cells(members.withColumn("component", F.col("key"))), "ngram-cells")
+    if every_link:
+        links = _verified(_tree_pairs(cells, points, need, of), rows, classes, shingle, need, of, "ngram")
+    else:
+        tried = written(_tree_pairs(cells, points, need, of, least=True), "ngram-least")
+        links = _verified(tried, rows, classes, shingle, need, of, "ngram-least")
+        so_far = components(edges(links), "ngram-least-components")
+        open_ = members.join(so_far, F.col("key") == F.col("node"), "left").select("s", "key", "n", F.coalesce("component", "key").alias("component"))
+        rest = written(_cells(open_), "ngram-open-cells")
+        more = _tree_pairs(rest, points, need, of).join(tried, ["a", "b"], "left_anti")
+        links = links.unionByName(_verified(more, rows, classes, shingle, need, of, "ngram-open"))
+        dropped(rest)
+    dropped(members)
     dropped(cells)
 
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "ngram-components")
+    found = components(edges(links), "ngram-components")
     ends = links.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("n_links"))
     first = classes.select("key", "k1", "k2", "first")
     by = first.join(found, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key")).join(ends, F.col("key") == F.col("end"), "left")

@@ -41,7 +41,7 @@ def op7_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicate_classes(table(spark, sf_dir, "documents"))[0].drop("n_links")
+    return ngram_join.near_duplicate_classes(table(spark, sf_dir, "documents"), every_link=False)[0].drop("n_links")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

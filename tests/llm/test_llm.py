@@ -328,6 +328,8 @@ def test_ngram_join_brute_force(spark, seed):
     assert Counter(zip(map(key, got.doc_id), got.n_shingles, map(key, got.component_id))) == brute_components(rows)
     for r in links.collect():
         assert 180 * r.shared >= 80 * (r.n_a + r.n_b)
+    few, _ = ngram_join.near_duplicate_classes(table(spark, rows), every_link=False)
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in few.collect()) == brute_components(rows)
 
 
 def test_count_tree_finds_all(spark):

@@ -33,8 +33,9 @@ def test_nothing_but_the_trees_finds_pairs(spark, monkeypatch):
     rows = [(i, " ".join(f"w{k if k != 40 else -i}" for k in range(90))) for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert ngram_join.near_duplicate_classes(docs)[1].count() == 10
-    monkeypatch.setattr(ngram_join, "_tree_pairs", lambda cells, points, need, of: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(ngram_join, "_tree_pairs", lambda cells, points, need, of, least=False: spark.createDataFrame([], "a long, b long"))
     members, links = ngram_join.near_duplicate_classes(docs)
+    assert ngram_join.near_duplicate_classes(docs, every_link=False)[1].count() == 0
     assert links.count() == 0 and {r.component_id for r in members.collect()} == {i for i, _ in rows}
 
 
