@@ -34,7 +34,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest id."""
     rows = _keyed(docs)
-    members = ngram_join.near_duplicate_classes(rows, id=KEY)[0]
+    members = ngram_join.near_duplicate_classes(rows, id=KEY, every_link=False)[0]
     by = members.select(F.col("doc_id").alias(KEY), F.col("component_id").alias("component")).join(rows.select(KEY, "doc_id"), KEY)
     stays = by.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias("x")).select(f"x.{KEY}")
     return rows.join(stays, KEY, "left_semi").select(*docs.columns)
