@@ -7,15 +7,17 @@ similarity needs.
 
 1. Sets that are equal are one class.
 2. Points are dealt into cells, within which alone similar ones can lie: similar sets share one of their least hashes (the
-   prefix that the similarity cannot do without), and have sizes of the same or the next band. Large cells are dealt again by
-   pairs of blocks.
-3. An R-tree is packed in each cell, and finds the pairs that the bound lets pass; these and no others are verified.
+   prefix that the similarity cannot do without; of the smaller set a prefix half as long is enough), and have sizes of the
+   same or the next band. Large cells are dealt again by pairs of blocks.
+3. R-trees are packed in each cell, and find the pairs that the bound lets pass; these and no others are verified.
 4. Links are verified pairs, and components those of the links.
 
 Nothing but the trees finds pairs. For the table of all links they give every pair; a family of m near copies of different
-texts has up to m * m / 2. For components alone they are searched twice: first a class is paired with the least one that its
-tree search finds in the same band, and in the next; then all pairs of what is still in different components. So a family
-costs a pair or two a class and cell, and no link between components is lost.
+texts has up to m * m / 2. For components alone there are three rounds, each after the links of the last have been joined:
+cells of the least hash only, a row a class; all cells in which components still meet; and again those of them where a
+class found more than FEW others, of which it was paired with the least alone. In a cell the members of its largest
+component are not paired with each other, but searched by the rest. So a family costs a few pairs a class, and no link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -39,8 +41,10 @@ NEED, OF = 80, 100
 #: powers of two, so that a point can be folded to fewer groups.
 FEWEST, USUAL, MOST = 16, 256, 1 << 16
 #: Members of a cell's block, and rows of cells with the same least class that are kept together.
-BLOCK, TOGETHER = 1500, 100_000
+BLOCK, TOGETHER = 1500, 20_000
 LEAF, FAN = 16, 8
+#: For components: classes found by one search that are all paired with it at once.
+FEW = 8
 
 
 def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,6 +135,21 @@ class CountTree:
         return self.order[nodes[enough(most, size + self.sizes[nodes], need, of)]]
 
 
+def searches(points: np.ndarray, sizes: np.ndarray, at: np.ndarray, ask: np.ndarray, need: int, of: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the points numbered `ask` those of the points numbered `at` whose bound is enough."""
+    if not len(at) or not len(ask):
+        return
+    if len(at) <= LEAF:  # one leaf
+        for some in np.array_split(ask, -(-len(ask) // LEAF)):
+            most = np.minimum(points[some][:, None, :], points[at][None, :, :]).sum(axis=2, dtype=np.int64)
+            ok = enough(most, sizes[some][:, None] + sizes[at][None, :], need, of)
+            yield from ((int(i), at[x]) for i, x in zip(some, ok, strict=True))
+        return
+    tree = CountTree(points[at], sizes[at])
+    for i in ask:
+        yield int(i), at[tree.search(points[i], int(sizes[i]), need, of)]
+
+
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat, kind))
@@ -199,10 +218,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: in
 
 
 def _cells(members: DataFrame) -> DataFrame:
-    """members (s, key, n, component) of cells with several components, dealt into cells: those of a size band with those of the next, and large ones again by pairs of
-    blocks. upper: only to be paired with members that are not."""
+    """members (s, key, n, component, smaller) of buckets with several components, dealt into cells: those of a size band with
+    those of the next, and large ones again by pairs of blocks. upper: only to be paired with members that are not; these
+    are the larger sets, and those whose hash s is not in the prefix that the smaller set of a pair needs."""
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(OF / NEED))).cast("int")
-    sides = F.array(F.struct(band.alias("band"), F.lit(False).alias("upper")), F.struct((band - 1).alias("band"), F.lit(True).alias("upper")))
+    sides = F.array(F.struct(band.alias("band"), (~F.col("smaller")).alias("upper")), F.struct((band - 1).alias("band"), F.lit(True).alias("upper")))
     dealt = members.select("s", "key", "n", "component", F.explode(sides).alias("x")).select("s", "key", "n", "component", "x.band", "x.upper")
     size = dealt.groupBy("s", "band").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(~F.col("upper"), 1)).alias("own"), F.min("component").alias("low"), F.max("component").alias("high"))
     size = size.where("m > 1 AND own > 0 AND low < high").select("s", "band", "low", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
@@ -218,48 +238,93 @@ def _cells(members: DataFrame) -> DataFrame:
     return dealt.select("part", "cell", "key", "n", "component", "upper", F.col("block").alias("own_block"), (F.col("block") == F.col("other")).alias("same"))
 
 
-def _tree_pairs(cells: DataFrame, points: DataFrame, need: int, of: int, least: bool = False) -> DataFrame:
-    """The pairs (a, b) of different components in a cell whose bound is enough, found by the cell's R-tree. With `least` only
-    those of each member with the least other in its band, and with the least in the next."""
-    rows = cells.join(points.select("key", "point"), "key").select("part", "cell", "key", "n", "component", "upper", "own_block", "same", "point")
-    rows = rows.repartition("part").drop("part").sortWithinPartitions("cell")
-
-    def pairs_of(t: pa.Table) -> Iterator[tuple[int, int]]:
-        key, n, component, upper, block, same = (t[c].to_numpy() if t[c].type != pa.bool_() else np.array(t[c].to_pylist()) for c in ("key", "n", "component", "upper", "own_block", "same"))
-        raw = [point(x, int(k)) for x, k in zip(t["point"].to_pylist(), n, strict=True)]
+def _first_cells(classes: DataFrame) -> DataFrame:
+    """Cells of the classes that share their least hash: each is in one, and the least class of each such bucket in all of
+    the bucket's."""
+    one = classes.select(F.element_at("prefix", 1).alias("s"), "key", "n")
+    size = one.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "n")).alias("lead")).where("m > 1")
+    size = written(size.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), "ngram-first-sizes")
+    dealt = hot_join(one, size, ["s"], "m").where("key <> lead.key").select("s", "key", "n", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
+    leads = size.select("s", "lead.key", "lead.n", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    cell = F.xxhash64("s", "block")
+    return dealt.unionByName(leads).select(cell.alias("part"), cell.alias("cell"), "key", "n", F.col("key").alias("component"), F.lit(False).alias("upper"), F.lit(0).alias("own_block"), F.lit(True).alias("same"))
+
+
+class Cell:
+    """The members of a cell, in arrays."""
+
+    def __init__(self, columns: dict[str, np.ndarray], raw: list[bytes], a: int, b: int):
+        self.key, self.n, self.component, self.upper, self.block = (columns[c][a:b] for c in ("key", "n", "component", "upper", "own_block"))
+        self.same = bool(columns["same"][a])
+        self.raw = raw[a:b]
+
+    def pairs(self, need: int, of: int, least: bool) -> tuple[list[tuple[int, int]], bool]:
+        """The pairs of different components whose bound is enough, and whether some were left out. With `least`, a
+        member that finds more than FEW is paired with the least of them alone."""
+        key, component, upper = self.key, self.component, self.upper
+        names, count = np.unique(component, return_counts=True)
+        if len(names) == 1:
+            return [], False
+        raw = [point(x, int(k)) for x, k in zip(self.raw, self.n, strict=True)]
         groups = min(map(len, raw))
         points = np.array([folded(x, groups) for x in raw])
         points = points.astype(np.uint8 if points.max() < 256 else np.uint32)
-        tree = CountTree(points, n)
-        for i in np.flatnonzero(~upper):
-            found = tree.search(points[i], int(n[i]), need, of)
-            found = found[(key[found] != key[i]) & (component[found] != component[i]) & (same[i] | (block[found] != block[i]))]
-            if least:
+        largest = component == names[count.argmax()] if count.max() > 1 else np.zeros(len(key), bool)
+        rest, large = np.flatnonzero(~largest), np.flatnonzero(largest)
+        out, open_ = [], False
+        for i, found in searches(points, self.n, rest, rest[~upper[rest]], need, of):
+            if len(found) < 2:  # itself
+                continue
+            found = found[(component[found] != component[i]) & (self.same | (self.block[found] != self.block[i]))]
+            if least and len(found) > FEW:
+                open_ = True
                 sides = (found[upper[found]], found[~upper[found] & (key[found] < key[i])])
                 found = [x[key[x].argmin()] for x in sides if len(x)]
             else:
                 found = found[upper[found] | (key[found] > key[i])]
-            for j in found:
-                yield (min(int(key[i]), int(key[j])), max(int(key[i]), int(key[j])))
+            out += [(i, j) for j in found]
+        for i, found in searches(points, self.n, large, rest, need, of):
+            found = found[(self.same | (self.block[found] != self.block[i])) & ~(upper[i] & upper[found])]
+            if least and len(found) > FEW:
+                open_ = True
+                found = found[[key[found].argmin()]]
+            out += [(i, j) for j in found]
+        return [(min(int(key[i]), int(key[j])), max(int(key[i]), int(key[j]))) for i, j in out if key[i] != key[j]], open_
+
+
+def _tree_pairs(cells: DataFrame, points: DataFrame, need: int, of: int, least: bool = False) -> DataFrame:
+    """The pairs (a, b) of different components in a cell whose bound is enough, found by the cell's R-trees. With `least`
+    some may be left out; then a row (cell, null) names each cell that has more."""
+    rows = cells.join(points.select("key", "point"), "key").select("part", "cell", "key", "n", "component", "upper", "own_block", "same", "point")
+    rows = rows.repartition("part").drop("part").sortWithinPartitions("cell")
 
     def search(batches):
         held, seen = None, set()
 
-        def new(found: Iterator[tuple[int, int]]) -> pa.RecordBatch:
+        def new(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
             """Each pair once, as far as the task remembers: near copies meet in many cells."""
             if len(seen) > 300_000:
                 seen.clear()
-            out = [p for p in found if p not in seen and not seen.add(p)]
+            out = []
+            columns = {c: t[c].to_numpy() if t[c].type != pa.bool_() else np.array(t[c].to_pylist(), bool) for c in t.column_names if c != "point"}
+            raw = t["point"].to_pylist()
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                found, open_ = Cell(columns, raw, a, b).pairs(need, of, least)
+                out += [p for p in found if p not in seen and not seen.add(p)]
+                if open_:
+                    out.append((int(columns["cell"][a]), None))
             return pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
         for b in batches:
             t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+            if not t.num_rows:
+                continue
             cell = t["cell"].to_numpy()
             starts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1])
-            yield new(p for a, c in zip(starts[:-1], starts[1:], strict=True) for p in pairs_of(t.slice(a, c - a)))
-            held = t.slice(int(starts[-1])).combine_chunks() if t.num_rows else None
+            yield new(t.slice(0, int(starts[-1])), starts)
+            held = t.slice(int(starts[-1])).combine_chunks()
         if held is not None:
-            yield new(pairs_of(held))
+            yield new(held, np.array([0, held.num_rows]))
 
     return rows.mapInArrow(search, "a long, b long").distinct()
 
@@ -284,25 +349,33 @@ def near_duplicate_classes(docs: DataFrame, id: str = "doc_id", text: str = "tex
     classes = written(classes.withColumn("key", F.monotonically_increasing_id()), "ngram-classes")
     dropped(whole)
 
-    hashes = classes.select(F.explode("prefix").alias("s"), "key", "n")
-    buckets = written(hashes.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "ngram-buckets")
-    members = written(hot_join(hashes, buckets, ["s"], "m").select("s", "key", "n"), "ngram-members")
-    dropped(buckets)
+    hashes = classes.select(F.posexplode("prefix").alias("at", "s"), "key", "n")
+    # of two similar sets the smaller, of n, shares at least 2 * need * n / (need + of)
+    hashes = hashes.select("s", "key", "n", F.expr(f"at <= n - ({2 * need} * n + {need + of - 1}) div {need + of}").alias("smaller"))
+    buckets = hashes.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.count_if("smaller").alias("own")).where("m > 1 AND own > 0").select("s", "m")
+    buckets = written(buckets, "ngram-buckets")
+    shared = hot_join(hashes, buckets, ["s"], "m").select("s", "key", "n", "smaller")
     points = classes.select("key", "point")
     edges = lambda links: links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    cells = written(_cells(members.withColumn("component", F.col("key"))), "ngram-cells")
     if every_link:
+        members = written(shared.withColumn("component", F.col("key")), "ngram-members")
+        cells = written(_cells(members), "ngram-cells")
         links = _verified(_tree_pairs(cells, points, need, of), rows, classes, shingle, need, of, "ngram")
+        dropped(members)
     else:
+        first = _tree_pairs(_first_cells(classes), points, need, of, least=True).where("b IS NOT NULL")
+        links = _verified(first, rows, classes, shingle, need, of, "ngram-first")
+        joined_by = lambda table, found: table.join(found, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key")).drop("node")
+        members = written(joined_by(shared, components(edges(links), "ngram-first-components")), "ngram-members")
+        cells = written(_cells(members), "ngram-cells")
+        dropped(members)
         tried = written(_tree_pairs(cells, points, need, of, least=True), "ngram-least")
-        links = _verified(tried, rows, classes, shingle, need, of, "ngram-least")
-        so_far = components(edges(links), "ngram-least-components")
-        open_ = members.join(so_far, F.col("key") == F.col("node"), "left").select("s", "key", "n", F.coalesce("component", "key").alias("component"))
-        rest = written(_cells(open_), "ngram-open-cells")
+        links = links.unionByName(_verified(tried.where("b IS NOT NULL"), rows, classes, shingle, need, of, "ngram-least"))
+        still = tried.where("b IS NULL").select(F.col("a").alias("cell"))
+        rest = joined_by(cells.join(still, "cell", "left_semi").drop("component"), components(edges(links), "ngram-least-components"))
         more = _tree_pairs(rest, points, need, of).join(tried, ["a", "b"], "left_anti")
         links = links.unionByName(_verified(more, rows, classes, shingle, need, of, "ngram-open"))
-        dropped(rest)
-    dropped(members)
+    dropped(buckets)
     dropped(cells)
 
     found = components(edges(links), "ngram-components")

@@ -55,3 +55,33 @@ def test_blocks_and_bands_lose_no_link(spark, monkeypatch):
     _, links = ngram_join.near_duplicate_classes(docs)
     first = {frozenset(sets[i]): i for i in sorted(sets, reverse=True)}
     assert {(x.a, x.b) for x in links.collect()} == {tuple(sorted((first[frozenset(sets[a])], first[frozenset(sets[b])]))) for a, b in want}
+
+
+def test_components_of_large_families(spark, monkeypatch):
+    """Rounds, blocks and searches that find more than FEW others give the components of all links: families whose members
+    are similar to some others only, members a word longer each time, and a passage that all share."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 9)
+    r = random.Random(7)
+    passage, rows = [f"p{i}" for i in range(30)], []
+    for f in range(4):
+        base = [f"b{r.randint(0, 10**6)}" for _ in range(150)]
+        for i in range(28):
+            copy = base[: len(base) - 2 * (i % 3)] + [f"e{f}-{k}" for k in range(2 * i if f == 0 else 0)]
+            for _ in range(r.choice([1, 3, 6])):
+                copy[r.randrange(len(copy))] = f"x{r.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(passage + copy)))
+    r.shuffle(rows)
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    members, _ = ngram_join.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), every_link=False)
+    assert {m.doc_id: m.component_id for m in members.collect()} == {i: top(i) for i in sets}
