@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,63 +85,78 @@ class Network:
         self.part["cb"][:] = np.log(by.sum(axis=1))
         self.part["wb"][:] = np.log(by / by.sum(axis=1, keepdims=True))
 
-    def forward(self, context: np.ndarray, target: np.ndarray):
-        """Log-probabilities of targets (n) in contexts (places, n), and what the gradient needs."""
+    def hidden(self, context: np.ndarray) -> np.ndarray:
         p = self.part
         h = np.take(p["e"][0], context[0], axis=0)
         for k in range(1, len(PLACES)):
             h += np.take(p["e"][k], context[k], axis=0)
         h += p["b"]
-        np.tanh(h, out=h)
-        group, within = target // self.k, target % self.k
+        return np.tanh(h, out=h)
+
+    def _softmax(self, h: np.ndarray, group: np.ndarray, within: np.ndarray):
+        """For targets in order of their classes: log-probabilities, both softmaxes before they are divided by their sums,
+        these sums, and where each class begins (and the last ends)."""
+        p, rows = self.part, np.arange(len(group))
         a = h @ p["c"]
         a += p["cb"]
-        a -= a.max(axis=1, keepdims=True)
-        np.exp(a, out=a)
-        sa = a.sum(axis=1)
-        order = np.argsort(group.astype(np.uint16), kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(self.k + 1))
-        hs, z = h[order], np.empty((len(target), self.k), np.float32)
-        for g in range(self.k):
-            i, j = bounds[g], bounds[g + 1]
-            if i < j:
-                np.matmul(hs[i:j], p["w"][g], out=z[i:j])
-                z[i:j] += p["wb"][g]
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        sz = z.sum(axis=1)
-        n = np.arange(len(target))
-        log_p = np.log(a[n, group] / sa + 1e-30)
-        log_p[order] += np.log(z[n, within[order]] / sz + 1e-30)
-        return log_p, (h, hs, a / sa[:, None], z / sz[:, None], group, within, order, bounds)
+        bounds = np.searchsorted(group, np.arange(self.k + 1))
+        z = np.empty((len(group), self.k), np.float32)
+        for g in np.flatnonzero(np.diff(bounds)):
+            np.matmul(h[bounds[g] : bounds[g + 1]], p["w"][g], out=z[bounds[g] : bounds[g + 1]])
+        z += np.take(p["wb"], group, axis=0)
+        sums, log_p = [], np.zeros(len(group), np.float32)
+        for x, at in ((a, group), (z, within)):
+            if max(x.max(initial=0), -x.min(initial=0)) > 60:  # beyond what exp can take
+                x -= x.max(axis=1, keepdims=True)
+            log_p += x[rows, at]
+            np.exp(x, out=x)
+            sums.append(x @ np.ones(self.k, np.float32))
+            log_p -= np.log(sums[-1])
+        return log_p, a, z, sums, bounds
+
+    def forward(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probabilities of targets (n) in contexts (places, n), and the hidden units."""
+        order = np.argsort(target.astype(np.uint16) if self.k < 256 else target, kind="stable")
+        h, back = self.hidden(context), np.empty(len(target), np.float32)
+        back[order] = self._softmax(h[order], target[order] // self.k, target[order] % self.k)[0]
+        return back, h
 
     def step(self, context: np.ndarray, target: np.ndarray, grown: np.ndarray) -> None:
         """One Adagrad step on the mean negative log-probability; grown: the squared gradients so far."""
-        _, (h, hs, a, z, group, within, order, bounds) = self.forward(context, target)
-        p, n = self.part, len(target)
-        squares = _views(grown, self.k)
-        rows = np.arange(n)
-        a[rows, group] -= 1
-        z[rows, within[order]] -= 1
-        a /= n
-        z /= n
+        order = np.argsort(target.astype(np.uint16) if self.k < 256 else target, kind="stable")
+        context, target = context[:, order], target[order]
+        group, within = target // self.k, target % self.k
+        h = self.hidden(context)
+        _, a, z, sums, bounds = self._softmax(h, group, within)
+        p, n, squares, rows = self.part, len(target), _views(grown, self.k), np.arange(len(target))
+        for x, total, at in ((a, sums[0], group), (z, sums[1], within)):
+            x /= (n * total)[:, None]
+            x[rows, at] -= np.float32(1 / n)
 
         def move(name: str, at, gradient: np.ndarray) -> None:
             # only what has a gradient, so that a step costs what its tokens ask for
-            squares[name][at] += gradient**2
-            p[name][at] -= RATE * gradient / np.sqrt(squares[name][at] + 1e-10)
+            square = squares[name][at] + gradient**2
+            squares[name][at] = square
+            square += 1e-10
+            np.sqrt(square, out=square)
+            np.divide(gradient, square, out=square)
+            square *= RATE
+            p[name][at] -= square
 
         dh = a @ p["c"].T
-        move("c", ..., h.T @ a)
-        move("cb", ..., a.sum(axis=0))
-        dhs = np.empty_like(hs)
-        for g in range(self.k):
+        ones = np.concatenate([h, np.ones((n, 1), np.float32)], axis=1)  # the last row of a product with it is a sum
+        sums_a = ones.T @ a
+        move("c", ..., sums_a[:-1])
+        move("cb", ..., sums_a[-1])
+        present = np.flatnonzero(np.diff(bounds))
+        by_class = np.empty((len(present), HIDDEN + 1, self.k), np.float32)
+        for x, g in enumerate(present):
             i, j = bounds[g], bounds[g + 1]
-            if i < j:
-                dhs[i:j] = z[i:j] @ p["w"][g].T
-                move("w", g, hs[i:j].T @ z[i:j])
-                move("wb", g, z[i:j].sum(axis=0))
-        dh[order] += dhs
+            dh[i:j] += z[i:j] @ p["w"][g].T
+            np.matmul(ones[i:j].T, z[i:j], out=by_class[x])
+        every = present if len(present) < self.k else ...
+        move("w", every, by_class[:, :-1])
+        move("wb", every, by_class[:, -1])
         dh *= 1 - h * h
         move("b", ..., dh.sum(axis=0))
         for k in range(len(PLACES)):
@@ -250,15 +264,30 @@ def train(docs: DataFrame) -> tuple[list[int], np.ndarray]:
         start = context.broadcast(flat)
 
         def task(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            net = Network(start.value)
-            token, grown = Vocabulary(vocabulary.value, net.k**2), np.zeros_like(net.flat)
-            random, slice = np.random.Generator(np.random.PCG64(17)), TaskContext.get().partitionId()
-            used = sum(learn(net, token, b.column(1), grown, random) for b in batches)
-            for i in range(0, len(net.flat) if used else 0, BLOCK):
-                yield pa.RecordBatch.from_pydict({"block": pa.array([i // BLOCK], pa.int32()), "slice": pa.array([slice], pa.int32()), "v": pa.array([net.flat[i : i + BLOCK].tobytes()], pa.binary()), "n": pa.array([float(used)])})
+            now, net, used = None, None, 0
+
+            def sent() -> Iterator[pa.RecordBatch]:
+                for i in range(0, len(net.flat) if used else 0, BLOCK):
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([i // BLOCK], pa.int32()), "slice": pa.array([now], pa.int32()), "v": pa.array([net.flat[i : i + BLOCK].tobytes()], pa.binary()), "n": pa.array([float(used)])})
+
+            for b in batches:
+                slice = b.column(0).to_numpy()
+                cuts = [0, *(np.flatnonzero(slice[1:] != slice[:-1]) + 1), len(slice)]
+                for i, j in itertools.pairwise(cuts):
+                    if i < j and slice[i] != now:
+                        if net:
+                            yield from sent()
+                        now, net, used = int(slice[i]), Network(start.value), 0
+                        token, grown = Vocabulary(vocabulary.value, net.k**2), np.zeros_like(net.flat)
+                        random = np.random.Generator(np.random.PCG64(17))
+                    used += learn(net, token, b.column(1).slice(i, j - i), grown, random) if i < j else 0
+            if net:
+                yield from sent()
 
         rows = docs.withColumn("hashed", hashed).where(F.pmod("hashed", F.lit(ROUNDS)) == k)
-        rows = rows.repartition(slices, F.xxhash64("hashed")).sortWithinPartitions("hashed", "text").select("doc_id", "text")
+        rows = rows.withColumn("slice", F.pmod(F.xxhash64("hashed"), F.lit(slices)).cast("int"))
+        # a slice is in one task; tasks are more than slices, so that few have two
+        rows = rows.repartition(4 * slices, "slice").sortWithinPartitions("slice", "hashed", "text").select("slice", "text")
         mean = _means(rows.mapInArrow(task, "block int, slice int, v binary, n double"))
         if mean is not None:
             flat = mean
@@ -285,7 +314,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", model: tuple[
             tokens, total = token(w.hash), np.zeros(w.n_texts)
             for i in range(0, len(tokens), BATCH):
                 which = np.arange(i, min(i + BATCH, len(tokens)))
-                log_p, _ = net.forward(_contexts(tokens, w, which, token.n), tokens[which])
+                log_p = net.forward(_contexts(tokens, w, which, token.n), tokens[which])[0]
                 total += np.bincount(w.text[which], log_p, minlength=w.n_texts)
             n = np.diff(w.bounds)
             yield {
