@@ -29,7 +29,7 @@ from lodestone.llm.common import dropped, written
 CANDIDATES, QUERIES = 16384, 2048
 #: Most pivots, rows that a cell is to have where these suffice, and rows of the sample for each pivot.
 PIVOTS, CELL, SAMPLE = 256, 4096, 16
-LEAF, CHILDREN = 48, 24
+LEAF, QUERY_LEAF, CHILDREN = 192, 48, 24
 
 
 class CoverTree:
@@ -44,7 +44,7 @@ class CoverTree:
             centre, radius, a, b, _, _ = nodes[k]
             if b - a > leaf and radius > 0:
                 rows = order[a:b].copy()
-                own, centres = self._children(points[rows], int(np.flatnonzero(rows == centre)[0]), radius)
+                own, centres = self._children(points[rows], int(np.flatnonzero(rows == centre)[0]), radius, leaf)
                 by = np.argsort(own, kind="stable")
                 order[a:b] = rows[by]
                 ends = a + np.cumsum(np.bincount(own, minlength=len(centres)))
@@ -68,15 +68,23 @@ class CoverTree:
         d = points - (points[centre] if np.isscalar(centre) else centre)
         return np.sqrt(np.einsum("ij,ij->i", d, d))
 
-    def _children(self, x: np.ndarray, centre: int, radius: float) -> tuple[np.ndarray, list[int]]:
-        """Farthest-first centres until they cover half the radius, and the nearest centre of each point."""
+    def _net(self, x: np.ndarray, centre: int, radius: float, most: int) -> tuple[list[int], np.ndarray, np.ndarray]:
         centres, near, own = [centre], self._far(x, centre), np.zeros(len(x), np.int64)
-        while len(centres) < CHILDREN and near.max() > radius / 2:
+        while len(centres) < most and near.max() > radius / 2:
             c = int(near.argmax())
             d = self._far(x, c)
             own[d < near] = len(centres)
             near = np.minimum(near, d)
             centres.append(c)
+        return centres, near, own
+
+    def _children(self, x: np.ndarray, centre: int, radius: float, leaf: int) -> tuple[np.ndarray, list[int]]:
+        """Farthest-first centres until they cover half the radius, and the nearest centre of each point. Where CHILDREN
+        of them hardly shrink the radius, only as many as leaves of about half of `leaf` take: small leaves save nothing there."""
+        centres, near, own = self._net(x, centre, radius, CHILDREN)
+        few = max(2, len(x) // (leaf // 2))
+        if len(centres) > few and near.max() > 0.75 * radius:
+            centres, near, own = self._net(x, centre, radius, few)
         if len(centres) == 1:  # the centre covers all within half the radius: split off the farthest nevertheless
             c = int(near.argmax())
             own[self._far(x, c) < near] = 1
@@ -97,34 +105,46 @@ def dual_tree(q: CoverTree, c: CoverTree, k: int, floors: dict[int, float] | Non
         r, s = q.radius[qs][:, None], c.radius[cs][None]
         return q.points[q.centre[qs]] @ c.points[c.centre[cs]].T + q.norm[qs][:, None] * s + c.norm[cs][None] * r + r * s + slack
 
+    def meet(a: int, at: np.ndarray) -> None:
+        """All points of query node a with candidates `at`."""
+        i, j, ids = q.first[a], q.end[a], c.ids[at]
+        x, y = q.points[i:j], c.points[at]
+        scores = x @ y.T if exact else (x.astype(object) @ y.T.astype(object))
+        good = (scores >= worst[i:j][:, None]) & (q.ids[i:j][:, None] != ids[None])
+        for row in np.flatnonzero(good.any(axis=1)):
+            hit = np.flatnonzero(good[row])
+            if len(hit) > 4 * k and exact:  # only the k best of them can stay, with all that tie with the last
+                low = np.partition(scores[row, hit], -k)[-k]
+                hit = hit[scores[row, hit] >= low]
+                if len(hit) > 4 * k:
+                    hit = hit[np.lexsort((ids[hit], -scores[row, hit]))[:k]]
+            found = best[i + row] + [(int(scores[row, h]), int(ids[h])) for h in hit]
+            best[i + row] = found = sorted(found, key=lambda x: (-x[0], x[1]))[:k]
+            if len(found) == k:
+                worst[i + row] = max(worst[i + row], found[-1][0])
+
+    is_leaf = c.child == c.child_end
+    over_leaf = np.array([is_leaf[m:n].any() for m, n in zip(c.child, c.child_end, strict=True)])
     stack = [(0, 0, np.inf)]
     while stack:
         a, b, bound = stack.pop()
-        i, j = q.first[a], q.end[a]
-        if bound < worst[i:j].min():
+        low = worst[q.first[a] : q.end[a]].min()
+        if bound < low:
             continue
-        leaf_q, leaf_c = q.child[a] == q.child_end[a], c.child[b] == c.child_end[b]
-        if leaf_q and leaf_c:
-            m, n = c.first[b], c.end[b]
-            x, y = q.points[i:j], c.points[m:n]
-            scores = x @ y.T if exact else (x.astype(object) @ y.T.astype(object))
-            good = (scores >= worst[i:j][:, None]) & (q.ids[i:j][:, None] != c.ids[m:n][None])
-            for row in np.flatnonzero(good.any(axis=1)):
-                hit = np.flatnonzero(good[row])
-                if len(hit) > 4 * k and exact:  # only the k best of them can stay, with all that tie with the last
-                    low = np.partition(scores[row, hit], -k)[-k]
-                    hit = hit[scores[row, hit] >= low]
-                    if len(hit) > 4 * k:
-                        hit = hit[np.lexsort((c.ids[m:n][hit], -scores[row, hit]))[:k]]
-                found = best[i + row] + [(int(scores[row, h]), int(c.ids[m + h])) for h in hit]
-                best[i + row] = found = sorted(found, key=lambda x: (-x[0], x[1]))[:k]
-                if len(found) == k:
-                    worst[i + row] = max(worst[i + row], found[-1][0])
+        leaf_q = q.child[a] == q.child_end[a]
+        if leaf_q and is_leaf[b]:
+            meet(a, np.arange(c.first[b], c.end[b]))
             continue
-        split_q = not leaf_q and (leaf_c or q.radius[a] >= c.radius[b])
+        split_q = not leaf_q and (is_leaf[b] or over_leaf[b] or q.radius[a] >= c.radius[b])
         qs = np.arange(q.child[a], q.child_end[a]) if split_q else np.array([a])
         cs = np.array([b]) if split_q else np.arange(c.child[b], c.child_end[b])
         limit = bounds(qs, cs)
+        if leaf_q:  # all leaves that stay, in one product
+            leaves = is_leaf[cs] & (limit[0] >= low)
+            if leaves.any():
+                start, many = c.first[cs[leaves]], (c.end - c.first)[cs[leaves]]
+                meet(a, np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum()))
+            cs, limit = cs[~is_leaf[cs]], limit[:, ~is_leaf[cs]]
         for flat in np.argsort(limit, axis=None):
             u, v = divmod(int(flat), len(cs))
             stack.append((qs[u], cs[v], limit[u, v]))
@@ -175,13 +195,13 @@ def _in_cells(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     return rows.select("id", "v", "dim").mapInArrow(deal, "id long, v array<double>, dim int, cell int, far double")
 
 
-def _trees(rows: DataFrame) -> DataFrame:
+def _trees(rows: DataFrame, leaf: int = LEAF) -> DataFrame:
     """(dim, cell, block, tree): the cover tree of each block of rows (id, v, dim, cell, block)."""
 
     def build(t: pa.Table) -> pa.Table:
         v = t["v"].combine_chunks()
         points = v.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        tree = pickle.dumps(CoverTree(t["id"].to_numpy(), points), protocol=5)
+        tree = pickle.dumps(CoverTree(t["id"].to_numpy(), points, leaf), protocol=5)
         return pa.table({"dim": t["dim"][:1], "cell": t["cell"][:1], "block": t["block"][:1], "tree": pa.array([tree], pa.binary())})
 
     return rows.select("id", "v", "dim", "cell", "block").groupBy("dim", "cell", "block").applyInArrow(build, "dim int, cell int, block long, tree binary")
@@ -249,7 +269,7 @@ def top_k(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", eve
 
     candidates = written(_trees(blocked(dealt, "blocks")), "topk-trees")
     queries = written(blocked(dealt.where(asked), "query_blocks").drop("asks"), "topk-queries")
-    trees = written(_trees(queries).withColumnRenamed("tree", "query_tree"), "topk-query-trees")
+    trees = written(_trees(queries, QUERY_LEAF).withColumnRenamed("tree", "query_tree"), "topk-query-trees")
 
     def met(pairs: DataFrame) -> DataFrame:
         """Pairs (dim, candidate_cell, blocks, query_tree, floors) with the tree of every block of that cell."""

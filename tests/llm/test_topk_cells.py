@@ -55,7 +55,7 @@ def test_many_cells_agree_with_brute_force_and_are_pruned(spark, monkeypatch):
 
 def test_walk_saves_products_on_clusters():
     x = np.floor(_clustered(6000, 40, 8, 9) * 256)
-    c, q = topk_search.CoverTree(np.arange(6000), x), topk_search.CoverTree(np.arange(0, 6000, 50), x[::50])
+    c, q = topk_search.CoverTree(np.arange(6000), x), topk_search.CoverTree(np.arange(0, 6000, 50), x[::50], topk_search.QUERY_LEAF)
 
     class Counted(np.ndarray):
         seen = 0
