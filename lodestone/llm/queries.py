@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import byte_bpe, masked_lm, mixing, ngram_join, quality, secrets, substring_dedup, token_counts, topk_search, warc
+from lodestone.llm import byte_bpe, collocations, conversations, licenses, masked_lm, mixing, ngram_join, quality, secrets, substring_dedup, token_counts, topk_search, warc
 from lodestone.llm.common import table
 
 
@@ -52,6 +52,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
@@ -63,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_collocations": op11_collocations,
+    "op12_licenses": op12_licenses,
+    "op13_conversations": op13_conversations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": warc.ORACLE, "op3_mixing": mixing.ORACLE, "op5_topk_search": topk_search.ORACLE, "op8_ngram_join": ngram_join.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_warc": warc.ORACLE, "op3_mixing": mixing.ORACLE, "op5_topk_search": topk_search.ORACLE, "op8_ngram_join": ngram_join.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE, "op11_collocations": collocations.ORACLE, "op12_licenses": licenses.ORACLE, "op13_conversations": conversations.ORACLE}
