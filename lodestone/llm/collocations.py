@@ -1,6 +1,6 @@
 """Phrase collocations by depth-limited count tries.
 
-1. Each task turns its documents into count tries (a shard is some two million words; a task may make several): a node for
+1. Each task turns its documents into count tries (a shard is some million words; a task may make several): a node for
    every phrase of 1 to `max_words` words within a piece, with its count. A trie is serialised in pre-order, its words in
    byte order, in blocks of bounded size.
 2. Blocks are dealt by prefix range. Borders come from a bounded sample of the blocks' first phrases and set the balance
@@ -32,7 +32,8 @@ from lodestone.llm.common import hot_join, written
 
 #: A-Z in lower case, piece ends as \n, tabs as blanks.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
-BLOCKS = "lang string, first array<binary>, last array<binary>, n long, words array<binary>, depth binary, word binary, counts binary"
+#: Words of a block are joined by \n; depth is a byte a node, word two, counts four or eight.
+BLOCKS = "lang string, first array<binary>, last array<binary>, n long, words binary, depth binary, word binary, counts binary"
 NODES = "lang string, words array<string>, a long, lefts array<long>"
 
 
@@ -41,13 +42,13 @@ class Sizes:
     """Bounds of memory. They set cost and balance, never a result."""
 
     #: Words of a shard's trie, nodes of a block, nodes held before they are merged, nodes of a range, ranges at most.
-    shard: int = 2_000_000
+    shard: int = 1_000_000
     block: int = 32_768
-    pending: int = 1_000_000
+    pending: int = 500_000
     range: int = 500_000
     ranges: int = 8_192
     #: Bytes of text that are split at once, and of a word in a border.
-    text: int = 8_000_000
+    text: int = 4_000_000
     border: int = 64
 
 
@@ -111,16 +112,14 @@ class _Trie:
         end = pc.index(known, pa.scalar(b"\n", known.type)).as_py()
         if end >= 0:
             ids[ids == number[end]] = 0
-        # one break after the last word, so that windows never leave the array
+        # breaks after the last word, so that windows never leave the array
         ids = np.r_[ids, np.zeros(max_words, np.int64)]
-        n = len(ids) - max_words
-        parts, whole = [], np.ones(n, bool)
+        n, size, whole, parts = len(ids) - max_words, len(known) + 1, True, []
         for d in range(max_words):
-            whole &= ids[d : d + n] > 0
-            at = np.flatnonzero(whole)
-            parts.append([ids[at + k] if k <= d else np.zeros(len(at), np.int64) for k in range(max_words)])
-        columns = [np.concatenate([p[k] for p in parts]) for k in range(max_words)]
-        return _Trie(known.take(pa.array(order)).cast(pa.large_binary()), *_counted(columns, None, len(known) + 1))
+            whole = whole & (ids[d : d + n] > 0)
+            parts.append(np.flatnonzero(whole))
+        columns = [np.concatenate([ids[at + k] if k <= d else np.zeros(len(at), np.int64) for d, at in enumerate(parts)]) for k in range(max_words)]
+        return _Trie(known.take(pa.array(order)).cast(pa.large_binary()), *_counted(columns, None, size))
 
     @staticmethod
     def merged(tries: list[_Trie]) -> _Trie:
@@ -154,27 +153,37 @@ class _Trie:
         own = np.r_[[c[0] for c in self.columns[:lead]], np.stack(self.columns, 1)[np.arange(len(self.counts)), self.depth - 1]].astype(np.int64)
         used, word = np.unique(own, return_inverse=True)
         counts = np.r_[np.zeros(lead, np.int64), self.counts]
-        words = self.words.take(pa.array(used - 1)).to_pylist()
-        return {"lang": lang, "first": self.path(0), "last": self.path(len(self.counts) - 1), "n": len(self.counts), "words": words, "depth": depth.tobytes(), "word": word.astype(np.int32).tobytes(), "counts": counts.astype(np.int64).tobytes()}
+        words = self.words.take(pa.array(used - 1))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.binary())), b"\n")[0].as_py()
+        small = np.int32 if counts.max() < 2**31 else np.int64
+        return {"lang": lang, "first": self.path(0), "last": self.path(len(self.counts) - 1), "n": len(self.counts), "words": joined, "depth": depth.tobytes(), "word": word.astype(np.uint16).tobytes(), "counts": counts.astype(small).tobytes()}
 
     @staticmethod
     def read(row: dict, max_words: int) -> _Trie:
         depth = np.frombuffer(row["depth"], np.uint8).astype(np.int64)
-        word = np.frombuffer(row["word"], np.int32).astype(np.int64) + 1
-        counts = np.frombuffer(row["counts"], np.int64)
+        word = np.frombuffer(row["word"], np.uint16).astype(np.int64) + 1
+        counts = np.frombuffer(row["counts"], np.int32 if len(row["counts"]) == 4 * len(depth) else np.int64).astype(np.int64)
         columns = []
         for k in range(1, max_words + 1):
             at = np.maximum.accumulate(np.where(depth == k, np.arange(len(depth)), -1))
             columns.append(np.where(depth >= k, word[np.maximum(at, 0)], 0))
         real = counts > 0
-        return _Trie(pa.array(row["words"], pa.large_binary()), [c[real] for c in columns], counts[real])
+        words = pc.split_pattern(pa.array([row["words"]], pa.large_binary()), b"\n").flatten()
+        return _Trie(words, [c[real] for c in columns], counts[real])
 
 
 def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-_BLOCK = [("lang", pa.string()), ("first", pa.list_(pa.binary())), ("last", pa.list_(pa.binary())), ("n", pa.int64()), ("words", pa.list_(pa.binary())), ("depth", pa.binary()), ("word", pa.binary()), ("counts", pa.binary())]
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches, one at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+_BLOCK = [("lang", pa.string()), ("first", pa.list_(pa.binary())), ("last", pa.list_(pa.binary())), ("n", pa.int64()), ("words", pa.binary()), ("depth", pa.binary()), ("word", pa.binary()), ("counts", pa.binary())]
 _NODE = [("lang", pa.string()), ("words", pa.list_(pa.string())), ("a", pa.int64()), ("lefts", pa.list_(pa.int64()))]
 
 
@@ -197,6 +206,7 @@ def shard_tries(docs: DataFrame, max_words: int, sizes: Sizes) -> DataFrame:
         def flushed(lang: str) -> Iterator[pa.RecordBatch]:
             trie = _Trie.of(pa.chunked_array(held.pop(lang)), max_words)
             words.pop(lang)
+            pa.default_memory_pool().release_unused()
             for low in range(0, len(trie.counts), sizes.block):
                 yield _batch([trie.part(low, low + sizes.block).block(lang)], pa.schema(_BLOCK))
 
@@ -206,15 +216,12 @@ def shard_tries(docs: DataFrame, max_words: int, sizes: Sizes) -> DataFrame:
                     lang, data = lang.as_py() or "", text.as_buffer().to_pybytes()
                     texts.setdefault(lang, []).append(data)
                     long[lang] = long.get(lang, 0) + len(data)
-                    if long[lang] >= sizes.text:
-                        split(lang)
-                        # the sum over languages is bounded, not each one's share
-                        if sum(words.values()) >= sizes.shard:
-                            for x in list(held):
-                                yield from flushed(x)
-                    elif sum(long.values()) >= 4 * sizes.text:
-                        for x in list(texts):
-                            split(x)
+                    # sums over languages are bounded, not each one's share
+                    for x in list(texts) if sum(long.values()) >= 4 * sizes.text else [lang] if long[lang] >= sizes.text else []:
+                        split(x)
+                    if sum(words.values()) >= sizes.shard:
+                        for x in list(held):
+                            yield from flushed(x)
         for lang in list(texts):
             split(lang)
         for lang in list(held):
@@ -248,27 +255,26 @@ def dealt(blocks: DataFrame, borders: list[tuple[bytes, list[bytes]]], max_words
     parts = sorted(needed)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                lang = row["lang"].encode()
-                low, high = bisect.bisect_right(borders, (lang, row["first"])), bisect.bisect_right(borders, (lang, row["last"]))
-                wanted = parts[bisect.bisect_left(parts, (lang, tuple(row["first"]))) : bisect.bisect_right(parts, (lang, tuple(row["last"])))]
-                if low == high and not wanted:
-                    yield _batch([row | {"range_id": low}], schema)
-                    continue
-                trie = _Trie.read(row, max_words)
-                at = [0, *(trie.before(borders[k][1]) if borders[k][0] == lang else 0 for k in range(low, high)), len(trie.counts)]
-                for k in range(len(at) - 1):
-                    if at[k] < at[k + 1]:
-                        yield _batch([trie.part(at[k], at[k + 1]).block(row["lang"]) | {"range_id": low + k}], schema)
-                for _, path in wanted:
-                    i = trie.before(list(path))
-                    if i < len(trie.counts) and trie.path(i) == list(path):
-                        home = bisect.bisect_right(borders, (lang, list(path)))
-                        one = trie.part(i, i + 1).block(row["lang"])
-                        for k in needed[(lang, path)]:
-                            if k != home:
-                                yield _batch([one | {"range_id": k}], schema)
+        for row in _rows(batches):
+            lang = row["lang"].encode()
+            low, high = bisect.bisect_right(borders, (lang, row["first"])), bisect.bisect_right(borders, (lang, row["last"]))
+            wanted = parts[bisect.bisect_left(parts, (lang, tuple(row["first"]))) : bisect.bisect_right(parts, (lang, tuple(row["last"])))]
+            if low == high and not wanted:
+                yield _batch([row | {"range_id": low}], schema)
+                continue
+            trie = _Trie.read(row, max_words)
+            at = [0, *(trie.before(borders[k][1]) if borders[k][0] == lang else 0 for k in range(low, high)), len(trie.counts)]
+            for k in range(len(at) - 1):
+                if at[k] < at[k + 1]:
+                    yield _batch([trie.part(at[k], at[k + 1]).block(row["lang"]) | {"range_id": low + k}], schema)
+            for _, path in wanted:
+                i = trie.before(list(path))
+                if i < len(trie.counts) and trie.path(i) == list(path):
+                    home = bisect.bisect_right(borders, (lang, list(path)))
+                    one = trie.part(i, i + 1).block(row["lang"])
+                    for k in needed[(lang, path)]:
+                        if k != home:
+                            yield _batch([one | {"range_id": k}], schema)
 
     return blocks.mapInArrow(deal, BLOCKS + ", range_id long")
 
@@ -292,18 +298,20 @@ def merged(blocks: DataFrame, borders: list[tuple[bytes, list[bytes]]], max_word
                 lefts.append(np.where(place >= 0, trie.counts[np.maximum(place, 0)], stack[k - 1]))
             own = trie.before(floor) if floor else 0
             total += int(trie.counts[own:][trie.depth[own:] == 1].sum())
-            rows = []
-            for i in own + np.flatnonzero(trie.counts[own:] >= min_count):
-                path = [w.decode("utf-8", "replace") for w in trie.path(i)]
-                rows.append({"lang": at[1], "words": path, "a": int(trie.counts[i]), "lefts": [int(x[i]) for x in lefts[: len(path) - 1]]})
-                if len(rows) == 4096:
-                    yield _batch(rows, pa.schema(_NODE))
-                    rows = []
-            if rows:
-                yield _batch(rows, pa.schema(_NODE))
+            found = own + np.flatnonzero(trie.counts[own:] >= min_count)
+            for low in range(0, len(found), 65_536):
+                yield nodes(trie, lefts, found[low : low + 65_536])
             for k in range(1, max_words):
                 stack[k - 1] = int(lefts[k - 1][-1])
 
+        def nodes(trie: _Trie, lefts: list[np.ndarray], i: np.ndarray) -> pa.RecordBatch:
+            ids, depth = np.stack([c[i] for c in trie.columns], 1), trie.depth[i]
+            words = trie.words.take(pa.array(ids[ids > 0] - 1)).cast(pa.binary()).view(pa.string())
+            left = np.stack([x[i] for x in lefts], 1)[np.arange(1, max_words) < depth[:, None]]
+            columns = [pa.array([at[1]] * len(i), pa.string()), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(depth)], pa.int32()), words)]
+            columns += [pa.array(trie.counts[i]), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(depth - 1)], pa.int32()), pa.array(left))]
+            return pa.RecordBatch.from_arrays(columns, schema=pa.schema(_NODE))
+
         def done() -> Iterator[pa.RecordBatch]:
             nonlocal held
             if at is not None:
@@ -312,19 +320,18 @@ def merged(blocks: DataFrame, borders: list[tuple[bytes, list[bytes]]], max_word
                 yield _batch([{"lang": at[1], "words": [], "a": total, "lefts": []}], pa.schema(_NODE))
             held = []
 
-        for b in batches:
-            for row in b.to_pylist():
-                if at != (row["range_id"], row["lang"]):
-                    yield from done()
-                    at = (row["range_id"], row["lang"])
-                    stack, total = [0] * max_words, 0
-                    floor = next((p for lang, p in borders[at[0] - 1 : at[0]] if at[0] and lang == at[1].encode()), None)
-                elif sum(len(t.counts) for t in held) >= sizes.pending:
-                    whole = _Trie.merged(held)
-                    sure = whole.before(row["first"])
-                    yield from final(whole.part(0, sure))
-                    held = [whole.part(sure, len(whole.counts))]
-                held.append(_Trie.read(row, max_words))
+        for row in _rows(batches):
+            if at != (row["range_id"], row["lang"]):
+                yield from done()
+                at = (row["range_id"], row["lang"])
+                stack, total = [0] * max_words, 0
+                floor = next((p for lang, p in borders[at[0] - 1 : at[0]] if at[0] and lang == at[1].encode()), None)
+            elif sum(len(t.counts) for t in held) >= sizes.pending:
+                whole = _Trie.merged(held)
+                sure = whole.before(row["first"])
+                yield from final(whole.part(0, sure))
+                held = [whole.part(sure, len(whole.counts))]
+            held.append(_Trie.read(row, max_words))
         yield from done()
 
     cut = blocks.repartition(len(borders) + 1, "range_id").sortWithinPartitions("range_id", "lang", "first")
