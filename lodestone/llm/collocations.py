@@ -1,6 +1,6 @@
 """Phrase collocations by depth-limited count tries.
 
-1. Each task turns its documents into count tries (a shard is some million words; a task may make several): a node for
+1. Each task turns its documents into count tries (a shard is some 500,000 words; a task may make several): a node for
    every phrase of 1 to `max_words` words within a piece, with its count. A trie is serialised in pre-order, its words in
    byte order, in blocks of bounded size.
 2. Blocks are dealt by prefix range. Borders come from a bounded sample of the blocks' first phrases and set the balance
@@ -42,13 +42,13 @@ class Sizes:
     """Bounds of memory. They set cost and balance, never a result."""
 
     #: Words of a shard's trie, nodes of a block, nodes held before they are merged, nodes of a range, ranges at most.
-    shard: int = 1_000_000
+    shard: int = 500_000
     block: int = 32_768
-    pending: int = 500_000
+    pending: int = 300_000
     range: int = 500_000
     ranges: int = 8_192
     #: Bytes of text that are split at once, and of a word in a border.
-    text: int = 4_000_000
+    text: int = 2_000_000
     border: int = 64
 
 
@@ -73,23 +73,26 @@ def _counted(columns: list[np.ndarray], counts: np.ndarray | None, size: int) ->
         else:
             order = np.argsort(key, kind="stable")
             key, counts = key[order], counts[order]
-        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        rest, out = key[at], []
-        for _ in columns:
-            rest, c = np.divmod(rest, size)
-            out.append(c)
-        out.reverse()
-    else:
-        order = np.lexsort(columns[::-1])
-        columns = [c[order] for c in columns]
-        counts = None if counts is None else counts[order]
-        new = np.zeros(n, bool)
-        new[0] = True
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        at = np.flatnonzero(new)
-        out = [c[at] for c in columns]
-    return out, np.diff(np.r_[at, n]) if counts is None else np.add.reduceat(counts, at)
+        return _unpacked(key, counts, len(columns), size)
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.zeros(n, bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    at = np.flatnonzero(new)
+    return [c[at] for c in columns], np.diff(np.r_[at, n]) if counts is None else np.add.reduceat(counts[order], at)
+
+
+def _unpacked(key: np.ndarray, counts: np.ndarray | None, columns: int, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """As _counted, of sorted rows that are packed into one number each."""
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    counts = np.diff(np.r_[at, len(key)]) if counts is None else np.add.reduceat(counts, at)
+    rest, out = key[at], []
+    for _ in range(columns):
+        rest, c = np.divmod(rest, size)
+        out.append(c.astype(np.int32 if size < 2**31 else np.int64))
+    return out[::-1], counts
 
 
 class _Trie:
@@ -97,7 +100,7 @@ class _Trie:
 
     def __init__(self, words: pa.Array, columns: list[np.ndarray], counts: np.ndarray):
         self.words, self.columns, self.counts = words, columns, counts
-        self.depth = sum((c > 0).astype(np.int64) for c in columns) if len(counts) else np.zeros(0, np.int64)
+        self.depth = sum((c > 0).astype(np.int32) for c in columns) if len(counts) else np.zeros(0, np.int32)
 
     @staticmethod
     def of(words: pa.ChunkedArray, max_words: int) -> _Trie:
@@ -118,8 +121,22 @@ class _Trie:
         for d in range(max_words):
             whole = whole & (ids[d : d + n] > 0)
             parts.append(np.flatnonzero(whole))
+        words = known.take(pa.array(order)).cast(pa.large_binary())
+        if size**max_words < 2**63:
+            keys = np.empty(sum(map(len, parts)), np.int64)
+            low = 0
+            for d, at in enumerate(parts):
+                key = ids[at]
+                for k in range(1, max_words):
+                    key *= size
+                    if k <= d:
+                        key += ids[at + k]
+                keys[low : low + len(at)] = key
+                low += len(at)
+            keys.sort()
+            return _Trie(words, *_unpacked(keys, None, max_words, size))
         columns = [np.concatenate([ids[at + k] if k <= d else np.zeros(len(at), np.int64) for d, at in enumerate(parts)]) for k in range(max_words)]
-        return _Trie(known.take(pa.array(order)).cast(pa.large_binary()), *_counted(columns, None, size))
+        return _Trie(words, *_counted(columns, None, size))
 
     @staticmethod
     def merged(tries: list[_Trie]) -> _Trie:
@@ -238,7 +255,7 @@ def _borders(blocks: DataFrame, sizes: Sizes) -> list[tuple[str, list[bytes]]]:
     if ranges == 1:
         return []
     cut = F.transform("first", lambda w: F.substring(w, 1, sizes.border))
-    sample = blocks.select(F.encode("lang", "utf-8").alias("lang"), cut.alias("first"), F.xxhash64("lang", "first", "last", "counts").alias("h")).orderBy("h").limit(16 * ranges).collect()
+    sample = blocks.select(F.encode("lang", "utf-8").alias("lang"), cut.alias("first"), F.xxhash64("lang", "first", "last", "n").alias("h")).orderBy("h").limit(16 * ranges).collect()
     firsts = sorted((bytes(r.lang), [bytes(w) for w in r["first"]]) for r in sample)
     picked = [firsts[len(firsts) * k // ranges] for k in range(1, ranges)]
     return [x for k, x in enumerate(picked) if k == 0 or x != picked[k - 1]]
