@@ -43,7 +43,7 @@ class Sizes:
 
     #: Words of a shard's trie, nodes of a block, nodes held before they are merged, nodes of a range, ranges at most.
     shard: int = 500_000
-    block: int = 32_768
+    block: int = 4_096
     pending: int = 300_000
     range: int = 500_000
     ranges: int = 8_192
@@ -140,14 +140,15 @@ class _Trie:
 
     @staticmethod
     def merged(tries: list[_Trie]) -> _Trie:
-        words = pa.chunked_array([t.words for t in tries]).unique()
-        words = words.take(pc.sort_indices(words))
-        words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
-        columns = []
-        numbers = [np.r_[0, pc.index_in(t.words, words).to_numpy(zero_copy_only=False) + 1].astype(np.int64) for t in tries]
-        for k in range(len(tries[0].columns)):
-            columns.append(np.concatenate([m[t.columns[k]] for m, t in zip(numbers, tries, strict=True)]))
-        return _Trie(words, *_counted(columns, np.concatenate([t.counts for t in tries]), len(words) + 1))
+        encoded = pa.concat_arrays([t.words for t in tries]).dictionary_encode()
+        order = pc.sort_indices(encoded.dictionary).to_numpy()
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(1, len(order) + 1)
+        number, starts = number[encoded.indices.to_numpy()], np.cumsum([0, *(len(t.words) for t in tries)])
+        # a path's word numbers, moved behind those of the tries before, index all tries' words; 0 stays 0
+        number = np.r_[0, number]
+        columns = [np.concatenate([number[np.where(t.columns[k] > 0, t.columns[k] + at, 0)] for t, at in zip(tries, starts, strict=False)]) for k in range(len(tries[0].columns))]
+        return _Trie(encoded.dictionary.take(pa.array(order)), *_counted(columns, np.concatenate([t.counts for t in tries]), len(order) + 1))
 
     def part(self, low: int, high: int) -> _Trie:
         return _Trie(self.words, [c[low:high] for c in self.columns], self.counts[low:high])
@@ -343,7 +344,8 @@ def merged(blocks: DataFrame, borders: list[tuple[bytes, list[bytes]]], max_word
                 at = (row["range_id"], row["lang"])
                 stack, total = [0] * max_words, 0
                 floor = next((p for lang, p in borders[at[0] - 1 : at[0]] if at[0] and lang == at[1].encode()), None)
-            elif sum(len(t.counts) for t in held) >= sizes.pending:
+            elif sum(len(t.counts) for t in held[1:]) >= max(sizes.pending, len(held[0].counts)):
+                # so much is new that merging again costs a node its logarithm
                 whole = _Trie.merged(held)
                 sure = whole.before(row["first"])
                 yield from final(whole.part(0, sure))
