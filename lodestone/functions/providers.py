@@ -9,6 +9,7 @@ import hashlib
 import re
 import time
 from collections.abc import Callable
+from urllib.error import URLError
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,7 +32,7 @@ def passing(error: Exception) -> bool:
     """Whether a call may succeed when it is made again: a status of 429 or 5xx, or a failure of transport."""
     if isinstance(error, ProviderError):
         return error.status is not None and (error.status == 429 or 500 <= error.status < 600)
-    return isinstance(error, (ConnectionError, TimeoutError, OSError))
+    return isinstance(error, (ConnectionError, TimeoutError, URLError))
 
 
 def with_retry(call: Callable, retries: int = 2, delay: float = 0.25, sleep: Callable[[float], None] = time.sleep, again: Callable[[Exception], bool] = passing) -> Callable:
@@ -72,7 +73,8 @@ def embed(text: Column, embedder: Embedder, batch: int = 32) -> Column:
     """Vectors of texts, in batches of at most `batch` calls; a provider that answers with another number of vectors fails."""
     if batch < 1:
         raise ValueError("batch must be at least 1")
-    call = with_retry(embedder)
+    # every refusal of an embedding provider is taken for passing
+    call = with_retry(embedder, again=lambda e: isinstance(e, ProviderError) or passing(e))
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:

@@ -43,9 +43,23 @@ def write_repository(rows: DataFrame, path: str, repository_id: str | None = Non
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id").parquet(path)
 
 
+# Characters that stand as % and their code in the names of partition folders.
+ESCAPED = frozenset("\"#%'*/:=?\\\x7f{[]^") | frozenset(map(chr, range(1, 32)))
+
+
+def partition_name(repository_id: str) -> str:
+    """The folder name of a repository's partition, as the writer of partitioned tables makes it; no id names another folder."""
+    if not repository_id or "\0" in repository_id:
+        raise ValueError("a repository needs an id")
+    return "repository_id=" + "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in repository_id)
+
+
 def drop_repository(spark: SparkSession, path: str, repository_id: str) -> bool:
     """Deletes a repository's partition of a stored table, through Spark's file systems; whether there was one."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/repository_id={repository_id}")
+    table = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(table, spark._jvm.org.apache.hadoop.fs.Path(None, None, partition_name(repository_id)))
+    if not place.getParent().equals(table):
+        raise ValueError(f"not a partition of {path}: {repository_id!r}")
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 

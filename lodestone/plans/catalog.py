@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import ChunkConfig, ContextConfig, ConversationConfig, HybridConfig, RerankConfig
 from lodestone.functions import paths, providers, text
-from lodestone.operators import chunking, context, conversation, evaluation, fusion, lexical, lifecycle, rerank, store, vectors
+from lodestone.operators import chunking, context, conversation, evaluation, fusion, impact, ivf, lexical, lifecycle, rerank, snapshots, store, vectors
 from lodestone.plans import sql
 from lodestone.sources import files as sources
 from lodestone.sources.tables import spread, stored
@@ -309,6 +309,12 @@ def bm25_filtered_stats_global(spark, d):
     return search_words(lexical.build_index(chunks(spark, d)), questions(spark, d), 10, {"language": "en"}).select(*RESULT, *long("rank"))
 
 
+@query
+def bm25_impact_topk(spark, d):
+    index = impact.build(lexical.build_index(chunks(spark, d)))
+    return impact.search(index, questions(spark, d), 10, digits=DIGITS).select(*RESULT, *long("rank"))
+
+
 @query
 def bm25_multi_repo(spark, d):
     rows = questions(spark, d).select((F.col("query_id") * 20).alias("query_id"), "text", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
@@ -331,6 +337,21 @@ def vector_topk_batch(spark, d):
     return search_vectors(points(spark, d), vector_questions(spark, d), 5).select(*RESULT, *long("rank"))
 
 
+@query
+def vector_ivf_topk(spark, d):
+    return ivf.search(ivf.build(points(spark, d)), vector_questions(spark, d), 5, digits=DIGITS).select(*RESULT, *long("rank"))
+
+
+@query
+def index_difference(spark, d):
+    """What an index of the documents must take in after their numbers are masked: changed files, and those that go."""
+    before = files(spark, d)
+    known = before.select("repository_id", F.col("path").alias("file_path"), snapshots.file_digest(F.col("content"), F.col("language")).alias("digest"), F.lit("l1").alias("index_layer"))
+    changed, dead = snapshots.difference(before.withColumn("content", F.regexp_replace("content", "[0-9]+", "#")), known)
+    rows = changed.select("repository_id", F.col("path").alias("file_path"), "digest")
+    return rows.join(dead, ["repository_id", "file_path"], "full_outer").select("repository_id", "file_path", "digest", "dead_layer")
+
+
 def _legs(spark, d, pool: int = 20):
     asked = hybrid_questions(spark, d)
     return search_vectors(document_points(spark, d), asked, pool), search_words(lexical.build_index(chunks(spark, d)), asked, pool)

@@ -1,25 +1,33 @@
 """Whole runs over stored tables: indexing a repository, search, answers, explanations and chat turns.
 
-Tables lie under one root, partitioned by repository: points (chunks with vectors), postings, lengths, repositories (their
-statistics); and registry, a row for each stage of each indexing. An indexing writes the partitions of its repository and
-the row of a finished one last, so a signature is never stored without the tables it stands for; one that failed says so.
+Tables lie under one root in layers (operators.snapshots): files, dead, points (chunks with vectors), postings, lengths,
+repositories (their statistics); and registry, a row for each stage of each indexing. An indexing chunks, embeds and posts the
+files that differ from the version before, writes them as a layer, and publishes all tables at once by one commit; the row of
+a finished one comes last, so a signature is never stored without the tables it stands for. One that failed says so and
+leaves the version before. Every `merge_after` layers a repository's live rows are written as one.
 """
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import ChunkConfig, ContextConfig, ConversationConfig, HybridConfig, IngestConfig, RerankConfig
 from lodestone.functions import providers, text
-from lodestone.operators import chunking, context, conversation, fusion, lexical, lifecycle, rerank, store, vectors
+from lodestone.operators import chunking, context, conversation, fusion, lexical, lifecycle, rerank, snapshots, store, vectors
 from lodestone.sources import files as sources
 from lodestone.sources.tables import stored
 
+log = logging.getLogger(__name__)
+
+#: What callers see of a failure; the log has the rest.
+FAILED = "Indexing failed; the log says why."
+
 REGISTRY = (
     "repository_id string, repository_url string, repository_name string, status string, stage string, progress_percent int, file_count long, "
     "total_size_bytes long, languages array<string>, content_signature string, error string, version long, recorded long"
@@ -39,9 +47,20 @@ class Engine:
     reranking: RerankConfig = RerankConfig()
     packing: ContextConfig = ContextConfig()
     talking: ConversationConfig = ConversationConfig()
+    #: An indexing is tried so many times again, after delays that double; a repository has so many layers at most.
+    retries: int = 2
+    delay: float = 0.25
+    merge_after: int = 8
+
+    @property
+    def snapshots(self) -> snapshots.Snapshots:
+        return snapshots.Snapshots(self.spark, f"{self.root}/index")
 
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+    def _table(self, name: str, view: snapshots.View | None = None) -> DataFrame:
+        """The registry, or the live rows of an index table as of the last commit."""
+        if name == "registry":
+            return self.spark.read.parquet(f"{self.root}/registry")
+        return (view or self.snapshots.view()).table(name).drop("index_part", "index_layer")
 
     def registry(self) -> DataFrame:
         """The latest record of each repository that is not deleted, by name."""
@@ -51,70 +70,121 @@ class Engine:
         """A repository's latest record, if it has one and is not deleted."""
         return self.registry().where(F.col("repository_id") == repository_id).first() if store.exists(self.spark, f"{self.root}/registry") else None
 
-    def _record(self, id: str, url: str, name: str, version: int, stage: str, status: str = "indexing", row: Row | None = None, error: str | None = None) -> None:
+    def _record(self, id: str, url: str, name: str, version: int, stage: str, status: str = "indexing", row: Row | None = None, error: str | None = None, progress: int | None = None) -> None:
         summary = (row.file_count, row.total_size_bytes, row.languages, row.content_signature) if row else (None,) * 4
-        done = [(id, url, name, status, stage, lifecycle.PROGRESS.get(stage, 0), *summary, error, version, time.time_ns())]
+        progress = lifecycle.PROGRESS.get(stage, 0) if progress is None else progress
+        done = [(id, url, name, status, stage, progress, *summary, error, version, time.time_ns())]
         self.spark.createDataFrame(done, REGISTRY).write.mode("append").parquet(f"{self.root}/registry")
 
     def index(self, files: DataFrame, url: str, name: str, version: int) -> str:
         """Indexes one repository's files (of sources.included) and gives its state: `unchanged` if its latest indexing
-        finished with its signature, else `completed`. Every stage is recorded; an error is recorded with the state `failed`,
-        and raised. Too many files or bytes raise one before any table is written. Chunks are made once: what comes after
-        reads them from the stored points."""
+        finished with its signature, else `completed`. Every stage is recorded; a failure is recorded with the state `failed`,
+        the progress it came to and a general text, logged, and raised. Too many files or bytes are one, before any table is
+        written. What follows is tried again after errors, but for values that cannot be right. Chunks are made once: what comes after reads them from the
+        stored points."""
         id = self.spark.range(1).select(text.repository_id(F.lit(url)).alias("x")).first().x
-        known = self.get(id)
+        known, progress = self.get(id), 0
         self._record(id, url, name, version, "queued")
         try:
-            return self._index(files.withColumn("repository_id", F.lit(id)), known, id, url, name, version)
-        except Exception as e:
-            self._record(id, url, name, version, "failed", "failed", error=str(e).splitlines()[0][:500])
+            files = files.withColumn("repository_id", F.lit(id))
+            progress = lifecycle.PROGRESS["ingesting"]
+            self._record(id, url, name, version, "ingesting")
+            row = sources.guarded(files, self.ingest).join(lifecycle.signatures(files), "repository_id").first()
+            if row is None:
+                raise ValueError("the repository has no files to index")
+            same = known is not None and known.status == "ready" and known.content_signature == row.content_signature
+            if not same:
+                progress = lifecycle.PROGRESS["indexing"]
+                self._record(id, url, name, version, "indexing", row=row)
+                providers.with_retry(lambda: self._index(files, id), self.retries, self.delay, again=lambda e: not isinstance(e, ValueError))()
+            self._record(id, url, name, version, "completed", "ready", row)
+            return "unchanged" if same else "completed"
+        except Exception:
+            log.exception("indexing of %s failed", id)
+            self._record(id, url, name, version, "failed", "failed", error=FAILED, progress=progress)
             raise
 
-    def _index(self, files: DataFrame, known: Row | None, id: str, url: str, name: str, version: int) -> str:
-        self._record(id, url, name, version, "ingesting")
-        row = sources.guarded(files, self.ingest).join(lifecycle.signatures(files), "repository_id").first()
-        if row is None:
-            raise ValueError("the repository has no files to index")
-        if known is not None and known.status == "ready" and known.content_signature == row.content_signature:
-            self._record(id, url, name, version, "completed", "ready", row)
-            return "unchanged"
-        self._record(id, url, name, version, "indexing", row=row)
-        made = chunking.chunk_files(files, self.chunks).withColumn("vector", providers.embed(F.col("content"), self.embedder))
+    def _index(self, files: DataFrame, id: str) -> None:
+        """Publishes the repository's files: a layer of those that differ from its last version, or one of all."""
+        shots = self.snapshots
+        view = shots.view()
+        before = shots.layers(id)
+        mine = F.col("repository_id") == id
+        known = view.table("files", snapshots.FILES).where(F.col("index_part") == snapshots.part_of(id)).where(mine)
+        changed, dead = snapshots.difference(files, known)
+        changed, dead = stored(changed, "engine-changed"), stored(dead, "engine-dead")
+        if before and not changed.limit(1).count() and not dead.limit(1).count():
+            return
+        made = chunking.chunk_files(changed.drop("digest"), self.chunks).withColumn("vector", providers.embed(F.col("content"), self.embedder))
         rows = stored(vectors.prepared(store.points(made)).dropDuplicates(["point_id"]), "engine-points")
+        size = None
         if rows.limit(1).count():
             size = store.checked(rows).select(F.size("vector").alias("x")).first().x
-            if store.exists(self.spark, f"{self.root}/points"):
-                before = self._table("points").where(F.col("repository_id") != id).select(F.size("vector").alias("x")).first()
-                if before is not None and before.x != size:
-                    raise ValueError(f"vectors have {size} dimensions, those of the table {before.x}")
+            others = shots.live(view.commit).where((F.col("repository_id") != id) & F.col("dimension").isNotNull()).select("dimension").first()
+            if before and others is None:
+                others = shots.live(view.commit).where(mine & F.col("dimension").isNotNull()).select("dimension").first()
+            if others is not None and others.dimension != size:
+                raise ValueError(f"vectors have {size} dimensions, those of the table {others.dimension}")
+        elif before:
+            size = shots.live(view.commit).where(mine).select("dimension").first().dimension
         index = lexical.build_index(rows)
-        for table, part in (("points", rows), ("postings", index.postings), ("lengths", index.lengths), ("repositories", index.repositories)):
-            store.write_repository(part, f"{self.root}/{table}", id)
-        self._record(id, url, name, version, "completed", "ready", row)
-        return "completed"
+        layer = shots.new_layer()
+        lengths = index.lengths
+        if before:
+            old = self._table("lengths", view).where(mine).join(dead.select("file_path").distinct(), "file_path", "left_anti")
+            lengths = old.select(*index.lengths.columns).unionByName(index.lengths)
+        tables = {
+            "files": changed.select(F.lit(id).alias("repository_id"), F.col("path").alias("file_path"), "digest"),
+            "dead": dead.select("repository_id", "file_path", "dead_layer"),
+            "points": rows,
+            "postings": index.postings,
+            "lengths": index.lengths,
+            "repositories": lexical.statistics(lengths),
+        }
+        for table, part in tables.items():
+            shots.write(part, table, id, layer)
+        shots.commit(id, [*before, layer], before, size)
+        if len(before) + 1 >= self.merge_after:
+            self.compact(id)
+
+    def compact(self, repository_id: str) -> None:
+        """Writes a repository's live rows as one layer and publishes it; nothing is chunked or embedded again."""
+        shots = self.snapshots
+        view, before = shots.view(), shots.layers(repository_id)
+        if len(before) < 2:
+            return
+        layer, part = shots.new_layer(), snapshots.part_of(repository_id)
+        for table in ("files", "points", "postings", "lengths", "repositories"):
+            shots.write(view.table(table).where(F.col("index_part") == part).drop("index_part", "index_layer"), table, repository_id, layer)
+        size = shots.live(view.commit).where(F.col("repository_id") == repository_id).first().dimension
+        shots.commit(repository_id, [layer], before, size)
 
     def delete(self, repository_id: str, version: int) -> bool:
-        """Deletes a repository's rows of all tables and records that; whether it was there."""
-        record = self.get(repository_id)
-        found = [store.drop_repository(self.spark, f"{self.root}/{t}", repository_id) for t in ("points", "postings", "lengths", "repositories")]
+        """Commits that a repository has no rows, and records it; whether it was there. `snapshots.collect` frees the space."""
+        record, layers = self.get(repository_id), self.snapshots.layers(repository_id)
+        if layers:
+            self.snapshots.commit(repository_id, [], layers)
         if record is not None:
             self._record(repository_id, record.repository_url, record.repository_name, version, "deleted", "deleted")
-        return any(found) or record is not None
+        return bool(layers) or record is not None
 
-    def lexical_index(self) -> lexical.LexicalIndex:
+    def lexical_index(self, view: snapshots.View | None = None) -> lexical.LexicalIndex:
         """The stored index; document frequencies are counted at each search, of the terms asked for only."""
-        postings = self._table("postings")
+        postings = self._table("postings", view)
         terms = postings.groupBy("repository_id", "term").agg(F.count(F.lit(1)).alias("df"))
-        return lexical.LexicalIndex(postings, self._table("lengths"), terms, self._table("repositories"))
+        return lexical.LexicalIndex(postings, self._table("lengths", view), terms, self._table("repositories", view))
 
-    def search(self, queries: DataFrame, top_k: int | None = None, file_path: str | None = None, symbol: str | None = None, language: str | None = None, threshold: float | None = None) -> DataFrame:
-        """Reranked hybrid results with their chunks, for queries (query_id, repository_id, text); empty filters are none."""
+    def search(self, queries: DataFrame, top_k: int | None = None, file_path: str | None = None, symbol: str | None = None, language: str | None = None, threshold: float | None = None, commit: int | None = None) -> DataFrame:
+        """Reranked hybrid results with their chunks, for queries (query_id, repository_id, text); empty filters are none. All
+        tables are read as of one commit, the last by default."""
+        view = self.snapshots.view(commit)
         filters = {k: v for k, v in (("file_path", file_path), ("symbol_name", symbol), ("language", language)) if v}
         asked = queries.withColumn("vector", providers.embed(F.col("text"), self.embedder))
-        found = fusion.retrieve(self._table("points"), self.lexical_index(), asked, self.hybrid, self.reranking.candidates, threshold, filters or None)
+        points = self._table("points", view)
+        found = fusion.retrieve(points, self.lexical_index(view), asked, self.hybrid, self.reranking.candidates, threshold, filters or None)
         found = found.join(queries.select("query_id", "repository_id", F.col("text").alias("question")), "query_id")
         columns = ["repository_id", "chunk_id", "file_path", "start_line", "end_line", "symbol_name", "language", "content"]
-        return rerank.rerank(found.join(self._table("points").select(*columns), ["repository_id", "chunk_id"]), self.scorer, self.reranking, top_k)
+        return rerank.rerank(found.join(points.select(*columns), ["repository_id", "chunk_id"]), self.scorer, self.reranking, top_k)
 
     def answer(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         questions = queries.select("query_id", F.col("text").alias("question"))
@@ -123,8 +193,6 @@ class Engine:
     def explain_file(self, repository_id: str, path: str) -> DataFrame:
         """An answer about one file from all its chunks in order."""
         rows = store.get_file(self._table("points"), repository_id, path)
-        from pyspark.sql import Window
-
         rank = F.row_number().over(Window.partitionBy("file_path").orderBy("start_line", "chunk_id"))
         results = rows.withColumn("query_id", F.lit(1)).withColumn("rank", rank)
         questions = self.spark.createDataFrame([(1, f"Explain the file {path}.")], "query_id int, question string")
