@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lodestone.sources.tables import stored
+
 MANIFEST = "commit long, repository_id string, index_part string, layers array<string>, dimension int, recorded long"
 #: Columns of the files of a layer, and of the older files that it changes or removes.
 FILES = "repository_id string, file_path string, digest string"
@@ -138,16 +140,15 @@ class Snapshots:
         return gone
 
 
-@dataclass(frozen=True)
 class View:
-    """The tables of all repositories as of one commit."""
-
-    of: Snapshots
-    commit: int
+    """The tables of all repositories as of one commit. Its layers are read from the manifest once, into a table."""
 
-    def _layers(self) -> DataFrame:
-        rows = self.of.live(self.commit)
-        return rows.select("index_part", F.posexplode("layers").alias("ordinal", "index_layer"), (F.size("layers") - 1).alias("last"))
+    def __init__(self, of: Snapshots, commit: int):
+        self.of, self.commit = of, commit
+        rows = of.live(commit).select("index_part", F.posexplode("layers").alias("ordinal", "index_layer"), (F.size("layers") - 1).alias("last"))
+        self._layers = stored(rows, "snapshot-layers")
+        #: Whether any repository has layers over others; without, no row is dead.
+        self.layered = self._layers.where("last > 0").limit(1).count() > 0
 
     def exists(self, table: str) -> bool:
         return self.of._files().exists(self.of._path(table))
@@ -161,7 +162,7 @@ class View:
         # names of parts and layers begin with a letter: they are never taken for numbers
         known = StructType.fromDDL(schema) if schema else StructType([f for f in spark.read.parquet(path).schema if f.name not in ("index_part", "index_layer")])
         full = StructType([*known, StructField("index_part", StringType()), StructField("index_layer", StringType())])
-        return spark.read.schema(full).parquet(path).join(self._layers(), ["index_part", "index_layer"])
+        return spark.read.schema(full).parquet(path).join(self._layers, ["index_part", "index_layer"])
 
     def _dead(self) -> DataFrame:
         return self._rows("dead", DEAD).select("index_part", F.col("dead_layer").alias("index_layer"), "file_path").distinct()
@@ -172,9 +173,9 @@ class View:
         rows = self._rows(name, schema)
         if name == "repositories":
             rows = rows.where("ordinal = last")
-        elif name in OF_FILES:
+        elif name in OF_FILES and self.layered:
             rows = rows.join(self._dead(), ["index_part", "index_layer", "file_path"], "left_anti")
-        elif name == "postings":
+        elif name == "postings" and self.layered:
             gone = self._rows("lengths").join(self._dead(), ["index_part", "index_layer", "file_path"], "left_semi").select("index_part", "index_layer", "chunk_id")
             rows = rows.join(gone, ["index_part", "index_layer", "chunk_id"], "left_anti")
         return rows.drop("ordinal", "last")
