@@ -1,9 +1,9 @@
 """Token counts by a map-side two-tier lookup.
 
 A text is split at blanks and line ends; what is not known yet of the parts is split into pre-tokens by the
-tokenizer's own rules. Pre-tokens are looked up in a broadcast table of frequent ones and their token counts (two Arrow
-arrays, some 300 kB), then in a cache of the Python worker, which runs the merges for what it has not met before. Nothing is
-shuffled. A worker also remembers the parts it has counted.
+tokenizer's own rules. Pre-tokens are looked up in a broadcast hash table of frequent ones and their token counts (32,768 at most,
+made once a worker), then in a cache of the Python worker, which runs the merges for what it has not met before. No pre-token
+of the texts is shuffled, only the sums of a bounded sample. A worker also remembers the parts it has counted.
 
 Counting part by part is exact for tokenizers that drop white space before matching, such as
 word_bpe_49k.json: no match crosses a blank, and no normalisation joins characters across one.
@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +25,7 @@ from lodestone.llm.common import arrow_map
 #: Parts and pre-tokens longer than this are worked out each time and never kept.
 LONGEST_KEPT = 64
 #: Texts, about, whose pre-tokens the frequent ones are taken from, and how many are kept. They set the speed, never a result.
-SAMPLE, KEPT = 20_000, 32_768
+SAMPLE, KEPT = 2_000, 32_768
 _tokenizers: dict = {}
 _caches: dict = {}
 
@@ -57,10 +56,22 @@ def pretokens(path: str, parts: list[str]) -> tuple[np.ndarray, list[str]]:
     return np.searchsorted(starts, np.array([at for _, (at, _) in found], np.int64), "right") - 1, [p for p, _ in found]
 
 
-def frequent_pretokens(docs: DataFrame, path: str, text: str, sample: int = SAMPLE, kept: int = KEPT) -> pa.Table:
-    """(word, n): the most frequent pre-tokens of about `sample` texts, chosen by hash, and their token counts. Tasks send
-    their counts of the sample's pre-tokens to the driver: so much and no more, whatever the size of docs."""
-    rows = docs.select(F.col(text).alias("text")).where("text IS NOT NULL")
+def checked(path: str) -> None:
+    """Raises an error for a tokenizer that does not drop white space: its counts are not those of blank-separated parts."""
+    t = _tokenizer(path)
+    parts = ["a", "Bc", "12", ".", "d'e", "\u00e9", "x-y", "z"]
+
+    def ids(text: str) -> list[int]:
+        return t.encode(text, add_special_tokens=False).ids
+
+    if any(ids(gap.join(parts)) != [i for p in parts for i in ids(p)] for gap in (" ", "\n", "  ", " \n ")):
+        raise ValueError("the tokenizer keeps white space; texts cannot be counted part by part")
+
+
+def frequent_pretokens(docs: DataFrame, path: str, text: str, sample: int = SAMPLE, kept: int = KEPT) -> dict[str, int]:
+    """The most frequent pre-tokens of about `sample` texts, chosen by hash, with their token counts. One job: tasks count the
+    pre-tokens of their share of the sample, the sums are those of the sample, and the driver receives `kept` rows at most."""
+    rows = docs.select(F.col(text).cast("string").alias("text"))
     every = max(1, rows.count() // sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,36 +82,33 @@ def frequent_pretokens(docs: DataFrame, path: str, text: str, sample: int = SAMP
         top = [(w, n) for w, n in seen.most_common(kept) if n > 1 and len(w) <= LONGEST_KEPT]
         yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
-    seen: Counter = Counter()
-    for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).mapInArrow(count, "word string, n long").toLocalIterator():
-        seen[r.word] += r.n
-    words = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:kept]]
+    drawn = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(every)) == 0))
+    sums = drawn.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     model = _tokenizer(path).model
-    return pa.table({"word": pa.array(words, pa.string()), "n": pa.array([len(model.tokenize(w)) for w in words], pa.int32())})
+    return {r.word: len(model.tokenize(r.word)) for r in sums.orderBy(F.desc("n"), "word").limit(kept).collect()}
 
 
 class Counts:
     """Token counts of parts in a Python worker: the frequent table first, then what the worker has met."""
 
-    def __init__(self, path: str, frequent: pa.Table, cache: int):
-        self.path, self.cache, self.model = path, cache, _tokenizer(path).model
-        self.words, self.n = frequent["word"].combine_chunks(), frequent["n"].to_numpy()
+    def __init__(self, path: str, frequent: dict[str, int], cache: int):
+        self.path, self.cache, self.model, self.frequent = path, cache, _tokenizer(path).model, frequent
         self.special = _special(path)
         #: Token counts of parts and of pre-tokens.
         self.parts, self.met = _caches.setdefault(path, ({"": 0}, {}))
 
     def _of_pretokens(self, words: list[str]) -> np.ndarray:
-        found = pc.index_in(pa.array(words, pa.string()), value_set=self.words)
-        n = np.where(found.is_valid(), self.n[found.fill_null(0).to_numpy()] if len(self.n) else 0, -1)
-        for i in np.flatnonzero(n < 0):
-            w = words[i]
-            k = self.met.get(w)
-            if k is None:
-                k = len(self.model.tokenize(w))
-                if len(w) <= LONGEST_KEPT:
-                    self.met[w] = k
-            n[i] = k
-        return n
+        n = [self.frequent.get(w, -1) for w in words]
+        for i, k in enumerate(n):
+            if k < 0:
+                w = words[i]
+                k = self.met.get(w)
+                if k is None:
+                    k = len(self.model.tokenize(w))
+                    if len(w) <= LONGEST_KEPT:
+                        self.met[w] = k
+                n[i] = k
+        return np.array(n, np.int64)
 
     def add(self, parts: set[str]) -> dict[str, int]:
         """Makes `parts` known; returns those among them that are too long to keep."""
@@ -128,6 +136,7 @@ def count_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
     with its own counts; an empty table gives an empty one; other columns are ignored.
     cache: parts, and pre-tokens, that a Python worker keeps before it starts anew. Very long texts are counted whole.
     """
+    checked(path)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_pretokens(docs, path, text))
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
 
