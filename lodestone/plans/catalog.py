@@ -311,8 +311,7 @@ def bm25_filtered_stats_global(spark, d):
 
 @query
 def bm25_impact_topk(spark, d):
-    index = impact.build(lexical.build_index(chunks(spark, d)))
-    return impact.search(index, questions(spark, d), 10, digits=DIGITS).select(*RESULT, *long("rank"))
+    return impact.search(impact.build(chunks(spark, d)), questions(spark, d), 10, digits=DIGITS).select(*RESULT, *long("rank"))
 
 
 @query

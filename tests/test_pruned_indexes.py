@@ -60,8 +60,7 @@ def chunks(spark, n=1500):
 
 @pytest.mark.parametrize("filters", [None, {"language": "b"}, {"unknown": 1}])
 def test_impact_ordered_postings_rank_alike(spark, filters):
-    plain = lexical.build_index(chunks(spark))
-    index = impact.build(plain)
+    plain, index = lexical.build_index(chunks(spark)), impact.build(chunks(spark))
     texts = ["rare common", "common", "w1 w2 w3", "rare rare", "absent", "", "common w1 w2 w3 w4 w5 w6 w7 rare"]
     asked = spark.createDataFrame([(k, r, t) for k, t in enumerate(texts) for r in ["rTrue"]] + [(90, "rFalse", "rare common")], "query_id int, repository_id string, text string")
     got, work = impact.searched(index, asked, 5, filters, digits=6)
@@ -73,7 +72,7 @@ def test_impact_ordered_postings_rank_alike(spark, filters):
 
 
 def test_hashes_of_terms_reach_the_scan(spark):
-    index = impact.build(lexical.build_index(chunks(spark, 60)))
+    index = impact.build(chunks(spark, 60))
     asked = spark.createDataFrame([(1, "rTrue", "rare w1")], "query_id int, repository_id string, text string")
     plan = impact.search(index, asked, 3)._jdf.queryExecution().toString()
     assert "In(term_hash" in plan or "InSet" in plan or "term_hash IN" in plan
