@@ -30,18 +30,22 @@ def case_details(judged: DataFrame) -> DataFrame:
     return judged.groupBy("method", "case_id").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first_relevant_rank"), ordered("chunk_id").alias("chunk_ids"), ordered("file_path").alias("file_paths"))
 
 
-def metrics(judged: DataFrame) -> DataFrame:
+def metrics(judged: DataFrame, methods: tuple[str, ...] | None = None) -> DataFrame:
     """By method: recall_at_k (cases with a relevant result among the first k), mrr, precision_at_k (relevant results among
-    the first k, by k)."""
+    the first k, by k). Methods that are named have a row of zeros where there are no cases."""
     cut = lambda k: F.sum(F.when(F.col("relevant") & (F.col("rank") <= k), 1).otherwise(0)).alias(f"p{k}")
     by = judged.groupBy("method", "case_id").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"), *[cut(k) for k in CUTS])
     share = lambda x: F.coalesce(F.round(F.avg(x.cast("double")), 9), F.lit(0.0))
-    return by.groupBy("method").agg(
+    rows = by.groupBy("method").agg(
         F.count(F.lit(1)).alias("case_count"),
         *[share(F.coalesce(F.col("first") <= k, F.lit(False)).cast("int")).alias(f"recall_at_{k}") for k in CUTS],
         share(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))).alias("mrr"),
         *[share(F.col(f"p{k}") / F.lit(float(k))).alias(f"precision_at_{k}") for k in CUTS],
     )
+    if methods is None:
+        return rows
+    named = judged.sparkSession.createDataFrame([(m,) for m in methods], "method string")
+    return named.join(rows, "method", "left").fillna(0)
 
 
 def citation_metrics(answers: DataFrame) -> DataFrame:

@@ -75,6 +75,8 @@ def test_reports(spark):
     none = spark.createDataFrame([], "method string, case_id string, rank int, chunk_id string, file_path string, symbol_name string")
     rows = evaluation.metrics(evaluation.judged(none, cases, ("bm25", "vector")))
     assert [(r.method, r.case_count, r.recall_at_1, r.mrr) for r in rows.orderBy("method").collect()] == [("bm25", 1, 0.0, 0.0), ("vector", 1, 0.0, 0.0)]
+    nothing = evaluation.metrics(evaluation.judged(none, cases.limit(0), ("bm25", "vector")), ("bm25", "vector"))
+    assert [(r.method, r.case_count, r.recall_at_10, r.mrr, r.precision_at_1) for r in nothing.orderBy("method").collect()] == [("bm25", 0, 0.0, 0.0, 0.0), ("vector", 0, 0.0, 0.0, 0.0)]
     import json
 
     report = json.loads(evaluation.json_report(rows, "run").first().json)
