@@ -114,17 +114,32 @@ def score(question: Column, content: Column, scorer: Scorer, batch: int = 16) ->
     return run(question, content)
 
 
+def answers(prompts: list[str], call: Generator, fail_open: bool) -> list[str | None]:
+    """Stripped answers. With fail_open a batch that the provider refuses is asked prompt by prompt, and only those refused, or
+    answered with nothing, are null; errors that are no refusal are raised, as all are without it. An empty answer is a refusal."""
+
+    def asked(part: list[str]) -> list[str]:
+        out = [a.strip() for a in call(part)]
+        if len(out) != len(part) or not all(out):
+            raise ProviderError("the generator gave no answer")
+        return out
+
+    try:
+        return asked(prompts)
+    except (ProviderError, ValueError, ConnectionError, TimeoutError, URLError):
+        if not fail_open:
+            raise
+        if len(prompts) == 1:
+            return [None]
+    return [a for p in prompts for a in answers([p], call, True)]
+
+
 def generate(prompt: Column, generator: Generator, fail_open: bool = False) -> Column:
     """A generator's answers, with retries; with fail_open null where it fails, so that callers can fall back."""
     call = with_retry(generator)
 
     @F.pandas_udf("string")
     def run(prompts: pd.Series) -> pd.Series:
-        try:
-            return pd.Series(call(prompts.tolist()), index=prompts.index, dtype=object)
-        except Exception:
-            if not fail_open:
-                raise
-            return pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
+        return pd.Series(answers(prompts.tolist(), call, fail_open) if len(prompts) else [], index=prompts.index, dtype=object)
 
     return run(prompt)
