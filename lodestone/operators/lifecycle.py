@@ -24,6 +24,29 @@ def exact_signatures(files: DataFrame) -> DataFrame:
     return _folded(files.select("repository_id", "path", F.col("content").cast("string").alias("content")), b"\0")
 
 
+#: Lengths of the prefixes, in hexadecimal digits, by which digests meet: sixteen million ranges, 4,096, and one.
+PREFIXES = (6, 3, 0)
+
+
+def merkle_signatures(files: DataFrame) -> DataFrame:
+    """(repository_id, content_signature): the root of a tree of digests over each repository's files. A leaf is a digest of a
+    path and a content, with how many files have it; leaves meet by ranges of their digests, sorted, and ranges by wider
+    ones. So the signature depends on the files alone, however they are partitioned, tasks hold one range each, and no
+    repository is one task's before its 4,096 last digests. Rows without a path or content take no part; a repository of
+    such alone has the signature of no files. Order of paths doesn't matter; equal rows count each."""
+    leaf = F.sha2(F.concat(F.sha2("path", 256), F.sha2(F.col("content").cast("string"), 256)), 256)
+    rows = files.select("repository_id", leaf.alias("digest")).groupBy("repository_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    entry = F.when(F.col("digest").isNotNull(), F.concat_ws(":", "digest", "n"))
+    rows = rows.select("repository_id", F.coalesce("digest", F.lit("")).alias("place"), entry.alias("entry"))
+    for k in PREFIXES:
+        by = rows.groupBy("repository_id", F.substring("place", 1, k).alias("place")).agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+        # a range of no leaves adds nothing to the next
+        entry = F.when(F.size("entries") > 0, F.concat_ws(":", "place", F.sha2(F.array_join("entries", ","), 256)))
+        rows = by.select("repository_id", "place", entry.alias("entry"))
+    root = F.coalesce(F.substring("entry", 2, 64), F.sha2(F.lit(""), 256))
+    return rows.select("repository_id", root.alias("content_signature"))
+
+
 def _folded(rows: DataFrame, end: bytes) -> DataFrame:
     """SHA-256 of each repository's paths and contents, each followed by `end`, fed row by row in order of path: a
     repository is one task's, as the digest is of one sequence, but never one row or one group in memory."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import ChunkConfig, ContextConfig, ConversationConfig, HybridConfig, RerankConfig
 from lodestone.functions import paths, providers, text
-from lodestone.operators import chunking, context, conversation, evaluation, fusion, impact, ivf, lexical, lifecycle, rerank, snapshots, store, vectors
+from lodestone.operators import chunking, context, conversation, evaluation, fusion, impact, ivf, lexical, lifecycle, moves, rerank, snapshots, store, vectors
 from lodestone.plans import sql
 from lodestone.sources import files as sources
 from lodestone.sources.tables import spread, stored
@@ -283,6 +283,21 @@ def content_signature(spark, d):
     return lifecycle.exact_signatures(files(spark, d))
 
 
+@query
+def merkle_signature(spark, d):
+    return lifecycle.merkle_signatures(files(spark, d))
+
+
+@query
+def lifecycle_states(spark, d):
+    """Events as reports of moves: of each user's state, twelve hours of silence end a busy stage."""
+    kinds = {"signup": "queued", "view": "ingesting", "click": "indexing", "purchase": "completed"}
+    failed = F.when(F.pmod("event_id", F.lit(4)) == 0, "deleted").otherwise("failed")
+    move = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in kinds.items()], failed)
+    rows = read(spark, d, "events").select(F.col("user_id").alias("repository_id"), "ts", F.col("event_id").alias("seq"), move.alias("move"))
+    return moves.states(rows, 12 * 3_600_000_000)
+
+
 @query
 def unchanged_skip(spark, d):
     rows = files(spark, d)

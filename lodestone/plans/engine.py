@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import ChunkConfig, ContextConfig, ConversationConfig, HybridConfig, IngestConfig, RerankConfig
 from lodestone.functions import providers, text
-from lodestone.operators import chunking, context, conversation, fusion, lexical, lifecycle, rerank, snapshots, store, vectors
+from lodestone.operators import chunking, context, conversation, fusion, lexical, lifecycle, moves, rerank, snapshots, store, vectors
 from lodestone.sources import files as sources
 from lodestone.sources.tables import stored
 
@@ -70,6 +70,12 @@ class Engine:
         """A repository's latest record, if it has one and is not deleted."""
         return self.registry().where(F.col("repository_id") == repository_id).first() if store.exists(self.spark, f"{self.root}/registry") else None
 
+    def lifecycles(self, silence_seconds: float) -> DataFrame:
+        """The state of every repository that was ever recorded (moves.states), in which a stage that has reported nothing for
+        longer than the silence has failed: what an indexing that was killed leaves."""
+        rows = self._table("registry").select("repository_id", F.timestamp_micros(F.floor(F.col("recorded") / 1000)).alias("ts"), F.col("recorded").alias("seq"), F.when(F.col("status") == "deleted", "deleted").otherwise(F.col("stage")).alias("move"))
+        return moves.states(rows, int(silence_seconds * 1_000_000), F.current_timestamp())
+
     def _record(self, id: str, url: str, name: str, version: int, stage: str, status: str = "indexing", row: Row | None = None, error: str | None = None, progress: int | None = None) -> None:
         summary = (row.file_count, row.total_size_bytes, row.languages, row.content_signature) if row else (None,) * 4
         progress = lifecycle.PROGRESS.get(stage, 0) if progress is None else progress
@@ -89,7 +95,7 @@ class Engine:
             files = files.withColumn("repository_id", F.lit(id))
             progress = lifecycle.PROGRESS["ingesting"]
             self._record(id, url, name, version, "ingesting")
-            row = sources.guarded(files, self.ingest).join(lifecycle.signatures(files), "repository_id").first()
+            row = sources.guarded(files, self.ingest).join(lifecycle.merkle_signatures(files), "repository_id").first()
             if row is None:
                 raise ValueError("the repository has no files to index")
             same = known is not None and known.status == "ready" and known.content_signature == row.content_signature

@@ -133,6 +133,30 @@ ORACLE["content_signature"] = "SELECT source AS repository_id, sha256(string_agg
 ORACLE["unchanged_skip"] = "SELECT DISTINCT source AS repository_id FROM documents WHERE source IN ('src1', 'src9')"
 ORACLE["registry_latest"] = "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
 
+ORACLE["merkle_signature"] = """
+WITH leaf AS (SELECT source AS repo, sha256(sha256('docs/' || doc_id || '.md') || sha256(text)) AS digest, count(*) AS n FROM documents GROUP BY ALL),
+a AS (SELECT repo, digest[1:6] AS place, sha256(string_agg(digest || ':' || n, ',' ORDER BY digest)) AS d FROM leaf WHERE digest IS NOT NULL GROUP BY ALL),
+b AS (SELECT repo, place[1:3] AS place, sha256(string_agg(place || ':' || d, ',' ORDER BY place)) AS d FROM a GROUP BY ALL)
+SELECT source AS repository_id, coalesce(any_value(root), sha256('')) AS content_signature FROM documents
+LEFT JOIN (SELECT repo, sha256(string_agg(place || ':' || d, ',' ORDER BY place)) AS root FROM b GROUP BY repo) ON repo IS NOT DISTINCT FROM source GROUP BY source"""
+ORACLE["lifecycle_states"] = """
+WITH RECURSIVE m AS (
+  SELECT user_id, row_number() OVER w AS i, ts - lag(ts) OVER w > INTERVAL 12 HOURS AS late,
+    CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'ingesting' WHEN 'click' THEN 'indexing' WHEN 'purchase' THEN 'completed' ELSE if(event_id % 4 = 0, 'deleted', 'failed') END AS move
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS i, 'none' AS stage, 0 AS progress, 0::BIGINT AS rejected, 0::BIGINT AS stuck FROM events
+  UNION ALL
+  SELECT user_id, i, if(ok, move, was), CASE WHEN NOT ok OR move = 'failed' THEN progress WHEN move = 'ingesting' THEN 15 WHEN move = 'indexing' THEN 45 WHEN move = 'completed' THEN 100 ELSE 0 END,
+    rejected + (NOT ok)::BIGINT, stuck + timed::BIGINT
+  FROM (
+    SELECT *, CASE move WHEN 'queued' THEN true WHEN 'ingesting' THEN was = 'queued' WHEN 'indexing' THEN was = 'ingesting' WHEN 'completed' THEN was IN ('ingesting', 'indexing')
+      WHEN 'failed' THEN was IN ('queued', 'ingesting', 'indexing') ELSE was NOT IN ('none', 'deleted') END AS ok
+    FROM (
+      SELECT m.user_id, m.i, move, coalesce(late, false) AND stage IN ('queued', 'ingesting', 'indexing') AS timed, if(timed, 'failed', stage) AS was, progress, rejected, stuck
+      FROM s JOIN m ON m.user_id = s.user_id AND m.i = s.i + 1)))
+SELECT user_id AS repository_id, stage, progress, i AS n_moves, rejected AS n_rejected, stuck AS n_stuck FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1"""
+
 _ASKED = "asked AS (SELECT item_id AS q, 'src' || item_id % 20 AS repo, text FROM benchmark)"
 _TERMS = f"terms AS (SELECT q, repo, unnest(list_distinct({_tokens('text')})) AS term FROM asked)"
 
