@@ -109,7 +109,7 @@ def candidates(index: InvertedFile, queries: DataFrame, limit: int, digits: int
 
 def _scored(index: InvertedFile, asked: DataFrame, threshold: float | None, filters: dict[str, object] | None, digits: int | None) -> DataFrame:
     blocks = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "n", "best")
-    both = index.points.where(vectors.criteria(filters)).join(blocks, ["repository_id", "cell", "block"])
+    both = index.points.where(vectors.criteria(filters, index.points.columns)).join(blocks, ["repository_id", "cell", "block"])
     length = F.col("norm") * F.col("query_norm")
     cosine = F.when(length == 0, 0.0).otherwise(vectors.dot(F.col("vector"), F.col("query_vector")) / length)
     scored = both.select("query_id", "repository_id", "chunk_id", rounded(cosine, digits).alias("score"))

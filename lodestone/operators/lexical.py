@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import LexicalConfig
-from lodestone.functions import text
+from lodestone.functions import payload, text
 from lodestone.sources.tables import spread, stored
 
-#: Columns that a lexical filter can name; any other never matches.
+#: Columns that a lexical filter can name; any other name is a key of the chunks' metadata, if they have such a column.
 FILTERS = ("file_path", "language", "symbol_name", "chunk_type", "part", "parts")
 
 
@@ -28,7 +28,7 @@ class LexicalIndex:
 
 def tokens_of(chunks: DataFrame) -> DataFrame:
     content = text.searchable_text(F.col("file_path"), F.col("symbol_name"), F.col("content"))
-    keep = [c for c in FILTERS if c in chunks.columns]
+    keep = [c for c in (*FILTERS, payload.NAME) if c in chunks.columns]
     return chunks.select("repository_id", "chunk_id", *keep, text.code_tokens(content).alias("tokens"))
 
 
@@ -46,10 +46,7 @@ def statistics(lengths: DataFrame) -> DataFrame:
 
 
 def matches(filters: dict[str, object], columns: list[str]) -> Column:
-    ok = F.lit(True)
-    for name, value in filters.items():
-        ok &= F.coalesce(F.col(name) == value, F.lit(False)) if name in FILTERS and name in columns else F.lit(False)
-    return ok
+    return payload.meets(filters, columns, [c for c in FILTERS if c in columns])
 
 
 def search(index: LexicalIndex, queries: DataFrame, limit: int, filters: dict[str, object] | None = None, config: LexicalConfig = LexicalConfig(), digits: int | None = None) -> DataFrame:

@@ -56,6 +56,11 @@ def move_code(name: Column) -> Column:
     return F.when(place > 0, place.cast("int") - 1)
 
 
+def micros(ts: Column, kind: str) -> Column:
+    """Microseconds of a timestamp; one without a time zone is not moved by the session's."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(kind), ts) if kind == "timestamp_ntz" else F.unix_micros(ts)
+
+
 _STRETCH = "repository_id string, first long, first_seq long, last long, n long, after array<int>, rejected array<long>, stuck array<long>"
 
 
@@ -96,8 +101,9 @@ def states(moves: DataFrame, timeout: int, until: Column | None = None) -> DataF
     even an illegal move, for more than `timeout` microseconds has failed; with `until`, a timestamp, silence up to then
     counts too. An illegal, null or unknown move is rejected and changes nothing. Reports without a time take no part;
     reports of no repository (null) are one of their own; equal reports count each."""
+    kind = moves.schema["ts"].dataType.simpleString()
     id = moves.schema["repository_id"].dataType.simpleString()
-    rows = moves.where("ts IS NOT NULL").select(F.col("repository_id").cast("string").alias("repository_id"), F.unix_micros("ts").alias("us"), F.coalesce(F.col("seq").cast("long"), F.lit(-1).cast("long")).alias("seq"), move_code(F.col("move")).alias("move"))
+    rows = moves.where("ts IS NOT NULL").select(F.col("repository_id").cast("string").alias("repository_id"), micros(F.col("ts"), kind).alias("us"), F.coalesce(F.col("seq").cast("long"), F.lit(-1).cast("long")).alias("seq"), move_code(F.col("move")).alias("move"))
     silent = F.array(*[F.lit(s) for s in SILENT])
     part = F.struct("first", "first_seq", "last", "n", "after", "rejected", "stuck")
     whole = _stretches(rows, timeout).groupBy("repository_id").agg(F.sort_array(F.collect_list(part)).alias("parts"))
@@ -120,7 +126,7 @@ def states(moves: DataFrame, timeout: int, until: Column | None = None) -> DataF
 
     out = whole.select("repository_id", F.aggregate("parts", start, compose).alias("a"))
     a = F.col("a")
-    over = F.lit(False) if until is None else waited(a, F.unix_micros(until))
+    over = F.lit(False) if until is None else waited(a, micros(until.cast(kind), kind))
     out = out.select("repository_id", F.when(over, F.get(silent, a["at"])).otherwise(a["at"]).alias("at"), "a", over.cast("long").alias("over"))
     names, progress = (F.array(*[F.lit(s[k]) for s in STATES]) for k in (0, 1))
     return out.select(

@@ -184,8 +184,8 @@ class View:
 def difference(files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new or changed files of (repository_id, path, content, language, ...) with their digest, (repository_id, file_path,
     dead_layer) of known files (repository_id, file_path, digest, index_layer) that they change, or that are gone). Files are
-    compared by a digest of language and content; one shuffle by repository and path, in which no contents meet."""
-    new = files.withColumn("digest", file_digest(F.col("content"), F.col("language")))
+    compared by a digest of language, content and metadata, if they have such; one shuffle by repository and path, in which no contents meet."""
+    new = files.withColumn("digest", file_digest(F.col("content"), F.col("language"), F.col("metadata") if "metadata" in files.columns else None))
     old = known.select("repository_id", F.col("file_path").alias("path"), F.col("digest").alias("old"), "index_layer")
     both = new.select("repository_id", "path", "digest").join(old, ["repository_id", "path"], "full_outer")
     same = F.col("digest").eqNullSafe(F.col("old"))
@@ -194,5 +194,6 @@ def difference(files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     return new.join(names, ["repository_id", "path"], "left_semi"), dead
 
 
-def file_digest(content: Column, language: Column) -> Column:
-    return F.sha2(F.concat(F.coalesce(language, F.lit("")), F.lit("\0"), F.coalesce(content, F.lit(""))), 256)
+def file_digest(content: Column, language: Column, metadata: Column | None = None) -> Column:
+    more = F.lit("") if metadata is None else F.coalesce(F.concat(F.lit("\0"), F.to_json(metadata)), F.lit(""))
+    return F.sha2(F.concat(F.coalesce(language, F.lit("")), F.lit("\0"), F.coalesce(content, F.lit("")), more), 256)

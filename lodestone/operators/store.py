@@ -80,7 +80,7 @@ def status(stored: DataFrame, repositories: DataFrame) -> DataFrame:
 
 def list_chunks(stored: DataFrame, repository_id: str, filters: dict[str, object] | None = None, limit: int | None = LIMIT) -> DataFrame:
     """Chunks of a repository by file, line and id: of the first `limit` by point id, or all with limit None."""
-    rows = stored.where((F.col("repository_id") == repository_id) & criteria(filters))
+    rows = stored.where((F.col("repository_id") == repository_id) & criteria(filters, stored.columns))
     if limit is not None:
         rows = rows.orderBy("point_id").limit(max(limit, 0))
     return rows.orderBy("file_path", "start_line", "chunk_id")

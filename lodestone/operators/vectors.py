@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import payload
 from lodestone.operators.lexical import ranked, rounded
 
 
@@ -21,13 +22,11 @@ def prepared(points: DataFrame) -> DataFrame:
     return points.withColumn("norm", norm(F.col("vector")))
 
 
-def criteria(filters: dict[str, object] | None) -> Column:
-    ok = F.lit(True)
-    for name, value in (filters or {}).items():
-        if name == "repository_id":
-            raise ValueError("a filter cannot replace the query's repository")
-        ok &= F.col(name) == value
-    return ok
+def criteria(filters: dict[str, object] | None, columns: list[str]) -> Column:
+    """Whether a point meets all filters on its columns, or on keys of its metadata."""
+    if "repository_id" in (filters or {}):
+        raise ValueError("a filter cannot replace the query's repository")
+    return payload.meets(filters, columns, [c for c in columns if c != payload.NAME])
 
 
 def search(points: DataFrame, queries: DataFrame, limit: int, threshold: float | None = None, filters: dict[str, object] | None = None, digits: int | None = None) -> DataFrame:
@@ -37,7 +36,7 @@ def search(points: DataFrame, queries: DataFrame, limit: int, threshold: float |
     if limit < 1:
         raise ValueError("limit must be at least 1")
     q = queries.select("query_id", "repository_id", F.col("vector").alias("query_vector"), norm(F.col("vector")).alias("query_norm"))
-    both = points.where(criteria(filters)).join(q, "repository_id")
+    both = points.where(criteria(filters, points.columns)).join(q, "repository_id")
     length = F.col("norm") * F.col("query_norm")
     cosine = F.when(length == 0, 0.0).otherwise(dot(F.col("vector"), F.col("query_vector")) / length)
     scored = both.select("query_id", "repository_id", "chunk_id", rounded(cosine, digits).alias("score"))

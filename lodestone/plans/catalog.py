@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import ChunkConfig, ContextConfig, ConversationConfig, HybridConfig, RerankConfig
-from lodestone.functions import paths, providers, text
+from lodestone.functions import paths, payload, providers, text
 from lodestone.operators import chunking, context, conversation, evaluation, fusion, impact, ivf, lexical, lifecycle, moves, rerank, snapshots, store, vectors
 from lodestone.plans import sql
 from lodestone.sources import files as sources
@@ -324,6 +324,23 @@ def bm25_filtered_stats_global(spark, d):
     return search_words(lexical.build_index(chunks(spark, d)), questions(spark, d), 10, {"language": "en"}).select(*RESULT, *long("rank"))
 
 
+@query
+def payload_filter_bm25(spark, d):
+    """Chunks by a string and a boolean of their open metadata; document frequencies are of all chunks."""
+    number = F.col("chunk_id").cast("long")
+    held = F.to_json(F.struct(F.col("language").alias("tongue"), (F.pmod(number, F.lit(2)) == 0).alias("even")))
+    rows = chunks(spark, d).withColumn("metadata", payload.payload(held)).drop("language")
+    return search_words(lexical.build_index(rows), questions(spark, d), 10, {"tongue": "en", "even": True}).select(*RESULT, *long("rank"))
+
+
+@query
+def payload_filter_vector(spark, d):
+    """Points by a whole number and a boolean of their open metadata."""
+    held = F.to_json(F.struct(F.col("label").alias("kind of point"), (F.pmod(F.col("chunk_id").cast("long"), F.lit(2)) == 0).alias("even")))
+    rows = points(spark, d).withColumn("metadata", payload.payload(held)).drop("label")
+    return search_vectors(rows, vector_questions(spark, d), 10, filters={"kind of point": 1, "even": True}).select(*RESULT, *long("rank"))
+
+
 @query
 def bm25_impact_topk(spark, d):
     return impact.search(impact.build(chunks(spark, d)), questions(spark, d), 10, digits=DIGITS).select(*RESULT, *long("rank"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import ChunkConfig, ContextConfig, ConversationConfig, HybridConfig, IngestConfig, RerankConfig
-from lodestone.functions import providers, text
+from lodestone.functions import payload, providers, text
 from lodestone.operators import chunking, context, conversation, fusion, lexical, lifecycle, moves, rerank, snapshots, store, vectors
 from lodestone.sources import files as sources
 from lodestone.sources.tables import stored
@@ -83,7 +83,7 @@ class Engine:
         self.spark.createDataFrame(done, REGISTRY).write.mode("append").parquet(f"{self.root}/registry")
 
     def index(self, files: DataFrame, url: str, name: str, version: int) -> str:
-        """Indexes one repository's files (of sources.included) and gives its state: `unchanged` if its latest indexing
+        """Indexes one repository's files (of sources.included; a VARIANT column `metadata` goes to their chunks) and gives its state: `unchanged` if its latest indexing
         finished with its signature, else `completed`. Every stage is recorded; a failure is recorded with the state `failed`,
         the progress it came to and a general text, logged, and raised. Too many files or bytes are one, before any table is
         written. What follows is tried again after errors, but for values that cannot be right. Chunks are made once: what comes after reads them from the
@@ -95,7 +95,7 @@ class Engine:
             files = files.withColumn("repository_id", F.lit(id))
             progress = lifecycle.PROGRESS["ingesting"]
             self._record(id, url, name, version, "ingesting")
-            row = sources.guarded(files, self.ingest).join(lifecycle.merkle_signatures(files), "repository_id").first()
+            row = sources.guarded(files, self.ingest).join(lifecycle.merkle_signatures(self._signed(files)), "repository_id").first()
             if row is None:
                 raise ValueError("the repository has no files to index")
             same = known is not None and known.status == "ready" and known.content_signature == row.content_signature
@@ -110,6 +110,13 @@ class Engine:
             self._record(id, url, name, version, "failed", "failed", error=FAILED, progress=progress)
             raise
 
+    @staticmethod
+    def _signed(files: DataFrame) -> DataFrame:
+        """Files whose contents stand for their metadata too."""
+        if payload.NAME not in files.columns:
+            return files
+        return files.withColumn("content", F.concat("content", F.coalesce(F.concat(F.lit("\0"), F.to_json(payload.NAME)), F.lit(""))))
+
     def _index(self, files: DataFrame, id: str) -> None:
         """Publishes the repository's files: a layer of those that differ from its last version, or one of all."""
         shots = self.snapshots
@@ -121,7 +128,11 @@ class Engine:
         changed, dead = stored(changed, "engine-changed"), stored(dead, "engine-dead")
         if before and not changed.limit(1).count() and not dead.limit(1).count():
             return
-        made = chunking.chunk_files(changed.drop("digest"), self.chunks).withColumn("vector", providers.embed(F.col("content"), self.embedder))
+        made = chunking.chunk_files(changed.drop("digest", payload.NAME), self.chunks).withColumn("vector", providers.embed(F.col("content"), self.embedder))
+        if payload.NAME in changed.columns:
+            made = made.join(changed.select("repository_id", F.col("path").alias("file_path"), payload.NAME), ["repository_id", "file_path"])
+        else:
+            made = made.withColumn(payload.NAME, F.lit(None).cast("variant"))
         rows = stored(vectors.prepared(store.points(made)).dropDuplicates(["point_id"]), "engine-points")
         size = None
         if rows.limit(1).count():
@@ -138,7 +149,7 @@ class Engine:
         lengths = index.lengths
         if before:
             old = self._table("lengths", view).where(mine).join(dead.select("file_path").distinct(), "file_path", "left_anti")
-            lengths = old.select(*index.lengths.columns).unionByName(index.lengths)
+            lengths = old.select(*[c for c in index.lengths.columns if c in old.columns]).unionByName(index.lengths, allowMissingColumns=True)
         tables = {
             "files": changed.select(F.lit(id).alias("repository_id"), F.col("path").alias("file_path"), "digest"),
             "dead": dead.select("repository_id", "file_path", "dead_layer"),
@@ -180,11 +191,12 @@ class Engine:
         terms = postings.groupBy("repository_id", "term").agg(F.count(F.lit(1)).alias("df"))
         return lexical.LexicalIndex(postings, self._table("lengths", view), terms, self._table("repositories", view))
 
-    def search(self, queries: DataFrame, top_k: int | None = None, file_path: str | None = None, symbol: str | None = None, language: str | None = None, threshold: float | None = None, commit: int | None = None) -> DataFrame:
-        """Reranked hybrid results with their chunks, for queries (query_id, repository_id, text); empty filters are none. All
+    def search(self, queries: DataFrame, top_k: int | None = None, file_path: str | None = None, symbol: str | None = None, language: str | None = None, threshold: float | None = None, commit: int | None = None, metadata: dict[str, object] | None = None) -> DataFrame:
+        """Reranked hybrid results with their chunks, for queries (query_id, repository_id, text); empty filters are none.
+        `metadata` filters by keys of the files' metadata, in both legs. All
         tables are read as of one commit, the last by default."""
         view = self.snapshots.view(commit)
-        filters = {k: v for k, v in (("file_path", file_path), ("symbol_name", symbol), ("language", language)) if v}
+        filters = dict(metadata or {}) | {k: v for k, v in (("file_path", file_path), ("symbol_name", symbol), ("language", language)) if v}
         asked = queries.withColumn("vector", providers.embed(F.col("text"), self.embedder))
         points = self._table("points", view)
         found = fusion.retrieve(points, self.lexical_index(view), asked, self.hybrid, self.reranking.candidates, threshold, filters or None)

@@ -176,6 +176,7 @@ def _top(table: str, k: int) -> str:
 ORACLE["bm25_topk"] = f"WITH {_ASKED}, {_bm25()} {_top('bmr', 10)}"
 ORACLE["bm25_impact_topk"] = ORACLE["bm25_topk"]
 ORACLE["bm25_filtered_stats_global"] = f"WITH {_ASKED}, {_bm25(chr(39).join(['d.lang = ', 'en', '']))} {_top('bmr', 10)}"
+ORACLE["payload_filter_bm25"] = f"WITH {_ASKED}, {_bm25('d.lang = ' + chr(39) + 'en' + chr(39) + ' AND d.id::BIGINT % 2 = 0')} {_top('bmr', 10)}"
 ORACLE["bm25_multi_repo"] = f"WITH asked AS (SELECT item_id * 20 + k AS q, 'src' || k AS repo, text FROM benchmark, range(0, 20) x(k)), {_bm25()} {_top('bmr', 3)}"
 _COS = "round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6)"
 
@@ -188,6 +189,7 @@ vr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS r
 
 ORACLE["vector_topk"] = _vector(10)
 ORACLE["vector_threshold_filter"] = _vector(20, "b.label = 1").replace("AS r FROM v)", "AS r FROM v WHERE score >= 0.1)")
+ORACLE["payload_filter_vector"] = _vector(10, "b.label = 1 AND b.vec_id % 2 = 0")
 ORACLE["vector_topk_batch"] = _vector(5)
 ORACLE["vector_ivf_topk"] = _vector(5)
 ORACLE["index_difference"] = """
