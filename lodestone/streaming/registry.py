@@ -69,7 +69,7 @@ class Lifecycle(StatefulProcessor):
 def lifecycles(moves: DataFrame, timeout: int, delay: str) -> DataFrame:
     """A stream of states (as of moves.states) of a stream of reports (repository_id, ts, seq, move): one each time the
     watermark, `delay` behind the newest report, has passed reports of a repository, or its silence of more than `timeout`
-    microseconds. Later reports than that are dropped. The session's state store must be RocksDB's."""
+    microseconds. Later reports than that, and those without a time, are dropped; a missing repository is named "". The session's state store must be RocksDB's."""
     rows = moves.where("ts IS NOT NULL").withWatermark("ts", delay)
     rows = rows.select(F.coalesce(F.col("repository_id").cast("string"), F.lit("")).alias("repository_id"), "ts", F.unix_micros("ts").alias("us"), F.coalesce(F.col("seq").cast("long"), F.lit(-1).cast("long")).alias("seq"), machine.move_code(F.col("move")).alias("move"))
     return rows.groupBy("repository_id").transformWithStateInPandas(Lifecycle(timeout), OUT, "Update", "EventTime")
