@@ -34,6 +34,9 @@ LANGUAGE_BY_SUFFIX = {
     ".yaml": "YAML",
     ".yml": "YAML",
 }
+#: Patterns of a name in lower case: never read, and its last suffix.
+IGNORED_NAME = r"^\.env$|^\.env\.|\.min\.|\.generated\.|\.map$"
+SUFFIX = r"[^.](\.[^.]+)$"
 
 
 def _parts(path: Column) -> Column:
@@ -58,12 +61,12 @@ def ignored_path(path: Column) -> Column:
     """Whether a parent directory is one that is never read, or the file is an environment, minified, generated or map file."""
     parts = F.split(path, "/")
     parents, name = F.slice(parts, F.lit(1), F.size(parts) - 1), F.lower(F.element_at(parts, -1))
-    return F.arrays_overlap(parents, F.array(*map(F.lit, IGNORED_DIRECTORIES))) | name.rlike(r"^\.env$|^\.env\.|\.min\.|\.generated\.|\.map$")
+    return F.arrays_overlap(parents, F.array(*map(F.lit, IGNORED_DIRECTORIES))) | name.rlike(IGNORED_NAME)
 
 
 def language(path: Column) -> Column:
     """The language of a path's last suffix, null if there is none for it."""
-    suffix = F.regexp_extract(F.lower(F.element_at(F.split(path, "/"), -1)), r"[^.](\.[^.]+)$", 1)
+    suffix = F.regexp_extract(F.lower(F.element_at(F.split(path, "/"), -1)), SUFFIX, 1)
     table = F.create_map(*[F.lit(x) for pair in LANGUAGE_BY_SUFFIX.items() for x in pair])
     return F.try_element_at(table, suffix)
 

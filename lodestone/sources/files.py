@@ -10,7 +10,8 @@ from lodestone.functions import paths, text
 
 
 def read_tree(spark: SparkSession, root: str, repository_id: str) -> DataFrame:
-    """(repository_id, path, content binary, size_bytes) of all files below root; path relative to it."""
+    """(repository_id, path, content binary, size_bytes) of all files below root; path relative to it. Spark's
+    binary reader leaves out empty files; `trees.read_repositories` gives them too, where the file system is mounted."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = "/" + root.split("://")[-1].strip("/") + "/"
     return files.select(F.lit(repository_id).alias("repository_id"), F.element_at(F.split("path", F.lit("\\Q" + base + "\\E"), 2), -1).alias("path"), "content", F.col("length").alias("size_bytes"))
