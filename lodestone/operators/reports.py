@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import datasource as ds
 
+from lodestone.sources.trees import mounted
+
 NAME = "evaluation_report"
 #: Bytes that the driver holds at once.
 PIECE = 1 << 20
@@ -51,9 +53,7 @@ class Part(ds.WriterCommitMessage):
 
 class ReportWriter(ds.DataSourceWriter):
     def __init__(self, options: dict[str, str], columns: list[str], overwrite: bool):
-        folder = options.get("path") or ""
-        if folder.startswith("file:"):
-            folder = "/" + folder[5:].lstrip("/")
+        folder = mounted(options.get("path") or "")
         if not folder.startswith("/"):
             raise ValueError("the option path must be a folder of a mounted file system")
         self.kind = options.get("kind", "retrieval")

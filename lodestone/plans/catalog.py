@@ -12,12 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.config import ChunkConfig, ContextConfig, ConversationConfig, HybridConfig, RerankConfig
+from lodestone.config import ChunkConfig, ContextConfig, ConversationConfig, HybridConfig, IngestConfig, RerankConfig
 from lodestone.functions import paths, payload, providers, text
 from lodestone.operators import chunking, context, conversation, evaluation, fusion, impact, ivf, lexical, lifecycle, moves, rerank, snapshots, store, vectors
 from lodestone.plans import sql
 from lodestone.sources import files as sources
-from lodestone.sources.tables import spread, stored
+from lodestone.sources import trees
+from lodestone.sources.tables import shared_path, spread, stored
 
 FLAGSHIP = "hybrid_retrieve"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,6 +141,20 @@ def ingest_summary(spark, d):
     return rows.select("repository_id", *long("file_count", "total_size_bytes"), F.array_join("languages", ",").alias("languages"))
 
 
+@query
+def repository_tree(spark, d):
+    """Every document as a file of a tree with ignored folders, unknown suffixes, binary and large files, read by the data source."""
+    k = F.col("doc_id")
+    suffix = F.element_at(F.array(*map(F.lit, (".md", ".py", ".tar.gz", ".SQL"))), (F.pmod(k, F.lit(4)) + 1).cast("int"))
+    folder = F.when(F.pmod(k, F.lit(5)) == 0, "node_modules/x").otherwise(F.concat(F.lit("f"), F.pmod(k, F.lit(40)).cast("string")))
+    nul = F.when(F.pmod(k, F.lit(7)) == 0, F.lit("\0")).otherwise(F.lit(""))
+    rows = spread(read(spark, d, "documents")).select(F.col("source").alias("repository_id"), F.concat(folder, F.lit("/"), k.cast("string"), suffix).alias("path"), F.concat("text", nul).alias("content"))
+    root = shared_path(spark, "tree")
+    trees.write_repositories(rows, root)
+    found = sources.included(trees.read_repositories(spark, root), IngestConfig(max_file_bytes=4000))
+    return found.select("repository_id", "path", "language", *long("size_bytes", "line_count"), F.md5("content").alias("content_md5"))
+
+
 @query
 def line_count(spark, d):
     return read(spark, d, "documents").select("doc_id", text.line_count(F.col("text")).cast("long").alias("line_count"))

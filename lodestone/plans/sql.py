@@ -49,6 +49,11 @@ FROM documents GROUP BY source
 """
 _LINES = "list_filter(regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+'), lambda x: x <> '')"
 ORACLE["line_count"] = f"SELECT doc_id, len({_LINES})::BIGINT AS line_count FROM documents"
+ORACLE["repository_tree"] = f"""
+SELECT source AS repository_id, 'f' || (doc_id % 40) || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.py' ELSE '.SQL' END AS path,
+  CASE doc_id % 4 WHEN 0 THEN 'Markdown' WHEN 1 THEN 'Python' ELSE 'SQL' END AS language, strlen(text)::BIGINT AS size_bytes, len({_LINES})::BIGINT AS line_count, md5(text) AS content_md5
+FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 4 <> 2 AND doc_id % 7 <> 0 AND strlen(text) <= 4000
+"""
 
 
 def _pieces(limit: int, overlap: int) -> str:

@@ -1,7 +1,7 @@
 """Repository trees as a data source, for file systems that driver and executors mount (others: files.read_tree).
 
-Folders are the partitions. The driver opens folders level by level only until there are `splits` of them; what lies below is
-walked by the tasks. Ignored folders are never opened, and files that are ignored, in no known language, too large, linked from
+Folders are the partitions, splits * shares at most. The driver opens folders level by level only until there are `splits` of
+them; what lies below is walked by the tasks, `shares` of them a folder, so that one folder with most files is several tasks' work. Ignored folders are never opened, and files that are ignored, in no known language, too large, linked from
 outside of the root or excluded by a pushed filter are never read. Filters on repository_id, path and size_bytes are
 pushed where spark.sql.python.filterPushdown.enabled is set; elsewhere Spark applies them after the scan, and the options
 `max_file_bytes` and `prefix` do the same without it.
@@ -9,8 +9,10 @@ pushed where spark.sql.python.filterPushdown.enabled is set; elsewhere Spark app
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,6 +20,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
 
 from lodestone.config import IngestConfig
 from lodestone.functions import paths
@@ -39,8 +42,17 @@ def wanted(path: str) -> bool:
     return not any(p in paths.IGNORED_DIRECTORIES for p in parents) and not _name.search(name) and bool(suffix) and suffix[1] in paths.LANGUAGE_BY_SUFFIX
 
 
+def mounted(root: str) -> str:
+    """The place of a folder given as a path or a file: address; any other scheme is an error."""
+    if not re.match(r"[a-zA-Z][a-zA-Z0-9+.-]+:", root):
+        return root
+    if not root.startswith("file:"):
+        raise ValueError(f"{root} is on no mounted file system")
+    return "/" + root[5:].lstrip("/")
+
+
 @dataclass
-class Folder(ds.InputPartition):
+class Folder:
     """Files of a folder, relative to the root: those in it, or with `deep` below it too; of these one share by path."""
 
     folder: str
@@ -49,16 +61,19 @@ class Folder(ds.InputPartition):
     shares: int
 
 
+@dataclass
+class Folders(ds.InputPartition):
+    """What one task reads."""
+
+    folders: list[Folder]
+
+
 class TreeReader(ds.DataSourceReader):
     def __init__(self, options: dict[str, str]):
         root = options.get("path")
         if not root:
             raise ValueError("the option path must name the root of the trees")
-        if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]+:", root):
-            if not root.startswith("file:"):
-                raise ValueError(f"{NAME} reads mounted file systems only; use files.read_tree for {root}")
-            root = "/" + root[5:].lstrip("/")
-        self.root = os.path.realpath(root)
+        self.root = os.path.realpath(mounted(root))
         if not os.path.isdir(self.root):
             raise FileNotFoundError(f"{root} is no folder")
         self.repository = options.get("repository_id")
@@ -109,8 +124,10 @@ class TreeReader(ds.DataSourceReader):
                 shares = min(self.shares, len(files))
                 out += [Folder(folder, False, i, shares) for i in range(shares)]
             level = below
-        out += [Folder(folder, True, i, self.shares) for folder in level for i in range(self.shares)]
-        return out or [Folder("", False, 0, 1)]
+        most = self.splits * self.shares
+        shares = self.shares if len(level) < most else 1
+        out += [Folder(folder, True, i, shares) for folder in level for i in range(shares)]
+        return [Folders(out[i::most]) for i in range(min(most, len(out)))] or [Folders([])]
 
     def _files(self, part: Folder) -> Iterator[tuple[str, str, str, int]]:
         """(repository, path, real place, size) of a partition's files that are read."""
@@ -133,9 +150,9 @@ class TreeReader(ds.DataSourceReader):
                 if size <= self.largest and all(path.startswith(p) for p in self.prefixes) and all(TESTS[type(f)](value[f.attribute[0]], f) for f in self.tests):
                     yield repository, path, place, size
 
-    def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Folders) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
-        for repository, path, place, _ in self._files(partition):
+        for repository, path, place, _ in itertools.chain.from_iterable(map(self._files, partition.folders)):
             try:
                 with open(place, "rb") as f:
                     content = f.read()
@@ -210,3 +227,30 @@ def read_repositories(spark: SparkSession, root: str, repository_id: str | None
     pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     given = {"pushdown": pushdown} | {k: v for k, v in {"repository_id": repository_id, **options}.items() if v is not None}
     return spark.read.format(NAME).options(**given).load(root)
+
+
+def write_repositories(rows: DataFrame, root: str) -> int:
+    """Writes rows (repository_id, path, content) as files root/repository_id/path by the tasks that hold them, and gives their
+    number. Null contents are empty files; a repository or path that would leave its folder is an error. A file is renamed into place when it
+    is whole, so a task that runs again changes nothing; of rows that share a path one stays."""
+    place = mounted(root)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for b in batches:
+            for repository, path, content in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                parts = [repository or "", *(path or "").split("/")]
+                if any(p in ("", ".", "..") or "\0" in p for p in parts) or "/" in parts[0]:
+                    raise ValueError(f"{repository}/{path} is no path below a repository")
+                file = os.path.join(place, *parts)
+                os.makedirs(os.path.dirname(file), exist_ok=True)
+                part = os.path.join(os.path.dirname(file), f".{uuid.uuid4().hex}.part")
+                with open(part, "wb") as f:
+                    f.write(content or b"")
+                os.replace(part, file)
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    done = rows.select("repository_id", "path", F.col("content").cast("binary")).mapInArrow(write, "n long")
+    os.makedirs(place, exist_ok=True)
+    return done.agg(F.sum("n")).first()[0] or 0

@@ -38,10 +38,10 @@ def names(df):
 ALL = [("a", "docs/read.md"), ("a", "link.py"), ("a", "main.py"), ("a", "src/deep/er/util.go"), ("a", "src/nul.c"), ("b", "empty.sql"), ("b", "main.py"), ("build", "x.py")]
 
 
-@pytest.mark.parametrize(("splits", "shares"), [(1, 1), (2, 3), (64, 4)])
+@pytest.mark.parametrize(("splits", "shares"), [(1, 1), (2, 1), (2, 3), (64, 4)])
 def test_files_of_every_repository_once(spark, root, splits, shares):
     df = trees.read_repositories(spark, str(root), max_file_bytes=100, splits=splits, shares=shares)
-    assert names(df) == ALL
+    assert names(df) == ALL and df.rdd.getNumPartitions() <= splits * shares
     content = {(r.repository_id, r.path): (bytes(r.content), r.size_bytes) for r in df.collect()}
     assert content["a", "link.py"] == (b"x = 1\n", 6) and content["b", "empty.sql"] == (b"", 0) and content["b", "main.py"] == (b"y = \xff\n", 6)
 
@@ -94,3 +94,16 @@ def test_rules_for_strings_equal_those_for_columns(spark):
     given = ["a.py", ".py", "a..py", "A.PY", "dist/a.py", "x/dist", "dist", "a/build/b/c.ts", ".env", ".ENV.py", "a.MIN.js", "a.generated.go", "a.map", "a.js.map", "a", "a.", "x/.min.py", "vendor.py", "a b/c.Md", "é.rs", "x.tar.gz", "__pycache__/m.py", "src/.hidden.py"]
     rows = spark.createDataFrame([(p,) for p in given], "path string").select("path", (~paths.ignored_path(F.col("path")) & paths.language(F.col("path")).isNotNull()).alias("ok"))
     assert {r.path: r.ok for r in rows.collect()} == {p: trees.wanted(p) for p in given}
+
+
+def test_tables_as_trees(spark, tmp_path):
+    rows = [("a", "x.py", b"1"), ("a", "d/e.md", None), ("b", "x.py", b"2"), ("b", "x.py", b"2")]
+    df = spark.createDataFrame(rows, "repository_id string, path string, content binary").repartition(3)
+    for _ in range(2):
+        assert trees.write_repositories(df, f"file://{tmp_path}/t") == 4
+    got = trees.read_repositories(spark, str(tmp_path / "t")).collect()
+    assert sorted((r.repository_id, r.path, bytes(r.content)) for r in got) == [("a", "d/e.md", b""), ("a", "x.py", b"1"), ("b", "x.py", b"2")]
+    for repository, path in (("..", "x.py"), ("a", "../x.py"), ("a/b", "x.py"), ("a", ""), ("a", "/etc/x.py"), (None, "x.py")):
+        with pytest.raises(Exception, match="no path below a repository"):
+            trees.write_repositories(spark.createDataFrame([(repository, path, b"")], "repository_id string, path string, content binary"), str(tmp_path / "u"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t", "u"] and trees.write_repositories(df.limit(0), str(tmp_path / "u")) == 0
