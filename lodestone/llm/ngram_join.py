@@ -42,7 +42,9 @@ NEED, OF = 80, 100
 FEWEST, USUAL, MOST = 16, 256, 1 << 16
 #: Members of a cell's block, and rows of cells with the same least class that are kept together.
 BLOCK, TOGETHER = 1500, 20_000
-LEAF, FAN = 16, 8
+LEAF, FAN = 4, 8
+#: Queries that go down a tree together, and counts that a step of theirs compares at once.
+TOGETHER_DOWN, COUNTS = 64, 1 << 22
 #: For components: classes found by one search that are all paired with it at once.
 FEW = 8
 
@@ -119,35 +121,42 @@ class CountTree:
                 break
             width = FAN
 
-    def search(self, q: np.ndarray, size: int, need: int, of: int) -> np.ndarray:
-        """The points (as numbers given to the tree) whose bound with q is enough."""
-        corner, least = self.levels[-1]
-        nodes = np.arange(len(corner))
+    def search(self, queries: np.ndarray, sizes: np.ndarray, need: int, of: int) -> tuple[np.ndarray, np.ndarray]:
+        """All (query, point), as numbers given to the tree, whose bound is enough, in order of queries. The queries go down together: a step
+        tests what is left of them against nodes of one level, and the children of those whose bound is enough are next."""
+        top = len(self.levels[-1][0])
+        query, node = np.repeat(np.arange(len(queries)), top), np.tile(np.arange(top), len(queries))
         for depth in range(len(self.levels) - 1, -1, -1):
             corner, least = self.levels[depth]
-            nodes = nodes[nodes < len(corner)]
-            most = np.minimum(corner[nodes], q).sum(axis=1, dtype=np.int64)
-            nodes = nodes[enough(most, size + least[nodes], need, of)]
+            ok = _bounds(queries, query, corner, node, sizes, least, need, of)
             width = FAN if depth else LEAF
-            nodes = (nodes[:, None] * width + np.arange(width)).ravel()
-        nodes = nodes[nodes < len(self.points)]
-        most = np.minimum(self.points[nodes], q).sum(axis=1, dtype=np.int64)
-        return self.order[nodes[enough(most, size + self.sizes[nodes], need, of)]]
+            query, node = np.repeat(query[ok], width), (node[ok][:, None] * width + np.arange(width)).ravel()
+            there = node < len(self.levels[depth - 1][0] if depth else self.points)
+            query, node = query[there], node[there]
+        ok = _bounds(queries, query, self.points, node, sizes, self.sizes, need, of)
+        return query[ok], self.order[node[ok]]
+
+
+def _bounds(queries: np.ndarray, query: np.ndarray, corners: np.ndarray, node: np.ndarray, sizes: np.ndarray, least: np.ndarray, need: int, of: int) -> np.ndarray:
+    """Which of the pairs (query, node) may be similar, worked out for a bounded number of counts at once."""
+    step = max(1, COUNTS // max(corners.shape[1], 1))
+    ok = np.empty(len(query), bool)
+    for i in range(0, len(query), step):
+        q, n = query[i : i + step], node[i : i + step]
+        most = np.minimum(corners[n], queries[q]).sum(axis=1, dtype=np.int64)
+        ok[i : i + step] = enough(most, sizes[q] + least[n], need, of)
+    return ok
 
 
 def searches(points: np.ndarray, sizes: np.ndarray, at: np.ndarray, ask: np.ndarray, need: int, of: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each of the points numbered `ask` those of the points numbered `at` whose bound is enough."""
+    """For each of the points numbered `ask` those of the points numbered `at` whose bound is enough, found by a tree."""
     if not len(at) or not len(ask):
         return
-    if len(at) <= LEAF:  # one leaf
-        for some in np.array_split(ask, -(-len(ask) // LEAF)):
-            most = np.minimum(points[some][:, None, :], points[at][None, :, :]).sum(axis=2, dtype=np.int64)
-            ok = enough(most, sizes[some][:, None] + sizes[at][None, :], need, of)
-            yield from ((int(i), at[x]) for i, x in zip(some, ok, strict=True))
-        return
     tree = CountTree(points[at], sizes[at])
-    for i in ask:
-        yield int(i), at[tree.search(points[i], int(sizes[i]), need, of)]
+    for some in np.array_split(ask, -(-len(ask) // TOGETHER_DOWN)):
+        query, found = tree.search(points[some], sizes[some], need, of)
+        ends = np.searchsorted(query, np.arange(len(some) + 1))
+        yield from ((int(i), at[found[a:b]]) for i, a, b in zip(some, ends[:-1], ends[1:], strict=True))
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:

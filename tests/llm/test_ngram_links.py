@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 from lodestone.llm import ngram_join
 
 
@@ -29,6 +31,49 @@ def test_every_link_is_returned(spark):
     assert {r.doc_id: r.n_links for r in members.collect()} == degree
 
 
+def here(cells, points, need, of, least=False):
+    """_tree_pairs in this process, where a test can change the tree."""
+    rows = cells.join(points.select("key", "point"), "key").toPandas().sort_values("cell", kind="stable")
+    out = []
+    for cell, own in rows.groupby("cell", sort=False):
+        columns = {c: own[c].to_numpy() for c in ("key", "n", "component", "upper", "own_block", "same")}
+        found, open_ = ngram_join.Cell(columns, list(map(bytes, own["point"])), 0, len(own)).pairs(need, of, least)
+        out += found + ([(cell, None)] if open_ else [])
+    return cells.sparkSession.createDataFrame([(int(a), None if b is None else int(b)) for a, b in out], "a long, b long").distinct()
+
+
+def test_without_searches_of_trees_every_link_is_lost(spark, monkeypatch):
+    """Cells of two to many members: what CountTree.search finds is all there is."""
+    r, rows = random.Random(11), []
+    for n in (2, 3, 5, 17, 40):
+        base = [f"b{r.randint(0, 10**6)}" for _ in range(100)]
+        rows += [(len(rows) + i, " ".join(base[:50] + [f"x{n}-{i}"] + base[50:])) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "_tree_pairs", here)
+    want = sum(n * (n - 1) // 2 for n in (2, 3, 5, 17, 40))
+    assert ngram_join.near_duplicate_classes(docs)[1].count() == want
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(ngram_join.CountTree, "search", lambda self, queries, sizes, need, of: (none, none))
+    for every_link in (True, False):
+        members, links = ngram_join.near_duplicate_classes(docs, every_link=every_link)
+        assert links.count() == 0 and {m.component_id for m in members.collect()} == {i for i, _ in rows}
+
+
+def test_trees_give_what_all_pairs_give():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 4, 5, 33, 300):
+        points = np.minimum(r.poisson(1.0, (n, 64)) + r.integers(0, 2, (1, 64)), 255).astype(np.uint8)
+        points[n // 2 :] = points[: n - n // 2]
+        points[n // 2 :, :5] += 1
+        sizes = points.sum(axis=1, dtype=np.int64)
+        most = np.minimum(points[:, None], points[None]).sum(axis=2, dtype=np.int64)
+        want = ngram_join.enough(most, sizes[:, None] + sizes[None])
+        got = np.zeros((n, n), bool)
+        for i, found in ngram_join.searches(points, sizes, np.arange(n), np.arange(n), 80, 100):
+            got[i, found] = True
+        assert (got == want).all()
+
+
 def test_nothing_but_the_trees_finds_pairs(spark, monkeypatch):
     rows = [(i, " ".join(f"w{k if k != 40 else -i}" for k in range(90))) for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
