@@ -42,9 +42,10 @@ NEED, OF = 80, 100
 FEWEST, USUAL, MOST = 16, 256, 1 << 16
 #: Members of a cell's block, and rows of cells with the same least class that are kept together.
 BLOCK, TOGETHER = 1500, 20_000
-LEAF, FAN = 4, 8
-#: Queries that go down a tree together, and counts that a step of theirs compares at once.
-TOGETHER_DOWN, COUNTS = 64, 1 << 22
+#: Points of a leaf in small trees and in others; a tree is small with so many points, and its queries go down together.
+LEAF, WIDE_LEAF, FAN, SMALL = 4, 16, 8, 64
+#: Counts that a step down a tree compares at once.
+COUNTS = 1 << 18
 #: For components: classes found by one search that are all paired with it at once.
 FEW = 8
 
@@ -104,7 +105,8 @@ class CountTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         half = points.shape[1] // 2
-        slab = max(LEAF, int(np.ceil(np.sqrt(len(sizes) / LEAF))) * LEAF)
+        self.leaf = LEAF if len(sizes) <= SMALL else WIDE_LEAF
+        slab = max(1, int(np.ceil(np.sqrt(len(sizes) / self.leaf)))) * self.leaf
         by_size = np.argsort(sizes, kind="stable")
         left = points[:, :half].sum(axis=1, dtype=np.int64)
         self.order = np.lexsort((left[by_size], np.arange(len(sizes)) // slab))
@@ -112,7 +114,7 @@ class CountTree:
         self.points, self.sizes = points[self.order], sizes[self.order]
         corner, least = self.points, self.sizes
         self.levels = []
-        width = LEAF
+        width = self.leaf
         while True:
             starts = np.arange(0, len(corner), width)
             corner, least = np.maximum.reduceat(corner, starts, axis=0), np.minimum.reduceat(least, starts)
@@ -129,7 +131,7 @@ class CountTree:
         for depth in range(len(self.levels) - 1, -1, -1):
             corner, least = self.levels[depth]
             ok = _bounds(queries, query, corner, node, sizes, least, need, of)
-            width = FAN if depth else LEAF
+            width = FAN if depth else self.leaf
             query, node = np.repeat(query[ok], width), (node[ok][:, None] * width + np.arange(width)).ravel()
             there = node < len(self.levels[depth - 1][0] if depth else self.points)
             query, node = query[there], node[there]
@@ -143,7 +145,7 @@ def _bounds(queries: np.ndarray, query: np.ndarray, corners: np.ndarray, node: n
     ok = np.empty(len(query), bool)
     for i in range(0, len(query), step):
         q, n = query[i : i + step], node[i : i + step]
-        most = np.minimum(corners[n], queries[q]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(corners[n], queries[0] if len(queries) == 1 else queries[q]).sum(axis=1, dtype=np.int64)
         ok[i : i + step] = enough(most, sizes[q] + least[n], need, of)
     return ok
 
@@ -153,7 +155,7 @@ def searches(points: np.ndarray, sizes: np.ndarray, at: np.ndarray, ask: np.ndar
     if not len(at) or not len(ask):
         return
     tree = CountTree(points[at], sizes[at])
-    for some in np.array_split(ask, -(-len(ask) // TOGETHER_DOWN)):
+    for some in np.array_split(ask, -(-len(ask) // SMALL) if len(at) <= SMALL else len(ask)):
         query, found = tree.search(points[some], sizes[some], need, of)
         ends = np.searchsorted(query, np.arange(len(some) + 1))
         yield from ((int(i), at[found[a:b]]) for i, a, b in zip(some, ends[:-1], ends[1:], strict=True))
