@@ -71,7 +71,9 @@ def _folded(rows: DataFrame, end: bytes) -> DataFrame:
         if digest is not None:
             yield done()
 
-    rows = rows.repartition("repository_id").sortWithinPartitions("repository_id", "path", "content")
+    # by a hash of its own: rows that a join already dealt by repository would not be shuffled again, and a join that turns out
+    # small when it runs reads them undealt
+    rows = rows.repartition(F.xxhash64("repository_id")).sortWithinPartitions("repository_id", "path", "content")
     kind = rows.schema["repository_id"].dataType.simpleString()
     out = rows.withColumn("repository_id", F.col("repository_id").cast("string")).mapInArrow(fold, "repository_id string, content_signature string")
     return out.withColumn("repository_id", F.col("repository_id").cast(kind))

@@ -117,3 +117,24 @@ def test_engine_tells_what_a_killed_indexing_leaves(spark, tmp_path):
     assert found(e.lifecycles(0))["killed"] == ("failed", 0, 2, 1, 1)
     e.delete(done, 2)
     assert found(e.lifecycles(3600))[done] == ("deleted", 0, 5, 0, 0)
+
+
+def test_signatures_of_joined_files_are_of_whole_repositories(spark, tmp_path):
+    made = spark.range(40000).selectExpr("concat('r', id % 3) AS repository_id", "concat('p', id) AS path", "concat('text ', id) AS content")
+    made.repartition(8).write.parquet(str(tmp_path / "files"))
+    rows = spark.read.parquet(str(tmp_path / "files"))
+    # a join that is planned as a merge of shuffled rows, and found to be small when it runs
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10485760"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        first = rows.where("repository_id IN ('r1', 'r7')").groupBy("repository_id").agg(F.min("path").alias("first"))
+        joined = rows.join(first, "repository_id", "left").withColumn("content", F.when(F.col("path") == F.col("first"), "old").otherwise(F.col("content")))
+        for sign in (lifecycle.signatures, lifecycle.exact_signatures):
+            # repositories are dealt after the join: one that is read by several tasks has a signature of each
+            assert "REPARTITION_BY_COL" in sign(joined)._jdf.queryExecution().executedPlan().toString()
+            assert sign(joined).count() == 3
+            assert [r.repository_id for r in lifecycle.changed(sign(rows), sign(joined)).collect()] == ["r1"]
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
