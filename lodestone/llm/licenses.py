@@ -142,7 +142,7 @@ def places(words: list[bytes], rules: list[Rule], postings: dict[bytes, list[tup
 
 
 def scan(docs: DataFrame, rules: list[tuple[str, str, str]] = RULES, base: dict[str, str] = BASE, share: int = SHARE, id: str = "doc_id") -> DataFrame:
-    """(doc_id, places): for each row of docs its places (PLACES) of base phrases and rules, by start; start counts words from 0
+    """(doc_id, n_words, places): for each row of docs its number of words and its places (PLACES) of base phrases and rules, by start; start counts words from 0
     and is negative where a rule's first words are missing before the text."""
     known = rules_of(rules, share)
     postings, votes = index(known, *document_frequencies(docs, frozenset(w for r in known for w in r.words)))
@@ -154,15 +154,19 @@ def scan(docs: DataFrame, rules: list[tuple[str, str, str]] = RULES, base: dict[
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [places(t.as_buffer().to_pybytes().translate(_TABLE).split(), known, postings, votes, first) if t.is_valid else [] for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=["doc_id", "places"])
+            counts, found = [], []
+            for t in b.column(1):
+                words = t.as_buffer().to_pybytes().translate(_TABLE).split() if t.is_valid else []
+                counts.append(len(words))
+                found.append(places(words, known, postings, votes, first))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], names=["doc_id", "n_words", "places"])
 
     rows = docs.select(F.col(id).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(find, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, places {PLACES}")
+    return rows.mapInArrow(find, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, places {PLACES}")
 
 
 def licenses(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_base, first_word, last_word, base_labels, labels, score): counts and labels of `scan`. The score is the largest
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score): counts and labels of `scan`. The score is the largest
     share of words in place of any rule or base phrase found, 0 without one."""
     rows = scan(docs, **options)
     base = F.filter("places", lambda x: x["base"])
@@ -174,6 +178,7 @@ def licenses(docs: DataFrame, **options) -> DataFrame:
     share = F.array_max(F.transform("places", lambda x: x["matched"].cast("double") / x["words"].cast("double")))
     return rows.select(
         "doc_id",
+        "n_words",
         F.size(base).cast("long").alias("n_base"),
         F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"),
@@ -206,7 +211,7 @@ WITH rules AS (
   FROM tokens JOIN rules USING (word) GROUP BY r, rule, i - p
   HAVING count(*) >= any_value(least) AND count(*) FILTER (key) = any_value(keys)
 )
-SELECT n.doc_id, count(*) FILTER (base) AS n_base, min(place) FILTER (base) AS first_word, max(place) FILTER (base) AS last_word,
+SELECT n.doc_id, len(any_value(w))::BIGINT AS n_words, count(*) FILTER (base) AS n_base, min(place) FILTER (base) AS first_word, max(place) FILTER (base) AS last_word,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels,
   coalesce(max(matched::DOUBLE / words::DOUBLE), 0.0) AS score
 FROM numbered n LEFT JOIN places p USING (r) GROUP BY r, n.doc_id

@@ -57,6 +57,13 @@ def test_a_key_phrase_is_mandatory(spark):
     assert (got[2].labels, got[2].n_base, got[2].first_word, got[2].score) == ("", 0, None, 0.0)
 
 
+def test_words_are_counted(spark):
+    rows = [(1, "CC-BY, naïve\x00Über_2 x", 0, ""), (2, None, 0, ""), (3, " .,-", 0, ""), (4, "a " * 3000, 0, "")]
+    got = licenses.licenses(spark.createDataFrame(rows, SCHEMA).repartition(2))
+    assert got.schema["n_words"].dataType.simpleString() == "bigint"
+    assert {r.doc_id: r.n_words for r in got.collect()} == {1: 6, 2: 0, 3: 0, 4: 3000}
+
+
 def test_rules_are_checked_and_an_empty_table_gives_no_rows(spark):
     with pytest.raises(ValueError):
         licenses.rules_of([("x", "some words", "other words")], 80)
