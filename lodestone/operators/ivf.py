@@ -14,15 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import vectors
-from lodestone.operators.lexical import ranked, rounded
+from lodestone.operators.lexical import ranked
 from lodestone.sources.tables import stored
 
 #: Points a cell has about, centres at most (what is broadcast), points of a block.
 CELL, CENTRES, BLOCK = 500, 2048, 4096
+#: Numbers in the vectors of a group of blocks, about.
+GROUP_VALUES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -107,13 +110,46 @@ def candidates(index: InvertedFile, queries: DataFrame, limit: int, digits: int
     return rows.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)) < limit).drop("near")
 
 
-def _scored(index: InvertedFile, asked: DataFrame, threshold: float | None, filters: dict[str, object] | None, digits: int | None) -> DataFrame:
-    blocks = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "n", "best")
-    both = index.points.where(vectors.criteria(filters, index.points.columns)).join(blocks, ["repository_id", "cell", "block"])
-    length = F.col("norm") * F.col("query_norm")
-    cosine = F.when(length == 0, 0.0).otherwise(vectors.dot(F.col("vector"), F.col("query_vector")) / length)
-    scored = both.select("query_id", "repository_id", "chunk_id", rounded(cosine, digits).alias("score"))
-    return scored if threshold is None else scored.where(F.col("score") >= threshold)
+def _scored(index: InvertedFile, queries: DataFrame, asked: DataFrame, limit: int, threshold: float | None, filters: dict[str, object] | None, digits: int | None) -> DataFrame:
+    """(query_id, repository_id, chunk_id, score): the best points of the cells that asked (query_id, repository_id, cell, blocks,
+    floor) names, `limit` at most for each query and group of blocks. A query's vector goes to a group of blocks once."""
+    dim = F.greatest(F.max(F.size("vector")), F.lit(1))
+    parts = index.points.groupBy("repository_id").agg(F.ceil(F.count(F.lit(1)) * dim / GROUP_VALUES).cast("int").alias("n_groups"))
+    tall = queries.groupBy("repository_id").agg(F.ceil(F.count(F.lit(1)) * dim / vectors.QUERY_VALUES).cast("int").alias("q_groups"))
+    grid = parts.join(tall, "repository_id")
+    group = F.pmod(F.xxhash64("cell", "block"), F.col("n_groups")).cast("int")
+    q_group = F.pmod(F.xxhash64("query_id"), F.col("q_groups")).cast("int")
+    p = index.points.where(vectors.criteria(filters, index.points.columns)).join(grid, "repository_id").select("repository_id", group.alias("n_group"), F.explode(F.sequence(F.lit(0), F.col("q_groups") - 1)).alias("q_group"), F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "chunk_id", "vector", "norm", F.array("cell").alias("cells"), F.lit(None).cast("double").alias("floor"), F.lit(False).alias("asks"))
+    pairs = asked.join(grid, "repository_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.groupBy("query_id", "repository_id", q_group.alias("q_group"), group.alias("n_group")).agg(F.collect_set("cell").alias("cells"), F.max("floor").alias("floor"))
+    own = queries.select("query_id", "repository_id", "vector", vectors.norm(F.col("vector")).alias("norm"))
+    q = pairs.join(own, ["query_id", "repository_id"]).withColumn("chunk_id", F.lit(None).cast(index.points.schema["chunk_id"].dataType)).withColumn("asks", F.lit(True)).select(*p.columns)
+
+    def find(cell: pa.Table) -> pa.Table:
+        asks, points = cell.filter(cell["asks"]), cell.filter(pc.invert(cell["asks"]))
+        points = points.take(pc.sort_indices(points["chunk_id"], null_placement="at_start"))
+        of = pc.list_flatten(points["cells"]).to_numpy()
+        wants, wanted = pc.list_parent_indices(asks["cells"]).to_numpy(), pc.list_flatten(asks["cells"]).to_numpy()
+        known = asks["floor"].to_numpy().astype(np.float64)
+        best = None
+        for c in np.unique(of):
+            some, at = np.unique(wants[wanted == c]), np.flatnonzero(of == c)
+            if not len(some):
+                continue
+            query, point, score = vectors.nearest(vectors._Vectors(asks.take(some)), vectors._Vectors(points.take(at)), limit, threshold, digits, known[some])
+            here = (some[query], at[point], score.is_null().to_numpy(zero_copy_only=False), score.to_numpy(zero_copy_only=False).astype(np.float64))
+            query, point, null, score = here if best is None else (np.concatenate(x) for x in zip(best, here, strict=True))
+            order = np.lexsort((point, np.where(np.isnan(score), -np.inf, -score), ~np.isnan(score), null, query))
+            rank = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+            order = order[rank < limit]
+            best = query[order], point[order], null[order], score[order]
+        query, point, null, score = best or (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0))
+        columns = [asks["query_id"].take(query), asks["repository_id"].take(query), points["chunk_id"].take(point), pa.array(score, pa.float64(), mask=null, from_pandas=False)]
+        return pa.table(columns, names=["query_id", "repository_id", "chunk_id", "score"])
+
+    kinds = {"query_id": queries, "repository_id": index.points, "chunk_id": index.points}
+    schema = ", ".join(f"{k} {v.schema[k].dataType.simpleString()}" for k, v in kinds.items()) + ", score double"
+    return p.unionByName(q).groupBy("repository_id", "n_group", "q_group").applyInArrow(find, schema)
 
 
 def search(index: InvertedFile, queries: DataFrame, limit: int, threshold: float | None = None, filters: dict[str, object] | None = None, digits: int | None = None) -> DataFrame:
@@ -126,15 +162,16 @@ def searched(index: InvertedFile, queries: DataFrame, limit: int, threshold: flo
     """The result of `search`, and (query_id, points_read, points): how many points each query was compared with, of how many."""
     if limit < 1:
         raise ValueError("limit must be at least 1")
-    asked = stored(candidates(index, queries, limit, digits), "ivf-asked")
-    first = stored(ranked(_scored(index, asked.where("first"), threshold, filters, digits), "query_id", limit), "ivf-first")
+    asked = stored(candidates(index, queries, limit, digits).drop("query_vector", "query_norm"), "ivf-asked")
+    none = F.lit(None).cast("double").alias("floor")
+    first = stored(ranked(_scored(index, queries, asked.where("first").select("*", none), limit, threshold, filters, digits), "query_id", limit), "ivf-first")
     # the k-th score found so far; with fewer than k nothing is left out
     floor = first.where(F.col("rank") == limit).select("query_id", F.col("score").alias("floor"))
-    rest = asked.where("NOT first").join(floor, "query_id", "left").where("floor IS NULL OR best >= floor").drop("floor")
+    rest = asked.where("NOT first").join(floor, "query_id", "left").where("floor IS NULL OR best >= floor")
     if threshold is not None:
         rest = rest.where(F.col("best") >= threshold)
     rest = stored(rest, "ivf-rest")
-    more = _scored(index, rest, threshold, filters, digits)
+    more = _scored(index, queries, rest, limit, threshold, filters, digits)
     read = asked.where("first").select("query_id", "n").unionByName(rest.select("query_id", "n")).groupBy("query_id").agg(F.sum("n").alias("points_read"))
     work = asked.groupBy("query_id").agg(F.sum("n").alias("points")).join(read, "query_id").select("query_id", "points_read", "points")
     return ranked(first.drop("rank").unionByName(more), "query_id", limit), work

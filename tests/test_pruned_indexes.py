@@ -79,3 +79,12 @@ def test_hashes_of_terms_reach_the_scan(spark):
     hashes = [r.term_hash for r in index.postings.select("term_hash").collect()]
     # rows of a term lie together, its best first
     assert sum(a != b for a, b in zip(hashes, hashes[1:])) + 1 == len(set(hashes))
+
+
+def test_cells_of_an_inverted_file_give_only_their_best(spark):
+    made = [("r", f"{i:04d}", v, "a") for i, v in enumerate(cloud(5, 600, 4))]
+    queries = spark.createDataFrame([(k, "r", v) for k, v in enumerate(cloud(6, 9, 4))], ASKED)
+    index = ivf.build(vectors.prepared(spark.createDataFrame(made, POINTS)), cell=40, centres=64)
+    asked = ivf.candidates(index, queries, 3).selectExpr("query_id", "repository_id", "cell", "blocks", "CAST(NULL AS double) AS floor")
+    # all cells are asked for, and are one group: a query's three best of it are rows, not its pairs
+    assert index.cells.count() > 5 and ivf._scored(index, queries, asked, 3, None, None, 6).count() == 27
