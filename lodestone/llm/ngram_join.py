@@ -123,9 +123,11 @@ class CountTree:
                 break
             width = FAN
 
-    def search(self, queries: np.ndarray, sizes: np.ndarray, need: int, of: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, sizes: np.ndarray | int, need: int, of: int) -> tuple[np.ndarray, np.ndarray] | np.ndarray:
         """All (query, point), as numbers given to the tree, whose bound is enough, in order of queries. The queries go down together: a step
-        tests what is left of them against nodes of one level, and the children of those whose bound is enough are next."""
+        tests what is left of them against nodes of one level, and the children of those whose bound is enough are next. Of a single query, no row of several, the points alone."""
+        if queries.ndim == 1:
+            return self.search(queries[None], np.asarray([sizes]), need, of)[1]
         top = len(self.levels[-1][0])
         query, node = np.repeat(np.arange(len(queries)), top), np.tile(np.arange(top), len(queries))
         for depth in range(len(self.levels) - 1, -1, -1):
