@@ -12,12 +12,8 @@ answer; only the others are read. Every posting of an answer is then read, so sc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,32 +42,14 @@ def term_hash(repository_id: Column, term: Column) -> Column:
     return F.xxhash64(repository_id, term)
 
 
-def _term_counts(rows: DataFrame) -> DataFrame:
-    """(repository_id, chunk_id, term, tf, dl) of rows with tokens: a chunk's terms are counted where the chunk is."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tokens = b.column(2)
-            terms = tokens.flatten().dictionary_encode()
-            if not len(terms):
-                continue
-            lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy()
-            of = np.repeat(np.arange(b.num_rows), lengths)
-            key, tf = np.unique(of * len(terms.dictionary) + terms.indices.to_numpy(), return_counts=True)
-            at, term = np.divmod(key, len(terms.dictionary))
-            columns = [b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), terms.dictionary.take(pa.array(term)), pa.array(tf), pa.array(lengths[at], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["repository_id", "chunk_id", "term", "tf", "dl"])
-
-    return rows.select("repository_id", "chunk_id", "tokens").mapInArrow(count, "repository_id string, chunk_id string, term string, tf long, dl long")
-
-
 def build(chunks: DataFrame, config: LexicalConfig = LexicalConfig()) -> ImpactIndex:
     """The impact-ordered index of chunks, each with an id of its own. Postings are moved once, into their order; statistics
     are of whole repositories."""
-    tokens = stored(lexical.tokens_of(spread(chunks)), "impact-tokens")
-    lengths = tokens.withColumn("dl", F.size("tokens")).drop("tokens")
+    counts = stored(lexical.counted(spread(chunks)), "impact-counts")
+    lengths = counts.drop("terms", "tfs")
     repositories = stored(lexical.statistics(lengths), "impact-repositories")
-    rows = _term_counts(tokens).join(repositories, "repository_id")
+    each = counts.select("repository_id", "chunk_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+    rows = each.select("repository_id", "chunk_id", "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf")).join(repositories, "repository_id")
     average = F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))
     impact = F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / average))
     rows = rows.select(term_hash(F.col("repository_id"), F.col("term")).alias("term_hash"), "repository_id", "term", impact.alias("impact"), "chunk_id")
