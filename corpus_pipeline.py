@@ -1,7 +1,7 @@
 """The corpus pipeline: operators of lodestone.llm applied to `documents`, each stage to what the last one kept.
 
-Rows are numbered when a stage begins, in a written table, so rows with null or repeated ids, and rows that are equal in
-all columns, get verdicts of their own. Stages that drop or change rows join their verdicts on that number. Columns
+Rows are numbered when a stage begins, so rows with null or repeated ids, and rows that are equal in all columns, get
+verdicts of their own. Stages that drop or change rows join their verdicts on that number. Columns
 beyond those of `documents` are kept by all stages but the last.
 """
 
@@ -20,8 +20,13 @@ KEY = "pipeline_row"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row; written, as the numbers are those of one run of the tasks."""
-    return written(docs.withColumn(KEY, F.monotonically_increasing_id()), "pipeline-rows")
+    """docs with a number for each row. A table read from Parquet files as it is has them by file and place in the file, which
+    no later read changes, and is not copied; others are written, as their numbers are those of one run of the tasks."""
+    if not docs._jdf.queryExecution().analyzed().children().isEmpty() or not docs.inputFiles():
+        return written(docs.withColumn(KEY, F.monotonically_increasing_id()), "pipeline-rows")
+    at = docs.select(*docs.columns, F.col("_metadata.file_path").alias("file_"), F.col("_metadata.row_index").alias("row_"))
+    files = written(at.select("file_").distinct().coalesce(1).withColumn("file_no_", F.monotonically_increasing_id()), "pipeline-files")
+    return at.join(F.broadcast(files), "file_").select(*docs.columns, (F.col("file_no_") * 2**40 + F.col("row_")).alias(KEY))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

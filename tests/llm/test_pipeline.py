@@ -50,3 +50,20 @@ def test_odd_rows(spark):
     for _, f in pipeline.STAGES:
         assert f(spark, docs, SF).count() >= 0
         f(spark, docs.limit(0), SF).collect()
+
+
+def test_written_tables_are_numbered_without_a_copy(spark, tmp_path, monkeypatch):
+    names = []
+    monkeypatch.setattr(pipeline, "written", lambda df, name: names.append((name, df.columns)) or written(df, name))
+    rows = [(i % 7 if i % 5 else None, f"text {i % 3}", "en", "s", 6) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(5).write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    keyed = pipeline._keyed(stored)
+    first = {r[pipeline.KEY]: tuple(r)[:-1] for r in keyed.collect()}
+    # other splits, other order: the same numbers
+    assert len(first) == 900 and first == {r[pipeline.KEY]: tuple(r)[:-1] for r in keyed.repartition(3).collect()}
+    assert names == [("pipeline-files", ["file_", "file_no_"])]
+    # rows that are not those of the files are written with their numbers
+    several = pipeline._keyed(stored.unionByName(stored))
+    assert several.select(pipeline.KEY).distinct().count() == 1800 and names[-1][0] == "pipeline-rows"
