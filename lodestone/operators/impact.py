@@ -12,8 +12,12 @@ answer; only the others are read. Every posting of an answer is then read, so sc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,11 +61,38 @@ def build(chunks: DataFrame, config: LexicalConfig = LexicalConfig()) -> ImpactI
     order = ["term_hash", "repository_id", "term", F.desc("level"), "chunk_id"]
     laid = rows.select("term_hash", "repository_id", "term", "level", "chunk_id", "impact").repartitionByRange(*order).sortWithinPartitions(*order)
     postings = stored(laid, "impact-postings")
-    cut = postings.groupBy("term_hash", "repository_id", "term", "level").agg(F.max("impact").alias("top"), F.count(F.lit(1)).alias("n"))
-    terms = cut.groupBy("term_hash", "repository_id", "term").agg(F.sum("n").alias("df"), F.max("top").alias("term_top")).join(repositories.select("repository_id", F.col("n").alias("chunks")), "repository_id")
-    idf = F.log(F.lit(1.0) + (F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    blocks = cut.join(terms.select("term_hash", "repository_id", "term", "term_top", idf.alias("idf")), ["term_hash", "repository_id", "term"])
-    return ImpactIndex(postings, stored(blocks, "impact-blocks"), lengths)
+    chunks_of = repositories.select("repository_id", F.col("n").alias("chunks"))
+    idf = F.log(F.lit(1.0) + (F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+    columns = ["term_hash", "repository_id", "term", "level", "top", "n", "term_top", idf]
+    runs = stored(_runs(postings).join(chunks_of, "repository_id"), "impact-runs")
+    # what lies at a border may go on beyond it; that is few rows
+    cut = runs.where(~F.col("whole")).groupBy("term_hash", "repository_id", "term", "level", "chunks").agg(F.max("top").alias("top"), F.sum("n").alias("n"))
+    terms = cut.groupBy("term_hash", "repository_id", "term").agg(F.sum("n").alias("df"), F.max("top").alias("term_top"))
+    rest = stored(cut.join(terms, ["term_hash", "repository_id", "term"]).select(*columns), "impact-blocks")
+    return ImpactIndex(postings, runs.where("whole").select(*columns).unionByName(rest), lengths)
+
+
+def _runs(postings: DataFrame) -> DataFrame:
+    """(term_hash, repository_id, term, level, top, n, df, term_top, whole): blocks of stored postings as their files have them in order.
+    A term that is neither first nor last in a batch or in what a task reads of a file lies there as a whole."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            numbers = lambda *names: [pc.dictionary_encode(b.column(c)).indices.to_numpy() if pa.types.is_string(b.column(c).type) else b.column(c).to_numpy() for c in names]
+            changes = lambda *names: np.concatenate([[True], np.any([x[1:] != x[:-1] for x in numbers(*names)], axis=0)])
+            of_file = changes("file", "file_block_start")
+            of_term = of_file | changes("term_hash", "repository_id", "term")
+            run, term = np.flatnonzero(of_term | changes("level")), np.flatnonzero(of_term)
+            impact, of = b.column("impact").to_numpy(), np.cumsum(of_term)[run] - 1
+            border = of_file[term] | np.append(of_file[term[1:]], True)
+            values = {"top": np.maximum.reduceat(impact, run), "n": np.diff(run, append=b.num_rows), "df": np.diff(term, append=b.num_rows)[of], "term_top": np.maximum.reduceat(impact, term)[of], "whole": ~border[of]}
+            names = ["term_hash", "repository_id", "term", "level"]
+            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(run)) for c in names] + [pa.array(x) for x in values.values()], names=[*names, *values])
+
+    places = [F.xxhash64("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("file_block_start")]
+    return postings.select("term_hash", "repository_id", "term", "level", "impact", *places).mapInArrow(cut, "term_hash long, repository_id string, term string, level int, top double, n long, df long, term_top double, whole boolean")
 
 
 def _pushed(postings: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -81,6 +81,28 @@ def test_hashes_of_terms_reach_the_scan(spark):
     assert sum(a != b for a, b in zip(hashes, hashes[1:])) + 1 == len(set(hashes))
 
 
+def test_blocks_are_those_of_all_postings_wherever_batches_end(spark):
+    rows = ["term_hash", "repository_id", "term", "level"]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        index = impact.build(chunks(spark))
+        blocks = {tuple(r[c] for c in rows): r for r in index.blocks.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = index.postings.groupBy(*rows).agg({"impact": "max", "*": "count"}).collect()
+    assert index.blocks.count() == len(blocks) == len(want)
+    assert all((blocks[tuple(r)[:4]].top, blocks[tuple(r)[:4]].n) == (r["max(impact)"], r["count(1)"]) for r in want)
+    most = {}
+    for r in blocks.values():
+        df, top = most.get(r.term_hash, (0, 0.0))
+        most[r.term_hash] = (df + r.n, max(top, r.top))
+    assert len({(r.term_hash, round(r.idf, 12)) for r in blocks.values()}) == len(most)
+    assert all(r.term_top == most[r.term_hash][1] for r in blocks.values())
+    # postings are not moved again for their blocks: only what lies at borders is aggregated
+    assert "whole" in index.blocks._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_cells_of_an_inverted_file_give_only_their_best(spark):
     made = [("r", f"{i:04d}", v, "a") for i, v in enumerate(cloud(5, 600, 4))]
     queries = spark.createDataFrame([(k, "r", v) for k, v in enumerate(cloud(6, 9, 4))], ASKED)
