@@ -152,7 +152,12 @@ def _best(found: DataFrame, lengths: DataFrame, asked: DataFrame, limit: int, to
 
     kinds = {"query_id": query, "repository_id": asked.schema["repository_id"].dataType, "chunk_id": chunk}
     schema = ", ".join(f"{k} {v.simpleString()}" for k, v in kinds.items()) + ", score double"
-    return p.unionByName(c).unionByName(q).groupBy(*ofs).applyInArrow(find, schema)
+    return p.unionByName(c).unionByName(q).withColumn("cell", cell_of(*ofs)).groupBy("cell").applyInArrow(find, schema)
+
+
+def cell_of(repository_id: str, *groups: str) -> Column:
+    """One key for a cell of a grid: rows that a join has dealt by repository are dealt anew, not a repository to a task."""
+    return F.concat_ws(":", *groups, repository_id)
 
 
 def _codes(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:

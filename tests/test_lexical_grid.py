@@ -79,3 +79,16 @@ def test_pairs_of_queries_and_chunks_are_no_rows(spark):
     assert found.count() == 150
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and plan.index("FlatMapGroupsInArrow") > plan.index("Window")
+
+
+def test_cells_are_dealt_one_by_one_where_the_grid_is_not_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [("r", f"{i}", "f", "a", None, f"common w{i % 7}") for i in range(20)]
+        found = lexical.search(lexical.build_index(spark.createDataFrame(rows, CHUNKS)), spark.createDataFrame([(1, "r", "common")], ASKED), 3, digits=6)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # a join by repository does not deal the cells
+    assert plan.index("FlatMapGroupsInArrow") < plan.index("hashpartitioning(cell#")
