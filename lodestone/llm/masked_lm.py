@@ -35,6 +35,13 @@ TOKENS, UNKNOWN = CLASSES * PER_CLASS, 1024
 SPAN, HIDDEN = 2, 24
 PLACES = [k for k in range(-SPAN, SPAN + 1) if k]
 ROUNDS, BATCH, RATE = 3, 4096, 0.08
+#: Targets that are worked on at once, and classes whose parameters move at once, so that they stay in a core's cache;
+#: rows of a sum that are added one by one.
+ROWS, GROUP, SHORT = 1024, 16, 4
+#: Words scored at once, so that a class has many of them.
+SCORED = 1 << 15
+#: Counts, at least, that wait to be summed with those before.
+MERGED = 500_000
 #: Words, about, that one slice of a round trains on.
 SLICE = 4_000_000
 #: Parameters in a row that a slice sends.
@@ -88,82 +95,165 @@ class Network:
     def hidden(self, context: np.ndarray) -> np.ndarray:
         p = self.part
         h = np.take(p["e"][0], context[0], axis=0)
+        one = np.empty_like(h)
         for k in range(1, len(PLACES)):
-            h += np.take(p["e"][k], context[k], axis=0)
+            h += np.take(p["e"][k], context[k], axis=0, out=one, mode="clip")
         h += p["b"]
-        return np.tanh(h, out=h)
-
-    def _softmax(self, h: np.ndarray, group: np.ndarray, within: np.ndarray):
-        """For targets in order of their classes: log-probabilities, both softmaxes before they are divided by their sums,
-        these sums, and where each class begins (and the last ends)."""
-        p, rows = self.part, np.arange(len(group))
-        a = h @ p["c"]
-        a += p["cb"]
-        bounds = np.searchsorted(group, np.arange(self.k + 1))
-        z = np.empty((len(group), self.k), np.float32)
-        for g in np.flatnonzero(np.diff(bounds)):
-            np.matmul(h[bounds[g] : bounds[g + 1]], p["w"][g], out=z[bounds[g] : bounds[g + 1]])
-        z += np.take(p["wb"], group, axis=0)
-        sums, log_p = [], np.zeros(len(group), np.float32)
-        for x, at in ((a, group), (z, within)):
-            if max(x.max(initial=0), -x.min(initial=0)) > 60:  # beyond what exp can take
-                x -= x.max(axis=1, keepdims=True)
-            log_p += x[rows, at]
-            np.exp(x, out=x)
-            sums.append(x @ np.ones(self.k, np.float32))
-            log_p -= np.log(sums[-1])
-        return log_p, a, z, sums, bounds
+        # tanh, by exp, which takes half the time
+        h *= -2
+        np.minimum(h, 60, out=h)
+        np.exp(h, out=h)
+        h += 1
+        np.divide(2, h, out=h)
+        h -= 1
+        return h
+
+    def _order(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Targets' order by class; then their classes and places in these; where each class begins (and the last ends)."""
+        order = _argsort(target, self.k)
+        group, within = np.divmod(target[order], np.int32(self.k))
+        return order, group, within, [0, *np.cumsum(np.bincount(group, minlength=self.k)).tolist()]
+
+    def _outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of classes, and those within each class, with their biases as a last row."""
+        p = self.part
+        return np.concatenate([p["c"], p["cb"][None]]), np.concatenate([p["w"], p["wb"][:, None]], axis=1)
+
+    def _logits(self, ones: np.ndarray, parts: list[tuple[int, int, int]], c: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """(2, n, k): of the classes, and within the targets' own, for hidden units and a column of ones, in order of the
+        targets' classes; parts: (class, its first row, its end)."""
+        x = np.empty((2, len(ones), self.k), ones.dtype)
+        np.dot(ones, c, out=x[0])
+        z = x[1]
+        for g, i, j in parts:
+            np.dot(ones[i:j], w[g], out=z[i:j])
+        if max(x.max(initial=0), -x.min(initial=0)) > 60:  # beyond what exp can take
+            x -= x.max(axis=2, keepdims=True)
+        return x
+
+    def _places(self, group: np.ndarray, within: np.ndarray) -> np.ndarray:
+        """Where targets are in their logits."""
+        at = np.arange(0, 2 * len(group) * self.k, self.k).reshape(2, -1)
+        at[0] += group
+        at[1] += within
+        return at
 
     def forward(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probabilities of targets (n) in contexts (places, n), and the hidden units."""
-        order = np.argsort(target.astype(np.uint16) if self.k < 256 else target, kind="stable")
+        """Log-probabilities of targets (n) in contexts (places, n), and the hidden units.
+
+        A product's last digits depend on the rows beside a row, so it is one of doubles: rounded to single, it does not.
+        """
+        order, group, within, bounds = self._order(target)
+        c, w = (x.astype(np.float64) for x in self._outputs())
         h, back = self.hidden(context), np.empty(len(target), np.float32)
-        back[order] = self._softmax(h[order], target[order] // self.k, target[order] % self.k)[0]
+        for i in range(0, len(target), ROWS):
+            rows = order[i : i + ROWS]
+            x = self._logits(_with_ones(np.take(h, rows, axis=0), np.float64), _parts(bounds, group, i, i + len(rows)), c, w).astype(np.float32)
+            log_p = np.take(x, self._places(group[i : i + ROWS], within[i : i + ROWS]))
+            np.exp(x, out=x)
+            log_p -= np.log(np.dot(x, np.ones(self.k, np.float32)))
+            back[rows] = log_p.sum(axis=0)
         return back, h
 
     def step(self, context: np.ndarray, target: np.ndarray, grown: np.ndarray) -> None:
         """One Adagrad step on the mean negative log-probability; grown: the squared gradients so far."""
-        order = np.argsort(target.astype(np.uint16) if self.k < 256 else target, kind="stable")
-        context, target = context[:, order], target[order]
-        group, within = target // self.k, target % self.k
+        order, group, within, bounds = self._order(target)
+        context = np.take(context, order, axis=1)
+        p, n, squares = self.part, len(target), _views(grown, self.k)
+        c, w = self._outputs()
         h = self.hidden(context)
-        _, a, z, sums, bounds = self._softmax(h, group, within)
-        p, n, squares, rows = self.part, len(target), _views(grown, self.k), np.arange(len(target))
-        for x, total, at in ((a, sums[0], group), (z, sums[1], within)):
-            x /= (n * total)[:, None]
-            x[rows, at] -= np.float32(1 / n)
+        ones, dh = _with_ones(h), np.empty((n, HIDDEN), np.float32)  # the last column of a product with it is a sum
+        by_a, by_z, size = np.zeros((HIDDEN + 1, self.k), np.float32), np.empty((self.k, HIDDEN + 1, self.k), np.float32), np.diff(bounds)
+        by_z[size == 0] = 0
+        for at in range(0, n, ROWS):
+            rows = slice(at, at + ROWS)
+            some, d, parts = ones[rows], dh[rows], _parts(bounds, group, at, min(at + ROWS, n))
+            x = self._logits(some, parts, c, w)
+            np.exp(x, out=x)
+            sums = np.dot(x, np.ones(self.k, np.float32))
+            # both softmaxes less their targets, times their sums; products with them are divided instead, which are narrow
+            x.reshape(-1)[self._places(group[rows], within[rows])] -= sums
+            share = np.float32(1 / n) / sums[:, :, None]
+            by_a += np.dot((some * share[0]).T, x[0])
+            some, z = some * share[1], x[1]
+            for g, i, j in parts:
+                one = z[i:j]
+                np.dot(one, w[g, :-1].T, out=d[i:j])
+                if at + i == bounds[g]:
+                    np.dot(some[i:j].T, one, out=by_z[g])
+                else:
+                    by_z[g] += np.dot(some[i:j].T, one)
+            d *= share[1]
+            of_a = np.dot(x[0], p["c"].T)
+            of_a *= share[0]
+            d += of_a
+
+        def moved(square: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+            """The step for a gradient, whose squares were added to."""
+            step = square + np.float32(1e-10)
+            np.sqrt(step, out=step)
+            np.divide(gradient, step, out=step)
+            step *= RATE
+            return step
 
         def move(name: str, at, gradient: np.ndarray) -> None:
-            # only what has a gradient, so that a step costs what its tokens ask for
-            square = squares[name][at] + gradient**2
-            squares[name][at] = square
-            square += 1e-10
-            np.sqrt(square, out=square)
-            np.divide(gradient, square, out=square)
-            square *= RATE
-            p[name][at] -= square
-
-        dh = a @ p["c"].T
-        ones = np.concatenate([h, np.ones((n, 1), np.float32)], axis=1)  # the last row of a product with it is a sum
-        sums_a = ones.T @ a
-        move("c", ..., sums_a[:-1])
-        move("cb", ..., sums_a[-1])
-        present = np.flatnonzero(np.diff(bounds))
-        by_class = np.empty((len(present), HIDDEN + 1, self.k), np.float32)
-        for x, g in enumerate(present):
-            i, j = bounds[g], bounds[g + 1]
-            dh[i:j] += z[i:j] @ p["w"][g].T
-            np.matmul(ones[i:j].T, z[i:j], out=by_class[x])
-        every = present if len(present) < self.k else ...
-        move("w", every, by_class[:, :-1])
-        move("wb", every, by_class[:, -1])
-        dh *= 1 - h * h
+            square = squares[name][at]
+            square += np.square(gradient)
+            p[name][at] -= moved(square, gradient)
+
+        for g in range(0, self.k, GROUP):
+            if size[g : g + GROUP].any():  # only what has a gradient, so that a step costs what its tokens ask for
+                move("w", slice(g, g + GROUP), by_z[g : g + GROUP, :-1])
+                move("wb", slice(g, g + GROUP), by_z[g : g + GROUP, -1])
+        move("c", ..., by_a[:-1])
+        move("cb", ..., by_a[-1])
+        h *= h
+        dh -= dh * h
         move("b", ..., dh.sum(axis=0))
         for k in range(len(PLACES)):
-            by = np.argsort(context[k].astype(np.uint16) if self.k < 256 else context[k], kind="stable")
+            by = _argsort(context[k], self.k)
             ids = context[k][by]
             first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            move("e", (k, ids[first]), np.add.reduceat(dh[by], first, axis=0))
+            ids, e, es = ids[first], p["e"][k], squares["e"][k]
+            gradient = _sums(np.take(dh, by, axis=0), first)
+            square = np.take(es, ids, axis=0)
+            square += np.square(gradient)
+            es[ids] = square
+            e[ids] = np.take(e, ids, axis=0) - moved(square, gradient)
+
+
+def _with_ones(h: np.ndarray, type: type = np.float32) -> np.ndarray:
+    out = np.ones((len(h), HIDDEN + 1), type)
+    out[:, :-1] = h
+    return out
+
+
+def _argsort(tokens: np.ndarray, k: int) -> np.ndarray:
+    return np.argsort(tokens.astype(np.uint16) if k < 256 else tokens, kind="stable")
+
+
+def _parts(bounds: list[int], group: np.ndarray, begin: int, end: int) -> list[tuple[int, int, int]]:
+    """(class, first, end) of the classes that have some of the rows from `begin` to `end`, counted from `begin`."""
+    own = range(group[begin], group[end - 1] + 1)
+    return [(g, max(bounds[g], begin) - begin, min(bounds[g + 1], end) - begin) for g in own if bounds[g] < bounds[g + 1]]
+
+
+def _sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each of `first` to before the next. Most are of few rows, so the second rows of all these are
+    added at once, then the third ones, up to SHORT."""
+    size = np.diff(first, append=len(rows))
+    out, more, long = np.take(rows, first, axis=0), np.flatnonzero(size > 1), np.flatnonzero(size > SHORT)
+    for k in range(1, SHORT):
+        if len(more):
+            out[more] += np.take(rows, first[more] + k, axis=0)
+            more = more[size[more] > k + 1]
+    if len(long):
+        n = size[long] - SHORT
+        begin = np.cumsum(n) - n
+        rest = np.arange(n.sum()) + np.repeat(first[long] + SHORT - begin, n)
+        # pairs of numbers as complex ones, whose sums are theirs, in half as many runs
+        out[long] += np.add.reduceat(np.take(rows, rest, axis=0).view(np.complex64), begin, axis=0).view(np.float32)
+    return out
 
 
 class Vocabulary:
@@ -183,30 +273,46 @@ class Vocabulary:
         return np.where(self.hashes[at] == hash, self.tokens[at], other)
 
 
-def _contexts(tokens: np.ndarray, w: Words, which: np.ndarray, beyond: int) -> np.ndarray:
-    """(places, n): the tokens around words `which`, `beyond` past the text's ends."""
-    out = np.empty((len(PLACES), len(which)), np.int32)
-    for row, k in enumerate(PLACES):
-        at = which + k
-        ok = (at >= w.bounds[w.text[which]]) & (at < w.bounds[w.text[which] + 1])
-        out[row] = np.where(ok, tokens[np.clip(at, 0, len(tokens) - 1)], beyond)
-    return out
+class Contexts:
+    """The tokens around the words of some texts, `beyond` past the texts' ends."""
+
+    def __init__(self, tokens: np.ndarray, w: Words, beyond: int):
+        self.at = np.arange(len(tokens)) + SPAN * (w.text + 1)
+        self.padded = np.full(len(tokens) + SPAN * (w.n_texts + 1), beyond, np.int32)
+        self.padded[self.at] = tokens
+
+    def __call__(self, which: np.ndarray | slice) -> np.ndarray:
+        """(places, n): those around words `which`."""
+        at = self.at[which]
+        return np.stack([self.padded[at + k] for k in PLACES])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(h, n): how often each word occurs in rows (doc_id, text), by its hash; summed in tasks before the shuffle."""
 
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+        return h[first], np.add.reduceat(n, first) if len(h) else n
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, n = np.zeros(0, U), np.zeros(0, np.int64)
+        parts, waiting, before = [], 0, 0
         for b in batches:
             for _, w in chunks(b.column(1), LOWER):
-                one, times = np.unique(w.hash, return_counts=True)
-                h, back = np.unique(np.concatenate([h, one]), return_inverse=True)
-                n = np.bincount(back, np.concatenate([n, times])).astype(np.int64)
-                if len(h) > 2_000_000:
-                    yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "n": pa.array(n)})
-                    h, n = h[:0], n[:0]
-        yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64), pa.int64()), "n": pa.array(n, pa.int64())})
+                parts.append(np.unique(w.hash, return_counts=True))
+                waiting += len(parts[-1][0])
+                if waiting > max(MERGED, before):  # so that none is summed again and again
+                    parts, waiting = [summed(parts)], 0
+                    before = len(parts[0][0])
+                    if len(parts[0][0]) > 2_000_000:
+                        yield rows(*parts.pop())
+        if parts:
+            yield rows(*summed(parts))
+
+    def rows(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64), pa.int64()), "n": pa.array(n, pa.int64())})
 
     return docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
@@ -216,10 +322,10 @@ def learn(net: Network, token: Vocabulary, texts: pa.Array, grown: np.ndarray, r
     used = 0
     for _, w in chunks(texts, LOWER):
         tokens = token(w.hash)
-        which = random.permutation(len(tokens))
+        context, which = Contexts(tokens, w, token.n), random.permutation(len(tokens))
         for i in range(0, len(which), BATCH):
             one = which[i : i + BATCH]
-            net.step(_contexts(tokens, w, one, token.n), tokens[one], grown)
+            net.step(context(one), tokens[one], grown)
         used += len(which)
     return used
 
@@ -241,6 +347,15 @@ def _means(sent: DataFrame) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r.v, np.float32) for r in sorted(rows)]) if rows else None
 
 
+def dealt(docs: DataFrame, k: int, slices: int) -> DataFrame:
+    """(slice, text) of round k of rows (doc_id, text), each slice in order and a task's own: dealt by a hash of its number,
+    some tasks had two or more, and the longest task grew with the number of slices."""
+    hashed = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "text")
+    rows = docs.withColumn("hashed", hashed).where(F.pmod("hashed", F.lit(ROUNDS)) == k)
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("hashed"), F.lit(slices)).cast("int"))
+    return rows.repartitionById(slices, "slice").sortWithinPartitions("slice", "hashed", "text").select("slice", "text")
+
+
 def train(docs: DataFrame) -> tuple[list[int], np.ndarray]:
     """The vocabulary (hashes of words, by frequency) and the network's parameters for rows (doc_id, text)."""
     counts = written(word_counts(docs), "lm-counts")
@@ -258,7 +373,6 @@ def train(docs: DataFrame) -> tuple[list[int], np.ndarray]:
     flat = network.flat
     context = docs.sparkSession.sparkContext
     vocabulary = context.broadcast(words)
-    hashed = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "text")
     slices = max(1, math.ceil(all_words / ROUNDS / SLICE))
     for k in range(ROUNDS):
         start = context.broadcast(flat)
@@ -284,11 +398,7 @@ def train(docs: DataFrame) -> tuple[list[int], np.ndarray]:
             if net:
                 yield from sent()
 
-        rows = docs.withColumn("hashed", hashed).where(F.pmod("hashed", F.lit(ROUNDS)) == k)
-        rows = rows.withColumn("slice", F.pmod(F.xxhash64("hashed"), F.lit(slices)).cast("int"))
-        # a slice is in one task; tasks are more than slices, so that few have two
-        rows = rows.repartition(4 * slices, "slice").sortWithinPartitions("slice", "hashed", "text").select("slice", "text")
-        mean = _means(rows.mapInArrow(task, "block int, slice int, v binary, n double"))
+        mean = _means(dealt(docs, k, slices).mapInArrow(task, "block int, slice int, v binary, n double"))
         if mean is not None:
             flat = mean
         start.destroy()
@@ -312,9 +422,10 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", model: tuple[
         token = Vocabulary(given.value[0], net.k**2)
         for at, w in chunks(b.column(1), LOWER):
             tokens, total = token(w.hash), np.zeros(w.n_texts)
-            for i in range(0, len(tokens), BATCH):
-                which = np.arange(i, min(i + BATCH, len(tokens)))
-                log_p = net.forward(_contexts(tokens, w, which, token.n), tokens[which])[0]
+            context = Contexts(tokens, w, token.n)
+            for i in range(0, len(tokens), SCORED):
+                which = slice(i, i + SCORED)
+                log_p = net.forward(context(which), tokens[which])[0]
                 total += np.bincount(w.text[which], log_p, minlength=w.n_texts)
             n = np.diff(w.bounds)
             yield {
